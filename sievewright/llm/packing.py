@@ -148,7 +148,8 @@ def assign(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
 
     out = StructType([*fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
     out_arrow = to_arrow_schema(out)
-    fitted = tail.coalesce(1).mapInArrow(first_fit, out)
+    # The filter runs where the pieces are; only the tails, at most 2016 rows, move to the one task.
+    fitted = tail.repartition(1).mapInArrow(first_fit, out)
     drop = ("earlier", "total", "first_id", "bins", "tail", "rank", "task", "class")
     return one.unionByName(more).unionByName(fitted).drop(*drop)
 
