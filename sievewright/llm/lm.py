@@ -7,7 +7,7 @@ last resort a failure arc with the state's backoff weight to the root, whose arc
 left-to-right traversal carries the state, takes an arc or the failure arc and then the root's, and adds log probabilities.
 
 Scale.  No task holds the model.  Documents are written as blocks of about ``BLOCK`` tokens, coded by a vocabulary
-of their own.  A block sends its distinct words and bigrams (64-bit hashes, with its own training counts) to shards by
+of their own.  A block sends its distinct words (64-bit hashes) and bigrams (48 bits), with its own training counts, to shards by
 context; a shard sums counts over all blocks and answers each block in the order asked: counts and the contexts'
 statistics.  The block builds the part of the automaton that its documents can reach, and traverses it.
 Contexts with a large share of all tokens (their number is bounded by the shards') are spread
@@ -33,7 +33,7 @@ from sievewright.llm._util import fold_of, materialize, shared_dir
 
 BLOCK = 1 << 20
 #: Tokens of the corpus for each shard, and the most contexts that are spread.
-SHARD_TOKENS, MOST_HOT = 1 << 21, 4096
+SHARD_TOKENS, MOST_HOT = 1 << 19, 4096
 END, START = xxhash.xxh64_intdigest(b"\x00end"), xxhash.xxh64_intdigest(b"\x00start")
 BLOCKS = "block long, n_tokens long, doc_ids array<long>, lens binary, ids binary, vocab binary, common array<struct<w:long,n:long>>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -48,12 +48,28 @@ class Local(dict):
 
 
 def planes(x: np.ndarray) -> bytes:
-    """Whole numbers by byte planes, which compress better."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    """Whole numbers from 0 by byte planes, as many as the largest needs: small and easy to compress."""
+    x = np.ascontiguousarray(x, dtype="<u8")
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def unplanes(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    parts = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
+    out = np.zeros((parts.shape[1], 8), dtype=np.uint8)
+    out[:, : raw[0]] = parts.T
+    return out.view("<i8").ravel()
+
+
+def short_keys(hashes: np.ndarray) -> bytes:
+    """Upper 48 bits: a shard holds a few hundred thousand bigrams, whatever the corpus, so two of them collide in about one shard of 5000."""
+    return np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def long_keys(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
 
 
 def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -147,8 +163,8 @@ class Asked:
             if len(words) or len(warm):
                 yield (
                     s, self.vocab[words].tobytes(), planes(self.word_train[words]), planes(runs[words]),
-                    self.hashes[cold].tobytes(), planes(self.arc_train[cold]),
-                    self.hashes[warm].tobytes(), planes(self.arc_train[warm]), planes(self.hot_at[self.ctx[warm]]),
+                    short_keys(self.hashes[cold]), planes(self.arc_train[cold]),
+                    short_keys(self.hashes[warm]), planes(self.arc_train[warm]), planes(self.hot_at[self.ctx[warm]]),
                 )
 
 
@@ -169,13 +185,12 @@ def ask(blocks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
     return blocks.select("block", "doc_ids", "lens", "ids", "vocab").mapInArrow(run, ASK)
 
 
-def _summed(hashes: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first places, inverse, totals, asked counts' lengths) of the distinct hashes."""
-    keys = np.frombuffer(b"".join(hashes), dtype=np.uint64)
-    n = np.concatenate([unplanes(c) for c in counts]) if counts else np.array([], dtype=np.int64)
+def _summed(keys: np.ndarray, counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first places, inverse, totals, ends of the blocks' parts) of the distinct keys."""
+    parts = [unplanes(c) for c in counts]
     _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=n, minlength=len(first)).astype(np.int64)
-    return first, inverse, total, np.array([len(h) // 8 for h in hashes])
+    total = np.bincount(inverse, weights=np.concatenate(parts), minlength=len(first)).astype(np.int64)
+    return first, inverse, total, np.cumsum([0, *map(len, parts)])
 
 
 def _stats(ctx: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
@@ -189,23 +204,19 @@ def answer(asked: DataFrame, hot_count: int) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         c = {k: t[k].to_pylist() for k in t.column_names}
-        first, inverse, total, sizes = _summed(c["words"], c["word_n"])
-        ends = np.cumsum(sizes)
+        first, inverse, total, ends = _summed(np.frombuffer(b"".join(c["words"]), dtype=np.uint64), c["word_n"])
         runs = np.concatenate([unplanes(x) for x in c["runs"]])
-        cold_first, cold_inverse, cold_total, cold_sizes = _summed(c["cold"], c["cold_n"])
+        cold_first, cold_inverse, cold_total, cold_ends = _summed(long_keys(b"".join(c["cold"])), c["cold_n"])
         ctx = np.repeat(inverse, runs)[cold_first]  # the context of a bigram, as the shard's number of its word
         stats = _stats(ctx, cold_total, len(first))
-        warm_first, warm_inverse, warm_total, warm_sizes = _summed(c["warm"], c["warm_n"])
+        warm_first, warm_inverse, warm_total, warm_ends = _summed(long_keys(b"".join(c["warm"])), c["warm_n"])
         warm_ctx = np.concatenate([unplanes(x) for x in c["warm_ctx"]])[warm_first]
         per_word = np.concatenate((total[None, :], stats))  # 5 x words
-        cold_ends, warm_ends = np.cumsum(cold_sizes), np.cumsum(warm_sizes)
         rows = []
         for i, block in enumerate(c["block"]):
-            mine = inverse[ends[i] - sizes[i] : ends[i]]
             rows.append((
-                0, block, c["shard"][0], np.ascontiguousarray(per_word[:, mine]).astype("<i8").tobytes(),
-                cold_total[cold_inverse[cold_ends[i] - cold_sizes[i] : cold_ends[i]]].astype("<i8").tobytes(),
-                warm_total[warm_inverse[warm_ends[i] - warm_sizes[i] : warm_ends[i]]].astype("<i8").tobytes(), None,
+                0, block, c["shard"][0], planes(per_word[:, inverse[ends[i] : ends[i + 1]]].ravel()),
+                planes(cold_total[cold_inverse[cold_ends[i] : cold_ends[i + 1]]]), planes(warm_total[warm_inverse[warm_ends[i] : warm_ends[i + 1]]]), None,
             ))
         if hot_count and len(warm_first):
             for k, nums in enumerate(_stats(warm_ctx, warm_total, hot_count).T.tolist()):
@@ -256,10 +267,10 @@ def score_blocks(blocks: DataFrame, answers: DataFrame, hot: np.ndarray, shards:
         for doc_ids, *raw in zip(*(left[k].to_pylist() for k in ("doc_ids", "lens", "ids", "vocab")), strict=True):
             q = Asked(doc_ids, *raw, hot, shards)
             per_word = np.zeros((5, q.size), dtype=np.int64)
-            per_word[:, q.word_order] = np.concatenate([np.frombuffer(w, dtype="<i8").reshape(5, -1) for _, w, _, _ in got], axis=1)
+            per_word[:, q.word_order] = np.concatenate([unplanes(w).reshape(5, -1) for _, w, _, _ in got], axis=1)
             count = np.zeros(len(q.keys), dtype=np.int64)
-            count[q.cold] = np.frombuffer(b"".join(c for _, _, c, _ in got), dtype="<i8")
-            count[q.warm] = np.frombuffer(b"".join(w for _, _, _, w in got), dtype="<i8")
+            count[q.cold] = np.concatenate([unplanes(c) for _, _, c, _ in got])
+            count[q.warm] = np.concatenate([unplanes(w) for _, _, _, w in got])
             stats = per_word[1:]
             spread = np.flatnonzero(q.hot_at >= 0)
             stats[:, spread] = hot_stats[:, q.hot_at[spread]]
