@@ -1,12 +1,15 @@
 """WARC archives: writing, and reading by verified record boundaries.
 
+Each record is a gzip member of its own whose extra field ``sl`` holds the member's size and the record's size, as the
+WARC standard's annex on compression describes; ``compress=False`` writes and reads plain records.
+
 Writing.  Of the records with one payload of at least ``revisit_bytes`` bytes, that with the
 smallest page id is a response and the others are revisits of it; smaller payloads
 are always responses.  Each task writes archives of about ``archive_bytes`` under a
 name of its own attempt; only the archives that the written manifest names are read.
 
-Reading.  Archives are split into byte ranges.  A task emits, for every ``WARC/1.1`` line in its
-range that a header with a length follows, the offset and the successor's offset.  For each archive,
+Reading.  Archives are split into byte ranges.  A task emits, for every record magic in its range (the gzip member's head, or
+``WARC/1.1`` in a plain archive) that a header with a length follows, the offset and the successor's offset.  For each archive,
 pointer jumping from offset 0 marks what is reachable, in rounds that double the jump; magic inside
 payloads isn't reachable.  The records left are read by offset, range by range.
 
@@ -19,7 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -74,7 +79,28 @@ def record_bytes(page_id, url, html: str, digest: str, kind: str, refers_to) ->
     return MAGIC + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> DataFrame:
+#: gzip: deflate, with an extra field; then time, flags, system, and the field's length, name and size.
+GZIP = b"\x1f\x8b\x08\x04"
+_MEMBER = struct.Struct("<4sIBBH2sHII")
+
+
+def member_of(record: bytes) -> bytes:
+    """The record as a gzip member that states both sizes."""
+    squeezer = zlib.compressobj(1, zlib.DEFLATED, -15)
+    body = squeezer.compress(record) + squeezer.flush()
+    size = _MEMBER.size + len(body) + 8
+    return _MEMBER.pack(GZIP, 0, 4, 255, 12, b"sl", 8, size, len(record)) + body + struct.pack("<II", zlib.crc32(record), len(record))
+
+
+def open_member(data: bytes) -> bytes:
+    """The record of a member, whole or not at all."""
+    record = zlib.decompress(data, 31)
+    if len(record) != _MEMBER.unpack_from(data)[-1]:
+        raise ValueError("the member doesn't have its stated size")
+    return record
+
+
+def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 20, compress: bool = True) -> DataFrame:
     """Writes the archives; the manifest (archive, bytes, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,9 +110,9 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    name = f"part-{task:05d}-{len(done):04d}-{uuid.uuid4().hex}.warc"
-                    out, size, n = fs.open_output_stream(f"{root}/{name}"), 0, 0
-                data = record_bytes(*row)
+                    name = f"part-{task:05d}-{len(done):04d}-{uuid.uuid4().hex}.warc{'.gz' if compress else ''}"
+                    out, size, n = fs.open_output_stream(f"{root}/{name}", compression=None), 0, 0
+                data = member_of(record_bytes(*row)) if compress else record_bytes(*row)
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= archive_bytes:
@@ -105,6 +131,17 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = 32 << 2
 _LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*\r?$", re.I | re.M)
 
 
+def member_candidates(data: bytes, base: int, upto: int) -> list[tuple[int, int]]:
+    """(offset, successor) of each gzip magic in ``data`` before ``upto`` whose extra field states a size; data starts at ``base``."""
+    out, at = [], data.find(GZIP)
+    while 0 <= at < upto and at + _MEMBER.size <= len(data):
+        _, _, _, _, extra, name, length, size, _ = _MEMBER.unpack_from(data, at)
+        if (extra, name, length) == (12, b"sl", 8) and size > _MEMBER.size:
+            out.append((base + at, base + at + size))
+        at = data.find(GZIP, at + 1)
+    return out
+
+
 def candidates(data: bytes, base: int, upto: int) -> list[tuple[int, int]]:
     """(offset, successor) of each magic line in ``data`` before ``upto``, where a header follows; data starts at ``base``."""
     out, at = [], data.find(MAGIC)
@@ -154,7 +191,9 @@ def boundaries(manifest: DataFrame, folder: str, range_bytes: int = 8 << 20) ->
                 with fs.open_input_file(f"{root}/{name}") as f:
                     f.seek(low)
                     data = f.read(range_bytes + HEADER_BYTES)
-                found = candidates(data, low, range_bytes)
+                if low == 0 and not data.startswith((GZIP, MAGIC)):
+                    raise ValueError(f"{name} doesn't begin with a record")
+                found = (member_candidates if name.endswith(".gz") else candidates)(data, low, range_bytes)
                 cols = list(zip(*found, strict=True)) or [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array([size] * len(found), pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64())], names=["archive", "bytes", "at", "next"])
 
@@ -185,7 +224,8 @@ def read_records(found: DataFrame, folder: str, range_bytes: int = 8 << 20) -> D
                         f.close()
                     name, f = archive, fs.open_input_file(f"{root}/{archive}")
                 f.seek(at)
-                rows.append(parse_record(f.read(nxt - at)))
+                data = f.read(nxt - at)
+                rows.append(parse_record(open_member(data) if archive.endswith(".gz") else data))
                 held += nxt - at
                 if held > 4 << 20:
                     yield _records(rows)
@@ -218,9 +258,9 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in RECORD.split(", ")])
 
 
-def round_trip(pages: DataFrame, revisit_bytes: int = 100, archive_bytes: int = 32 << 20, range_bytes: int = 8 << 20) -> DataFrame:
+def round_trip(pages: DataFrame, revisit_bytes: int = 100, archive_bytes: int = 32 << 20, range_bytes: int = 8 << 20, compress: bool = True) -> DataFrame:
     """Writes ``pages`` as archives in the shared folder and reads their records back."""
     home = shared_dir(pages.sparkSession)
     folder = f"{home}/archives"
-    manifest = materialize(write_archives(plan_records(pages, revisit_bytes), folder, archive_bytes), f"{home}/manifest")
+    manifest = materialize(write_archives(plan_records(pages, revisit_bytes), folder, archive_bytes, compress), f"{home}/manifest")
     return read_records(boundaries(manifest, folder, range_bytes), folder, range_bytes)

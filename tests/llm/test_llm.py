@@ -230,12 +230,26 @@ def test_warc(spark):
         r = len(raw) >= 100 and p is not None and first[raw] != p
         want.append((p, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if r else "response", first[raw] if r else None))
     key = lambda x: tuple(str(v) for v in x)
-    for archive, span in ((1 << 25, 1 << 23), (900, 64), (1 << 20, 100)):
-        got = [(r.page_id, r.payload_bytes, r.digest, r.record_type, r.refers_to) for r in warc.round_trip(pages, archive_bytes=archive, range_bytes=span).collect()]
+    for archive, span, compress in ((1 << 25, 1 << 23, True), (900, 64, False), (900, 64, True), (1 << 20, 100, False)):
+        got = [(r.page_id, r.payload_bytes, r.digest, r.record_type, r.refers_to) for r in warc.round_trip(pages, 100, archive, span, compress).collect()]
         assert sorted(got, key=key) == sorted(want, key=key)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_member_inside_a_payload():
+    inner = warc.member_of(b"WARC/1.1 forged")
+    data = warc.member_of(b"first") + warc.member_of(inner * 3 + bytes(range(256)) * 40) + warc.member_of(b"last")
+    stored = bytearray(warc.member_of(b"x" * 50))
+    trap = bytes(stored[: warc._MEMBER.size]) + inner + b"tail"  # a payload that keeps the forged member as it is
+    size = len(trap)
+    trap = warc._MEMBER.pack(warc.GZIP, 0, 4, 255, 12, b"sl", 8, size, 50) + trap[warc._MEMBER.size :]
+    data = warc.member_of(b"first") + trap + warc.member_of(b"last")
+    found = warc.member_candidates(data, 0, len(data))
+    keep = warc.reachable(np.array([a for a, _ in found]), np.array([b for _, b in found]), len(data))
+    assert len(found) == 4 and keep.tolist() == [True, True, False, True]
+    assert warc.open_member(warc.member_of(b"first")) == b"first"
+
+
 def test_boundary_chain():
     off, nxt = np.array([0, 10, 15, 40, 70]), np.array([40, 20, 40, 70, 100])
     assert warc.reachable(off, nxt, 100).tolist() == [True, False, False, True, True]
