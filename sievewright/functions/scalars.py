@@ -12,22 +12,26 @@ def doubles(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values]) if values else F.array().cast("array<double>")
 
 
+def _passed(tests: Sequence[Column]) -> Column:
+    """How many of the comparisons hold.  Plain sums stay in generated code; array lambdas wouldn't."""
+    parts = [t.cast("int") for t in tests]
+    return sum(parts[1:], parts[0]) if parts else F.lit(0)
+
+
 def bucket_numeric(x: Column, edges: Sequence[float]) -> Column:
     """Number of interior edges at or below x; 0 with two edges or fewer.  Values outside fall in the end buckets."""
-    if len(edges) <= 2:
-        return F.when(x.isNotNull(), F.lit(0))
-    return F.when(x.isNotNull(), F.size(F.filter(doubles(edges[1:-1]), lambda e: e <= x)))
+    return F.when(x.isNotNull(), _passed([x >= F.lit(float(e)) for e in edges[1:-1]]))
 
 
 def bucket_right_closed(x: Column, edges: Sequence[float]) -> Column:
     """As quantile cuts number their intervals: the first interior edge at or above x."""
-    return F.when(x.isNotNull(), F.size(F.filter(doubles(edges[1:-1]), lambda e: e < x)))
+    return F.when(x.isNotNull(), _passed([x > F.lit(float(e)) for e in edges[1:-1]]))
 
 
 def nearest_legal(x: Column, legal: Sequence[float]) -> Column:
-    """Position of the nearest legal value, the lowest one on ties."""
-    options = F.array(*[F.struct(F.abs(x - F.lit(float(v))).alias("d"), F.lit(i).alias("i")) for i, v in enumerate(legal)])
-    return F.when(x.isNotNull(), F.array_min(options)["i"])
+    """Position of the nearest of the sorted legal values, the lowest one on ties and for NaN."""
+    middles = [(a + b) / 2 for a, b in zip(legal, legal[1:], strict=False)]
+    return F.when(x.isNotNull(), F.when(F.isnan(x), F.lit(0)).otherwise(_passed([x > F.lit(float(m)) for m in middles])))
 
 
 def bucket_category(x: Column, values: Sequence[str]) -> Column:
@@ -42,7 +46,7 @@ def pair_code(left: Column, right: Column, right_bins: int) -> Column:
 
 def lookup(code: Column, values: Sequence[float], missing: float) -> Column:
     """values[code], or ``missing`` for unknown codes."""
-    return F.when((code < 0) | (code >= len(values)) | code.isNull(), F.lit(float(missing))).otherwise(F.element_at(doubles(values), code.cast("int") + 1))
+    return F.coalesce(F.get(doubles(values), code.cast("int")), F.lit(float(missing)))
 
 
 def geometric_mean(parts: Sequence[Column]) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievewright.functions import scalars as S
 from sievewright.operators.cards import Cards
 
 #: Texts that count as missing, lower case.
@@ -24,8 +25,7 @@ def _discrete(c: str, cards: Cards) -> tuple[Column, Column, Column]:
     """Snaps to the nearest legal value, the lowest on ties; NaN snaps to the first."""
     legal = cards.legal[c]
     x = F.trim(F.col(c).cast("string")).try_cast("double")
-    options = F.array(*[F.struct(F.abs(x - F.lit(v)).alias("d"), F.lit(i).alias("i"), F.lit(v).alias("v")) for i, v in enumerate(legal)])
-    value = F.when(F.isnan(x), F.lit(legal[0])).otherwise(F.array_min(options)["v"])
+    value = F.get(S.doubles(legal), S.nearest_legal(x, legal))
     return value, F.when(x.isNull(), F.lit(f"invalid_discrete:{c}")), F.when(F.isnan(x) | (value != x), F.lit(f"discrete_snap:{c}"))
 
 

@@ -164,7 +164,7 @@ def minmax_and_robust_scale(spark, sf_dir):
 _LIMITS = """lim as (select min(qty) as q0, max(qty) as q1, min(price) as p0, max(price) as p1 from train),
     top as (select (select flag from train group by 1 order by count(*) desc, flag limit 1) as tf, (select status from train group by 1 order by count(*) desc, status limit 1) as ts)"""
 _VALID = f"""with {SQL}, {DIRTY_SQL}, {_LIMITS}, t as (select *, try_cast(trim(qty) as double) as x, try_cast(trim(price) as double) as y, try_cast(trim(line) as double) as z, trim(flag) as f, trim(status) as s from dirty, lim, top),
-    n as (select *, (select min_by(v, struct_pack(d := abs(v - z), i := v)) from (select distinct line::double as v from train)) as snapped from t),
+    n as (select *, case when z is not null then (select min_by(v, struct_pack(d := abs(v - z), i := v)) from (select distinct line::double as v from train)) end as snapped from t),
     v as (select candidate_id, least(greatest(x, q0), q1) as qty, least(greatest(y, p0), p1) as price, snapped as line,
         case when f is null or lower(f) in ('', 'na', 'nan', 'none', 'null') then tf when f in (select flag from train) then f when upper(f) in (select flag from train) then upper(f) end as flag,
         case when s is null or lower(s) in ('', 'na', 'nan', 'none', 'null') then ts when s in (select status from train) then s when upper(s) in (select status from train) then upper(s) end as status,

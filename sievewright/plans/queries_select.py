@@ -1 +1,336 @@
-"""Queries over selection, repair and mixing."""
+"""Queries over scores, selection, fronts, repair, mixing, the archive and the search."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sievewright.functions import scalars as S
+from sievewright.operators import distance as J
+from sievewright.operators import fidelity as D
+from sievewright.operators import mix as X
+from sievewright.operators import pareto as P
+from sievewright.operators import repair as RP
+from sievewright.operators import scores as U
+from sievewright.operators import select as K
+from sievewright.operators import validate as V
+from sievewright.plans.queries_profile import _FIT, _POOL, COLUMNS, CUSTOMER, CUSTOMER_SQL, _lookup_sql, customer_role, reference, rounded
+from sievewright.plans.roles import SQL, lineitem, split, table
+from sievewright.plans.search import final_choice, guidance
+from sievewright.registry import query
+from sievewright.streaming.archive import Archive, run_chunks
+
+#: Three objectives of the candidates in whole hundredths, so that ties and sums are exact in any engine.
+OBJECTIVES = ("o1", "o2", "o3")
+OBJ_SQL = """obj as (select row_id, line, status, (round(qty * 2) / 100)::double as o1, (round(price / 1100) / 100)::double as o2, ((row_id % 101) / 100.0)::double as o3 from pool)"""
+
+
+def objectives(spark, sf_dir):
+    return split(spark, sf_dir, "pool").select(
+        "row_id", "line", "status", (F.round(F.col("qty") * 2) / 100).alias("o1"), (F.round(F.col("price") / 1100) / 100).alias("o2"), (F.pmod("row_id", F.lit(101)) / 100.0).cast("double").alias("o3")
+    )
+
+
+# Scores
+
+
+@query(f"""with {SQL}, r as (select *, rank() over (partition by flag, status order by price) + (count(*) over (partition by flag, status, price) - 1) / 2 as k, count(*) over (partition by flag, status) as n from pool)
+    select row_id, round(case when n = 1 then 1 else (k - 1) / greatest(n - 1, 1) end, 9) as price_rank from r""")
+def grouped_rank(spark, sf_dir):
+    out = U.grouped_rank(split(spark, sf_dir, "pool"), "price", ["flag", "status"], "price_rank")
+    return out.select("row_id", F.round("price_rank", 9).alias("price_rank"))
+
+
+def _ranked(name: str) -> str:
+    return f"(row_number() over (order by {name}, row_id) - 1) / (count(*) over () - 1)"
+
+
+_GEO = "round(exp((" + " + ".join(f"ln(least(greatest(coalesce(m_{c}.p, 1e-12), 1e-12), 1))" for c in COLUMNS) + ") / 5), 6)"
+_BAL = "round((" + " + ".join(f"coalesce(least(m_{c}.p / q_{c}.p, 1), 0)" for c in COLUMNS) + ") / 5, 6)"
+
+
+@query(f"""with {_FIT}, {_POOL}, s as ({_lookup_sql(f"{_GEO} as support, {_BAL} as balance")})
+    select row_id, support, balance, round(0.5 * {_ranked("balance")} + 0.5 * {_ranked("support")}, 9) as mixed from s""")
+def surrogate_one_dimensional(spark, sf_dir):
+    _, cards, ref = reference(spark, sf_dir)
+    codes = D.encode(split(spark, sf_dir, "pool"), cards, keep=("row_id",))
+    own = codes.select("row_id", F.round(D.prob_geomean(codes, ref), 6).alias("support"), F.round(D.pool_balance(codes, ref)[0], 6).alias("balance"))
+    for c in ("balance", "support"):
+        own = U.rank_scale(own, c, "row_id", f"{c}_rank")
+    return own.select("row_id", "support", "balance", F.round(0.5 * F.col("balance_rank") + 0.5 * F.col("support_rank"), 9).alias("mixed"))
+
+
+@query()
+def surrogates(spark, sf_dir):
+    _, cards, ref = reference(spark, sf_dir)
+    codes = D.encode(split(spark, sf_dir, "pool"), cards, keep=("row_id",))
+    return U.surrogates(codes, ref, "row_id")
+
+
+@query()
+def exact_scores(spark, sf_dir):
+    _, cards, ref = reference(spark, sf_dir)
+    pool = split(spark, sf_dir, "pool")
+    return U.exact_scores(pool.orderBy("row_id").limit(200), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
+
+
+@query(f"""with {SQL} select row_id, 's' || (line % 3) as source_id, round(greatest(0, least(1, (row_id % 100) / 100 * case line % 3 when 0 then 1.0 when 1 then 0.5 else 0.25 end)), 9) as u, (row_id % 100) / 100 as u_before, line % 3 < 2 as prior_matched from pool""")
+def source_prior(spark, sf_dir):
+    own = split(spark, sf_dir, "pool").select("row_id", F.concat(F.lit("s"), F.col("line") % 3).alias("source_id"), (F.pmod("row_id", F.lit(100)) / 100).alias("u"))
+    return rounded(U.apply_source_prior(own, S.parse_prior("s0:1.0,s1:0.5"), 0.25, ["u"]), "u", digits=9)
+
+
+@query("""select user_id, round(avg(value) - 0.5 * stddev_pop(value), 6) as value from events where value is not null group by 1""")
+def robust_block_mean(spark, sf_dir):
+    return rounded(U.robust_block_mean(table(spark, sf_dir, "events").where("value is not null"), "user_id", "value"), "value")
+
+
+@query(f"""with {SQL}, a as (select row_id, qty / 100 as v from pool where row_id % 3 = 0), b as (select row_id, price / 200000 as v from pool where row_id % 2 = 0)
+    select p.row_id, round(coalesce(a.v, b.v, 0.5), 9) as v from pool p left join a on a.row_id = p.row_id left join b on b.row_id = p.row_id""")
+def fallback_scores(spark, sf_dir):
+    pool = split(spark, sf_dir, "pool")
+    a = pool.where("row_id % 3 = 0").select("row_id", (F.col("qty") / 100).alias("v"))
+    b = pool.where("row_id % 2 = 0").select("row_id", (F.col("price") / 200000).alias("v"))
+    return rounded(U.fallback(pool.select("row_id"), "row_id", [a, b], "v", 0.5), "v", digits=9)
+
+
+# Selection
+
+
+@query(f"with {SQL} select row_id from pool order by (row_id::hugeint * 7919 + 42) % 104729, row_id limit 500")
+def keep_random(spark, sf_dir):
+    pool = split(spark, sf_dir, "pool").select("row_id")
+    key = F.expr("cast((cast(row_id as decimal(38,0)) * 7919 + 42) % 104729 as long)")
+    return K.keep_random(pool, "row_id", 500, 42, key)
+
+
+@query(f"with {SQL} select row_id from pool order by row_id limit 500")
+def keep_first(spark, sf_dir):
+    return K.keep_first(split(spark, sf_dir, "pool").select("row_id"), "row_id", 500)
+
+
+@query(f"with {SQL}, {OBJ_SQL} select row_id, round(0.5 * o1 + 0.3 * o2 + 0.2 * o3, 9) as score from obj order by round(0.5 * o1 + 0.3 * o2 + 0.2 * o3, 9) desc, row_id limit 500")
+def keep_scalar(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    score = F.round(K.scalar_score(OBJECTIVES, (0.5, 0.3, 0.2)), 9)
+    return own.select("row_id", score.alias("score")).orderBy(F.desc("score"), "row_id").limit(500)
+
+
+@query()
+def keep_chebyshev(spark, sf_dir):
+    return K.keep_chebyshev(objectives(spark, sf_dir), "row_id", OBJECTIVES, (1.0, 1.0, 1.0), 500, "o3").select("row_id", "gap", "score")
+
+
+_FAMILY = " union all ".join(f"select '{K.direction_name(w)}' as direction, row_id, {' + '.join(f'{(x / 100 or 1e-6)} / {sum(v / 100 or 1e-6 for v in w)} * {c}' for x, c in zip(w, ('o1', 'o2', 'o3', 'o4'), strict=True))} as s from o" for w in K.DIRECTIONS)
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, o as (select *, (line % 7) / 10 as o4 from obj), f as ({_FAMILY}), k as (select direction, row_id, round(s, 9) as score from f),
+    r as (select *, row_number() over (partition by direction order by score desc, row_id)::int as place from k) select * from r where place <= 50""")
+def direction_family(spark, sf_dir):
+    own = objectives(spark, sf_dir).withColumn("o4", (F.col("line") % 7) / 10)
+    per = F.array(*[F.struct(F.lit(K.direction_name(w)).alias("direction"), F.round(K.scalar_score((*OBJECTIVES, "o4"), [x / 100 for x in w]), 9).alias("score")) for w in K.DIRECTIONS])
+    rows = own.select("row_id", F.explode(per).alias("d")).select("row_id", "d.direction", "d.score")
+    w = F.row_number().over(K.W.partitionBy("direction").orderBy(F.desc("score"), "row_id"))
+    return rows.withColumn("place", w).where("place <= 50")
+
+
+@query(f"with {SQL}, {OBJ_SQL}, p as (select distinct o1, o2 from obj) select row_id, o1, o2 from obj o where not exists (select 1 from p where p.o1 >= o.o1 and p.o2 >= o.o2 and (p.o1 > o.o1 or p.o2 > o.o2))")
+def front_zero_two_objectives(spark, sf_dir):
+    return P.front_zero_2d(objectives(spark, sf_dir), "o1", "o2").select("row_id", "o1", "o2")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, p as (select distinct o1, o2, o3 from obj), f as (select * from p a where not exists (select 1 from p b where b.o1 >= a.o1 and b.o2 >= a.o2 and b.o3 >= a.o3 and (b.o1 > a.o1 or b.o2 > a.o2 or b.o3 > a.o3)))
+    select row_id, obj.o1, obj.o2, obj.o3 from obj join f on f.o1 = obj.o1 and f.o2 = obj.o2 and f.o3 = obj.o3""")
+def front_zero_three_objectives(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    top = P.front_zero(own.select(*OBJECTIVES).distinct(), OBJECTIVES)
+    return own.join(top, list(OBJECTIVES)).select("row_id", *OBJECTIVES)
+
+
+@query()
+def pareto_fronts(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    return P.fronts(own, "row_id", ("o1", "o2"), 300).where("front is not null")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, a as (select *, lag(o1) over w1 as b1, lead(o1) over w1 as a1, min(o1) over (partition by line) as l1, max(o1) over (partition by line) as h1, lag(o2) over w2 as b2, lead(o2) over w2 as a2, min(o2) over (partition by line) as l2, max(o2) over (partition by line) as h2
+    from obj window w1 as (partition by line order by o1, row_id), w2 as (partition by line order by o2, row_id))
+    select row_id, case when b1 is null or a1 is null or b2 is null or a2 is null then -1 else round(case when h1 - l1 <= 1e-12 then 0 else (a1 - b1) / (h1 - l1) end + case when h2 - l2 <= 1e-12 then 0 else (a2 - b2) / (h2 - l2) end, 9) end as crowding from a""")
+def crowding_distance(spark, sf_dir):
+    out = P.crowding(objectives(spark, sf_dir), "row_id", ("o1", "o2"), "line")
+    return out.select("row_id", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 9)).alias("crowding"))
+
+
+@query()
+def nsga_selection(spark, sf_dir):
+    return P.nsga_select(objectives(spark, sf_dir), "row_id", ("o1", "o2"), 200).select("row_id", "front", "crowding")
+
+
+@query()
+def stratified_reduction(spark, sf_dir):
+    return P.stratified_reduce(objectives(spark, sf_dir), "line", [F.desc("o1"), F.asc("row_id")], 300).select("row_id", "line", "o1")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, p as (select distinct o1, o2 from obj where o1 > 0 and o2 > 0), f as (select * from p a where not exists (select 1 from p b where b.o1 >= a.o1 and b.o2 >= a.o2 and (b.o1 > a.o1 or b.o2 > a.o2)))
+    select round(coalesce(sum((o1 - n) * o2), 0), 9) as hypervolume from (select o1, o2, coalesce(lead(o1) over (order by o1 desc), 0) as n from f)""")
+def hypervolume(spark, sf_dir):
+    return rounded(P.hypervolume_2d(objectives(spark, sf_dir), "o1", "o2"), "hypervolume", digits=9)
+
+
+@query()
+def quota_selection(spark, sf_dir):
+    _, cards, ref = reference(spark, sf_dir)
+    codes = D.encode(split(spark, sf_dir, "pool"), cards, keep=("row_id",))
+    return K.quota_fill(codes, ref, "row_id", 500, K.quota_targets(codes, ref, 500))
+
+
+@query()
+def refined_selection(spark, sf_dir):
+    _, cards, ref = reference(spark, sf_dir)
+    codes = D.encode(split(spark, sf_dir, "pool"), cards, keep=("row_id",))
+    return K.refine_to_targets(codes.orderBy("row_id").limit(500), codes, ref, "row_id", K.quota_targets(codes, ref, 500))
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 2000), a as (select *, row_number() over (partition by line, status order by o1, row_id) as rn from s),
+    b as (select *, row_number() over (partition by line, status order by o1 desc, row_id) as rn from obj where row_id not in (select row_id from s))
+    select a.line, a.status, a.row_id as remove_id, b.row_id as add_id, round(b.o1 - a.o1, 9) as gain from a join b on a.line = b.line and a.status = b.status and a.rn = b.rn where b.o1 > a.o1 order by round(b.o1 - a.o1, 9) desc, a.row_id limit 300""")
+def signature_swaps(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    out = K.signature_swaps(own.orderBy("row_id").limit(2000), own, ["line", "status"], "row_id", "o1", 1 << 30)
+    return rounded(out, "gain", digits=9).orderBy(F.desc("gain"), "remove_id").limit(300)
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select row_id, o1 - 0.5 as gap, o2 from obj order by row_id limit 1000), c as (select count(*) as n, count(*) filter (gap >= 0) as closer from s),
+    k as (select n, closer, round_even(n * 0.5, 0)::bigint as want from c), free as (select row_id, o1 - 0.5 as gap, o2 from obj where row_id not in (select row_id from s)),
+    m as (select closer > want as side, least(abs(closer - want), floor(n * 0.5)::bigint, (select count(*) from free, k where (free.gap >= 0) <> (closer > want))) as moves from k),
+    o as (select s.row_id, row_number() over (order by o2, abs(gap) desc, s.row_id) as rn from s, m where (gap >= 0) = side), a as (select free.row_id, row_number() over (order by o2 desc, abs(gap), free.row_id) as rn from free, m where (gap >= 0) <> side)
+    select row_id from s where row_id not in (select row_id from o, m where rn <= moves) union all select row_id from a, m where rn <= moves""")
+def dcr_rebalance(spark, sf_dir):
+    own = objectives(spark, sf_dir).select("row_id", (F.col("o1") - 0.5).alias("gap"), "o2")
+    return K.dcr_rebalance(own, own.orderBy("row_id").limit(1000), "row_id", "gap", "o2")[0].select("row_id")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 1000), a as (select o1, row_number() over (order by o1, row_id) as rn from s), b as (select o1, row_number() over (order by o1 desc, row_id) as rn from obj where row_id not in (select row_id from s)),
+    g as (select a.rn, sum(b.o1 - a.o1) over (order by a.rn) + (select sum(o1) from s) as total from a join b on a.rn = b.rn where a.rn <= 250) select rn::int as size, round(total, 6) as total from g where rn in (10, 50, 100, 250)""")
+def swap_sizes(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    return rounded(K.swap_sizes(own.orderBy("row_id").limit(1000), own, "row_id", "o1", (10, 50, 100, 250)), "total")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, g as (select * from obj where o1 - 0.9 >= 0) select row_id, o1 from g where (select count(*) from g) >= 400
+    union all (select row_id, o1 from obj where (select count(*) from g) < 400 order by o1 desc, row_id limit 528)""")
+def guard_band(spark, sf_dir):
+    own = objectives(spark, sf_dir).withColumn("m", F.col("o1") - 0.9)
+    return K.guard_band(own, "row_id", "m", 400).select("row_id", "o1")
+
+
+@query()
+def floor_repair(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    return K.floor_repair(own.orderBy("row_id").limit(500), own, "row_id", "o1", 0.6, "o2").select("row_id", "o1")
+
+
+@query()
+def constrained_selection(spark, sf_dir):
+    return K.constrained_subset(objectives(spark, sf_dir), "row_id", OBJECTIVES, {"o1": 0.6, "o2": 0.5}, 300).select("row_id", *OBJECTIVES)
+
+
+# Repair
+
+
+@query(f"""with {CUSTOMER_SQL}, e as (select a.c_custkey as remove, b.c_custkey as add, abs(a.c_acctbal - b.c_acctbal) as d from cp a join cp b on a.c_custkey % 10 = 8 and b.c_custkey % 10 = 9 and a.c_mktsegment = b.c_mktsegment)
+    select remove, min_by(add, struct_pack(s := round(d, 2), a := add)) as add, round(min(d), 2) as score from e group by 1""")
+def reusable_matches(spark, sf_dir):
+    own = customer_role(spark, sf_dir, 8, 9)
+    a = own.where("c_custkey % 10 = 8").select(F.col("c_custkey").alias("remove"), F.col("c_acctbal").alias("x"), "c_mktsegment")
+    b = own.where("c_custkey % 10 = 9").select(F.col("c_custkey").alias("add"), F.col("c_acctbal").alias("y"), "c_mktsegment")
+    edges = a.join(b, "c_mktsegment").select("remove", "add", F.round(F.abs(F.col("x") - F.col("y")), 2).alias("score"), F.lit(0.0).alias("distance"))
+    return RP.greedy_match(edges, reuse=True).select("remove", "add", "score")
+
+
+def repaired(spark, sf_dir, version: str):
+    train, test = customer_role(spark, sf_dir, 0, 1, 2, 3, 4, 5), customer_role(spark, sf_dir, 6)
+    metric = J.fit_metric(train, CUSTOMER, norm=1)
+    pool = customer_role(spark, sf_dir, 7, 8, 9)
+    signal = J.dcr_signal(pool, "c_custkey", train, test, metric, "c_custkey", "c_custkey")
+    own = pool.join(signal, "c_custkey").withColumn("utility", F.pmod("c_custkey", F.lit(97)) / 97)
+    selected = own.orderBy(F.col("is_real_closer").desc(), "c_custkey").limit(60)
+    return RP.repair(own, selected.select("c_custkey"), "c_custkey", metric, RP.PLANS[version], "c_mktsegment")[0].select("c_custkey", "is_real_closer", "utility")
+
+
+def _register_repairs():
+    for version in RP.PLANS:
+        def run(spark, sf_dir, version=version):
+            return repaired(spark, sf_dir, version)
+
+        run.__name__ = f"dcr_repair_{version}"
+        query()(run)
+
+
+_register_repairs()
+
+
+# Mixing and sets
+
+
+@query(f"""with {SQL}, d as (select s as source_id, row_id, row_number() over (partition by s order by row_id) as rn from (select *, 's' || (line % 2) as s from pool)), u as (select 's0' as source_id, 300 as rows, 0 as draw_index, 0 as start union all select 's1', 600, 1, 300)
+    select d.source_id, row_id as source_row_id, draw_index, rn - 1 as draw_local_index, rn - 1 + start as pool_row_id from d join u on d.source_id = u.source_id where rn <= rows""")
+def mixed_pool(spark, sf_dir):
+    pool, out, start = split(spark, sf_dir, "pool").select("row_id", "line"), None, 0
+    for i, (name, rows) in enumerate((("s0", 300), ("s1", 600))):
+        part = X.draw(pool.where(F.col("line") % 2 == i), name, "row_id", rows, 42, i, F.col("row_id")).withColumn("pool_row_id", F.col("draw_local_index") + start)
+        out = part if out is None else out.unionByName(part)
+        start += rows
+    return out.select("source_id", "source_row_id", "draw_index", "draw_local_index", "pool_row_id")
+
+
+@query()
+def mixed_pool_with_replacement(spark, sf_dir):
+    pool = split(spark, sf_dir, "pool").select("row_id", "line").orderBy("row_id").limit(300)
+    return X.build_pool({"a": pool.where("line <= 3"), "b": pool.where("line > 3")}, [("a", 1), ("b", 2)], 200, "row_id").drop("line")
+
+
+@query(f"with {SQL}, s as (select row_id from pool where line = 1) select row_id from pool where row_id not in (select row_id from s)")
+def except_selected(spark, sf_dir):
+    pool = split(spark, sf_dir, "pool").select("row_id", "line")
+    return X.except_ids(pool, pool.where("line = 1"), "row_id").select("row_id")
+
+
+@query(f"with {SQL}, s as (select row_id from pool where line = 1) select row_id, 0 as part from s union all select row_id, 1 from pool where row_id not in (select row_id from s)")
+def selected_then_pool(spark, sf_dir):
+    pool = split(spark, sf_dir, "pool").select("row_id", "line")
+    return X.selected_then_pool(pool.where("line = 1").select("row_id"), pool.select("row_id"), "row_id")
+
+
+@query(f"with {SQL} select distinct qty from train where line = 1 intersect select qty from pool where line = 7")
+def common_values(spark, sf_dir):
+    return X.common_values(split(spark, sf_dir, "train").where("line = 1"), split(spark, sf_dir, "pool").where("line = 7"), "qty")
+
+
+@query(f"with {SQL} select flag, status, min(row_id) as row_id from base group by all")
+def first_by_key(spark, sf_dir):
+    return V.first_by_key(lineitem(spark, sf_dir).select("flag", "status", "row_id"), ["flag", "status"], ["row_id"])
+
+
+# The archive and the search
+
+
+@query()
+def chunked_archive(spark, sf_dir):
+    own = table(spark, sf_dir, "events").where("value is not null").select("event_id", (F.round("value") / 100).alias("o1"), (F.pmod("user_id", F.lit(100)) / 100).alias("o2"))
+    archive = Archive(spark, "event_id", ("o1", "o2"), 100, own.count())
+    return run_chunks(own, archive, 4096, [F.col("event_id")]).rows()
+
+
+@query("""with a as (select case o_orderkey % 3 when 0 then 'final' when 1 then 'best_rollout' else 'best_artifact' end as kind, round(o_totalprice, 0) as reward, o_orderkey as id from orders)
+    select kind, reward, id from a order by reward desc, case kind when 'final' then 3 when 'best_rollout' then 2 else 1 end desc, id desc limit 1""")
+def theta_guidance(spark, sf_dir):
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "final").when(F.col("o_orderkey") % 3 == 1, "best_rollout").otherwise("best_artifact")
+    return guidance(table(spark, sf_dir, "orders").select(kind.alias("kind"), F.round("o_totalprice").alias("reward"), F.col("o_orderkey").alias("id")))
+
+
+@query("""with a as (select o_orderkey as id, o_orderkey % 50 = 0 as g, case when o_orderkey % 3 = 0 then o_totalprice end as e, case when o_orderkey % 2 = 0 then o_totalprice / 2 end as s, o_custkey::double as u from orders),
+    t as (select *, case when g then 3 when e is not null then 2 when s is not null then 1 else 0 end as tier from a) select id, tier from t order by tier desc, coalesce(e, s, 0) desc, u desc, id desc limit 1""")
+def final_choice_of_nodes(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return final_choice(o.select(k.alias("id"), (k % 50 == 0).alias("guard_pass"), F.when(k % 3 == 0, F.col("o_totalprice")).alias("exact"), F.when(k % 2 == 0, F.col("o_totalprice") / 2).alias("search"), F.col("o_custkey").cast("double").alias("utility")))
