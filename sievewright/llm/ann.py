@@ -2,11 +2,11 @@
 
 Equal vectors of one label form a class.  Coarse centroids and codebooks of the residuals' subspaces are
 fitted on at most ``FIT_ROWS`` classes; every class is then coded and put in the inverted list of its nearest centroid, within its
-label.  Each class searches its ``probes`` nearest lists: a table of its distances to the codewords gives approximate similarities
+label.  Each class searches its ``probes`` nearest lists, a number that doesn't grow with the input: a table of its distances to the codewords gives approximate similarities
 by look-up alone, and candidates above the limit less ``margin`` are ranked again by exact cosine in double precision.
 
 A pair that either side can find is counted once, for both ends: by the class with the smaller number, or by the other one if
-only that probes the right list.  A list over ``list_rows`` is searched in parts.  What leaves a task is
+only that probes the right list.  Lists are searched in groups of about ``list_rows`` vectors, and larger ones in parts.  What leaves a task is
 counts of links and a forest with the links' components, never the pairs.
 
 Cases.  Null label, null vec_id, null or empty vector, a zero vector, null, NaN or infinite components: links with nothing,
@@ -19,6 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.llm._util import local_components, materialize, shared_dir
@@ -95,52 +96,65 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
+def deal(index: DataFrame, list_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(asks, data): queries and coded vectors by (label, grp, part).
+
+    Consecutive lists of a label share a group of about ``list_rows`` vectors, so a query goes to a group once, whatever
+    the number of its lists there; a group over the limit is dealt into parts, and a query goes to each.
+    """
+    upto = W.partitionBy("label").orderBy("list").rowsBetween(W.unboundedPreceding, -1)
+    sizes = index.groupBy("label", "list").agg(F.count("*").alias("n"))
+    grouped = sizes.withColumn("grp", (F.coalesce(F.sum("n").over(upto), F.lit(0)) / list_rows).cast("int"))
+    grouped = grouped.withColumn("parts", F.ceil(F.sum("n").over(W.partitionBy("label", "grp")) / list_rows).cast("int"))
+    # One row a label: its lists' groups, at most MOST_LISTS entries.
+    plan = grouped.groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("list", F.struct("grp", "parts")))).alias("groups"))
+    placed = index.join(plan, "label").withColumn("own", F.col("groups")[F.col("list")])
+    data = placed.select("label", "own.grp", F.pmod(F.xxhash64("id"), F.col("own.parts")).cast("int").alias("part"), "id", "n", "embedding", "list", "codes", "probes")
+    to = F.array_distinct(F.array_compact(F.transform("probes", lambda x: F.try_element_at(F.col("groups"), x))))
+    asks = placed.withColumn("to", F.explode(to)).select("label", "to.grp", F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1)).alias("part"), "id", "n", "embedding", "probes")
+    # Fresh column identities: both sides stem from one index.
+    return tuple(x.select([F.col(c).alias(c) for c in x.columns]) for x in (asks, data))
+
+
 def search(index: DataFrame, model: Quantizer, dim: int, limit: float, margin: float, list_rows: int) -> DataFrame:
     """(kind, id, value): links of a class (0) and edges of the forest (1)."""
-    sizes = index.groupBy("label", "list").agg(F.ceil(F.count("*") / list_rows).cast("int").alias("parts"))
-    data = index.join(sizes, ["label", "list"]).select("label", "list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "n", "unit", "codes", "probes")
-    asks = (
-        index.select("label", F.explode("probes").alias("list"), F.col("list").alias("home"), "id", "n", "unit")
-        .join(sizes, ["label", "list"])
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("label", "list", "part", "home", "id", "n", "unit")
-    )
+    asks, data = deal(index, list_rows)
     shared = index.sparkSession.sparkContext.broadcast(model)  # at most MOST_LISTS centroids and SUBSPACES * CODES codewords
+    kinds, names = [pa.int32(), pa.int64(), pa.int64()], ["kind", "id", "value"]
 
     def run(q: pa.Table, d: pa.Table) -> pa.Table:
-        kinds, names = [pa.int32(), pa.int64(), pa.int64()], ["kind", "id", "value"]
         if not q.num_rows or not d.num_rows:
             return pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-        m, one = shared.value, q["list"][0].as_py()
+        m = shared.value
         qi, di, qn, dn = (t[c].to_numpy() for t, c in ((q, "id"), (d, "id"), (q, "n"), (d, "n")))
-        qx, dx = _matrix(q["unit"], dim), _matrix(d["unit"], dim)
-        home = q["home"].to_numpy()
-        probes = d["probes"].combine_chunks()
-        probes = probes.flatten().to_numpy().reshape(len(di), -1)
+        qx, dx = unit(_matrix(q["embedding"], dim)), unit(_matrix(d["embedding"], dim))
+        qp, dp = (_matrix(t["probes"], len(t["probes"][0])) for t in (q, d))
+        lists = d["list"].to_numpy()
         codes = np.frombuffer(b"".join(d["codes"].to_pylist()), dtype=np.uint8).reshape(len(di), -1)
         ids, inverse = np.unique(np.concatenate((qi, di)), return_inverse=True)
         qa, da = inverse[: len(qi)], inverse[len(qi) :]
         links, label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-        step = max(1, (1 << 21) // len(di))
-        for low in range(0, len(qi), step):
-            rough = m.similarities(qx[low : low + step], one, codes) >= limit - margin
-            a, b = np.nonzero(rough)
-            a += low
-            # Each pair once: the smaller number asks, or the larger if the smaller doesn't probe its list.
-            keep = (qi[a] < di[b]) | ((qi[a] > di[b]) & ~(probes[b] == home[a][:, None]).any(axis=1))
-            a, b = a[keep], b[keep]
-            exact = np.einsum("ij,ij->i", qx[a], dx[b]) >= limit
-            a, b = a[exact], b[exact]
-            np.add.at(links, qa[a], dn[b])
-            np.add.at(links, da[b], qn[a])
-            label = _joined(label, qa[a], da[b])
+        for one in np.unique(lists):
+            asking, inside = np.flatnonzero((qp == one).any(axis=1)), np.flatnonzero(lists == one)
+            step = max(1, (1 << 20) // len(inside))
+            for low in range(0, len(asking), step):
+                some = asking[low : low + step]
+                a, b = np.nonzero(m.similarities(qx[some], one, codes[inside]) >= limit - margin)
+                a, b = some[a], inside[b]
+                # Each pair once: the smaller number asks, or the larger if the smaller doesn't probe its list.
+                keep = (qi[a] < di[b]) | ((qi[a] > di[b]) & ~(dp[b] == qp[a, 0][:, None]).any(axis=1))
+                a, b = a[keep], b[keep]
+                exact = np.concatenate([np.einsum("ij,ij->i", qx[a[k : k + 65536]], dx[b[k : k + 65536]]) for k in range(0, len(a), 65536)] or [np.zeros(0)]) >= limit
+                a, b = a[exact], b[exact]
+                np.add.at(links, qa[a], dn[b])
+                np.add.at(links, da[b], qn[a])
+                label = _joined(label, qa[a], da[b])
         some, child = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
         out = [np.repeat([0, 1], [len(some), len(child)]).astype(np.int32), ids[np.concatenate((some, child))], np.concatenate((links[some], ids[label[child]]))]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    # Fresh column identities: both sides stem from one index.
-    asks, data = (x.select([F.col(c).alias(c) for c in x.columns]) for x in (asks, data))
-    return asks.groupBy("label", "list", "part").cogroup(data.groupBy("label", "list", "part")).applyInArrow(run, "kind int, id long, value long")
+    key = ("label", "grp", "part")
+    return asks.groupBy(*key).cogroup(data.groupBy(*key)).applyInArrow(run, "kind int, id long, value long")
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,7 +162,7 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return local_components(len(label), label[a], label[b])[label]
 
 
-def near_duplicates(vectors: DataFrame, limit: float = 0.93, probes: int | None = None, margin: float = 0.25, list_rows: int = 4096) -> DataFrame:
+def near_duplicates(vectors: DataFrame, limit: float = 0.93, probes: int = 24, margin: float = 0.3, list_rows: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row."""
     spark = vectors.sparkSession
     home = shared_dir(spark)
@@ -159,8 +173,7 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, probes: int | None
         sample = own.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("embedding").toArrow()["embedding"]
         lists = int(min(MOST_LISTS, max(1, n // 256)))
         model = Quantizer(unit(_matrix(sample, dim)), lists)
-        m = min(lists, probes or max(8, lists // 3))
-        index = materialize(_coded(own, model, dim, m), f"{home}/index{dim}")
+        index = materialize(_coded(own, model, dim, min(lists, probes)), f"{home}/index{dim}")
         found = materialize(search(index, model, dim, limit, margin, list_rows), f"{home}/found{dim}")
         forest = found if forest is None else forest.unionAll(found)
     if forest is None:
@@ -180,7 +193,8 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, probes: int | None
 
 def _coded(classes: DataFrame, model: Quantizer, dim: int, probes: int) -> DataFrame:
     shared = classes.sparkSession.sparkContext.broadcast(model)
-    schema = "label int, id long, n long, list int, probes array<int>, codes binary, unit array<double>"
+    kind = dict(classes.dtypes)["embedding"]
+    schema = f"label int, id long, n long, list int, probes array<int>, codes binary, embedding {kind}"
 
     def run(batches):
         m = shared.value
@@ -191,7 +205,7 @@ def _coded(classes: DataFrame, model: Quantizer, dim: int, probes: int) -> DataF
             near = nearest(x, m.centroids, probes)
             codes = m.codes(x, near[:, 0])
             flat = lambda a, k, w: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, w, dtype=np.int32)), pa.array(a.ravel(), k))
-            cols = [batch.column("label"), batch.column("id"), batch.column("n"), pa.array(near[:, 0]), flat(near, pa.int32(), near.shape[1]), pa.array([c.tobytes() for c in codes], pa.binary()), flat(x, pa.float64(), dim)]
-            yield pa.RecordBatch.from_arrays(cols, names=["label", "id", "n", "list", "probes", "codes", "unit"])
+            cols = [batch.column("label"), batch.column("id"), batch.column("n"), pa.array(near[:, 0]), flat(near, pa.int32(), near.shape[1]), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("embedding")]
+            yield pa.RecordBatch.from_arrays(cols, names=["label", "id", "n", "list", "probes", "codes", "embedding"])
 
     return classes.select(F.col("label").cast("int").alias("label"), "id", "n", "embedding").mapInArrow(run, schema)
