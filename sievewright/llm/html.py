@@ -35,6 +35,7 @@ BAD_WORDS = frozenset(
     "respond disqus share sharing social related recommended popular trending pagination pager tags toolbar popup modal overlay search skip complementary contentinfo alert".split()
 )
 GOOD_WORDS = frozenset("article content main post entry story body text prose markdown".split())
+LAYOUT_WORDS = frozenset("has with without no is hide show".split())
 GOOD_TAGS = {"article": 3.0, "main": 2.0}
 BAD_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "header": 4.0, "form": 6.0, "dialog": 6.0, "menu": 6.0}
 #: Weights of the block classifier.
@@ -56,11 +57,14 @@ _WORD = re.compile(r"[a-z]+")
 def _name_weight(attrs: str) -> float:
     weight = 0.0
     for found in _NAMES.findall(attrs):
-        for word in _WORD.findall("".join(found).lower()):
-            if word in BAD_WORDS:
-                return BAD_NAME
-            if word in GOOD_WORDS:
-                weight = GOOD_NAME
+        for name in "".join(found).lower().split():
+            words = _WORD.findall(name)
+            for i, word in enumerate(words):
+                # ``has-sidebar`` or ``no-comments`` speaks of a page's layout, not of what is inside.
+                if word in BAD_WORDS and not (i and words[i - 1] in LAYOUT_WORDS):
+                    return BAD_NAME
+                if word in GOOD_WORDS:
+                    weight = GOOD_NAME
     if _HIDDEN.search(attrs):
         return BAD_NAME
     return weight
@@ -115,7 +119,7 @@ def blocks_of(page: str) -> list[tuple[str, int, int, float]]:
                     number += 1
                     attrs = m["attrs"]
                     own = GOOD_TAGS.get(tag, 0.0) - BAD_TAGS.get(tag, 0.0)
-                    if attrs:
+                    if attrs and tag not in ("html", "body"):
                         if attrs not in evidence:
                             evidence[attrs] = _name_weight(attrs)
                         own += evidence[attrs]
