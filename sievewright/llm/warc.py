@@ -179,10 +179,17 @@ def reachable(offsets: np.ndarray, successors: np.ndarray, size: int) -> np.ndar
     return out
 
 
+def range_tasks(manifest: DataFrame, range_bytes: int) -> int:
+    """One task for each range, but no more than 20000."""
+    total = manifest.agg(F.sum("bytes")).first()[0] or 0
+    return int(min(20_000, max(1, -(-total // range_bytes))))
+
+
 def boundaries(manifest: DataFrame, folder: str, range_bytes: int = 8 << 20) -> DataFrame:
     """(archive, at, next): the records of the archives, verified from each archive's start."""
     ranges = manifest.select("archive", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))).alias("low"))
-    dealt = ranges.repartition(F.col("archive"), F.col("low"))
+    # A range is a row of a few bytes but MBs of work: partitions go by the archives' size, not by the rows'.
+    dealt = ranges.repartition(range_tasks(manifest, range_bytes), "archive", "low")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_files(folder)
@@ -209,9 +216,9 @@ def boundaries(manifest: DataFrame, folder: str, range_bytes: int = 8 << 20) ->
 RECORD = "page_id long, url string, record_type string, payload binary, digest string, payload_bytes long, refers_to long"
 
 
-def read_records(found: DataFrame, folder: str, range_bytes: int = 8 << 20) -> DataFrame:
+def read_records(found: DataFrame, folder: str, tasks: int, range_bytes: int = 8 << 20) -> DataFrame:
     """The records at ``found`` (archive, at, next), read range by range; the payload of a response is checked against its digest."""
-    dealt = found.repartition(F.col("archive"), F.expr(f"at div {range_bytes}")).sortWithinPartitions("archive", "at")
+    dealt = found.repartition(tasks, F.col("archive"), F.expr(f"at div {range_bytes}")).sortWithinPartitions("archive", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_files(folder)
@@ -263,4 +270,4 @@ def round_trip(pages: DataFrame, revisit_bytes: int = 100, archive_bytes: int =
     home = shared_dir(pages.sparkSession)
     folder = f"{home}/archives"
     manifest = materialize(write_archives(plan_records(pages, revisit_bytes), folder, archive_bytes, compress), f"{home}/manifest")
-    return read_records(boundaries(manifest, folder, range_bytes), folder, range_bytes)
+    return read_records(boundaries(manifest, folder, range_bytes), folder, range_tasks(manifest, range_bytes), range_bytes)
