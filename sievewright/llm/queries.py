@@ -82,6 +82,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_harmonic_packing, op2_embedding_pq, op3_entropy_mixing, op4_backoff_scores, op5_warc_round_trip, op6_chat_formatting, op7_media_columns, op8_quality_classifier, op9_html_mincut, op10_simhash_trie)
 }
 
+#: Template escapes as nested replacements, for the SQL below.
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '\\', '\\s')"
+    for string, code in zip(chat.CONTROL, chat.CODES, strict=True):
+        out = f"replace({out}, '{string}', '\\{code}')"
+    return out
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_warc_round_trip": """
         with p as (select page_id, coalesce(html, '') as h from pages),
@@ -92,4 +100,21 @@ ORACLE_SQL: dict[str, str] = {
                case when d.n >= 100 and d.page_id <> f.first then f.first end as refers_to
         from d left join f using (s)
     """,
+    "op2_embedding_pq": """
+        with recursive v as (select vec_id, label, embedding::double[] as e from embeddings),
+        p as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.93),
+        reach(a, b) as (select a, b from p union select r.a, p.b from reach r join p on p.a = r.b)
+        select v.vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(least(v.vec_id, c.c), v.vec_id)::bigint as component_id, v.vec_id = coalesce(least(v.vec_id, c.c), v.vec_id) as kept
+        from v left join (select a, count(*) as n from p group by a) n on n.a = v.vec_id left join (select a, min(b) as c from reach group by a) c on c.a = v.vec_id
+    """,
+    "op6_chat_formatting": f"""
+        with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+            union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+        e as (select *, {_escaped_sql("role")} as er, {_escaped_sql("text")} as et from t),
+        w as (select *, lag(er) over o as before, lead(er) over o as after, row_number() over o as rn from e window o as (partition by conv_id order by turn nulls first, er, et))
+        select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by rn)) as turns_sha256,
+               coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by rn) filter (role = 'assistant'), '')) as loss_sha256,
+               sum(length(et) + case when before is distinct from er or rn = 1 then {len(chat.START)} + length(er) + 1 else {len(chat.SEP)} end + case when after is distinct from er then {len(chat.END)} else 0 end)::bigint as formatted_chars
+        from w group by conv_id
+    """,
 }

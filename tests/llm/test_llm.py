@@ -384,6 +384,14 @@ def test_html():
     assert html.extract("<script>never ends") == "" and html.extract("<p a='unclosed>text") is not None
 
 
+def test_html_names():
+    body = "<p>A sentence that is part of the article, and long enough.</p>"
+    page = '<body class="home comments-open sidebar"><div class="page has-sidebar"><div class="post-content">%s</div><div class="sidebar">%s</div></div></body>'
+    assert html.extract(page % (body, "<p>Popular stories of the week, with a sentence.</p>")) == body[3:-4]
+    assert html.extract(f'<main>{body}<section id="comments"><article class="comment"><p>I agree with every word of it.</p></article></section></main>') == body[3:-4]
+    assert html.extract(f"<div>{body}</div>" * 3).count("A sentence") == 3
+
+
 def test_html_table(spark, small):
     pages = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (None, None, None, "t"), (2, "v", "<p>" + "Long text. " * 20000, "t")], "page_id long, url string, html string, text string")
     got = sorted(html.extract_pages(pages).collect(), key=str)
