@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sievewright.operators.ranks import exact_quantiles
+from sievewright.operators.ranks import exact_quantiles, sketch
 from sievewright.plans.roles import Roles
 
 STAT_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
@@ -68,22 +68,29 @@ def schema_card(df: DataFrame, roles: Roles) -> DataFrame:
     )
 
 
+def _moments(columns) -> list:
+    return [f(c).alias(f"{c}__{k}") for c in columns for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))]
+
+
+def _stat_rows(row, columns, quantiles: dict) -> list[tuple]:
+    return [(c, *(float(row[f"{c}__{k}"]) if row[f"{c}__{k}"] is not None else None for k in ("min", "max", "mean", "std")), *(quantiles[c] or [None] * len(STAT_PROBS))) for c in columns]
+
+
+def _edges(values: list[float]) -> list[float]:
+    edges = sorted({round(v, 6) for v in values})
+    return edges if len(edges) != 1 else [edges[0] - 0.5, edges[0] + 0.5]
+
+
 def numeric_stats(df: DataFrame, columns) -> DataFrame:
     """(column, min, max, mean, std with ddof 0, p05, p25, p50, p75, p95)."""
-    quantiles = exact_quantiles(df, columns, STAT_PROBS)
-    row = df.agg(*[f(c).alias(f"{c}__{k}") for c in columns for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))]).first()
-    rows = [(c, *(float(row[f"{c}__{k}"]) if row[f"{c}__{k}"] is not None else None for k in ("min", "max", "mean", "std")), *(quantiles[c] or [None] * len(STAT_PROBS))) for c in columns]
+    row = df.agg(*_moments(columns), *sketch(columns)).first()
+    rows = _stat_rows(row, columns, exact_quantiles(df, columns, STAT_PROBS, points=row.asDict()))
     return df.sparkSession.createDataFrame(rows, "column string, min double, max double, mean double, std double, p05 double, p25 double, p50 double, p75 double, p95 double")
 
 
 def quantile_bins(df: DataFrame, columns, n_bins: int = 8) -> dict[str, list[float]]:
     """Distinct quantile edges; a constant column gets its value -+ 0.5."""
-    found = exact_quantiles(df, columns, [i / n_bins for i in range(n_bins + 1)])
-    out = {}
-    for c, values in found.items():
-        edges = sorted({round(v, 6) for v in values})
-        out[c] = edges if len(edges) != 1 else [edges[0] - 0.5, edges[0] + 0.5]
-    return out
+    return {c: _edges(v) for c, v in exact_quantiles(df, columns, [i / n_bins for i in range(n_bins + 1)]).items()}
 
 
 def frequencies(df: DataFrame, columns) -> DataFrame:
@@ -123,12 +130,18 @@ def robust_limits(df: DataFrame, column: str, low: float = 0.05, high: float = 0
 
 
 def fit(df: DataFrame, roles: Roles, n_bins: int = 8) -> Cards:
-    """All that the other operators read, in three bounded passes."""
+    """All that the other operators read: one pass for moments, gaps and split points, two for the quantiles, one for frequencies."""
     cards = Cards(roles)
-    cards.bins = quantile_bins(df, roles.numeric, n_bins) if roles.numeric else {}
-    if roles.numeric:
-        cards.stats = {r["column"]: r.asDict() for r in numeric_stats(df, roles.numeric).collect()}
-    others = (*roles.discrete, *roles.labels)
+    numeric, others = list(roles.numeric), (*roles.discrete, *roles.labels)
+    row = df.agg(*_moments(numeric), *sketch(numeric), *[F.max(F.col(c).isNull()).alias(f"{c}__gap") for c in roles.columns]).first()
+    cards.missing_allowed = {c: bool(row[f"{c}__gap"]) for c in roles.columns}
+    if numeric:
+        grid = [i / n_bins for i in range(n_bins + 1)]
+        found = exact_quantiles(df, numeric, [*STAT_PROBS, *grid], points=row.asDict())
+        names = ("min", "max", "mean", "std", "p05", "p25", "p50", "p75", "p95")
+        rows = _stat_rows(row, numeric, {c: v[: len(STAT_PROBS)] for c, v in found.items()})
+        cards.stats = {c: {"column": c, **dict(zip(names, values, strict=True))} for c, *values in rows}
+        cards.bins = {c: _edges(v[len(STAT_PROBS) :]) for c, v in found.items()}
     if others:
         counts = frequencies(df, others).where(F.col("place") <= MOST_LEGAL + 1).collect()
         for c in others:
@@ -137,8 +150,6 @@ def fit(df: DataFrame, roles: Roles, n_bins: int = 8) -> Cards:
                 raise ValueError(f"{c} has over {MOST_LEGAL} values: compress it first")
             cards.legal[c] = sorted(float(r.value) for r in own) if c in roles.discrete else sorted(r.value for r in own)
             cards.most_frequent[c] = min(own, key=lambda r: r.place).value if own else ""
-    gaps = df.agg(*[F.max(F.col(c).isNull()).alias(c) for c in roles.columns]).first()
-    cards.missing_allowed = {c: bool(gaps[c]) for c in roles.columns}
     return cards
 
 

@@ -45,15 +45,21 @@ def _search(value: Column, points: Sequence[float], low: int, high: int) -> Colu
     return F.when(value >= F.lit(float(points[mid])), _search(value, points, mid + 1, high)).otherwise(_search(value, points, low, mid))
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], splits: int = 64) -> dict[str, list[float]]:
+def sketch(columns: Sequence[str], splits: int = 64) -> list[Column]:
+    """Aggregates that give split points of each column, for ``exact_quantiles``; they may share a pass with others."""
+    grid = [i / splits for i in range(1, splits)]
+    return [F.percentile_approx(c, grid, 1000).alias(f"{c}__points") for c in columns]
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], splits: int = 64, points: dict | None = None) -> dict[str, list[float]]:
     """Linear-interpolation quantiles of the non-null values of each column, exact at any size.
 
     Sketched split points (bounded) cut the values into buckets; bucket counts say which
     buckets hold the wanted ranks, and only the distinct values of those are ordered.
     """
-    grid = [i / splits for i in range(1, splits)]
-    sketch = df.agg(*[F.percentile_approx(c, grid, 1000).alias(c) for c in columns]).first()
-    points = {c: sorted(set(sketch[c] or [])) for c in columns}
+    if points is None:
+        points = df.agg(*sketch(columns, splits)).first().asDict()
+    points = {c: sorted(set(points[f"{c}__points"] or [])) for c in columns}
     long = None
     for c in columns:
         value = F.col(c).cast("double")

@@ -29,9 +29,9 @@ def keep_first(df: DataFrame, id_column: str, keep: int) -> DataFrame:
 
 
 def scalar_score(objectives: Sequence[str], weights: Sequence[float]) -> Column:
-    """Weighted mean of objectives in [0, 1]; weights at or below 0 count 1e-6."""
+    """Weighted mean of objectives in [0, 1], to 12 digits, so that equal scores are ties; weights at or below 0 count 1e-6."""
     w = [x if x > 0 else 1e-6 for x in weights]
-    return sum((F.col(c) * (x / sum(w)) for c, x in zip(objectives, w, strict=True)), F.lit(0.0))
+    return F.round(sum((F.col(c) * (x / sum(w)) for c, x in zip(objectives, w, strict=True)), F.lit(0.0)), 12)
 
 
 def keep_scalar(df: DataFrame, id_column: str, objectives: Sequence[str], weights: Sequence[float], keep: int) -> DataFrame:
@@ -51,7 +51,8 @@ def keep_chebyshev(df: DataFrame, id_column: str, objectives: Sequence[str], wei
     gap = F.greatest(*[(F.lit(float(ideal[c])) - F.col(c)) * w for c, w in zip(objectives, weights, strict=True)])
     out = minmax(df.withColumn("gap", gap), ["gap"])
     mean = sum((F.col(c) for c in objectives[1:]), F.col(objectives[0])) / len(objectives)
-    return out.withColumn("score", 0.85 * (1 - F.col("gap_mm")) + 0.10 * mean + 0.05 * F.col(tie)).orderBy(F.desc("score"), id_column).limit(keep).drop("gap_mm")
+    score = F.round(0.85 * (1 - F.col("gap_mm")) + 0.10 * mean + 0.05 * F.col(tie), 12)
+    return out.withColumn("score", score).orderBy(F.desc("score"), id_column).limit(keep).drop("gap_mm")
 
 
 #: Weights of the directions, in hundredths, for 1-D fidelity (f), 2-D fidelity (t), privacy (p), utility (u).

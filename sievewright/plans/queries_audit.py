@@ -163,14 +163,28 @@ def alpha_precision_curve(spark, sf_dir):
     return rounded(PR.share_within(PR.center_distances(synthetic, "row_id", ["a", "b"], center), near), "curve", digits=9)
 
 
-@query()
+_AB = f"""{SQL}, r as (select row_id, qty / 50 as a, price / 100000 as b from test order by row_id limit 400), s as (select row_id, qty / 50 as a, price / 100000 as b from pool order by row_id limit 400),
+    c as (select avg(a) as a, avg(b) as b from r), e as (select avg(a) as a, avg(b) as b from s), rd as (select sqrt(pow(r.a - c.a, 2) + pow(r.b - c.b, 2)) as d from r, c), sd as (select sqrt(pow(s.a - c.a, 2) + pow(s.b - c.b, 2)) as d from s, c),
+    se as (select s.row_id, sqrt(pow(s.a - e.a, 2) + pow(s.b - e.b, 2)) as d from s, e), re as (select sqrt(pow(r.a - e.a, 2) + pow(r.b - e.b, 2)) as d from r, e),
+    rr as (select x.row_id, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) as d from r x, r y where x.row_id <> y.row_id group by 1),
+    rs as (select x.row_id, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) as d, min_by(y.row_id, struct_pack(d := sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)), i := y.row_id)) as s_id from r x, s y group by 1),
+    sr as (select x.row_id, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) as d, min_by(y.row_id, struct_pack(d := sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2)), i := y.row_id)) as r_id from s x, r y group by 1),
+    cv as (select rs.d <= rr.d as ok, se.d from rs join rr on rr.row_id = rs.row_id join se on se.row_id = rs.s_id),
+    q as (select (select quantile_cont(d, {[i / 100 for i in range(101)]}) from rd) as q1, (select quantile_cont(d, {[i / 100 for i in range(101)]}) from cv) as q2, (select quantile_cont(d, {[i / 100 for i in range(101)]}) from se) as q3), g as (select i from unnest(range(101)) as t(i)),
+    cu as (select 'alpha_precision' as curve, i / 100 as point, (select avg((d <= q1[i + 1])::int) from sd) as value from g, q union all select 'beta_coverage', i / 100, (select avg((ok and d <= q2[i + 1])::int) from cv) from g, q union all select 'beta_support_recall', i / 100, (select avg((d <= q3[i + 1])::int) from re) from g, q)"""
+
+
+@query(f"""with {_AB}, z as (select *, lag(point) over (partition by curve order by point) as p0, lag(value) over (partition by curve order by point) as v0 from cu),
+    t as (select curve, 1 - sum(abs(point - value)) / sum(point) as delta, sum((value + v0) / 2 * (point - p0)) as auc, max(value) filter (point = 0.95) as near from z group by 1)
+    select 'delta_' || curve as name, round(delta, 6) as value from t union all select curve || '_auc', round(auc, 6) from t union all select curve || '_at_0.95', round(near, 6) from t
+    union all select 'authenticity', round(avg((sr.d > rr.d)::int), 6) from sr join rr on rr.row_id = sr.r_id""")
 def alpha_beta_scores(spark, sf_dir):
-    return PR.alpha_beta(*scaled(spark, sf_dir), "row_id", ["a", "b"], 101)[1]
+    return rounded(PR.alpha_beta(*scaled(spark, sf_dir), "row_id", ["a", "b"], 101)[1], "value")
 
 
-@query()
+@query(f"with {_AB} select curve, point, round(value, 9) as value from cu")
 def alpha_beta_curves(spark, sf_dir):
-    return PR.alpha_beta(*scaled(spark, sf_dir), "row_id", ["a", "b"], 101)[0]
+    return rounded(PR.alpha_beta(*scaled(spark, sf_dir), "row_id", ["a", "b"], 101)[0], "value", digits=9)
 
 
 # Models
@@ -225,10 +239,12 @@ def dynamic_utility(spark, sf_dir):
     return UT.dynamic_blocks(split(spark, sf_dir, "holdout").orderBy("row_id").limit(300), pool, split(spark, sf_dir, "test").orderBy("row_id").limit(500), LINEITEM, "row_id", 1, 3)
 
 
-@query()
+@query("""with d as (select l.quality as y, n_chars::double as s, (l.doc_id % 997)::double as p from labels l join documents d on d.doc_id = l.doc_id), q as (select quantile_cont(p, 1/3) as a, quantile_cont(p, 2/3) as b from d),
+    t as (select case when p <= a then 'tail' when p <= b then 'middle' else 'mode' end as part, y, s from d, q), c as (select part, s, count(*) filter (y = 1) as p, count(*) filter (y = 0) as n from t where y is not null group by 1, 2),
+    k as (select *, sum(p) over (partition by part order by s desc) as tp from c) select part, round(sum(n * (tp - p / 2)) / (sum(p) * sum(n)), 9) as auroc, (sum(p) + sum(n))::bigint as n from k group by 1""")
 def tercile_auc(spark, sf_dir):
     own = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("quality", F.col("n_chars").cast("double").alias("s"), F.pmod("doc_id", F.lit(997)).cast("double").alias("p"))
-    return UT.tercile_auc(own, "p", "quality", "s")
+    return rounded(UT.tercile_auc(own, "p", "quality", "s"), "auroc", digits=9)
 
 
 @query()

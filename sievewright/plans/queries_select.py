@@ -13,7 +13,7 @@ from sievewright.operators import repair as RP
 from sievewright.operators import scores as U
 from sievewright.operators import select as K
 from sievewright.operators import validate as V
-from sievewright.plans.queries_profile import _FIT, _POOL, COLUMNS, CUSTOMER, CUSTOMER_SQL, _lookup_sql, customer_role, reference, rounded
+from sievewright.plans.queries_profile import _FIT, _PAIRS, _POOL, COLUMNS, CUSTOMER, CUSTOMER_SQL, _lookup_sql, codes_sql, customer_role, marginals_sql, reference, rounded
 from sievewright.plans.roles import SQL, lineitem, split, table
 from sievewright.plans.search import final_choice, guidance
 from sievewright.registry import query
@@ -66,11 +66,31 @@ def surrogates(spark, sf_dir):
     return U.surrogates(codes, ref, "row_id")
 
 
-@query()
+def _add_one_sql() -> str:
+    """Tables f (1-D) and g (pairs): similarity after one more row and penalty, by bucket."""
+    cells = lambda codes: " union all ".join(f"select '{a}' as l, '{b}' as r, {a} as a, {b} as b from {codes}" for a, b in _PAIRS)
+    return f"""cur as (select * from pool order by row_id limit 200), {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, b1 as (select tm."column", tm.code, tm.p, cm.n, 0.5 * sum(abs(cm.n / 201 - tm.p)) over (partition by tm."column") as rest from tm join cm on cm."column" = tm."column" and cm.code = tm.code),
+    f as (select "column", code, 1 - (rest + 0.5 * (abs((n + 1) / 201 - p) - abs(n / 201 - p))) as after, greatest(0, (n + 1) / 201 - p) as pen from b1),
+    pt as (select l, r, a, b, count(*) as n from ({cells("tc")}) group by all), pp as (select *, n / sum(n) over (partition by l, r) as p from pt), pq as (select l, r, a, b, count(*) as n from ({cells("cc")}) group by all),
+    nm as (select l, r, sum(p * ln(p / (pa * pb))) / sqrt(-sum(p * ln(pa)) * -sum(p * ln(pb))) as mi from (select *, sum(p) over (partition by l, r, a) as pa, sum(p) over (partition by l, r, b) as pb from pp) group by 1, 2),
+    w as (select l, r, greatest(round(mi, 9), 1e-6) / sum(greatest(round(mi, 9), 1e-6)) over () as w from nm), grid as (select w.l, w.r, w.w, x.code::int as a, y.code::int as b from w join tm x on x."column" = w.l join tm y on y."column" = w.r),
+    j as (select grid.*, coalesce(pp.p, 0) as p, coalesce(pq.n, 0) as n from grid left join pp on pp.l = grid.l and pp.r = grid.r and pp.a = grid.a and pp.b = grid.b left join pq on pq.l = grid.l and pq.r = grid.r and pq.a = grid.a and pq.b = grid.b),
+    b2 as (select *, 0.5 * sum(abs(n / 201 - p)) over (partition by l, r) as rest from j), g as (select l, r, a, b, w * (1 - (rest + 0.5 * (abs((n + 1) / 201 - p) - abs(n / 201 - p)))) as after, w * greatest(0, (n + 1) / 201 - p) as pen from b2)"""
+
+
+_ONE = " ".join(f"""join f f_{c} on f_{c}."column" = '{c}' and f_{c}.code = pc.{c}""" for c in COLUMNS)
+_TWO = " ".join(f"join g g_{a}_{b} on g_{a}_{b}.l = '{a}' and g_{a}_{b}.r = '{b}' and g_{a}_{b}.a = pc.{a} and g_{a}_{b}.b = pc.{b}" for a, b in _PAIRS)
+
+
+@query(f"""with {_FIT}, {codes_sql("pool", "pc")}, {_add_one_sql()}, s as (select pc.row_id, ({" + ".join(f"f_{c}.after" for c in COLUMNS)}) / 5 as a1, ({" + ".join(f"f_{c}.pen" for c in COLUMNS)}) / 5 as p1, {" + ".join(f"g_{a}_{b}.after" for a, b in _PAIRS)} as a2, {" + ".join(f"g_{a}_{b}.pen" for a, b in _PAIRS)} as p2 from pc {_ONE} {_TWO}),
+    q as (select quantile_cont(a1 - p1, 0.05) as l1, quantile_cont(a1 - p1, 0.95) as h1, quantile_cont(a2 - p2, 0.05) as l2, quantile_cont(a2 - p2, 0.95) as h2 from s)
+    select row_id, round(a1, 8) as after_1d, round(p1, 8) as penalty_1d, round(a2, 8) as after_2d, round(p2, 8) as penalty_2d, round(greatest(0, least(1, (a1 - p1 - l1) / (h1 - l1))), 5) as scaled_1d, round(greatest(0, least(1, (a2 - p2 - l2) / (h2 - l2))), 5) as scaled_2d from s, q""")
 def exact_scores(spark, sf_dir):
     _, cards, ref = reference(spark, sf_dir)
     pool = split(spark, sf_dir, "pool")
-    return U.exact_scores(pool.orderBy("row_id").limit(200), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
+    out = U.exact_scores(pool.orderBy("row_id").limit(200), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
+    out = out.select("row_id", "after_1d", "penalty_1d", "after_2d", "penalty_2d", "scaled_1d", "scaled_2d")
+    return rounded(rounded(out, "after_1d", "penalty_1d", "after_2d", "penalty_2d", digits=8), "scaled_1d", "scaled_2d", digits=5)
 
 
 @query(f"""with {SQL} select row_id, 's' || (line % 3) as source_id, round(greatest(0, least(1, (row_id % 100) / 100 * case line % 3 when 0 then 1.0 when 1 then 0.5 else 0.25 end)), 9) as u, (row_id % 100) / 100 as u_before, line % 3 < 2 as prior_matched from pool""")
@@ -108,29 +128,25 @@ def keep_first(spark, sf_dir):
     return K.keep_first(split(spark, sf_dir, "pool").select("row_id"), "row_id", 500)
 
 
-@query(f"with {SQL}, {OBJ_SQL} select row_id, round(0.5 * o1 + 0.3 * o2 + 0.2 * o3, 9) as score from obj order by round(0.5 * o1 + 0.3 * o2 + 0.2 * o3, 9) desc, row_id limit 500")
+@query(f"with {SQL}, {OBJ_SQL} select row_id, round(0.5 * o1 + 0.3 * o2 + 0.2 * o3, 12) as score from obj order by round(0.5 * o1 + 0.3 * o2 + 0.2 * o3, 12) desc, row_id limit 500")
 def keep_scalar(spark, sf_dir):
-    own = objectives(spark, sf_dir)
-    score = F.round(K.scalar_score(OBJECTIVES, (0.5, 0.3, 0.2)), 9)
-    return own.select("row_id", score.alias("score")).orderBy(F.desc("score"), "row_id").limit(500)
+    return K.keep_scalar(objectives(spark, sf_dir), "row_id", OBJECTIVES, (0.5, 0.3, 0.2), 500).select("row_id", "score")
 
 
-@query()
+@query(f"""with {SQL}, {OBJ_SQL}, i as (select max(o1) as m1, max(o2) as m2, max(o3) as m3 from obj), g as (select *, greatest(m1 - o1, m2 - o2, m3 - o3) as gap from obj, i), e as (select min(gap) as a, max(gap) as b from g),
+    s as (select row_id, gap, round(0.85 * (1 - (gap - a) / (b - a)) + 0.1 * (o1 + o2 + o3) / 3 + 0.05 * o3, 12) as score from g, e) select row_id, round(gap, 9) as gap, score from s order by score desc, row_id limit 500""")
 def keep_chebyshev(spark, sf_dir):
-    return K.keep_chebyshev(objectives(spark, sf_dir), "row_id", OBJECTIVES, (1.0, 1.0, 1.0), 500, "o3").select("row_id", "gap", "score")
+    return K.keep_chebyshev(objectives(spark, sf_dir), "row_id", OBJECTIVES, (1.0, 1.0, 1.0), 500, "o3").select("row_id", F.round("gap", 9).alias("gap"), "score")
 
 
 _FAMILY = " union all ".join(f"select '{K.direction_name(w)}' as direction, row_id, {' + '.join(f'{(x / 100 or 1e-6)} / {sum(v / 100 or 1e-6 for v in w)} * {c}' for x, c in zip(w, ('o1', 'o2', 'o3', 'o4'), strict=True))} as s from o" for w in K.DIRECTIONS)
 
 
-@query(f"""with {SQL}, {OBJ_SQL}, o as (select *, (line % 7) / 10 as o4 from obj), f as ({_FAMILY}), k as (select direction, row_id, round(s, 9) as score from f),
+@query(f"""with {SQL}, {OBJ_SQL}, o as (select *, (line % 7) / 10 as o4 from obj), f as ({_FAMILY}), k as (select direction, row_id, round(s, 12) as score from f),
     r as (select *, row_number() over (partition by direction order by score desc, row_id)::int as place from k) select * from r where place <= 50""")
 def direction_family(spark, sf_dir):
     own = objectives(spark, sf_dir).withColumn("o4", (F.col("line") % 7) / 10)
-    per = F.array(*[F.struct(F.lit(K.direction_name(w)).alias("direction"), F.round(K.scalar_score((*OBJECTIVES, "o4"), [x / 100 for x in w]), 9).alias("score")) for w in K.DIRECTIONS])
-    rows = own.select("row_id", F.explode(per).alias("d")).select("row_id", "d.direction", "d.score")
-    w = F.row_number().over(K.W.partitionBy("direction").orderBy(F.desc("score"), "row_id"))
-    return rows.withColumn("place", w).where("place <= 50")
+    return K.direction_family(own, "row_id", (*OBJECTIVES, "o4"), 50)
 
 
 @query(f"with {SQL}, {OBJ_SQL}, p as (select distinct o1, o2 from obj) select row_id, o1, o2 from obj o where not exists (select 1 from p where p.o1 >= o.o1 and p.o2 >= o.o2 and (p.o1 > o.o1 or p.o2 > o.o2))")
@@ -165,7 +181,9 @@ def nsga_selection(spark, sf_dir):
     return P.nsga_select(objectives(spark, sf_dir), "row_id", ("o1", "o2"), 200).select("row_id", "front", "crowding")
 
 
-@query()
+@query(f"""with {SQL}, {OBJ_SQL}, c as (select line, count(*) as n, 300 * count(*) / sum(count(*)) over () as share from obj group by 1), f as (select *, row_number() over (order by share - floor(share) desc, line::varchar) as k, 300 - sum(floor(share)) over () as extra from c),
+    p as (select line, floor(share) + case when k <= extra then 1 else 0 end as cap from f), r as (select o.row_id, o.line, o.o1, cap, row_number() over (partition by o.line order by o1 desc, row_id) as rn from obj o join p on p.line = o.line)
+    select row_id, line, o1 from r where rn <= cap""")
 def stratified_reduction(spark, sf_dir):
     return P.stratified_reduce(objectives(spark, sf_dir), "line", [F.desc("o1"), F.asc("row_id")], 300).select("row_id", "line", "o1")
 
@@ -223,7 +241,10 @@ def guard_band(spark, sf_dir):
     return K.guard_band(own, "row_id", "m", 400).select("row_id", "o1")
 
 
-@query()
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 500), m as (select avg(o1) as m from s), a as (select row_id, o1, row_number() over (order by o1, o2 desc, row_id) as rn from s),
+    b as (select row_id, o1, row_number() over (order by o1 desc, o2 desc, row_id) as rn from obj where row_id not in (select row_id from s)), g as (select a.rn, a.row_id as r, b.row_id as n, b.o1 - a.o1 as gain from a join b on a.rn = b.rn where b.o1 > a.o1),
+    k as (select *, coalesce(sum(gain) over (order by rn rows between unbounded preceding and 1 preceding), 0) as before from g), x as (select k.* from k, m where before < (0.6 - m) * 500)
+    select row_id, o1 from s where row_id not in (select r from x) union all select row_id, o1 from obj where row_id in (select n from x)""")
 def floor_repair(spark, sf_dir):
     own = objectives(spark, sf_dir)
     return K.floor_repair(own.orderBy("row_id").limit(500), own, "row_id", "o1", 0.6, "o2").select("row_id", "o1")
