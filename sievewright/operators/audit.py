@@ -9,21 +9,24 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.operators import distance as J
+from sievewright.operators.ranks import running_sums
 
 
 def _curve(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> DataFrame:
-    """Per group and distinct score, highest first: running counts of members and others.  Heavy ties are one row."""
+    """Per group and distinct score, highest first: running counts of members and others.  Heavy ties are one row, and the
+    running counts of one attack's many scores are spread over tasks."""
     s = F.col(score).cast("double")
     fine = df.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")) & F.col(label).isin(0, 1))
     counts = fine.groupBy(*groups, s.alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
-    by, whole = W.partitionBy(*groups).orderBy(F.desc("s")), W.partitionBy(*groups)
-    return counts.withColumns({
-        "tp": F.sum("p").over(by), "fp": F.sum("n").over(by), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole), "values": F.count("*").over(whole),
-    })
+    summed = running_sums(counts, groups, [F.col("s").desc()], {"tp": "p", "fp": "n"})
+    totals = counts.groupBy(*[F.col(g).alias(f"__t_{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.count("*").alias("values"))
+    cond = F.lit(True)
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__t_{g}"))
+    return summed.join(totals, cond).drop(*[f"__t_{g}" for g in groups])
 
 
 def binary_report(df: DataFrame, label: str, score: str, groups: Sequence[str] = ("attack",)) -> DataFrame:

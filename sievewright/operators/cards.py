@@ -110,8 +110,8 @@ def prototypes(df: DataFrame, target: str, id_column: str, size: int = 32) -> Da
     rn = F.row_number().over(W.partitionBy(target).orderBy(id_column))
     caps = F.create_map(*[x for r in labels for x in (F.coalesce(F.lit(r[target]).cast("string"), F.lit("")), F.lit(max(1, round(size * r.n / total))))])
     own = F.coalesce(F.col(target).cast("string"), F.lit(""))
-    # A label gives at most ``size`` rows; the window over them is preceded by each task's own top rows.
-    return df.withColumn("__rn", rn).where(F.col("__rn") <= caps[own]).orderBy("__rn", target).limit(size).drop("__rn")
+    # The literal limit lets each task cut a label's rows before the shuffle.
+    return df.withColumn("__rn", rn).where(F.col("__rn") <= size).where(F.col("__rn") <= caps[own]).orderBy("__rn", target).limit(size).drop("__rn")
 
 
 def medians(df: DataFrame, columns) -> dict[str, float]:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sievewright.functions import scalars as S
 from sievewright.operators.cards import Cards
+from sievewright.operators.ranks import running_sums
 
 
 def code_of(column: str, cards: Cards) -> Column:
@@ -232,8 +233,7 @@ def category_overlap(real: DataFrame, synthetic: DataFrame, columns) -> DataFram
 def quality_report(real: DataFrame, synthetic: DataFrame, roles) -> DataFrame:
     """(property, name, score) by the public definitions: KS and TV complements, correlation and contingency similarity.
 
-    Numeric columns: 1 - the largest gap of the two distribution functions, over distinct values; the running counts are
-    windows over aggregated values.  Others: 1 - total variation distance.  Numeric pairs: 1 - |r - s| / 2.
+    Numeric columns: 1 - the largest gap of the two distribution functions, over distinct values.  Others: 1 - total variation distance.  Numeric pairs: 1 - |r - s| / 2.
     Pairs of categories: 1 - total variation distance of the joint shares.
     """
     numeric, labels = (*roles.numeric, *roles.discrete), roles.labels
@@ -242,8 +242,7 @@ def quality_report(real: DataFrame, synthetic: DataFrame, roles) -> DataFrame:
     n0, n1 = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
     cells = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in numeric])
     counts = both.select("__t", F.explode(cells).alias("x")).groupBy("x.name", "x.v").agg(F.sum((F.col("__t") == 0).cast("long")).alias("a"), F.sum((F.col("__t") == 1).cast("long")).alias("b"))
-    w = W.partitionBy("name").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    gaps = counts.withColumn("gap", F.abs(F.sum("a").over(w) / F.lit(n0) - F.sum("b").over(w) / F.lit(n1)))
+    gaps = running_sums(counts, ["name"], [F.col("v").asc()], {"upto_a": "a", "upto_b": "b"}).withColumn("gap", F.abs(F.col("upto_a") / F.lit(n0) - F.col("upto_b") / F.lit(n1)))
     shapes = gaps.groupBy("name").agg((1 - F.max("gap")).alias("score"))
     names = [(c,) for c in labels] + [(a, b) for a, b in combinations(labels, 2)]
     cells = F.array(*[F.struct(F.lit(",".join(k)).alias("name"), F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in k]).alias("v")) for k in names])
@@ -266,10 +265,12 @@ def compress_categories(df: DataFrame, column: str, most: int = 256, top: int =
     The tail goes by descending count, then value; a value's cluster is the place of its mass's middle.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    order = W.orderBy(F.desc("n"), "value")
-    ranked = counts.withColumn("rn", F.row_number().over(order)).withColumn("total", F.count("*").over(W.partitionBy()))
-    tail = F.when(F.col("rn") > top, F.col("n")).otherwise(0)
-    before = F.sum(tail).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("n") / 2
-    cluster = F.least(F.floor(before * clusters / F.sum(tail).over(W.partitionBy())), F.lit(clusters - 1))
+    order = [F.col("n").desc(), F.col("value").asc()]
+    ranked = running_sums(counts.withColumn("one", F.lit(1)), [], order, {"rn": "one", "mass": "n"}).drop("one")
+    total, rows = (x or 0 for x in ranked.agg(F.sum("n"), F.count("*")).first())
+    head = ranked.where(F.col("rn") <= top).agg(F.sum("n")).first()[0] or 0
+    # The middle of a tail value's mass, as a share of the tail's.
+    middle = F.col("mass") - F.lit(head) - F.col("n") / 2
+    cluster = F.least(F.floor(middle * clusters / F.lit(max(total - head, 1))), F.lit(clusters - 1))
     token = F.format_string(f"__HC_{column}_TAIL_%02d__", cluster.cast("int"))
-    return ranked.select("value", F.when((F.col("total") < most) | (F.col("rn") <= top), F.col("value")).otherwise(token).alias("code_text"))
+    return ranked.select("value", F.when(F.lit(rows < most) | (F.col("rn") <= top), F.col("value")).otherwise(token).alias("code_text"))

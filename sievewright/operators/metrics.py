@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.functions.scalars import clip, shifted_geomean
+from sievewright.operators.ranks import exact_quantiles, sketch
 
 #: Which way each metric is better.
 DIRECTIONS = {"roc_auc": "higher", "accuracy": "higher", "balanced_accuracy": "higher", "f1": "higher", "r2": "higher", "rmse": "lower", "mae": "lower", "shape": "higher", "trend": "higher", "dcr": "closer_to_0.5", "jsd": "lower"}
@@ -23,10 +24,13 @@ def dcr_summary(signal: DataFrame) -> DataFrame:
 
 def dcr_quantiles(signal: DataFrame, probs: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
     """(name, min, quantiles, max, mean) of d_real, d_test, and of the margin as real - test."""
-    cells = F.array(*[F.struct(F.lit(n).alias("name"), v.alias("v")) for n, v in (("d_real", F.col("d_real")), ("d_test", F.col("d_test")), ("margin", F.col("d_real") - F.col("d_test")))])
-    long = signal.select(F.explode(cells).alias("x")).select("x.name", "x.v")
-    q = long.groupBy("name").agg(F.min("v").alias("min"), F.percentile("v", F.array(*map(F.lit, probs))).alias("q"), F.max("v").alias("max"), F.avg("v").alias("mean"))
-    return q.select("name", "min", *[F.col("q")[i].alias(f"q{int(p * 100):02d}") for i, p in enumerate(probs)], "max", "mean")
+    names = ["d_real", "d_test", "margin"]
+    own = signal.select("d_real", "d_test", (F.col("d_real") - F.col("d_test")).alias("margin"))
+    row = own.agg(*[f(c).alias(f"{c}__{k}") for c in names for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))], *sketch(names)).first()
+    found = exact_quantiles(own, names, probs, points=row.asDict())
+    rows = [(c, row[f"{c}__min"], *(found[c] or [None] * len(probs)), row[f"{c}__max"], row[f"{c}__mean"]) for c in names]
+    columns = ", ".join(f"{x} double" for x in ("min", *[f"q{int(p * 100):02d}" for p in probs], "max", "mean"))
+    return signal.sparkSession.createDataFrame(rows, f"name string, {columns}")
 
 
 def direction(metric: Column) -> Column:

@@ -108,8 +108,8 @@ def fronts(df: DataFrame, id_column: str, objectives: Sequence[str], need: int |
 
 
 def front_zero_2d(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows of the first front of two objectives: one row for each x, and a running maximum; no pairwise comparison."""
-    best = df.groupBy(x).agg(F.max(y).alias("__top"))
+    """Rows of the first front of two objectives: one row for each x, and a running maximum over the partitions' skylines."""
+    best = _local(df.groupBy(x).agg(F.max(y).alias(y)), [x, y]).groupBy(x).agg(F.max(y).alias("__top"))
     above = best.withColumn("__above", F.max("__top").over(W.orderBy(F.desc(x)).rowsBetween(W.unboundedPreceding, -1)))
     top = above.where("__above is null or __top > __above").select(F.col(x).alias("__x"), "__top")
     return df.join(top, (F.col(x) == F.col("__x")) & (F.col(y) == F.col("__top"))).drop("__x", "__top")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.operators import distance as J
+from sievewright.operators.ranks import exact_quantiles
 
 
 def same_size(a: DataFrame, b: DataFrame, id_column: str, most: int = 20_000, seed: int = 0, order=None) -> tuple[DataFrame, DataFrame]:
@@ -47,8 +48,8 @@ def share_within(values: DataFrame, radii: DataFrame, flag=None) -> DataFrame:
 def radii(distances: DataFrame, points: int) -> DataFrame:
     """(point, r): quantiles of d on an even grid from 0 to 1."""
     grid = [i / (points - 1) for i in range(points)]
-    q = distances.agg(F.percentile("d", F.array(*map(F.lit, grid))).alias("q"))
-    return q.select(F.posexplode("q").alias("i", "r")).select((F.col("i") / (points - 1)).alias("point"), "r")
+    found = exact_quantiles(distances, ["d"], grid)["d"]
+    return distances.sparkSession.createDataFrame(list(zip(grid, found, strict=False)), "point double, r double")
 
 
 def summary(curve: DataFrame) -> DataFrame:

@@ -11,24 +11,47 @@ from pyspark.sql import functions as F
 from sievewright.plans.workspace import materialize
 
 
+def _sorted(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Range partitions, sorted and written once; ``__part`` numbers them and ``__at`` orders their rows."""
+    out = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    return out.withColumn("__part", F.shiftright("__at", 33))
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str = "rn") -> DataFrame:
     """Adds the row's place, from 1, in a total order of all rows.
 
-    Range partitions are sorted and written once; a row's place is its place in its partition plus the counts of the
-    partitions before, a table with one row a partition.  Heavy ties split as the order goes on to an id.
+    A row's place is its place in its range partition plus the counts of the partitions before, a table with one row a
+    partition.  Heavy ties split as the order goes on to an id.
     """
-    sorted_rows = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    part = F.shiftright("__at", 33)
-    counts = sorted_rows.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    rows = _sorted(df, order)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return (
-        sorted_rows.withColumn("__part", part)
-        .join(F.broadcast(before), "__part")  # one row a partition
+        rows.join(F.broadcast(before), "__part")  # one row a partition
         .withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1)
         .drop("__at", "__part", "__before")
     )
 
 
+def running_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column], values: dict[str, str]) -> DataFrame:
+    """Adds running sums {name: column} along a total order within each group, the row itself included.
+
+    Windows run within range partitions of (group, order); what lies before a partition in its group comes from a table
+    with a row for each partition and group, so one large group is summed by many tasks.
+    """
+    rows = _sorted(df, [*[F.col(g).asc() for g in groups], *order])
+    own = W.partitionBy("__part", *groups).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    totals = rows.groupBy("__part", *groups).agg(*[F.sum(c).alias(f"__{n}") for n, c in values.items()])
+    upto = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    before = totals.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in groups], *[F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)).alias(f"__b_{n}") for n in values])
+    cond = F.col("__part") == F.col("__p")
+    for g in groups:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__g_{g}"))
+    summed = rows.withColumns({n: F.sum(c).over(own) for n, c in values.items()})
+    out = summed.join(before, cond).withColumns({n: F.col(n) + F.col(f"__b_{n}") for n in values})
+    return out.drop("__at", "__part", "__p", *[f"__g_{g}" for g in groups], *[f"__b_{n}" for n in values])
+
+
 def rank_scale(df: DataFrame, column: str, id_column: str, name: str) -> DataFrame:
     """0 to 1 by ascending value, ties by id; a single row gets 1."""
     n = df.count()

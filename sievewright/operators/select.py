@@ -196,11 +196,12 @@ def refine_to_targets(selected: DataFrame, pool: DataFrame, reference: D.Referen
 def signature_swaps(selected: DataFrame, pool: DataFrame, columns: Sequence[str], id_column: str, score: str, most: int) -> DataFrame:
     """(signature, remove_id, add_id, gain): within equal bucket vectors, the worst selected with the best available row.
 
-    Pairs are an equi-join of two rankings; the ``most`` best gains stay.
+    Pairs are an equi-join of two rankings; the ``most`` best gains stay.  Gains fall with the rank, so ranks over ``most``
+    aren't needed, and each task cuts a large signature's rows before the shuffle.
     """
     sig = F.xxhash64(*columns)
     free = pool.join(selected.select(id_column), id_column, "left_anti")
-    rank = lambda df, order: df.withColumn("sig", sig).withColumn("rn", F.row_number().over(W.partitionBy("sig", *columns).orderBy(order, id_column)))
+    rank = lambda df, order: df.withColumn("sig", sig).withColumn("rn", F.row_number().over(W.partitionBy("sig", *columns).orderBy(order, id_column))).where(F.col("rn") <= most)
     a = rank(selected, F.asc(score)).select(*columns, "rn", F.col(id_column).alias("remove_id"), F.col(score).alias("__old"))
     b = rank(free, F.desc(score)).select(*columns, "rn", F.col(id_column).alias("add_id"), F.col(score).alias("__new"))
     pairs = a.join(b, [*columns, "rn"]).withColumn("gain", F.col("__new") - F.col("__old")).where("gain > 0")

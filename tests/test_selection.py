@@ -283,12 +283,12 @@ def test_curves_of_a_table_against_itself(spark):
 
 def test_mixed_pool(spark):
     source = lambda k: spark.createDataFrame([(i, i * k) for i in range(3)], "id long, y long")
-    pool = X.build_pool({"tabdiff": source(1), "tabsyn": source(10)}, [("tabdiff", 1), ("tabsyn", 2)], 2, "id")
+    pool = X.build_pool({"alpha": source(1), "beta": source(10)}, [("alpha", 1), ("beta", 2)], 2, "id")
     rows = pool.collect()
     assert sorted(r.pool_row_id for r in rows) == list(range(6))
-    by = {s: [r for r in rows if r.source_id == s] for s in ("tabdiff", "tabsyn")}
-    assert len(by["tabdiff"]) == 2 and len(by["tabsyn"]) == 4 and by["tabsyn"][0].with_replacement and not by["tabdiff"][0].with_replacement
-    assert all(r.y == r.source_row_id * 10 for r in by["tabsyn"])
+    by = {s: [r for r in rows if r.source_id == s] for s in ("alpha", "beta")}
+    assert len(by["alpha"]) == 2 and len(by["beta"]) == 4 and by["beta"][0].with_replacement and not by["alpha"][0].with_replacement
+    assert all(r.y == r.source_row_id * 10 for r in by["beta"])
     assert X.build_pool({"a": source(1)}, [("a", 4)], 2, "id").count() == 3
     assert X.allocate_units({"a": 3, "b": 1}, ["a", "b"], 4) == [("a", 3), ("b", 1)] and X.allocate_units({"a": 1}, ["a"], 4) is None
     assert X.balanced_units(["a", "b", "c"], 4) == [("a", 2), ("b", 1), ("c", 1)]
@@ -297,8 +297,8 @@ def test_mixed_pool(spark):
 
 
 def test_source_prior(spark):
-    df = spark.createDataFrame([(1, "tabdiff", 0.8), (2, "tabsyn", 0.8), (3, "other", 0.8)], "id long, source_id string, u double")
-    got = U.apply_source_prior(df, S.parse_prior("tabdiff:1.0,tabsyn:0.5"), 0.25, ["u"]).orderBy("id").collect()
+    df = spark.createDataFrame([(1, "alpha", 0.8), (2, "beta", 0.8), (3, "other", 0.8)], "id long, source_id string, u double")
+    got = U.apply_source_prior(df, S.parse_prior("alpha:1.0,beta:0.5"), 0.25, ["u"]).orderBy("id").collect()
     assert [r.u for r in got] == pytest.approx([0.8, 0.4, 0.2]) and [r.prior_matched for r in got] == [True, True, False]
     assert [r.u_before for r in got] == [0.8] * 3
 
