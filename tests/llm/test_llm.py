@@ -525,6 +525,22 @@ def test_pipeline_against_its_parts(spark, small):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "SimHash near-dedup", "mixing sources", "packing"]
 
 
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_every_stage_takes_odd_rows(spark, docs, tmp_path, rows):
+    import corpus_pipeline
+
+    spark.createDataFrame([(10 + i, i % 2 if i % 7 else None, 0) for i in range(40)] + [(None, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    table = docs if rows == "odd" else docs.limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, table, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        out = spark.read.parquet(f"{tmp_path}/{k}")
+        if k < 3:
+            assert out.columns == docs.columns
+        assert (out.count() > 0) == (rows == "odd")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() >= 0
+
+
 def test_registered_sql(spark, medium):
     import duckdb
 
