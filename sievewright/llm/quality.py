@@ -162,7 +162,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     """The model: word and shape tables and the network.  Texts stay on the executors; what comes back has a fixed size."""
     from sievewright.llm._util import materialize, shared_dir
 
-    sample = materialize(_labelled(docs, labels, fit_rows).coalesce(4), f"{shared_dir(docs.sparkSession)}/sample")
+    home = shared_dir(docs.sparkSession)
+    # Only the sample is shuffled; the scan that finds it keeps its own tasks.
+    sample = materialize(_labelled(docs, labels, fit_rows).repartition(4), f"{home}/sample")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, total = Rows(), [np.zeros((r, DIM)) for r in (WORD_ROWS, SHAPE_ROWS)]
@@ -177,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
         yield pa.RecordBatch.from_arrays([pa.array([t.astype(np.float32).tobytes()]) for t in total], names=["words", "shapes"])
 
     tables = [np.zeros((r, DIM), dtype=np.float32) for r in (WORD_ROWS, SHAPE_ROWS)]
-    for row in sample.mapInArrow(sums, "words binary, shapes binary").toLocalIterator():
+    # The parts' sums are made side by side and written; the driver holds one at a time.
+    for row in materialize(sample.mapInArrow(sums, "words binary, shapes binary"), f"{home}/sums").toLocalIterator():
         for table, raw in zip(tables, row, strict=True):
             table += np.frombuffer(raw, dtype=np.float32).reshape(table.shape)
     for table in tables:
