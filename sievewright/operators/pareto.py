@@ -125,7 +125,7 @@ def crowding(df: DataFrame, id_column: str, objectives: Sequence[str], front: st
         before, after = F.lag(c).over(w), F.lead(c).over(w)
         ends = ends | before.isNull() | after.isNull()
         total = total + F.when(high - low <= 1e-12, F.lit(0.0)).otherwise(F.coalesce((after - before) / (high - low), F.lit(0.0)))
-    return df.withColumn("crowding", F.when(ends, F.lit(float("inf"))).otherwise(total))
+    return df.withColumn("crowding", F.when(ends, F.lit(float("inf"))).otherwise(F.round(total, 12)))
 
 
 def priority(objectives: Sequence[str], utility: str, privacy: str, fidelity: str, id_column: str) -> list[Column]:
@@ -137,7 +137,7 @@ def priority(objectives: Sequence[str], utility: str, privacy: str, fidelity: st
 def nsga_select(df: DataFrame, id_column: str, objectives: Sequence[str], keep: int) -> DataFrame:
     """Whole fronts while they fit; the last one by crowding, sum and objectives, all descending, then id."""
     ranked = crowding(df.join(fronts(df, id_column, objectives, keep), id_column).where("front is not null"), id_column, objectives)
-    total = sum((F.col(c) for c in objectives[1:]), F.col(objectives[0]))
+    total = F.round(sum((F.col(c) for c in objectives[1:]), F.col(objectives[0])), 9)
     return ranked.orderBy("front", F.desc("crowding"), total.desc(), *[F.desc(c) for c in objectives], id_column).limit(keep)
 
 

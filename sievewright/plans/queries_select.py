@@ -59,11 +59,28 @@ def surrogate_one_dimensional(spark, sf_dir):
     return own.select("row_id", "support", "balance", F.round(0.5 * F.col("balance_rank") + 0.5 * F.col("support_rank"), 9).alias("mixed"))
 
 
-@query()
+def _pair_tables_sql() -> str:
+    cells = lambda codes: " union all ".join(f"select '{a}' as l, '{b}' as r, {a} as a, {b} as b from {codes}" for a, b in _PAIRS)
+    return f"""pt as (select l, r, a, b, count(*) as n from ({cells("tc")}) group by all), pp as (select *, n / sum(n) over (partition by l, r) as p from pt),
+    qt as (select l, r, a, b, count(*) as n from ({cells("pc")}) group by all), qp as (select *, n / sum(n) over (partition by l, r) as p from qt),
+    both2 as (select qp.l, qp.r, qp.a, qp.b, ln(least(greatest(coalesce(pp.p, 0), 1e-12), 1)) as s, least(coalesce(pp.p, 0) / qp.p, 1) as w from qp left join pp on pp.l = qp.l and pp.r = qp.r and pp.a = qp.a and pp.b = qp.b)"""
+
+
+_TWO_JOINS = " ".join(f"join both2 h_{a}_{b} on h_{a}_{b}.l = '{a}' and h_{a}_{b}.r = '{b}' and h_{a}_{b}.a = z.{a} and h_{a}_{b}.b = z.{b}" for a, b in _PAIRS)
+_G9, _B9 = _GEO.replace(", 6)", ", 9)"), _BAL.replace(", 6)", ", 9)")
+
+
+@query(f"""with {_FIT}, {_POOL}, {_pair_tables_sql()}, one as ({_lookup_sql(f"{_G9} as support_1d, {_B9} as balance_1d")}),
+    two as (select z.row_id, round(exp(({" + ".join(f"h_{a}_{b}.s" for a, b in _PAIRS)}) / 10), 9) as support_2d, round(({" + ".join(f"h_{a}_{b}.w" for a, b in _PAIRS)}) / 10, 9) as balance_2d from pc z {_TWO_JOINS}),
+    r as (select one.*, support_2d, balance_2d, {", ".join(f"(row_number() over (order by {c}, one.row_id) - 1) / (count(*) over () - 1) as {c}_rank" for c in ("balance_1d", "balance_2d", "support_1d", "support_2d"))} from one join two on two.row_id = one.row_id),
+    t as (select *, 0.4 * support_1d_rank + 0.6 * support_2d_rank as tie from r)
+    select row_id, balance_1d, balance_2d, support_1d, support_2d, round(0.5 * balance_1d_rank + 0.5 * balance_2d_rank, 6) as fidelity, round(tie, 6) as tiebreak, round(0.45 * balance_1d_rank + 0.45 * balance_2d_rank + 0.1 * tie, 6) as band,
+    round(0.35 * balance_1d_rank + 0.35 * balance_2d_rank + 0.15 * support_1d_rank + 0.15 * support_2d_rank, 6) as safe, round(0.4 * balance_1d_rank + 0.4 * balance_2d_rank + 0.2 * tie, 6) as stage_b from t""")
 def surrogates(spark, sf_dir):
     _, cards, ref = reference(spark, sf_dir)
     codes = D.encode(split(spark, sf_dir, "pool"), cards, keep=("row_id",))
-    return U.surrogates(codes, ref, "row_id")
+    out = U.surrogates(codes, ref, "row_id").select("row_id", "balance_1d", "balance_2d", "support_1d", "support_2d", "fidelity", "tiebreak", "band", "safe", "stage_b")
+    return rounded(out, "fidelity", "tiebreak", "band", "safe", "stage_b")
 
 
 def _add_one_sql() -> str:
@@ -162,10 +179,19 @@ def front_zero_three_objectives(spark, sf_dir):
     return own.join(top, list(OBJECTIVES)).select("row_id", *OBJECTIVES)
 
 
-@query()
+#: Coarse objectives, so that the fronts are few and SQL can peel them by recursion.
+FRONTS_SQL = """cobj as (select row_id, floor(qty / 5) / 10 as c1, floor(price / 11000) / 10 as c2 from pool), cp as (select distinct c1, c2 from cobj),
+    lv(c1, c2, k) as (select c1, c2, 0 from cp union select p.c1, p.c2, lv.k + 1 from cp p join lv on lv.c1 >= p.c1 and lv.c2 >= p.c2 and (lv.c1 > p.c1 or lv.c2 > p.c2)),
+    fr as (select c1, c2, max(k)::int as front from lv group by 1, 2), cf as (select row_id, cobj.c1, cobj.c2, front from cobj join fr on fr.c1 = cobj.c1 and fr.c2 = cobj.c2)"""
+
+
+def coarse(spark, sf_dir):
+    return split(spark, sf_dir, "pool").select("row_id", (F.floor(F.col("qty") / 5) / 10).alias("c1"), (F.floor(F.col("price") / 11000) / 10).alias("c2"))
+
+
+@query(f"with recursive {SQL}, {FRONTS_SQL} select row_id, front from cf")
 def pareto_fronts(spark, sf_dir):
-    own = objectives(spark, sf_dir)
-    return P.fronts(own, "row_id", ("o1", "o2"), 300).where("front is not null")
+    return P.fronts(coarse(spark, sf_dir), "row_id", ("c1", "c2"))
 
 
 @query(f"""with {SQL}, {OBJ_SQL}, a as (select *, lag(o1) over w1 as b1, lead(o1) over w1 as a1, min(o1) over (partition by line) as l1, max(o1) over (partition by line) as h1, lag(o2) over w2 as b2, lead(o2) over w2 as a2, min(o2) over (partition by line) as l2, max(o2) over (partition by line) as h2
@@ -176,9 +202,12 @@ def crowding_distance(spark, sf_dir):
     return out.select("row_id", F.when(F.col("crowding") == float("inf"), -1.0).otherwise(F.round("crowding", 9)).alias("crowding"))
 
 
-@query()
+@query(f"""with recursive {SQL}, {FRONTS_SQL}, a as (select *, lag(c1) over w1 as b1, lead(c1) over w1 as a1, min(c1) over (partition by front) as l1, max(c1) over (partition by front) as h1, lag(c2) over w2 as b2, lead(c2) over w2 as a2, min(c2) over (partition by front) as l2, max(c2) over (partition by front) as h2
+    from cf window w1 as (partition by front order by c1, row_id), w2 as (partition by front order by c2, row_id)),
+    k as (select row_id, front, c1, c2, case when b1 is null or a1 is null or b2 is null or a2 is null then 1e9 else round(case when h1 - l1 <= 1e-12 then 0 else (a1 - b1) / (h1 - l1) end + case when h2 - l2 <= 1e-12 then 0 else (a2 - b2) / (h2 - l2) end, 12) end as cd from a)
+    select row_id, front from k order by front, cd desc, round(c1 + c2, 9) desc, c1 desc, c2 desc, row_id limit 200""")
 def nsga_selection(spark, sf_dir):
-    return P.nsga_select(objectives(spark, sf_dir), "row_id", ("o1", "o2"), 200).select("row_id", "front", "crowding")
+    return P.nsga_select(coarse(spark, sf_dir), "row_id", ("c1", "c2"), 200).select("row_id", "front")
 
 
 @query(f"""with {SQL}, {OBJ_SQL}, c as (select line, count(*) as n, 300 * count(*) / sum(count(*)) over () as share from obj group by 1), f as (select *, row_number() over (order by share - floor(share) desc, line::varchar) as k, 300 - sum(floor(share)) over () as extra from c),
