@@ -166,6 +166,33 @@ def counts_of(codes: DataFrame, reference: D.Reference) -> dict[str, list[int]]:
     return out
 
 
+def support_scores(current: DataFrame, reference: D.Reference, targets: dict[str, list[int]] | None = None) -> dict[str, Column]:
+    """remove_1d, add_1d, remove_2d, add_2d: how much a row's buckets are over, or short of, what is wanted.
+
+    Against target counts: gaps relative to the target (at least 1).  Without targets: against the real table's shares.
+    Columns count alike; pairs by their mutual information over max(its sum, 1).  ``current`` holds codes.
+    """
+    cards, n = reference.cards, max(1, current.count())
+
+    def gaps(have: list[int], probs: list[float], target: list[int] | None) -> tuple[list[float], list[float]]:
+        diff = [h / n - p for h, p in zip(have, probs, strict=True)] if target is None else [(h - t) / max(t, 1) for h, t in zip(have, target, strict=True)]
+        return [max(0.0, d) for d in diff], [max(0.0, -d) for d in diff]
+
+    counts, out = counts_of(current, reference), {}
+    one = [(F.col(c), gaps(counts[c], reference.probs[c], targets and targets[c])) for c in reference.columns]
+    for k, name in enumerate(("remove_1d", "add_1d")):
+        out[name] = sum((S.lookup(code, g[k], 0.0) for code, g in one), F.lit(0.0)) / len(one)
+    pairs = {(a, b): [0] * len(reference.pair_probs[a, b]) for a, b, _ in reference.edges}
+    if pairs:
+        for r in D.pair_counts(current, cards, list(pairs)).collect():
+            pairs[r.left, r.right][r.code] = r.n
+    weight = max(sum(mi for *_, mi in reference.edges), 1.0)
+    two = [(S.pair_code(F.col(a), F.col(b), cards.size(b)), mi / weight, gaps(pairs[a, b], reference.pair_probs[a, b], None)) for a, b, mi in reference.edges]
+    for k, name in enumerate(("remove_2d", "add_2d")):
+        out[name] = sum((S.lookup(code, g[k], 0.0) * w for code, w, g in two), F.lit(0.0))
+    return out
+
+
 def refine_to_targets(selected: DataFrame, pool: DataFrame, reference: D.Reference, id_column: str, targets: dict[str, list[int]], rounds: int = 6, batch: int = 64) -> DataFrame:
     """Swaps of batches that bring the counts nearer to the targets; a batch that doesn't is halved, then given up.
 

@@ -237,6 +237,20 @@ def refined_selection(spark, sf_dir):
     return K.refine_to_targets(codes.orderBy("row_id").limit(500), codes, ref, "row_id", K.quota_targets(codes, ref, 500))
 
 
+_GAPS = "s as (select tm.\"column\", tm.code, greatest(0, cm.n / 200 - tm.p) as over, greatest(0, tm.p - cm.n / 200) as short from tm join cm on cm.\"column\" = tm.\"column\" and cm.code = tm.code)"
+
+
+@query(f"""with {_FIT}, {codes_sql("pool", "pc")}, cur as (select * from pool order by row_id limit 200), {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, {_GAPS}
+    select pc.row_id, round(({" + ".join(f"s_{c}.over" for c in COLUMNS)}) / 5, 9) as remove_1d, round(({" + ".join(f"s_{c}.short" for c in COLUMNS)}) / 5, 9) as add_1d
+    from pc {" ".join(f"""join s s_{c} on s_{c}."column" = '{c}' and s_{c}.code = pc.{c}""" for c in COLUMNS)}""")
+def support_scores(spark, sf_dir):
+    _, cards, ref = reference(spark, sf_dir)
+    pool = split(spark, sf_dir, "pool")
+    scores = K.support_scores(D.encode(pool.orderBy("row_id").limit(200), cards), ref)
+    codes = D.encode(pool, cards, keep=("row_id",))
+    return codes.select("row_id", F.round(scores["remove_1d"], 9).alias("remove_1d"), F.round(scores["add_1d"], 9).alias("add_1d"))
+
+
 @query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 2000), a as (select *, row_number() over (partition by line, status order by o1, row_id) as rn from s),
     b as (select *, row_number() over (partition by line, status order by o1 desc, row_id) as rn from obj where row_id not in (select row_id from s))
     select a.line, a.status, a.row_id as remove_id, b.row_id as add_id, round(b.o1 - a.o1, 9) as gain from a join b on a.line = b.line and a.status = b.status and a.rn = b.rn where b.o1 > a.o1 order by round(b.o1 - a.o1, 9) desc, a.row_id limit 300""")
