@@ -15,7 +15,7 @@ FALLBACK_DIR = "file:///tmp/checkpoints/sievewright"
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, seen by the driver and all executors."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
     return f"{base.rstrip('/')}/sievewright-{uuid.uuid4().hex}"
 
 

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.llm._util import local_components, materialize, shared_dir
@@ -211,9 +212,11 @@ def keep_first(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
 
     Of rows that share that id, one with the smallest text; documents without id stay.
     """
-    from pyspark.sql import Window as W
-
     found = near_duplicates(docs.select("doc_id", "text"), budget, shingle)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep_id")).withColumn("__keep_rank", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-    return kept.where("__keep_rank = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    per_id = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("__first"), F.count("*").alias("__n"))
+    # Most ids are single and stay: only the others are looked up, so the texts needn't be shuffled for a few copies.
+    marked = materialize(per_id.where("not __first or __n > 1"), f"{shared_dir(docs.sparkSession)}/marked")
+    rest = docs.join(marked.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti")
+    repeated = docs.join(marked.where("__first").select("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    one = repeated.withColumn("__rank", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("__rank = 1").select(*docs.columns)
+    return rest.unionByName(one)
