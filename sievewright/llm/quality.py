@@ -64,7 +64,7 @@ def index_vectors(rows: int, seed: int) -> np.ndarray:
     return out
 
 
-def context_sums(ids: np.ndarray, bounds: np.ndarray, rows: int, index: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+def context_sums(ids: np.ndarray, bounds: np.ndarray, rows: int, index: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
     """Sum of the neighbours' index vectors for each row; ``bounds`` are the documents' ends in ``ids``."""
     doc = np.searchsorted(bounds, np.arange(len(ids)), side="right")
     out = np.zeros((rows, DIM), dtype=np.float64)
