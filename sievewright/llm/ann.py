@@ -61,11 +61,23 @@ def nearest(x: np.ndarray, c: np.ndarray, m: int, step: int = 4096) -> np.ndarra
     return out
 
 
+def thinned(c: np.ndarray, gap: float) -> np.ndarray:
+    """Centroids without those that lie within ``gap`` of an earlier one."""
+    keep: list[int] = []
+    for i in range(len(c)):
+        if not keep or ((c[keep] - c[i]) ** 2).sum(axis=1).min() > gap * gap:
+            keep.append(i)
+    return c[keep]
+
+
 class Quantizer:
-    """Coarse centroids, and codebooks for the parts of the residuals."""
+    """Coarse centroids, and codebooks for the parts of the residuals.
+
+    A dense group draws many centroids, more than a query probes; as all in it link, those within ``gap`` make one list.
+    """
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.centroids = kmeans(sample, lists)
+    def __init__(self, sample: np.ndarray, lists: int, gap: float = 0.0):
+        self.centroids = thinned(kmeans(sample, lists), gap)
         rest = sample - self.centroids[nearest(sample, self.centroids, 1)[:, 0]]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [kmeans(rest[:, p], CODES) for p in self.parts]
@@ -172,8 +184,9 @@ def near_duplicates(vectors: DataFrame, limit: float = 0.93, probes: int = 24, m
         own = ids.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("id")).limit(FIT_ROWS).select("embedding").toArrow()["embedding"]
         lists = int(min(MOST_LISTS, max(1, n // 256)))
-        model = Quantizer(unit(_matrix(sample, dim)), lists)
-        index = materialize(_coded(own, model, dim, min(lists, probes)), f"{home}/index{dim}")
+        # Two thirds of the distance at which unit vectors link.
+        model = Quantizer(unit(_matrix(sample, dim)), lists, np.sqrt(max(0.0, 2 - 2 * limit)) / 1.5)
+        index = materialize(_coded(own, model, dim, min(len(model.centroids), probes)), f"{home}/index{dim}")
         found = materialize(search(index, model, dim, limit, margin, list_rows), f"{home}/found{dim}")
         forest = found if forest is None else forest.unionAll(found)
     if forest is None:
