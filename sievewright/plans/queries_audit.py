@@ -11,6 +11,7 @@ from sievewright.operators import prcurve as PR
 from sievewright.operators import utility as UT
 from sievewright.plans.queries_profile import _L1, _L2, CUSTOMER, CUSTOMER_SQL, customer_role, rounded
 from sievewright.plans.roles import LINEITEM, SQL, Roles, split, table
+from sievewright.plans.workspace import materialize
 from sievewright.registry import query
 
 _SIGNAL = f"""{CUSTOMER_SQL}, x as (select a.c_custkey, min({_L1}) as d_real from cp a, ct b, sc group by 1), y as (select a.c_custkey, min({_L1}) as d_test from cp a, ch b, sc group by 1), sig as (select d_real, d_test from x join y on y.c_custkey = x.c_custkey)"""
@@ -144,7 +145,7 @@ def shadow_attack(spark, sf_dir):
 
 @query()
 def attribute_error_attack(spark, sf_dir):
-    return A.attribute_error(split(spark, sf_dir, "test").limit(500), split(spark, sf_dir, "pool").limit(2000), ("qty", "price"), ("flag", "status"), "row_id", trees=8)
+    return A.attribute_error(split(spark, sf_dir, "test"), split(spark, sf_dir, "pool"), ("qty", "price"), ("flag", "status"), "row_id")
 
 
 def scaled(spark, sf_dir):
@@ -207,12 +208,12 @@ def subset_utility(spark, sf_dir):
 
 @query()
 def subset_utility_boosted(spark, sf_dir):
-    return _one_row(spark, UT.subset_utility(split(spark, sf_dir, "pool").orderBy("row_id").limit(2000), split(spark, sf_dir, "test"), LINEITEM, "xgb"))
+    return _one_row(spark, UT.subset_utility(split(spark, sf_dir, "pool"), split(spark, sf_dir, "test"), LINEITEM, "xgb"))
 
 
 @query()
 def subset_utility_mlp(spark, sf_dir):
-    return _one_row(spark, UT.subset_utility(split(spark, sf_dir, "pool").orderBy("row_id").limit(2000), split(spark, sf_dir, "test"), LINEITEM, "mlp"))
+    return _one_row(spark, UT.subset_utility(split(spark, sf_dir, "pool"), split(spark, sf_dir, "test"), LINEITEM, "mlp"))
 
 
 @query()
@@ -235,8 +236,8 @@ def model_importance(spark, sf_dir):
 
 @query()
 def dynamic_utility(spark, sf_dir):
-    pool = split(spark, sf_dir, "pool").orderBy("row_id").limit(900)
-    return UT.dynamic_blocks(split(spark, sf_dir, "holdout").orderBy("row_id").limit(300), pool, split(spark, sf_dir, "test").orderBy("row_id").limit(500), LINEITEM, "row_id", 1, 3)
+    anchor, pool, test = (materialize(split(spark, sf_dir, x)) for x in ("holdout", "pool", "test"))
+    return UT.dynamic_blocks(anchor, pool, test, LINEITEM, "row_id", 8, 3)
 
 
 @query("""with d as (select l.quality as y, n_chars::double as s, (l.doc_id % 997)::double as p from labels l join documents d on d.doc_id = l.doc_id), q as (select quantile_cont(p, 1/3) as a, quantile_cont(p, 2/3) as b from d),

@@ -318,3 +318,19 @@ def test_utility_models(spark):
     assert scores.agg(F.max("utility")).first()[0] <= 1.0
     parts = UT.tercile_auc(df.withColumn("p", F.col("age")).withColumn("y", (F.col("income") == "high").cast("int")).withColumn("s", F.col("edu").cast("double")), "p", "y", "s")
     assert parts.agg(F.sum("n")).first()[0] == 144
+
+
+def test_model_queries_take_whole_splits(spark, small, medium, monkeypatch):
+    from sievewright.plans.roles import split
+    from sievewright.registry import QUERIES
+
+    got = {r.row_id for r in QUERIES["attribute_error_attack"](spark, small).collect()}
+    assert got == {r.row_id for r in split(spark, small, "test").collect()}
+    rows = []
+    monkeypatch.setattr(UT, "subset_utility", lambda subset, *a, **k: rows.append(subset.count()) or {"x": 0.0})
+    monkeypatch.setattr(A, "attribute_error", lambda target, synthetic, *a, trees=64, **k: rows.append((synthetic.count(), trees)))
+    monkeypatch.setattr(UT, "dynamic_blocks", lambda anchor, pool, test, roles, id_column, rounds, blocks: rows.append((anchor.count(), pool.count(), test.count(), rounds)))
+    for name in ("subset_utility_boosted", "subset_utility_mlp", "attribute_error_attack", "dynamic_utility"):
+        QUERIES[name](spark, medium)
+    n = split(spark, medium, "pool").count()
+    assert rows == [n, n, (n, 64), (split(spark, medium, "holdout").count(), n, split(spark, medium, "test").count(), 8)]
