@@ -93,10 +93,11 @@ def attribute_error(target: DataFrame, synthetic: DataFrame, numeric: Sequence[s
     """(id, score): minus the mean error of forests that predict each column from the others, trained on the synthetic rows.
 
     Columns with the most values first, ``most`` at most.  Numbers: |error| / deviation; categories: -ln p of the true value.
+    Columns with under two values are left out; without any column all scores are 0.
     """
     every = [*numeric, *labels]
     counts = synthetic.agg(*[F.approx_count_distinct(c).alias(c) for c in every]).first()
-    chosen = sorted(every, key=lambda c: (-counts[c], c))[:most]
+    chosen = [c for c in sorted(every, key=lambda c: (-counts[c], c))[:most] if counts[c] > 1 and len(every) > 1]
     values = {c: [r[0] for r in synthetic.groupBy(c).count().orderBy(F.desc("count"), c).limit(64).collect()] for c in labels}
     code = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values[c] if v is not None]), F.col(c)).cast("double"), F.lit(0.0))
     prep = lambda df: df.select(id_column, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric], *[code(c).alias(c) for c in labels])
@@ -114,7 +115,7 @@ def attribute_error(target: DataFrame, synthetic: DataFrame, numeric: Sequence[s
             p = F.coalesce(F.try_element_at(vector_to_array("probability"), F.col(c).cast("int") + 1), F.lit(0.0))
             err = -F.ln(F.greatest(p, F.lit(1e-12)))
         errors = errors.unionByName(got.select(id_column, err.alias("e")))
-    return errors.groupBy(id_column).agg((-F.sum("e") / len(chosen)).alias("score"))
+    return errors.groupBy(id_column).agg((-F.sum("e") / max(len(chosen), 1)).alias("score"))
 
 
 def score_frame(scores: dict[str, DataFrame], labels: DataFrame, id_column: str) -> DataFrame:
@@ -161,9 +162,9 @@ def shadow(frames: Sequence[DataFrame], target: DataFrame, id_column: str, trees
     return model.transform(_features(target.select(id_column, *common), common)).select(id_column, vector_to_array("probability")[1].alias("score"))
 
 
-def run_audit(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, reference: DataFrame, roles, id_column: str, most: int = 5000, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(reports, score frame) of the release attacks; each role is cut to ``most`` rows of its own fixed shuffle."""
-    cut = lambda df, k: df.orderBy(F.xxhash64(F.lit(seed + k), F.col(id_column)), id_column).limit(most)
+def run_audit(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, reference: DataFrame, roles, id_column: str, most: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(reports, score frame) of the release attacks on all rows, or on ``most`` rows of each role's own fixed shuffle."""
+    cut = lambda df, k: df if most is None else df.orderBy(F.xxhash64(F.lit(seed + k), F.col(id_column)), id_column).limit(most)
     members, others, syn, ref = cut(train, 0), cut(holdout, 1), cut(synthetic, 2), cut(reference, 3)
     target = members.withColumn("label", F.lit(1)).unionByName(others.withColumn("label", F.lit(0))).cache()
     metric = J.fit_metric(target.unionByName(syn.withColumn("label", F.lit(0))), roles)
@@ -171,6 +172,7 @@ def run_audit(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, refere
         "exact_match": exact_match(target, syn, roles.columns, id_column),
         "nearest_neighbor": nearest_neighbor(target, syn, id_column, id_column, metric),
         "density_ratio": density_ratio(target, syn, ref, id_column, id_column, id_column, metric),
+        "attribute_error": attribute_error(target, syn, (*roles.numeric, *roles.discrete), roles.labels, id_column, seed=seed),
     }
     frame = score_frame(scores, target.select(id_column, "label"), id_column)
     return binary_report(long_scores(frame, list(scores)), "label", "score"), frame

@@ -334,3 +334,18 @@ def test_model_queries_take_whole_splits(spark, small, medium, monkeypatch):
         QUERIES[name](spark, medium)
     n = split(spark, medium, "pool").count()
     assert rows == [n, n, (n, 64), (split(spark, medium, "holdout").count(), n, split(spark, medium, "test").count(), 8)]
+
+
+def test_audit_scores_all_rows_with_all_attacks(spark):
+    rows = lambda low, n, age: spark.range(low, low + n).select("id", age.cast("int").alias("age"), F.concat(F.lit("c"), F.col("id") % 7).alias("city"))
+    member, other = rows(0, 5100, F.col("id")), rows(10000, 50, -F.col("id"))
+    reports, frame = A.run_audit(member, other, member.withColumn("id", F.col("id") + 20000), rows(30000, 20, F.col("id")), Roles(("age",), (), ("city",)), "id")
+    got = {r.attack: r for r in reports.collect()}
+    assert set(got) == {"exact_match", "nearest_neighbor", "density_ratio", "attribute_error"} <= set(frame.columns)
+    assert {(r.n_member, r.n_nonmember) for r in got.values()} == {(5100, 50)}
+    assert frame.where("label = 1 and exact_match = 1").count() == 5100 and frame.where("label = 0 and exact_match = 0").count() == 50
+
+
+def test_attribute_error_leaves_out_constant_columns(spark):
+    df = spark.createDataFrame([(i, 1.0, "a") for i in range(6)], "id long, x double, c string")
+    assert {r.score for r in A.attribute_error(df, df, ("x",), ("c",), "id").collect()} == {0.0}
