@@ -6,8 +6,10 @@ engine finds near pairs, matches them one to one, and takes as many as the targe
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from pyspark.sql import functions as F
 from sievewright.operators import distance as J
 from sievewright.plans.workspace import materialize
 
+#: Edges that one task matches in a pass; more are first reduced by rounds.  The most neighbours that a later round looks at.
+PASS_EDGES, MOST_NEIGHBOURS = 1 << 20, 1024
+
 
 @dataclass(frozen=True)
 class Plan:
@@ -27,7 +32,7 @@ class Plan:
     then_any: bool = True
     mismatch: float = 4.0
     reuse: bool = False
-    neighbours: int = 16
+    neighbours: int = 64
     margin_weight: float = 0.1
     utility_weight: float = 0.1
     max_fraction: float = 0.5
@@ -96,10 +101,27 @@ def pair_edges(leaving: DataFrame, joining: DataFrame, id_column: str, metric: J
     return out.select("remove", "add", "distance", gain.alias("utility_gain"), score.alias("score"), same.alias("same"))
 
 
-def greedy_match(edges: DataFrame, reuse: bool = False) -> DataFrame:
+def _greedy_pass(edges: DataFrame, order: list) -> DataFrame:
+    """The greedy pass itself, in one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone, taken = set(), set()
+        for batch in batches:
+            free = []
+            for r, a in zip(batch["remove"].to_pylist(), batch["add"].to_pylist(), strict=True):
+                free.append(r not in gone and a not in taken)
+                if free[-1]:
+                    gone.add(r)
+                    taken.add(a)
+            yield batch.filter(pa.array(free, pa.bool_()))
+
+    return edges.coalesce(1).sortWithinPartitions(*order).mapInArrow(run, edges.schema)
+
+
+def greedy_match(edges: DataFrame, reuse: bool = False, most: int = PASS_EDGES) -> DataFrame:
     """The pairs a greedy pass in the order (score, distance, remove, add) takes, each row once.
 
     Rounds of mutual best edges give the same pairs: an edge that is the best of both its ends can't be blocked.
+    Once at most ``most`` edges are left, one pass takes the rest.
     ``reuse``: additions may serve several removals, so each removal's best edge is final.
     """
     order = [F.col(c).asc() for c in ("score", "distance", "remove", "add")]
@@ -107,12 +129,35 @@ def greedy_match(edges: DataFrame, reuse: bool = False) -> DataFrame:
     if reuse:
         return best(edges, "remove").where("__remove = 1").drop("__remove")
     left, done = materialize(edges), None
-    while True:
+    while left.count() > most:
         top = materialize(best(best(left, "remove"), "add").where("__remove = 1 and __add = 1").drop("__remove", "__add"))
-        if not top.count():
-            return done if done is not None else top
         done = top if done is None else done.unionByName(top)
         left = materialize(left.join(top.select("remove"), "remove", "left_anti").join(top.select("add"), "add", "left_anti"))
+    rest = _greedy_pass(left, order)
+    return rest if done is None else done.unionByName(rest)
+
+
+def match(leaving: DataFrame, joining: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None, need: int) -> DataFrame:
+    """Pairs until there are ``need`` of them or one side is used up.
+
+    Leaving rows whose nearest additions are all taken look again among the free ones, each round at twice as many.  Where a
+    plan reuses additions, the pairs still missing after that take any addition.
+    """
+    every, pairs, n, k = joining, None, 0, plan.neighbours
+    while n < need:
+        edges = pair_edges(leaving, joining, id_column, metric, replace(plan, neighbours=k), target)
+        more = materialize(greedy_match(edges))
+        found = more.count()
+        pairs, n = more if pairs is None else pairs.unionByName(more), n + found
+        if not found or n >= need:
+            break
+        leaving = materialize(leaving.join(more.select(F.col("remove").alias(id_column)), id_column, "left_anti"))
+        joining = materialize(joining.join(more.select(F.col("add").alias(id_column)), id_column, "left_anti"))
+        k = max(k, min(2 * k, MOST_NEIGHBOURS))
+    if plan.reuse and n < need:
+        fill = greedy_match(pair_edges(leaving, every, id_column, metric, plan, target), reuse=True)
+        pairs = pairs.unionByName(materialize(fill.orderBy(F.desc("same"), "score", "distance", "remove", "add").limit(need - n)))
+    return pairs
 
 
 def repair(pool: DataFrame, selected: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None = None) -> tuple[DataFrame, dict]:
@@ -137,8 +182,7 @@ def repair(pool: DataFrame, selected: DataFrame, id_column: str, metric: J.Metri
     joining = pool.join(selected.select(id_column), id_column, "left_anti").where(F.col("is_real_closer") != F.lit(reduce_dcr))
     if plan.candidates:
         joining = budgeted_candidates(joining, id_column, plan.candidates)
-    edges = pair_edges(materialize(leaving), materialize(joining), id_column, metric, plan, target)
-    pairs = greedy_match(edges, plan.reuse)
+    pairs = match(materialize(leaving), materialize(joining), id_column, metric, plan, target, min(desired, most))
     order = [F.desc("same")] if plan.same_target else []
     swaps = materialize(pairs.orderBy(*order, "score", "distance", "remove", "add").limit(min(desired, most)))
     n, gain = swaps.agg(F.count("*"), F.avg("utility_gain")).first()

@@ -349,3 +349,37 @@ def test_audit_scores_all_rows_with_all_attacks(spark):
 def test_attribute_error_leaves_out_constant_columns(spark):
     df = spark.createDataFrame([(i, 1.0, "a") for i in range(6)], "id long, x double, c string")
     assert {r.score for r in A.attribute_error(df, df, ("x",), ("c",), "id").collect()} == {0.0}
+
+
+def test_repair_rematches_rows_that_share_their_neighbours(spark):
+    n = 150
+    pool = [(i, 0.0, True, 0.1, 0.5) for i in range(n)] + [(1000 + i, 1.0 + i / 1000, False, -0.1, 0.5) for i in range(n)]
+    pool = spark.createDataFrame(pool, "id long, x double, is_real_closer boolean, margin double, utility double")
+    metric = J.Metric(("x",), (), (0.0,), (1.0,), (), norm=1)
+    plan = RP.Plan(margin=0.0, max_fraction=1.0)
+    out, report = RP.repair(pool, pool.where(f"id < {n}").select("id"), "id", metric, plan)
+    assert report["swaps"] == report["desired_swaps"] == 75 and report["final_dcr"] == 0.5
+    leaving, joining = pool.where(f"id < {n}"), pool.where("id >= 1000")
+    pairs = RP.match(leaving, joining, "id", metric, plan, None, n).collect()
+    assert {(r.remove, r.add) for r in pairs} == {(i, 1000 + i) for i in range(n)}
+    # Additions are reused only for what unique ones leave missing.
+    few = RP.match(leaving.where("id < 50"), joining.where("id < 1020"), "id", metric, RP.Plan(reuse=True), None, 30).collect()
+    assert len(few) == 30 and len({r.add for r in few}) == 20
+
+
+def test_repair_matches_a_brute_force_greedy_pass(spark):
+    rng = random.Random(4)
+    make = lambda low, n: [(low + i, rng.random(), rng.random() / 10, rng.random()) for i in range(n)]
+    a, b = make(0, 40), make(1000, 60)
+    left, right = (spark.createDataFrame(x, "id long, x double, margin double, utility double") for x in (a, b))
+    edges = sorted((abs(p[1] - q[1]) - 0.1 * (p[2] + q[2]) - 0.1 * (q[3] - p[3]), p[0], q[0]) for p in a for q in b)
+    want, used = set(), set()
+    for _, p, q in edges:
+        if p not in used and q not in used:
+            want.add((p, q))
+            used |= {p, q}
+    metric = J.Metric(("x",), (), (0.0,), (1.0,), (), norm=1)
+    got = RP.match(left, right, "id", metric, RP.Plan(), None, 40)
+    assert {(r.remove, r.add) for r in got.collect()} == want
+    every = RP.pair_edges(left, right, "id", metric, RP.Plan(), None)
+    assert {(r.remove, r.add) for r in RP.greedy_match(every, most=0).collect()} == want
