@@ -16,6 +16,7 @@ from sievewright.operators import validate as V
 from sievewright.plans.queries_profile import _FIT, _PAIRS, _POOL, COLUMNS, CUSTOMER, CUSTOMER_SQL, _lookup_sql, codes_sql, customer_role, marginals_sql, reference, rounded
 from sievewright.plans.roles import SQL, lineitem, split, table
 from sievewright.plans.search import final_choice, guidance
+from sievewright.plans.workspace import materialize
 from sievewright.registry import query
 from sievewright.streaming.archive import Archive, run_chunks
 
@@ -316,8 +317,8 @@ def repaired(spark, sf_dir, version: str):
     metric = J.fit_metric(train, CUSTOMER, norm=1)
     pool = customer_role(spark, sf_dir, 7, 8, 9)
     signal = J.dcr_signal(pool, "c_custkey", train, test, metric, "c_custkey", "c_custkey")
-    own = pool.join(signal, "c_custkey").withColumn("utility", F.pmod("c_custkey", F.lit(97)) / 97)
-    selected = own.orderBy(F.col("is_real_closer").desc(), "c_custkey").limit(60)
+    own = materialize(pool.join(signal, "c_custkey").withColumn("utility", F.pmod("c_custkey", F.lit(97)) / 97))
+    selected = own.where(F.pmod("c_custkey", F.lit(10)) == 9)
     return RP.repair(own, selected.select("c_custkey"), "c_custkey", metric, RP.PLANS[version], "c_mktsegment")[0].select("c_custkey", "is_real_closer", "utility")
 
 

@@ -383,3 +383,10 @@ def test_repair_matches_a_brute_force_greedy_pass(spark):
     assert {(r.remove, r.add) for r in got.collect()} == want
     every = RP.pair_edges(left, right, "id", metric, RP.Plan(), None)
     assert {(r.remove, r.add) for r in RP.greedy_match(every, most=0).collect()} == want
+
+
+def test_repair_query_selects_a_share_of_the_table(spark, medium):
+    from sievewright.registry import QUERIES
+
+    customers = spark.read.parquet(f"{medium}/customer.parquet").where("c_custkey % 10 = 9").count()
+    assert QUERIES["dcr_repair_v4"](spark, medium).count() == customers > 60
