@@ -350,8 +350,9 @@ def mixed_pool(spark, sf_dir):
 
 @query()
 def mixed_pool_with_replacement(spark, sf_dir):
-    pool = split(spark, sf_dir, "pool").select("row_id", "line").orderBy("row_id").limit(300)
-    return X.build_pool({"a": pool.where("line <= 3"), "b": pool.where("line > 3")}, [("a", 1), ("b", 2)], 200, "row_id").drop("line")
+    pool = split(spark, sf_dir, "pool").select("row_id", "line")
+    # A unit of the whole pool's size is more than either source holds.
+    return X.build_pool({"a": pool.where("line <= 3"), "b": pool.where("line > 3")}, [("a", 1), ("b", 2)], pool.count(), "row_id").drop("line")
 
 
 @query(f"with {SQL}, s as (select row_id from pool where line = 1) select row_id from pool where row_id not in (select row_id from s)")

@@ -390,3 +390,13 @@ def test_repair_query_selects_a_share_of_the_table(spark, medium):
 
     customers = spark.read.parquet(f"{medium}/customer.parquet").where("c_custkey % 10 = 9").count()
     assert QUERIES["dcr_repair_v4"](spark, medium).count() == customers > 60
+
+
+def test_pool_with_replacement_draws_from_the_whole_pool(spark, medium):
+    from sievewright.plans.roles import split
+    from sievewright.registry import QUERIES
+
+    n = split(spark, medium, "pool").count()
+    got = QUERIES["mixed_pool_with_replacement"](spark, medium).cache()
+    assert got.count() == 3 * n and got.where("not with_replacement").count() == 0
+    assert got.select("source_row_id").distinct().count() > 0.7 * n
