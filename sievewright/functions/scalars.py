@@ -95,3 +95,15 @@ def shifted_geomean(parts: Sequence[Column], weights: Sequence[float], shift: fl
     total = sum(weights)
     logs = [F.ln((p + shift) / (1 + shift)) * (w / total) for p, w in zip(parts, weights, strict=True)]
     return F.exp(sum(logs[1:], logs[0]))
+
+
+def largest_remainders(weights: Sequence[float], total: int) -> list[int]:
+    """Whole numbers that sum to ``total`` in proportion to the weights (equal ones if all are 0); what the floors leave goes to the largest fractions, earlier ones first."""
+    if not weights:
+        return []
+    mass = sum(weights)
+    shares = [total * w / mass if mass > 0 else total / len(weights) for w in weights]
+    out = [int(x) for x in shares]
+    for i in sorted(range(len(out)), key=lambda i: out[i] - shares[i])[: total - sum(out)]:
+        out[i] += 1
+    return out

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
-import math
 from collections.abc import Iterable, Sequence
 from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.functions.scalars import largest_remainders
 from sievewright.operators.ranks import global_row_number
 
 
@@ -60,17 +60,14 @@ def build_pool(sources: dict[str, DataFrame], units: Sequence[tuple[str, int]],
 
 
 def allocate_units(weights: dict[str, float], sources: Sequence[str], total: int, min_sources: int = 2) -> list[tuple[str, int]] | None:
-    """One unit a source, the heaviest first, and the rest by weight with largest remainders; None if there are too few sources."""
-    valid = sorted(((s, w) for s, w in weights.items() if s in sources and w > 0), key=lambda x: (-x[1], list(sources).index(x[0]), x[0]))
-    chosen = valid[:total]
-    if len(chosen) < min_sources or total < min_sources:
+    """The heaviest sources, a unit each, and the other units by weight; None if there are too few sources."""
+    place = {s: i for i, s in enumerate(sources)}
+    heaviest = sorted((s for s in place if weights.get(s, 0) > 0), key=lambda s: (-weights[s], place[s]))[:total]
+    if min(len(heaviest), total) < min_sources:
         return None
-    rest, mass = total - len(chosen), sum(w for _, w in chosen)
-    share = {s: rest * w / mass for s, w in chosen}
-    units = {s: 1 + math.floor(x) for s, x in share.items()}
-    for s in sorted(share, key=lambda s: (-(share[s] - math.floor(share[s])), list(sources).index(s)))[: total - sum(units.values())]:
-        units[s] += 1
-    return [(s, units[s]) for s in sources if s in units]
+    chosen = sorted(heaviest, key=place.__getitem__)
+    more = largest_remainders([weights[s] for s in chosen], total - len(chosen))
+    return [(s, 1 + n) for s, n in zip(chosen, more, strict=True)]
 
 
 def balanced_units(sources: Sequence[str], total: int, min_sources: int = 2) -> list[tuple[str, int]]:

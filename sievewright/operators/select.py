@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.functions import scalars as S
+from sievewright.functions.scalars import largest_remainders
 from sievewright.operators import fidelity as D
 from sievewright.operators import pareto as P
 from sievewright.plans.workspace import materialize
@@ -89,23 +90,15 @@ def direction_family(df: DataFrame, id_column: str, objectives: Sequence[str], k
 def allocate(probs: Sequence[float], available: Sequence[int], budget: int) -> list[int]:
     """Whole numbers near probs * budget, within availability, that sum to min(budget, sum available).
 
-    Floors, then the largest fractions; what availability cuts off is shared again among the others.
+    By largest remainders; what availability cuts off is shared again among the others.
     """
     out = [0] * len(probs)
     left = min(budget, sum(available))
     while left > 0:
-        open_ = [i for i in range(len(probs)) if out[i] < available[i]]
-        mass = sum(probs[i] for i in open_)
-        want = {i: left * (probs[i] / mass if mass > 0 else 1 / len(open_)) for i in open_}
-        step = {i: min(int(want[i]), available[i] - out[i]) for i in open_}
-        if not any(step.values()):
-            for i in sorted(open_, key=lambda i: (-(want[i] - int(want[i])), i))[:left]:
-                out[i] += 1
-                left -= 1
-            continue
-        for i, s in step.items():
-            out[i] += s
-            left -= s
+        open_ = [i for i, most in enumerate(available) if out[i] < most]
+        for i, n in zip(open_, largest_remainders([probs[i] for i in open_], left), strict=True):
+            out[i] = min(out[i] + n, available[i])
+        left = min(budget, sum(available)) - sum(out)
     return out
 
 

@@ -31,19 +31,28 @@ def chunk_of(row_number, size: int):
     return F.floor((row_number - 1) / size).cast("int")
 
 
+def must_take(remaining_keep: int, later_rows: int) -> int:
+    """What the later chunks couldn't make up."""
+    return max(0, remaining_keep - later_rows)
+
+
+def can_take(rows: int, remaining_keep: int) -> int:
+    return max(0, min(rows, remaining_keep))
+
+
 def chunk_quota(rows: int, remaining_keep: int, remaining_rows: int, last: bool) -> int:
-    """The chunk's share of what is still to keep, rounded half to even, within what the later chunks can and must leave."""
-    if rows <= 0 or remaining_keep <= 0:
-        return 0
-    if last:
-        return min(rows, remaining_keep)
-    share = round(remaining_keep * rows / max(remaining_rows, 1))
-    return max(0, remaining_keep - (remaining_rows - rows), min(share, rows, remaining_keep))
+    """The chunk's proportional share of what is still to keep (half to even), between what it must and what it can take."""
+    share = round(remaining_keep * rows / max(1, remaining_rows))
+    least = must_take(remaining_keep, 0 if last else remaining_rows - rows)
+    return min(max(share, least), can_take(rows, remaining_keep))
 
 
 @dataclass
 class Archive:
-    """State: a written table of kept rows, replaced after every chunk, and the counts."""
+    """State: a written table of kept rows, a new version of it after every chunk, and the counts, written after the table.
+
+    A step with a batch id at or below the last one is a replay and changes nothing; ``resume`` takes up the state in ``home``.
+    """
 
     spark: SparkSession
     id_column: str
@@ -56,6 +65,7 @@ class Archive:
     version: int = 0
     seen: int = 0
     kept: int = 0
+    last_batch: int = -1
     history: list[dict] = field(default_factory=list)
 
     def __post_init__(self) -> None:
@@ -64,24 +74,27 @@ class Archive:
     def rows(self) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.home}/v{self.version}") if self.version else None
 
-    def step(self, chunk: DataFrame) -> None:
+    def step(self, chunk: DataFrame, batch_id: int | None = None) -> None:
         """One chunk: its best rows by fronts and crowding join the archive; over budget the archive is reduced."""
+        if batch_id is not None:
+            if batch_id <= self.last_batch:
+                return
+            self.last_batch = batch_id
         own = materialize(chunk)
         n = own.count()
         quota = chunk_quota(n, self.keep - self.kept, self.total_rows - self.seen, self.seen + n >= self.total_rows)
         self.seen += n
-        if not quota:
-            self.history.append({"rows": n, "quota": 0})
-            return
-        best = P.nsga_select(own, self.id_column, self.objectives, quota).select(*chunk.columns)
-        old = self.rows()
-        every = materialize(best if old is None else old.unionByName(best).dropDuplicates([self.id_column]))
-        if every.count() > self.budget_factor * self.keep:
-            every = self.reduce(every)
-        self.kept += quota
-        self.version += 1
-        every.write.mode("overwrite").parquet(f"{self.home}/v{self.version}")
         self.history.append({"rows": n, "quota": quota})
+        if quota:
+            best = P.nsga_select(own, self.id_column, self.objectives, quota).select(*chunk.columns)
+            old = self.rows()
+            every = materialize(best if old is None else old.unionByName(best).dropDuplicates([self.id_column]))
+            if every.count() > self.budget_factor * self.keep:
+                every = self.reduce(every)
+            self.kept += quota
+            self.version += 1
+            every.write.mode("overwrite").parquet(f"{self.home}/v{self.version}")
+        self.save(f"{self.home}/state")
 
     def reduce(self, rows: DataFrame) -> DataFrame:
         if self.stratum:
@@ -92,7 +105,7 @@ class Archive:
 
     def save(self, path: str) -> None:
         """The state as one JSON text, through Spark's writer."""
-        state = {k: getattr(self, k) for k in ("version", "seen", "kept", "history", "home")}
+        state = {k: getattr(self, k) for k in ("version", "seen", "kept", "last_batch", "history", "home")}
         self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     def load(self, path: str) -> None:
@@ -100,16 +113,27 @@ class Archive:
             setattr(self, k, v)
 
 
+    def resume(self) -> Archive:
+        """The state that an earlier run left in ``home``, if there is one."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/state/_SUCCESS")
+        if path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+            self.load(f"{self.home}/state")
+        return self
+
+
 def run_chunks(df: DataFrame, archive: Archive, size: int, order: Sequence) -> Archive:
-    """Chunks of ``size`` rows of a total order."""
+    """Chunks of ``size`` rows of a total order, each a folder of its own, so that a step reads no more than its chunk."""
     from sievewright.operators.ranks import global_row_number
 
     numbered = global_row_number(df, order, "__rn").withColumn("__chunk", chunk_of(F.col("__rn"), size))
+    path = shared_dir(archive.spark)
+    numbered.repartitionByRange("__chunk").drop("__rn").write.partitionBy("__chunk").parquet(path)
     for k in range(len(chunk_slices(archive.total_rows, size))):
-        archive.step(numbered.where(F.col("__chunk") == k).drop("__rn", "__chunk"))
+        archive.step(archive.spark.read.schema(df.schema).parquet(f"{path}/__chunk={k}"))
     return archive
 
 
 def run_stream(stream: DataFrame, archive: Archive, checkpoint: str):
     """Starts the query that feeds each micro-batch to the archive; one trigger over what is there."""
-    return stream.writeStream.foreachBatch(lambda batch, _: archive.step(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    archive.resume()
+    return stream.writeStream.foreachBatch(archive.step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

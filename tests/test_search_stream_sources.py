@@ -103,3 +103,24 @@ def test_files(spark, tmp_path):
     assert whole == ["n"] and [r.c for r in prepared["train"].collect()] == ["nan", "q"]
     with pytest.raises(ValueError):
         SRC.normalize_names(spark.createDataFrame([(1, 2)], "` a` int, a int"))
+
+
+def test_a_replayed_batch_counts_once(spark, tmp_path):
+    rows = spark.createDataFrame([(i, i / 10, 1 - i / 10) for i in range(10)], "id long, o1 double, o2 double")
+    home = f"file://{tmp_path}/archive"
+    first = T.Archive(spark, "id", ("o1", "o2"), 4, 20, home=home)
+    first.step(rows, 0)
+    again = T.Archive(spark, "id", ("o1", "o2"), 4, 20, home=home).resume()
+    again.step(rows, 0)
+    assert (again.seen, again.kept, again.last_batch) == (first.seen, first.kept, 0) == (10, 2, 0)
+    again.step(rows.withColumn("id", F.col("id") + 10), 1)
+    assert again.kept == 4 and again.rows().count() == 4
+
+
+def test_units_by_largest_remainders():
+    from sievewright.functions.scalars import largest_remainders
+    from sievewright.operators import mix
+
+    assert largest_remainders([1, 1, 1], 5) == [2, 2, 1] and largest_remainders([0.0, 0.0], 3) == [2, 1] and largest_remainders([], 4) == []
+    assert mix.allocate_units({"a": 0.5, "b": 0.3, "c": 0.2}, ["c", "b", "a"], 8) == [("c", 2), ("b", 3), ("a", 3)]
+    assert mix.allocate_units({"a": 1.0, "b": 0.0}, ["a", "b"], 4) is None
