@@ -15,7 +15,11 @@ FALLBACK_DIR = "file:///tmp/checkpoints/sievewright"
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, seen by the driver and all executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = FALLBACK_DIR
     return f"{base.rstrip('/')}/sievewright-{uuid.uuid4().hex}"
 
 
@@ -31,6 +35,11 @@ def materialize(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def valid_text(column: str = "text"):
+    """The column as text that Python can read: bytes that aren't UTF-8 become replacement characters."""
+    return F.make_valid_utf8(F.col(column).cast("string")).alias(column)
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

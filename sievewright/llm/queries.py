@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sievewright.llm import ann, chat, html, lm, media, mixing, packing, quality, simhash, warc
 
-#: Rank file of the byte-level BPE, the same vocabulary as byte_bpe_50k.json; a parameter everywhere below.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The public byte-level BPE; a parameter everywhere below.
+VOCABULARY = "byte_bpe_50k.json"
 
 
 def vocabulary_path() -> str:

@@ -66,9 +66,10 @@ def test_pack(spark, docs):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(file("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    special = [(500, "a <|endoftext|> b", None), (501, "<|endoftext|><|endoftext|>  x", None), (502, " <|endoftext| >\n\n<|endoftext|>", None), (503, "<|endoftext|>é 日本語\u2009 12345's", None)]
+    docs = docs.select("doc_id", "text", "n").unionByName(spark.createDataFrame(special, "doc_id long, text string, n string"))
     out = [r.asDict() for r in packing.pack(docs, path).collect()]
-    want = sorted(((-1 if d is None else d), tuple(tok.encode(t or "", add_special_tokens=False).ids) + (0,)) for d, t, *_ in odd_docs())
+    want = sorted(((-1 if d is None else d), tuple(tok.encode(t or "", add_special_tokens=False).ids) + (0,)) for d, t, *_ in odd_docs() + special)
     by = defaultdict(list)
     for r in out:
         by[-1 if r["doc_id"] is None else r["doc_id"]].append(r)
@@ -100,10 +101,40 @@ def test_pack(spark, docs):
 
 def test_cut():
     for n in range(1, 3000):
-        pieces = packing.cut(n, 1024, 16)
-        assert sum(x for x, _ in pieces) == n
+        pieces = packing.cut(n, 1024, 64)
+        assert sum(x for x, _ in pieces) == n and len(pieces) <= n // 1024 + 5
         for x, k in pieces:
-            assert 0 < x <= 1024 // k
+            assert 0 < x <= 1024 // k and k == 1024 // x
+
+
+def test_ids_equal_the_other_library():
+    from tokenizers import Tokenizer
+
+    tok, enc, rng = Tokenizer.from_file(queries.vocabulary_path()), packing.encoding(queries.vocabulary_path()), random.Random(11)
+    parts = ["<|endoftext|>", " ", "\n", "\t", "the", " the", "'s", "é", "日本", "\U0001f600", "12", "...", "<|", "|>", "\u00a0", "\r\n", "A", "ß", "\u0301"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert enc.encode(text, allowed_special="all") == tok.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", ["", "one two three", "word " * 90, None])
+def test_short_documents_pad_little(spark, text):
+    docs = spark.range(12_000).select(F.col("id").alias("doc_id"), F.lit(text).cast("string").alias("text"))
+    out = packing.pack(docs, queries.vocabulary_path(), with_ids=False).agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("tokens"), F.count("*").alias("pieces")).first()
+    assert 1024 * (out.n - 1) <= 1.05 * out.tokens and out.pieces <= 4 * 12_000
+
+
+def test_text_that_is_not_utf8(spark):
+    docs = spark.sql("select 1L as doc_id, cast(unhex('61ff20c3') as string) as text, 's' as source")
+    assert packing.pack(docs, queries.vocabulary_path()).first().doc_tokens > 2
+    assert lm.score_corpus(docs).first().n_tokens == 3 and simhash.near_duplicates(docs).count() == 1
+    assert media.store_and_read(docs).first().n_bytes == 4
+    nothing = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score_documents(docs, nothing).first().score == 0.5 and quality.keep_good(docs, spark.createDataFrame([], "doc_id long, quality int")).count() == 1
+    assert mixing.plan_mix(docs).first()["size"] == 2
+    assert html.extract_pages(docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("<p>Some long text of the page, with a sentence. "), "text").alias("html"))).first().text != ""
+    pages = docs.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"))
+    assert warc.round_trip(pages).first().payload_bytes == 4
 
 
 # Mixing
