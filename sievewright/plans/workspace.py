@@ -11,7 +11,11 @@ FALLBACK_DIR = "file:///tmp/checkpoints/sievewright"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or FALLBACK_DIR
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = FALLBACK_DIR
     return f"{base.rstrip('/')}/sievewright-{uuid.uuid4().hex}"
 
 
