@@ -8,9 +8,11 @@ of one role:
 Texts and roles are escaped first: a backslash becomes ``\s`` and the i-th control
 string becomes ``\`` and the i-th letter of ``CODES``, so no control string of the
 template (or of the other listed templates) survives inside a text, and
-``unescape`` gives back the very text.  The loss mask is a list of byte ranges of the
+``unescape`` gives back the very text.  A line feed, which ends a role, becomes ``\n`` inside one.  The loss mask is a list of byte ranges of the
 UTF-8 output, one for each assistant text, without separators.
 
+A conversation's turn structs are collected and sorted, and array aggregations merge them into blocks and place the loss ranges.
+
 Cases.  Null text or role: empty.  Null conv_id: one conversation of its own.  Null turn:
 before all others.  Equal turns are ordered by role, then text, and equal rows are
 all kept.  An empty table gives no rows; other columns are ignored.
@@ -18,8 +20,9 @@ all kept.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
@@ -42,46 +45,77 @@ def unescape(text: Column) -> Column:
     return F.replace(out, F.lit("\\s"), F.lit("\\"))
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(role: Column) -> Column:
+    return unescape(F.replace(role, F.lit("\\n"), F.lit("\n")))
+
+
+#: Elements of one inner aggregation.
+PART = 256
+
+
+def fold(items: Column, zero: Column, step: Callable, join: Callable) -> Column:
+    """Array aggregation in two levels: parts of ``PART`` elements are folded by ``step``, their results by ``join``.
+
+    What an accumulator collects is copied at every append; so long arrays copy a part's worth, and the whole once a part.
+    """
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(PART))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(F.transform(starts, lambda at: F.aggregate(F.slice(items, at, PART), zero, step)), zero, join)
+
+
+def merged(turns: Column) -> Column:
+    """Blocks array<struct<role, texts>> of sorted turns: adjacent turns of one role are one block."""
+
+    def join(done: Column, new: Column) -> Column:
+        last, first = F.element_at(done, -1), F.element_at(new, 1)
+        both = F.struct(last["role"].alias("role"), F.concat(last["texts"], first["texts"]).alias("texts"))
+        meet = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both), F.slice(new, 2, F.size(new)))
+        return F.when(F.size(done) == 0, new).when(last["role"] == first["role"], meet).otherwise(F.concat(done, new))
+
+    one = lambda t: F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
+    return fold(turns, F.array().cast("array<struct<role:string,texts:array<string>>>"), lambda done, t: join(done, one(t)), join)
+
+
+def placed(blocks: Column) -> Column:
+    """Byte ranges array<struct<start, length>> of the assistant's texts, from 1."""
+    pieces = F.flatten(F.transform(blocks, lambda b: F.transform(b["texts"], lambda text, i: F.struct(
+        F.when(i == 0, len(START) + F.octet_length(b["role"]) + 1).otherwise(len(SEP)).alias("before"),
+        F.octet_length(text).alias("length"),
+        F.when(i == F.size(b["texts"]) - 1, len(END)).otherwise(0).alias("after"),
+        (b["role"] == "assistant").alias("learn"),
+    ))))
+    kind = "struct<size:int,ranges:array<struct<start:int,length:int>>>"
+
+    def step(acc: Column, p: Column) -> Column:
+        own = F.array(F.struct((acc["size"] + p["before"] + 1).alias("start"), p["length"].alias("length")))
+        ranges = F.when(p["learn"], F.concat(acc["ranges"], own)).otherwise(acc["ranges"])
+        return F.struct((acc["size"] + p["before"] + p["length"] + p["after"]).alias("size"), ranges.alias("ranges"))
+
+    def join(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["ranges"], lambda r: F.struct((r["start"] + acc["size"]).alias("start"), r["length"].alias("length")))
+        return F.struct((acc["size"] + part["size"]).alias("size"), F.concat(acc["ranges"], moved).alias("ranges"))
+
+    zero = F.struct(F.lit(0).alias("size"), F.array().alias("ranges")).cast(kind)
+    return fold(pieces, zero, step, join)["ranges"]
+
+
 def format_chats(turns: DataFrame) -> DataFrame:
     """(conv_id, formatted string, loss array<struct<start, length>>) for each conversation.
 
     ``loss`` counts bytes of the UTF-8 form from 1, as ``substring`` of a binary does.
-    One shuffle: the running byte position and the collected array share the
-    partitioning by conv_id.  A conversation is one output string, so its turns meet in one task.
+    One shuffle, by conv_id: a conversation is one output string, so its turns meet in one task.
     """
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = turns.select(
-        "conv_id",
+    turn = F.struct(
         F.col("turn").cast("long").alias("turn"),
-        escape(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
+        escape_role(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"),
         escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"),
     )
-    # A turn adds the head of its block or a separator, its text, and the block's end.
-    opens = ~F.col("role").eqNullSafe(F.lag("role").over(order))
-    closes = ~F.col("role").eqNullSafe(F.lead("role").over(order))
-    pieces = rows.select(
-        "conv_id", "turn", "role", "text",
-        F.when(opens, F.concat(F.lit(START), "role", F.lit("\n"))).otherwise(F.lit(SEP)).alias("head"),
-        F.when(closes, F.lit(END)).otherwise(F.lit("")).alias("tail"),
-    )
-    size = F.octet_length("head") + F.octet_length("text") + F.octet_length("tail")
-    upto = F.sum(size.cast("long")).over(order.rowsBetween(W.unboundedPreceding, 0))
-    placed = pieces.select(
-        "conv_id",
-        F.struct(
-            upto.alias("upto"),
-            F.concat("head", "text", "tail").alias("piece"),
-            (upto - F.octet_length("tail") - F.octet_length("text") + 1).cast("int").alias("start"),
-            F.octet_length("text").alias("length"),
-            (F.col("role") == "assistant").alias("learn"),
-        ).alias("t"),
-    )
-    # Pieces are never empty, so ``upto`` orders the collected structs strictly.
-    return placed.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t")).select(
-        "conv_id",
-        F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
-        F.transform(F.filter("t", lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length"))).alias("loss"),
-    )
+    blocks = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns")).select("conv_id", merged(F.col("turns")).alias("blocks"))
+    text = F.transform("blocks", lambda b: F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END)))
+    return blocks.select("conv_id", F.array_join(text, "").alias("formatted"), placed(F.col("blocks")).alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -92,7 +126,7 @@ def read_turns(formatted: Column) -> Column:
         blocks,
         lambda b: F.transform(
             F.split(b.substr(F.length(head(b)) + 2, F.length(b)), re_quote(SEP)),
-            lambda text: F.struct(unescape(head(b).substr(F.lit(len(START) + 1), F.length(b))).alias("role"), unescape(text).alias("text")),
+            lambda text: F.struct(unescape_role(head(b).substr(F.lit(len(START) + 1), F.length(b))).alias("role"), unescape(text).alias("text")),
         ),
     )
     return F.flatten(parsed)

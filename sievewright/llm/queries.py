@@ -110,7 +110,7 @@ ORACLE_SQL: dict[str, str] = {
     "op6_chat_formatting": f"""
         with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
             union all select * from (values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
-        e as (select *, {_escaped_sql("role")} as er, {_escaped_sql("text")} as et from t),
+        e as (select *, replace({_escaped_sql("role")}, chr(10), '\n') as er, {_escaped_sql("text")} as et from t),
         w as (select *, lag(er) over o as before, lead(er) over o as after, row_number() over o as rn from e window o as (partition by conv_id order by turn nulls first, er, et))
         select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by rn)) as turns_sha256,
                coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by rn) filter (role = 'assistant'), '')) as loss_sha256,

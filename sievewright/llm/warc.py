@@ -34,10 +34,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._util import materialize, shared_dir
+from sievewright.llm._util import materialize, shared_dir, valid_text
 
 MAGIC = b"WARC/1.1\r\n"
-HEADER_BYTES = 1 << 16
+HEADER_BYTES, READ_BYTES = 1 << 16, 1 << 20
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -51,8 +51,8 @@ def open_files(uri: str):
 
 def plan_records(pages: DataFrame, revisit_bytes: int = 100) -> DataFrame:
     """page_id, url, html, digest, record_type, refers_to; the html is shuffled once, by its unique page id."""
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+    rows = pages.select(F.col("page_id").cast("long"), valid_text("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("html"))
+    rows = rows.withColumn("digest", F.sha2("html", 256))
     long_ones = rows.where(F.octet_length("html") >= revisit_bytes).select("page_id", "digest")
     # Only repeated payloads need their page ids compared.
     repeated = long_ones.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -66,8 +66,7 @@ def record_name(page_id) -> str:
     return "<urn:page:none>" if page_id is None else f"<urn:page:{page_id}>"
 
 
-def record_bytes(page_id, url, html: str, digest: str, kind: str, refers_to) -> bytes:
-    payload = html.encode("utf-8", "replace")
+def record_bytes(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> bytes:
     lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: {record_name(page_id)}", "WARC-Date: 2000-01-01T00:00:00Z"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="".join(map(chr, range(33, 127)))))
@@ -222,16 +221,19 @@ def read_records(found: DataFrame, folder: str, tasks: int, range_bytes: int = 8
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_files(folder)
-        name, f = None, None
+        name, f, low, buffer = None, None, 0, b""
         for batch in batches:
             rows, held = [], 0
             for archive, at, nxt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if archive != name:
                     if f:
                         f.close()
-                    name, f = archive, fs.open_input_file(f"{root}/{archive}")
-                f.seek(at)
-                data = f.read(nxt - at)
+                    name, f, low, buffer = archive, fs.open_input_file(f"{root}/{archive}"), 0, b""
+                if not low <= at <= nxt <= low + len(buffer):
+                    # Neighbours come with the record: one read for many small ones.
+                    f.seek(at)
+                    low, buffer = at, f.read(max(nxt - at, READ_BYTES))
+                data = buffer[at - low : nxt - low]
                 rows.append(parse_record(open_member(data) if archive.endswith(".gz") else data))
                 held += nxt - at
                 if held > 4 << 20:

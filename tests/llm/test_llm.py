@@ -297,6 +297,8 @@ def test_chat(spark):
     for c in range(6):
         for i, t in enumerate(tricky * 2):
             rows.append((c, i, ("user", "assistant", "assistant", "system", None)[(i * (c + 1)) % 5], t, "z"))
+    rows += [(7, i, "assistant" if i % 5 else "user", f"t{i}\\", "z") for i in range(700)] + [(8, i, "assistant", "é" * i, "z") for i in range(300)]
+    rows += [(10, 0, "user\nx", "hello", "z"), (10, 1, "user", "x\nhello", "z"), (10, 2, "\\n", "\\n", "z"), (10, 3, "a\n\n", "", "z")]
     rows += [(None, None, "assistant", "n", "z"), (None, 1, "assistant", "m", "z"), (9, 0, "user", "same", "z"), (9, 0, "user", "same", "z")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     out = chat.format_chats(table)
