@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievewright.llm._util import valid_text
+
 #: Element names by role.
 SKIPPED = ("script", "style", "noscript", "template", "svg", "math", "canvas", "iframe", "object", "select", "textarea", "button", "head", "title")
 CONTAINERS = frozenset("html body main article section nav header footer aside div form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th blockquote figure figcaption details summary center dialog".split())
@@ -220,4 +222,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             texts = [extract(x.as_py(), cache) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "page_id long, url string, text string")
+    return pages.select(F.col("page_id").cast("long"), valid_text("url"), valid_text("html")).mapInArrow(run, "page_id long, url string, text string")

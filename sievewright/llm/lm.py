@@ -86,7 +86,7 @@ def write_blocks(docs: DataFrame, path: str) -> DataFrame:
         local, parts, doc_ids, held = Local(), [], [], 0
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = (text.as_py() or "").encode("utf-8", "replace").lower().split()
+                words = (text.as_py() or b"").lower().split()
                 ids = np.zeros(len(words) + 1, dtype=np.int64)
                 ids[:-1] = np.fromiter(map(local.__getitem__, words), dtype=np.int64, count=len(words))
                 parts.append(ids)
@@ -98,7 +98,7 @@ def write_blocks(docs: DataFrame, path: str) -> DataFrame:
         if doc_ids:
             yield _block((task << 32) + n, doc_ids, parts, local)
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, BLOCKS)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, BLOCKS)
     rows.write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path)
 

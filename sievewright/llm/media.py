@@ -5,8 +5,9 @@ media form is itself compressed); its unpadded size is a text chunk of the image
 images into ZIP archives without further compression, under names of its own attempt; the manifest of the
 committed ones lies beside them.
 
-``MediaArchive`` plans partitions as byte ranges of the archives, from the manifest's sizes alone.  A partition reads the
-directory at its archive's end, takes the members whose header starts in its range, and streams them in Arrow
+``MediaArchive`` plans partitions as byte ranges of the archives, from the manifest's sizes alone: ranges of ``rangeBytes``, or of so many more
+that there are no more than ``MOST_PARTITIONS`` partitions.  The manifest has a row for each archive, about one for each writing task.  A partition reads the
+directories at its archives' ends, takes the members whose header starts in its ranges, and streams them in Arrow
 batches of bounded bytes.  Each member is read by its own offset and checked against its checksum; a failed read
 opens the archive anew and repeats that member only.
 
@@ -37,6 +38,7 @@ from sievewright.llm._util import materialize, shared_dir
 ROW = 192
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 MANIFEST = "_manifest.json"
+MOST_PARTITIONS = 20_000
 
 
 def open_files(uri: str):
@@ -103,7 +105,7 @@ def image_feature(samples: bytes) -> str:
     return f"mean={mean:.4f};dev={deviation:.4f};entropy={float(-(share * np.log2(share)).sum()):.4f};dhash={bits.tobytes().hex()}"
 
 
-def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 32 << 20) -> list[dict]:
+def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 128 << 20) -> list[dict]:
     """Writes the images of ``docs`` (doc_id, text) into ZIP archives; returns and stores the manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +118,7 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 32 << 20)
                     name = f"media-{task:05d}-{len(done):04d}-{uuid.uuid4().hex}.zip"
                     out, n, size = fs.open_output_stream(f"{root}/{name}"), 0, 0
                     box = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                payload = (text or "").encode("utf-8", "replace")
+                payload = text or b""
                 media = encode_png(pad(payload), len(payload))
                 box.writestr(zipfile.ZipInfo(f"{n:07d}_{'null' if doc is None else doc}.png"), media)
                 n, size = n + 1, size + len(media) + 128
@@ -132,8 +134,8 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 32 << 20)
         cols = list(zip(*done, strict=True)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["archive", "bytes", "members"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "archive string, bytes long, members long")
-    # One row an archive, each of tens of MB.
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "archive string, bytes long, members long")
+    # One row an archive, of a writing task's size.
     manifest = [x.asDict() for x in materialize(rows, f"{folder}-manifest").orderBy("archive").collect()]
     fs, root = open_files(folder)
     fs.create_dir(root, recursive=True)
@@ -142,16 +144,18 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 32 << 20)
     return manifest
 
 
-class Range(InputPartition):
-    def __init__(self, archive: str, low: int, high: int):
+class Ranges(InputPartition):
+    """Byte ranges (archive, low, high)."""
+
+    def __init__(self, ranges: list[tuple[str, int, int]]):
         super().__init__(None)
-        self.archive, self.low, self.high = archive, low, high
+        self.ranges = ranges
 
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.folder = options["path"]
-        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", 8 << 20)))
+        self.range_bytes = int(options.get("rangebytes", options.get("rangeBytes", 16 << 20)))
         self.batch_bytes = int(options.get("batchbytes", options.get("batchBytes", 4 << 20)))
         self.attempts = int(options.get("attempts", 3))
 
@@ -159,15 +163,29 @@ class ArchiveReader(DataSourceReader):
         fs, root = open_files(self.folder)
         with fs.open_input_file(f"{root}/{MANIFEST}") as f:
             manifest = json.loads(f.read())
-        return [Range(x["archive"], low, low + self.range_bytes) for x in manifest for low in range(0, x["bytes"], self.range_bytes)] or [Range("", 0, 0)]
-
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.archive:
-            return
+        size = max(self.range_bytes, -(-sum(x["bytes"] for x in manifest) // MOST_PARTITIONS))
+        out, room = [[]], size
+        for x in manifest:
+            low = 0
+            while low < x["bytes"]:
+                if room <= 0:
+                    out.append([])
+                    room = size
+                high = min(low + room, x["bytes"])
+                out[-1].append((x["archive"], low, high))
+                room -= high - low
+                low = high
+        return [Ranges(r) for r in out]
+
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        for archive, low, high in partition.ranges:
+            yield from self.read_range(archive, low, high)
+
+    def read_range(self, archive: str, low: int, high: int) -> Iterator[pa.RecordBatch]:
         fs, root = open_files(self.folder)
-        path = f"{root}/{partition.archive}"
+        path = f"{root}/{archive}"
         with fs.open_input_file(path) as f, zipfile.ZipFile(f) as box:
-            members = [x for x in box.infolist() if partition.low <= x.header_offset < partition.high]
+            members = [x for x in box.infolist() if low <= x.header_offset < high]
         rows, held = [], 0
         f = fs.open_input_file(path)
         try:
@@ -182,7 +200,7 @@ class ArchiveReader(DataSourceReader):
                         time.sleep(0.2 * 2**attempt)
                         f.close()
                         f = fs.open_input_file(path)
-                rows.append((partition.archive, x.header_offset, x.filename, media))
+                rows.append((archive, x.header_offset, x.filename, media))
                 held += len(media)
                 if held >= self.batch_bytes:
                     yield _members(rows)
@@ -197,7 +215,7 @@ def read_member(f, member: zipfile.ZipInfo) -> bytes:
     """A stored member's bytes, by its header's offset; ValueError if they don't have its checksum."""
     f.seek(member.header_offset)
     head = f.read(30)
-    if head[:4] != b"PK\x03\x04":
+    if len(head) < 30 or head[:4] != b"PK\x03\x04":
         raise ValueError("no member header")
     name, extra = struct.unpack("<HH", head[26:30])
     f.seek(member.header_offset + 30 + name + extra)
@@ -248,7 +266,7 @@ def media_features(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("media_archive").load(folder).select("name", "media").mapInArrow(run, FEATURES)
 
 
-def store_and_read(docs: DataFrame, archive_bytes: int = 32 << 20) -> DataFrame:
+def store_and_read(docs: DataFrame, archive_bytes: int = 128 << 20) -> DataFrame:
     folder = f"{shared_dir(docs.sparkSession)}/media"
     write_archives(docs, folder, archive_bytes)
     return media_features(docs.sparkSession, folder)

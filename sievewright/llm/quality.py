@@ -6,12 +6,14 @@ digits to 0) get vectors in the same way, as most words of a corpus are rare.  A
 shapes' vectors and four pooled scalars.  The network is numpy: one hidden layer, Adam, and a temperature
 fitted on rows that the weights didn't see, so scores are calibrated probabilities.
 
-The classifier, its word vectors included, is fitted on at most ``FIT_ROWS`` labelled documents, those with the smallest
-hashes of their ids; vocabulary tables have a fixed number of hashed rows, so the broadcast model has a fixed size
-(9 MB).  Every document is scored over its whole text.
-
-Cases.  Null or empty text: the features of no words, scored like any other.  Null labels are not learnt from; an id with
-several labels takes their mean's side.  One class or no labelled rows: every score is that class's share, or 0.5.  Null ids are scored
+Context vectors are summed over all documents, labelled or not; vocabulary tables have a fixed number of hashed rows, so a task's sums and the
+broadcast model have a fixed size (9 MB).  Sums are whole numbers, added up in a tree of at most ``FAN_IN`` parts a task: any order gives one
+model.  The network is fitted on at most ``FIT_ROWS`` labelled documents, those with the smallest hashes of their ids among the documents
+at hand.  Every document is scored over its whole text.
+
+Cases.  Null or empty text: the features of no words, scored like any other.  Bytes that aren't UTF-8 count as replacement
+characters.  Null labels are not learnt from; an id with several labels takes their mean's side, and one with several texts is learnt from the
+smallest.  One class or no labelled rows: every score is that class's share, or 0.5.  Null ids are scored
 and fall in the fold of the empty text.  Repeated rows: scored each.  Other columns are ignored.
 """
 
@@ -23,13 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._util import fold_of
+from sievewright.llm._util import fold_of, materialize, shared_dir, valid_text
 
 #: The bound on labelled documents that the classifier is fitted on.
 FIT_ROWS = 8000
+#: Parts that one task adds up, the tree's levels (for up to 2**24 tasks), and the table rows that travel together.
+FAN_IN, LEVELS, SLICE_ROWS = 256, 3, 1 << 10
 DIM, WORD_ROWS, SHAPE_ROWS, WINDOW, NONZERO = 64, 1 << 15, 1 << 12, 2, 6
 THRESHOLD = 0.3
 CACHE = 200_000
@@ -58,27 +63,24 @@ class Rows(dict):
 def index_vectors(rows: int, seed: int) -> np.ndarray:
     """Sparse ternary index vectors, the same everywhere."""
     rng = np.random.default_rng(seed)
-    out = np.zeros((rows, DIM), dtype=np.float32)
+    out = np.zeros((rows, DIM), dtype=np.int8)
     for k in range(NONZERO):
         out[np.arange(rows), rng.integers(0, DIM, rows)] = 1 if k % 2 else -1
     return out
 
 
-def context_sums(ids: np.ndarray, bounds: np.ndarray, rows: int, index: np.ndarray, chunk: int = 1 << 15) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each row; ``bounds`` are the documents' ends in ``ids``."""
+def context_sums(ids: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, sums of their neighbours' index vectors); ``bounds`` are the documents' ends in ``ids``."""
     doc = np.searchsorted(bounds, np.arange(len(ids)), side="right")
-    out = np.zeros((rows, DIM), dtype=np.float64)
+    own = index[ids]
+    near = np.zeros_like(own)  # at most 2 * WINDOW in size, so single bytes do
     for step in range(1, WINDOW + 1):
-        inside = doc[step:] == doc[:-step]
-        a, b = ids[:-step][inside], ids[step:][inside]
-        for x, y in ((a, b), (b, a)):
-            key, n = np.unique(x.astype(np.int64) * rows + y, return_counts=True)
-            for low in range(0, len(key), chunk):
-                k, c = key[low : low + chunk], n[low : low + chunk]
-                row = k // rows
-                start = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                out[row[start]] += np.add.reduceat(index[k % rows] * c[:, None], start, axis=0)
-    return out
+        inside = (doc[step:] == doc[:-step])[:, None]
+        near[:-step] += own[step:] * inside
+        near[step:] += own[:-step] * inside
+    order = np.argsort(ids, kind="stable")
+    start = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))
+    return ids[order][start], np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
 
 
 def _rows_of(texts: list, cache: Rows) -> list[np.ndarray]:
@@ -151,41 +153,70 @@ class Network:
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
-    """(text, y): the bounded sample of labelled documents outside fold 0."""
-    own = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5))
-    own = own.where(fold != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    return docs.select(F.col("doc_id").alias("d"), F.col("text").cast("string").alias("text")).join(own, F.col("d") == F.col("doc_id")).select("text", "y")
+    """(text, y): the bounded sample of the labelled ones of ``docs`` outside fold 0, a row for each id."""
+    own = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    fold = F.pmod(F.crc32(F.col("d").cast("string").cast("binary")), F.lit(5))
+    here = own.where(fold != 0).join(docs.select("doc_id"), F.col("d") == F.col("doc_id"), "left_semi")
+    few = here.orderBy(F.xxhash64("d"), "d").limit(fit_rows)
+    # At most ``fit_rows`` ids and labels go to every task.
+    return docs.select("doc_id", valid_text()).join(F.broadcast(few), F.col("d") == F.col("doc_id")).groupBy("d", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
-    """The model: word and shape tables and the network.  Texts stay on the executors; what comes back has a fixed size."""
-    from sievewright.llm._util import materialize, shared_dir
+def context_tables(docs: DataFrame, home: str) -> list[np.ndarray]:
+    """Unit context vectors of the words' and of the shapes' rows, over all documents."""
+    sizes = (WORD_ROWS, SHAPE_ROWS)
+    kind = "part long, at int, sums binary"
+    names = ["part", "at", "sums"]
 
-    home = shared_dir(docs.sparkSession)
-    # Only the sample is shuffled; the scan that finds it keeps its own tasks.
-    sample = materialize(_labelled(docs, labels, fit_rows).repartition(4), f"{home}/sample")
+    def slices(part: int, sums: np.ndarray) -> pa.RecordBatch:
+        rows = [(part, at, sums[at : at + SLICE_ROWS].tobytes()) for at in range(0, len(sums), SLICE_ROWS)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = Rows(), [np.zeros((r, DIM)) for r in (WORD_ROWS, SHAPE_ROWS)]
+        cache, total = Rows(), np.zeros((sum(sizes), DIM), dtype=np.int64)
         index = [index_vectors(WORD_ROWS, 11), index_vectors(SHAPE_ROWS, 12)]
+        held, n = [], 0
+
+        def add() -> None:
+            packed, bounds = np.concatenate(held), np.cumsum([len(x) for x in held])
+            for ids, table, first in ((packed >> 16, index[0], 0), (packed & 0xFFFF, index[1], WORD_ROWS)):
+                rows, near = context_sums(ids, bounds, table)
+                total[first + rows] += near
+
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for low in range(0, len(texts), 1000):
-                parts = _rows_of(texts[low : low + 1000], cache)
-                packed, bounds = np.concatenate(parts), np.cumsum([len(x) for x in parts])
-                total[0] += context_sums(packed >> 16, bounds, WORD_ROWS, index[0])
-                total[1] += context_sums(packed & 0xFFFF, bounds, SHAPE_ROWS, index[1])
-        yield pa.RecordBatch.from_arrays([pa.array([t.astype(np.float32).tobytes()]) for t in total], names=["words", "shapes"])
-
-    tables = [np.zeros((r, DIM), dtype=np.float32) for r in (WORD_ROWS, SHAPE_ROWS)]
-    # The parts' sums are made side by side and written; the driver holds one at a time.
-    for row in materialize(sample.mapInArrow(sums, "words binary, shapes binary"), f"{home}/sums").toLocalIterator():
-        for table, raw in zip(tables, row, strict=True):
-            table += np.frombuffer(raw, dtype=np.float32).reshape(table.shape)
-    for table in tables:
-        table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-6
-    words, shapes = tables
+            for text in batch.column("text"):
+                held += _rows_of([text.as_py()], cache)
+                n += len(held[-1])
+                if n >= 1 << 18:
+                    add()
+                    held, n = [], 0
+        if n:
+            add()
+        yield slices(TaskContext.get().partitionId(), total.astype(np.int32))
+
+    def added(t: pa.Table) -> pa.Table:
+        # A task's own sums are 32-bit, added ones 64-bit.
+        parts = (x.as_py() for x in t["sums"])
+        total = sum(np.frombuffer(x, dtype=np.int32 if len(x) == 4 * SLICE_ROWS * DIM else np.int64).astype(np.int64) for x in parts)
+        return pa.Table.from_arrays([pa.array([t["part"][0].as_py() // FAN_IN], pa.int64()), pa.array([t["at"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
+
+    parts = docs.select(valid_text()).mapInArrow(sums, kind)
+    for _ in range(LEVELS):
+        parts = parts.groupBy(F.expr(f"part div {FAN_IN}"), "at").applyInArrow(lambda _, t: added(t), kind)
+    parts = materialize(parts, f"{home}/sums")
+    table = np.zeros((sum(sizes), DIM))
+    for _, at, raw in parts.collect():  # one part, of a fixed size
+        table[at : at + SLICE_ROWS] = np.frombuffer(raw, dtype=np.int64).reshape(-1, DIM)
+    table /= np.linalg.norm(table, axis=1, keepdims=True) + 1e-6
+    return [table[:WORD_ROWS].astype(np.float32), table[WORD_ROWS:].astype(np.float32)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
+    """The model: word and shape tables and the network.  Texts stay on the executors; what comes back has a fixed size."""
+    home = shared_dir(docs.sparkSession)
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
+    sample = materialize(_labelled(docs, labels, fit_rows).repartition(tasks), f"{home}/sample")
+    tables = context_tables(docs, home)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,11 +225,11 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
             x = [pooled(r, *shared.value).tobytes() for r in _rows_of(batch.column("text").to_pylist(), cache)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("y")], names=["x", "y"])
 
-    rows = sample.mapInArrow(features, "x binary, y int").collect()
+    rows = sample.mapInArrow(features, "x binary, y int").collect()  # at most ``fit_rows``
     rows.sort(key=lambda r: (r.y, bytes(r.x)))  # any order of the tasks gives one model
     x = np.frombuffer(b"".join(bytes(r.x) for r in rows), dtype=np.float32).reshape(len(rows), 2 * DIM + 4)
     shared.unpersist()
-    return {"words": words, "shapes": shapes, "network": Network(x, np.array([r.y for r in rows], dtype=np.int64))}
+    return {"words": tables[0], "shapes": tables[1], "network": Network(x, np.array([r.y for r in rows], dtype=np.int64))}
 
 
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
@@ -215,7 +246,7 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
             score = m["network"].score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold_of(i) == 0 for i in ids], pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), valid_text()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -227,8 +258,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> D
         cache, m = Rows(), shared.value
         for batch in batches:
             x = np.zeros((batch.num_rows, 2 * DIM + 4), dtype=np.float32)
-            for i, text in enumerate(batch.column(where)):
-                x[i] = pooled(_rows_of([text.as_py()], cache)[0], m["words"], m["shapes"])
+            for i, text in enumerate(batch.column(where).cast(pa.binary())):
+                x[i] = pooled(_rows_of([(text.as_py() or b"").decode("utf-8", "replace")], cache)[0], m["words"], m["shapes"])
             yield batch.filter(pa.array(m["network"].score(x) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

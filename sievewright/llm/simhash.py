@@ -9,9 +9,10 @@ pair agrees on one, so one trie a segment, with that segment's bits at the top,
 linked pair below one node at the segment's depth: the other node pairs at that depth have spent
 an error there and belong to another segment.  Those nodes are the unit of distribution.
 Below, pairs of nodes go down together; a pair's errors are the differing bits so far, and pairs over
-the budget are pruned.  A node with more than ``node_rows`` fingerprints is split by its next
-bits into node pairs of their own, with the pairs' errors counted, so that no task gets it whole.
-A node gives a forest of its links, no list of pairs, so a group of copies stays linear in size.
+the budget are pruned.  A node with more than ``node_rows`` fingerprints is split by as many of its next
+bits as it takes into node pairs of their own, with the pairs' errors counted, so that no task gets it whole.
+A task reads its nodes in sorted order and joins about ``TASK_ROWS`` rows of whole nodes at a time; links are folded into a forest as they are
+found, so neither the table's size nor a group of copies adds to its memory.
 
 Cases.  Null text: as empty.  No words: fingerprint zero, linked like any other.  Fewer words
 than a shingle: the whole sequence is the one shingle.  Null ids keep their fingerprint and take the component
@@ -36,11 +37,13 @@ from sievewright.llm._util import local_components, materialize, shared_dir
 from sievewright.llm.components import connected_components
 
 BITS = 64
+#: Rows that a task holds at once, besides the rest of a node.
+TASK_ROWS = 200_000
 
 
-def fingerprint(text: str, shingle: int = 3) -> int:
-    """The unsigned 64-bit fingerprint of one text."""
-    words = text.encode("utf-8", "replace").lower().split()
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The unsigned 64-bit fingerprint of one text in UTF-8."""
+    words = text.lower().split()
     if not words:
         return 0
     if len(words) <= shingle:
@@ -60,10 +63,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t or "", shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
+            fps = np.fromiter((fingerprint(t or b"", shingle) for t in batch.column(1).to_pylist()), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, fp long")
 
 
 def segments(budget: int) -> list[tuple[int, int]]:
@@ -147,11 +150,12 @@ def link_forest(fps: DataFrame, budget: int = 2, node_rows: int = 50_000) -> Dat
     parts = segments(budget)
     seg = F.array(*[F.struct(F.lit(k).alias("part"), F.expr(f"shiftrightunsigned(shiftleft(fp, {first}), {BITS - size})").alias("node")) for k, (first, size) in enumerate(parts)])
     keyed = fps.select("fp", F.explode(seg).alias("s")).select("fp", "s.part", "s.node")
-    # Nodes over the limit are split by as many of their next bits as bring them below it, 12 at most.
+    # Nodes over the limit are split by as many of their next bits as bring them below it.
+    deepest = BITS - max(size for _, size in parts)
     large = keyed.groupBy("part", "node").agg(F.count("*").alias("n")).where(F.col("n") > node_rows)
-    split = large.select("part", "node", F.least(F.ceil(F.log2(F.col("n") / node_rows)), F.lit(12)).cast("int").alias("more"))
+    split = large.select("part", "node", F.least(F.ceil(F.log2(F.col("n") / node_rows)), F.lit(deepest)).cast("int").alias("more"))
     routed = keyed.join(split, ["part", "node"], "left")
-    masks = [m for w in range(budget + 1) for c in combinations(range(12), w) for m in [sum(1 << i for i in c)]]
+    masks = [sum(1 << i for i in c) for w in range(budget + 1) for c in combinations(range(deepest), w)]
     after = F.element_at(F.array(*[F.lit((first + size) % BITS) for first, size in parts]), F.col("part") + 1)
     size_of = F.element_at(F.array(*[F.lit(size) for _, size in parts]), F.col("part") + 1)
     # The next bits after the segment, in the order of the rotated trie.
@@ -159,7 +163,9 @@ def link_forest(fps: DataFrame, budget: int = 2, node_rows: int = 50_000) -> Dat
     routed = routed.withColumn("__after", after).withColumn("__depth", size_of)
     sub = F.when(F.col("more").isNull(), F.lit(0).cast("long")).otherwise(F.expr("shiftrightunsigned(__spun, 64 - more)"))
     routed = routed.withColumn("__spun", spun).withColumn("__sub", sub)
-    mask = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m < F.expr("shiftleft(1L, coalesce(more, 0))"))
+    mask = F.when(F.col("more").isNull(), F.array(F.lit(0).cast("long"))).otherwise(
+        F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: m < F.expr("shiftleft(1L, more)"))
+    )
     pairs = routed.withColumn("__mask", F.explode(mask)).select(
         "fp", "part", "node", "more",
         F.least(F.col("__sub"), F.col("__sub").bitwiseXOR(F.col("__mask"))).alias("low"),
@@ -168,13 +174,9 @@ def link_forest(fps: DataFrame, budget: int = 2, node_rows: int = 50_000) -> Dat
         F.bit_count("__mask").alias("err"),
         (F.col("__depth") + F.coalesce("more", F.lit(0))).alias("depth"),
     )
-    dealt = pairs.select("fp", "part", "side", "err", "depth", F.xxhash64("part", "node", "low", "high").alias("key")).repartition("key")
+    dealt = pairs.select("fp", "part", "side", "err", "depth", F.xxhash64("part", "node", "low", "high").alias("key")).repartition("key").sortWithinPartitions("key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
+    def forest(t: pa.Table) -> pa.RecordBatch:
         fp = t["fp"].to_numpy().view(np.uint64)
         key, side, err, depth, part = (t[c].to_numpy() for c in ("key", "side", "err", "depth", "part"))
         turned = fp.copy()
@@ -183,18 +185,36 @@ def link_forest(fps: DataFrame, budget: int = 2, node_rows: int = 50_000) -> Dat
         order = np.lexsort((turned, side, key))
         fp, turned, key, side = fp[order], turned[order], key[order], side[order]
         nodes, start = _node_pairs(key, side, depth[order].astype(np.int64), err[order])
-        found = list(trie_links(turned, nodes, start, budget))
-        a = np.concatenate([x for x, _ in found] or [np.array([], dtype=np.int64)])
-        b = np.concatenate([x for _, x in found] or [np.array([], dtype=np.int64)])
-        used, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-        root = local_components(len(used), at[: len(a)], at[len(a) :])
-        child = np.flatnonzero(root != np.arange(len(used)))
-        out = [pa.array(fp[used[child]].view(np.int64)), pa.array(fp[used[root[child]]].view(np.int64))]
-        yield pa.RecordBatch.from_arrays(out, names=["a", "b"])
+        root = np.arange(len(fp))
+        for a, b in trie_links(turned, nodes, start, budget):
+            root = local_components(len(root), root[a], root[b])[root]
+        child = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array(fp[child].view(np.int64)), pa.array(fp[root[child]].view(np.int64))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_keys(batches, TASK_ROWS):
+            yield forest(t)
 
     return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
+def whole_keys(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows of a stream sorted by ``key``; no key is in two of them."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            key = t["key"].to_numpy()
+            end = int(np.searchsorted(key, key[-1]))  # where the last key, which may go on, begins
+            if end:
+                yield t.slice(0, end)
+                held, n = t.slice(end).to_batches(), t.num_rows - end
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3, node_rows: int = 50_000) -> DataFrame:
     """(doc_id, fp, component_id): the smallest id reachable over links, the document's own included."""
     home = shared_dir(docs.sparkSession)

@@ -473,8 +473,20 @@ def test_simhash(spark, docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("node_rows", [50_000, 6])
-def test_trie_join_finds_every_link(spark, node_rows):
+def test_whole_keys():
+    import pyarrow as pa
+
+    keys = sorted(random.Random(2).choices(range(9), k=100))
+    batches = [pa.RecordBatch.from_pydict({"key": keys[i : i + 7]}) for i in range(0, 100, 7)]
+    for rows in (1, 10, 1000):
+        tables = [t["key"].to_pylist() for t in simhash.whole_keys(iter(batches), rows)]
+        assert sum(tables, []) == keys and sum(len(set(t)) for t in tables) == len(set(keys))
+    assert not list(simhash.whole_keys(iter([]), 5))
+
+
+@pytest.mark.parametrize(("node_rows", "task_rows"), [(50_000, 200_000), (6, 200_000), (6, 40), (1, 1)])
+def test_trie_join_finds_every_link(spark, node_rows, task_rows, monkeypatch):
+    monkeypatch.setattr(simhash, "TASK_ROWS", task_rows)
     rng = random.Random(8)
     centres = [rng.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
     fps = set()
