@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 import zlib
 
@@ -67,3 +68,9 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 break
             label = jumped
     return label
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now: it does so once the driver's JVM has collected their plans."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -1,19 +1,25 @@
-"""Language-model scores by a weighted backoff automaton over word bigrams.
-
-Model: interpolated modified Kneser-Ney discounts over counts of the training fold; unigrams are the
-add-half estimate of the base score, so probabilities sum to one over the vocabulary and one unknown
-word.  As an automaton, each context word is a state, a bigram seen in training an arc, and the arc of
-last resort a failure arc with the state's backoff weight to the root, whose arcs are the unigrams.  One
-left-to-right traversal carries the state, takes an arc or the failure arc and then the root's, and adds log probabilities.
-
-Scale.  No task holds the model.  Documents are written as blocks of about ``BLOCK`` tokens, coded by a vocabulary
-of their own.  A block sends its distinct words (64-bit hashes) and bigrams (48 bits), with its own training counts, to shards by
-context; a shard sums counts over all blocks and answers each block in the order asked: counts and the contexts'
-statistics.  The block builds the part of the automaton that its documents can reach, and traverses it.
-Contexts with a large share of all tokens (their number is bounded by the shards') are spread
-over all shards by bigram, and only their statistics are brought together.
-
-Cases.  Null text: as empty: one token, the end.  A null doc_id is the empty text to the fold.  Repeated rows count and are
+"""Language-model scores by a weighted backoff automaton over word trigrams.
+
+Model: hierarchical Dirichlet smoothing over counts of the training fold.  With c the counts of n-grams,
+
+    p(w)       = (c(w) + 0.5) / (N + 0.5 (V + 1))                      the base score's estimate
+    p(w | v)   = (c(v w) + PAIR p(w)) / (c(v) + PAIR)
+    p(w | u v) = (c(u v w) + TRIPLE p(w | v)) / (c(u v) + TRIPLE)
+
+so each distribution sums to one over the vocabulary and one unknown word, and the counts are all that is gathered.  As an automaton: the
+root, the words and the word pairs seen in training are states.  An n-gram seen in training is an arc, from the state of its context to the state of
+its last two words.  A state's failure arc leads to that of its last word alone, or to the root, at the cost log(TRIPLE / (c(u v) + TRIPLE)) or
+log(PAIR / (c(v) + PAIR)); the root has an arc for every word.  One left-to-right traversal carries the state: it follows
+failure arcs until the state has an arc for the word, takes it, and adds up all weights on the way.
+
+Scale.  No task holds the model.  Documents are written as blocks of about ``BLOCK`` tokens, coded by a vocabulary of their own.
+Blocks send their distinct words (64-bit hashes) to shards, which number them, frequent ones first, and count them; then their
+distinct pairs and triples as word numbers, with their own training counts, to shards of about ``SHARD`` tokens, which add up and answer in
+the order asked.  A message has at least one n-gram, and a block asks for an n-gram once, so messages grow with the corpus and not faster.
+An n-gram's shard follows from its middle word, or where that is a frequent word, from more of its words: no shard depends on one word.
+From the answers a block builds the part of the automaton that its documents can reach.
+
+Cases.  Null text: as empty: one token, the end.  A null doc_id is the empty text to the fold.  Any bytes can be words.  Repeated rows count and are
 scored each.  Empty table: no rows; no training rows: base probabilities of an empty corpus.  Other columns are ignored.
 """
 
@@ -25,17 +31,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._util import fold_of, materialize, shared_dir
-
-BLOCK = 1 << 20
-#: Tokens of the corpus for each shard, and the most contexts that are spread.
-SHARD_TOKENS, MOST_HOT = 1 << 19, 4096
-END, START = xxhash.xxh64_intdigest(b"\x00end"), xxhash.xxh64_intdigest(b"\x00start")
-BLOCKS = "block long, n_tokens long, doc_ids array<long>, lens binary, ids binary, vocab binary, common array<struct<w:long,n:long>>"
+from sievewright.llm._util import fold_of, materialize, release, shared_dir
+
+#: Tokens of a block and of a shard.
+BLOCK = SHARD = 1 << 20
+#: Pseudo-counts of the shorter context.
+PAIR, TRIPLE = 20.0, 4.0
+#: Tokens that a lane of the traversal scores.
+LANE = 256
+#: Numbers of no word (a pair's missing first word) and of the start; words are numbered from 2.
+NONE, START, FIRST = 0, 1, 2
+END = xxhash.xxh64_intdigest(b"\x00end")
+BLOCKS = "block long, n_tokens long, train_docs long, doc_ids array<long>, text binary, vocab binary"
+ASK = "shard int, block long, body binary"
+ANSWER = "block long, shard int, body binary, tokens long, types long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -47,43 +61,56 @@ class Local(dict):
         return value
 
 
-def planes(x: np.ndarray) -> bytes:
-    """Whole numbers from 0 by byte planes, as many as the largest needs: small and easy to compress."""
-    x = np.ascontiguousarray(x, dtype="<u8")
-    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    return bytes([width]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
-
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers from 0, by byte planes as many as the largest needs, compressed."""
+    out = []
+    for x in arrays:
+        x = np.ascontiguousarray(x, dtype="<u8")
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        out += [len(x).to_bytes(8, "little"), bytes([width]), np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()]
+    return zstandard.compress(b"".join(out), 1)
 
-def unplanes(raw: bytes) -> np.ndarray:
-    parts = np.frombuffer(raw, dtype=np.uint8, offset=1).reshape(raw[0], -1)
-    out = np.zeros((parts.shape[1], 8), dtype=np.uint8)
-    out[:, : raw[0]] = parts.T
-    return out.view("<i8").ravel()
 
+def unpacked(raw: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.decompress(raw), 0, []
+    while at < len(raw):
+        n, width = int.from_bytes(raw[at : at + 8], "little"), raw[at + 8]
+        x = np.zeros((n, 8), dtype=np.uint8)
+        x[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at + 9).reshape(width, n).T
+        out.append(x.view("<i8").ravel())
+        at += 9 + n * width
+    return out
 
-def short_keys(hashes: np.ndarray) -> bytes:
-    """Upper 48 bits: a shard holds a few hundred thousand bigrams, whatever the corpus, so two of them collide in about one shard of 5000."""
-    return np.ascontiguousarray((hashes >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
+def batch_of(rows: list[tuple], schema: str, table: bool = False):
+    """Rows as a record batch, or as a table, of a schema in Spark's words."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}
+    names, types = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return (pa.Table if table else pa.RecordBatch).from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, types, strict=True)], names=list(names))
 
-def long_keys(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
 
-
-def mix64(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hash of pairs of unsigned 64-bit hashes."""
-    x = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(29)))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def mix64(*parts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of tuples of whole numbers."""
+    x = np.zeros(len(parts[0]), dtype=np.uint64)
+    for part in parts:
+        x = (x ^ part.astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x
 
 
 def write_blocks(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, n = TaskContext.get().partitionId(), 0
+        first = TaskContext.get().partitionId() << 32
         local, parts, doc_ids, held = Local(), [], [], 0
+
+        def block() -> pa.RecordBatch:
+            vocab = np.fromiter((END, *map(xxhash.xxh64_intdigest, local)), dtype=np.uint64, count=len(local) + 1)
+            text = packed(np.array([len(p) for p in parts]), np.concatenate(parts))
+            return batch_of([(first, held, sum(fold_of(d) != 1 for d in doc_ids), doc_ids, text, vocab.tobytes())], BLOCKS)
+
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 words = (text.as_py() or b"").lower().split()
@@ -93,214 +120,246 @@ def write_blocks(docs: DataFrame, path: str) -> DataFrame:
                 doc_ids.append(doc)
                 held += len(ids)
                 if held >= BLOCK:
-                    yield _block((task << 32) + n, doc_ids, parts, local)
-                    local, parts, doc_ids, held, n = Local(), [], [], 0, n + 1
+                    yield block()
+                    local, parts, doc_ids, held, first = Local(), [], [], 0, first + 1
         if doc_ids:
-            yield _block((task << 32) + n, doc_ids, parts, local)
-
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, BLOCKS)
-    rows.write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+            yield block()
 
+    return materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, BLOCKS), path)
 
-def _block(block: int, doc_ids: list, parts: list[np.ndarray], local: Local) -> pa.RecordBatch:
-    ids = np.concatenate(parts)
-    vocab = np.fromiter((xxhash.xxh64_intdigest(w) for w in local), dtype=np.uint64, count=len(local))
-    vocab = np.concatenate((np.array([END], dtype=np.uint64), vocab, np.array([START], dtype=np.uint64)))
-    counts = np.bincount(ids, minlength=len(vocab))
-    counts[0], counts[-1] = 0, len(doc_ids)  # as contexts: the end is none, the start is one a document
-    often = np.flatnonzero(counts * 2048 >= len(ids))
-    common = [{"w": int(w), "n": int(n)} for w, n in zip(vocab[often].view(np.int64), counts[often], strict=True)]
-    values = [[block], [len(ids)], [doc_ids], [planes(np.array([len(p) for p in parts]))], [planes(ids)], [vocab.tobytes()], [common]]
-    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.struct([("w", pa.int64()), ("n", pa.int64())]))]
-    return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=["block", "n_tokens", "doc_ids", "lens", "ids", "vocab", "common"])
 
+class Text:
+    """A block's documents as local word numbers, and what it asks the vocabulary's shards."""
 
-class Asked:
-    """A block's distinct words and bigrams in the order in which shards are asked and answer."""
-
-    def __init__(self, doc_ids: list, lens: bytes, ids: bytes, vocab: bytes, hot: np.ndarray, shards: int):
-        self.doc_ids, self.lens, self.ids = doc_ids, unplanes(lens), unplanes(ids)
+    def __init__(self, doc_ids: list, text: bytes, vocab: bytes, shards: int):
+        self.doc_ids = doc_ids
+        self.lens, self.ids = unpacked(text)
         self.vocab = np.frombuffer(vocab, dtype=np.uint64)
         self.size = len(self.vocab)
         self.starts = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
         self.held_out = np.array([fold_of(d) == 1 for d in doc_ids])
         self.train = ~np.repeat(self.held_out, self.lens)
-        self.prev = np.empty_like(self.ids)
-        self.prev[1:] = self.ids[:-1]
-        self.prev[self.starts] = self.size - 1
-        key = self.prev * self.size + self.ids
-        order = np.argsort(key, kind="stable")
-        first = np.concatenate(([True], np.diff(key[order]) != 0))
-        self.arc = np.empty(len(key), dtype=np.int64)
-        self.arc[order] = np.cumsum(first) - 1
-        self.keys = key[order][first]
-        self.ctx, self.word = self.keys // self.size, self.keys % self.size
-        self.arc_train = np.add.reduceat(self.train[order].astype(np.int64), np.flatnonzero(first))
-        self.word_train = np.bincount(self.ids[self.train], minlength=self.size)
-        n = np.uint64(shards)
-        # Position of each context in the hot list, or -1.
-        at = np.searchsorted(hot, self.vocab) if len(hot) else np.zeros(self.size, dtype=np.int64)
-        self.hot_at = np.where((at < len(hot)) & (hot[np.minimum(at, len(hot) - 1)] == self.vocab), at, -1) if len(hot) else np.full(self.size, -1)
-        self.hashes = mix64(self.vocab[self.ctx], self.vocab[self.word])
-        home = (self.vocab % n).astype(np.int64)
-        spread = self.hot_at[self.ctx] >= 0
-        self.word_order = np.argsort(home, kind="stable")
-        self.word_shard = home[self.word_order]
-        cold, warm = np.flatnonzero(~spread), np.flatnonzero(spread)
-        where = home[self.ctx[cold]]
-        by = np.argsort(where, kind="stable")  # within a shard by context, then word
-        self.cold, self.cold_shard = cold[by], where[by]
-        where = (self.hashes[warm] % n).astype(np.int64)
-        by = np.argsort(where, kind="stable")
-        self.warm, self.warm_shard = warm[by], where[by]
-
-    def questions(self, shards: int) -> Iterator[tuple]:
-        runs = np.bincount(self.ctx[self.cold], minlength=self.size)
-        w, c, h = (np.searchsorted(x, np.arange(shards + 1)) for x in (self.word_shard, self.cold_shard, self.warm_shard))
-        for s in range(shards):
-            words, cold, warm = self.word_order[w[s] : w[s + 1]], self.cold[c[s] : c[s + 1]], self.warm[h[s] : h[s + 1]]
-            if len(words) or len(warm):
-                yield (
-                    s, self.vocab[words].tobytes(), planes(self.word_train[words]), planes(runs[words]),
-                    short_keys(self.hashes[cold]), planes(self.arc_train[cold]),
-                    short_keys(self.hashes[warm]), planes(self.arc_train[warm]), planes(self.hot_at[self.ctx[warm]]),
-                )
-
-
-ASK = "shard int, block long, words binary, word_n binary, runs binary, cold binary, cold_n binary, warm binary, warm_n binary, warm_ctx binary"
-ANSWER = "kind int, block long, shard int, words binary, cold binary, warm binary, nums array<long>"
-
-
-def ask(blocks: DataFrame, hot: np.ndarray, shards: int) -> DataFrame:
-    names = [x.split()[0] for x in ASK.split(", ")]
-    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 8
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, doc_ids, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = [(q[0], block, *q[1:]) for q in Asked(doc_ids, *raw, hot, shards).questions(shards)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    return blocks.select("block", "doc_ids", "lens", "ids", "vocab").mapInArrow(run, ASK)
-
-
-def _summed(keys: np.ndarray, counts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first places, inverse, totals, ends of the blocks' parts) of the distinct keys."""
-    parts = [unplanes(c) for c in counts]
-    _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-    total = np.bincount(inverse, weights=np.concatenate(parts), minlength=len(first)).astype(np.int64)
-    return first, inverse, total, np.cumsum([0, *map(len, parts)])
+        self.shard = (self.vocab % np.uint64(shards)).astype(np.int64)
+        self.order = np.argsort(self.shard, kind="stable")
+
+    def words(self) -> Iterator[tuple[int, bytes]]:
+        counts = np.bincount(self.ids[self.train], minlength=self.size)
+        for shard, some in runs(self.shard, self.order):
+            yield shard, packed(self.vocab[some], counts[some])
+
+    def vocabulary(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Global numbers and training counts of the local words, from the shards' answers in their order."""
+        out = np.zeros((2, self.size), dtype=np.int64)
+        out[:, self.order] = np.concatenate([np.stack(unpacked(a)) for a in answers], axis=1)
+        return out[0], out[1]
+
+
+def runs(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, its elements) for each shard that has any; ``order`` sorts by shard."""
+    if len(order):
+        at = np.flatnonzero(np.diff(shard[order])) + 1
+        for some in np.split(order, at):
+            yield int(shard[some[0]]), some
+
+
+class Grams:
+    """A block's distinct pairs and triples, in the order in which shards are asked and answer."""
+
+    def __init__(self, text: Text, number: np.ndarray, count: np.ndarray, shards: int, tokens: int):
+        self.size, ids = text.size + 1, text.ids  # the last local word is the start
+        before = np.empty_like(ids)
+        before[1:] = ids[:-1]
+        before[text.starts] = text.size
+        inner = np.ones(len(ids), dtype=bool)
+        inner[text.starts] = False
+        inner = np.flatnonzero(inner)  # places with two words before them, the start included
+        pair, at, self.pair_train = distinct(ids * self.size + before, text.train)
+        self.word, self.context = pair // self.size, pair % self.size
+        triple, _, self.triple_train = distinct(at[inner - 1] * self.size + ids[inner], text.train[inner])
+        self.pair, self.last = triple // self.size, triple % self.size
+        number = np.append(number, START)
+        often = np.append(count * 8 * shards >= tokens, True)
+        # (middle, first, last) of all: a pair has no first word, and its context is in the middle.
+        self.key = tuple(np.concatenate(x) for x in (
+            (number[self.context], number[self.word[self.pair]]),
+            (np.full(len(pair), NONE), number[self.context[self.pair]]),
+            (number[self.word], number[self.last]),
+        ))
+        middle, first = np.concatenate((often[self.context], often[self.word[self.pair]])), np.concatenate((np.ones(len(pair), dtype=bool), often[self.context[self.pair]]))
+        v, u, w = self.key
+        self.shard = (mix64(v, np.where(middle, u, 0), np.where(middle & first, w, 0)) % np.uint64(shards)).astype(np.int64)
+        self.order = np.argsort(self.shard, kind="stable")
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        train = np.concatenate((self.pair_train, self.triple_train))
+        for shard, some in runs(self.shard, self.order):
+            yield shard, packed(*(x[some] for x in self.key), train[some])
+
+    def counts(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Training counts of the pairs and of the triples."""
+        out = np.zeros(len(self.order), dtype=np.int64)
+        out[self.order] = np.concatenate([unpacked(a)[0] for a in answers]) if answers else 0
+        return out[: len(self.word)], out[len(self.word) :]
+
+
+def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, places of the given ones among them, their training occurrences)."""
+    found, at = np.unique(keys, return_inverse=True)
+    return found, at, np.bincount(at[train], minlength=len(found))
+
+
+def count_words(asked: DataFrame, shards: int) -> DataFrame:
+    """Answers (numbers, counts); and for each shard the tokens and the types of the training fold."""
 
+    def run(t: pa.Table) -> pa.Table:
+        shard, blocks, bodies = t["shard"][0].as_py(), t["block"].to_pylist(), [unpacked(b.as_py()) for b in t["body"]]
+        _, at = np.unique(np.concatenate([b[0] for b in bodies]), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate([b[1] for b in bodies])).astype(np.int64)
+        number = np.empty(len(total), dtype=np.int64)
+        number[np.argsort(-total, kind="stable")] = FIRST + np.arange(len(total)) * shards + shard
+        ends = np.cumsum([0, *(len(b[0]) for b in bodies)])
+        rows = [(block, shard, packed(number[at[a:b]], total[at[a:b]]), None, None) for block, a, b in zip(blocks, ends, ends[1:], strict=False)]
+        return batch_of([*rows, (None, shard, None, int(total.sum()), int((total > 0).sum()))], ANSWER, True)
 
-def _stats(ctx: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
-    """Types seen once, twice, more often, and tokens, for each context: 4 x n."""
-    return np.stack([np.bincount(ctx[m], minlength=n) for m in (total == 1, total == 2, total > 2)] + [np.bincount(ctx, weights=total, minlength=n).astype(np.int64)])
+    return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
-def answer(asked: DataFrame, hot_count: int) -> DataFrame:
-    names = [x.split()[0] for x in ANSWER.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+def count_grams(asked: DataFrame) -> DataFrame:
+    """Answers (counts).  N-grams of a shard, about a million, are told apart by 64-bit hashes."""
 
     def run(t: pa.Table) -> pa.Table:
-        c = {k: t[k].to_pylist() for k in t.column_names}
-        first, inverse, total, ends = _summed(np.frombuffer(b"".join(c["words"]), dtype=np.uint64), c["word_n"])
-        runs = np.concatenate([unplanes(x) for x in c["runs"]])
-        cold_first, cold_inverse, cold_total, cold_ends = _summed(long_keys(b"".join(c["cold"])), c["cold_n"])
-        ctx = np.repeat(inverse, runs)[cold_first]  # the context of a bigram, as the shard's number of its word
-        stats = _stats(ctx, cold_total, len(first))
-        warm_first, warm_inverse, warm_total, warm_ends = _summed(long_keys(b"".join(c["warm"])), c["warm_n"])
-        warm_ctx = np.concatenate([unplanes(x) for x in c["warm_ctx"]])[warm_first]
-        per_word = np.concatenate((total[None, :], stats))  # 5 x words
-        rows = []
-        for i, block in enumerate(c["block"]):
-            rows.append((
-                0, block, c["shard"][0], planes(per_word[:, inverse[ends[i] : ends[i + 1]]].ravel()),
-                planes(cold_total[cold_inverse[cold_ends[i] : cold_ends[i + 1]]]), planes(warm_total[warm_inverse[warm_ends[i] : warm_ends[i + 1]]]), None,
-            ))
-        if hot_count and len(warm_first):
-            for k, nums in enumerate(_stats(warm_ctx, warm_total, hot_count).T.tolist()):
-                if any(nums):
-                    rows.append((1, None, k, None, None, None, nums))
-        both = np.concatenate((cold_total, warm_total))
-        rows.append((2, None, c["shard"][0], None, None, None, [int(total.sum()), int((total > 0).sum())] + [int((both == k).sum()) for k in (1, 2, 3, 4)]))
-        return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        shard, blocks = t["shard"][0].as_py(), t["block"].to_pylist()
+        keys, train = [], []
+        for body in t["body"]:
+            v, u, w, n = unpacked(body.as_py())
+            keys.append(mix64(v, u, w))
+            train.append(n)
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(train)).astype(np.int64)
+        ends = np.cumsum([0, *map(len, keys)])
+        return batch_of([(block, shard, packed(total[at[a:b]]), None, None) for block, a, b in zip(blocks, ends, ends[1:], strict=False)], ANSWER, True)
 
     return asked.groupBy("shard").applyInArrow(run, ANSWER)
 
 
-def discounts(t1: int, t2: int, t3: int, t4: int) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the numbers of types seen 1 to 4 times."""
-    y = t1 / (t1 + 2 * t2) if t1 else 0.5
-    d = [1 - 2 * y * t2 / t1 if t1 else 0.5, 2 - 3 * y * t3 / t2 if t2 else 1.0, 3 - 4 * y * t4 / t3 if t3 else 1.5]
-    return np.array([min(max(x, 0.05 * k), 0.98 * k) for k, x in enumerate(d, 1)])
-
-
 class Automaton:
-    """States are context words; arcs are bigrams by number; the failure arc leads to the root."""
-
-    def __init__(self, unigram: np.ndarray, ctx: np.ndarray, word: np.ndarray, count: np.ndarray, stats: np.ndarray, d: np.ndarray):
-        total = stats[3]
-        known = total > 0
-        back = np.where(known, (d @ stats[:3]) / np.maximum(total, 1), 1.0)
-        seen = count > 0
-        p = (count - d[np.clip(count, 1, 3) - 1]) / np.maximum(total[ctx], 1) + back[ctx] * unigram[word]
-        self.root = np.log10(unigram)
-        self.failure = np.log10(np.maximum(back, 1e-300))
-        self.arcs = np.where(seen, np.log10(np.maximum(p, 1e-300)), np.nan)
-
-    def traverse(self, states: np.ndarray, arcs: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """Log probability of each step; the state after a word is the word's own."""
-        weight = self.arcs[arcs]
-        return np.where(np.isnan(weight), self.failure[states] + self.root[words], weight)
-
-
-def score_blocks(blocks: DataFrame, answers: DataFrame, hot: np.ndarray, shards: int, hot_stats: np.ndarray, totals: list[int]) -> DataFrame:
-    names = [x.split()[0] for x in SCORES.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    tokens, types = totals[0], totals[1]
-    d = discounts(*totals[2:])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        got = sorted(zip(*(right[k].to_pylist() for k in ("shard", "words", "cold", "warm")), strict=True))
-        for doc_ids, *raw in zip(*(left[k].to_pylist() for k in ("doc_ids", "lens", "ids", "vocab")), strict=True):
-            q = Asked(doc_ids, *raw, hot, shards)
-            per_word = np.zeros((5, q.size), dtype=np.int64)
-            per_word[:, q.word_order] = np.concatenate([unplanes(w).reshape(5, -1) for _, w, _, _ in got], axis=1)
-            count = np.zeros(len(q.keys), dtype=np.int64)
-            count[q.cold] = np.concatenate([unplanes(c) for _, _, c, _ in got])
-            count[q.warm] = np.concatenate([unplanes(w) for _, _, _, w in got])
-            stats = per_word[1:]
-            spread = np.flatnonzero(q.hot_at >= 0)
-            stats[:, spread] = hot_stats[:, q.hot_at[spread]]
-            unigram = (per_word[0] + 0.5) / (tokens + 0.5 * (types + 1))
-            machine = Automaton(unigram, q.ctx, q.word, count, stats, d)
-            steps = machine.traverse(q.prev, q.arc, q.ids)
-            known = np.add.reduceat((per_word[0][q.ids] > 0).astype(np.int64), q.starts)
-            base = np.add.reduceat(machine.root[q.ids], q.starts)
-            cols = [doc_ids, q.held_out, q.lens, known, np.full(len(doc_ids), tokens), base, np.add.reduceat(steps, q.starts)]
-            out.append(pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=names))
-        return pa.concat_tables(out) if out else pa.Table.from_arrays([pa.array([], k) for k in kinds], names=names)
-
-    own = blocks.select("block", "doc_ids", "lens", "ids", "vocab")
-    got = answers.where("kind = 0").select("block", "shard", "words", "cold", "warm")
-    return own.groupBy("block").cogroup(got.groupBy("block")).applyInArrow(run, SCORES)
+    """States, arcs and failure arcs that a block's documents can reach; weights are log10 probabilities.
+
+    State 0 is the root, 1 to ``words`` are words (the start last), later ones pairs.  Arcs are kept by state * words + word, sorted.
+    """
+
+    def __init__(self, unigram: np.ndarray, word_count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray]):
+        self.words = n = len(word_count)
+        context, word, pair_count = pairs
+        pair, last, triple_count = triples
+        word_state = np.where(word_count > 0, np.arange(1, n + 1), 0)
+        pair_state = np.where(pair_count > 0, n + 1 + np.arange(len(word)), word_state[word])
+        p_pair = (pair_count + PAIR * unigram[word]) / (word_count[context] + PAIR)
+        # p(last | middle) of a triple, by its pair (middle, last): a pair of the block, as it ends where the triple does.
+        order = np.argsort(word * n + context)
+        ends = order[np.searchsorted((word * n + context)[order], last * n + word[pair])]
+        p_triple = (triple_count + TRIPLE * p_pair[ends]) / (pair_count[pair] + TRIPLE)
+        seen, seen3 = np.flatnonzero(pair_count), np.flatnonzero(triple_count)
+        keys = np.concatenate((np.arange(len(unigram)), (context[seen] + 1) * n + word[seen], (n + 1 + pair[seen3]) * n + last[seen3]))
+        by = np.argsort(keys)
+        self.keys = keys[by]
+        self.weight = np.log10(np.concatenate((unigram, p_pair[seen], p_triple[seen3])))[by]
+        self.target = np.concatenate((word_state[: len(unigram)], pair_state[seen], pair_state[ends[seen3]]))[by]
+        self.fail_to = np.concatenate((np.zeros(n + 1, dtype=np.int64), word_state[word]))
+        self.fail_weight = np.log10(np.concatenate(([1.0], PAIR / (word_count + PAIR), TRIPLE / (pair_count + TRIPLE))))
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(new states, weights) of one word read in each of many states."""
+        state, weight, todo = state.copy(), np.zeros(len(state)), np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.words + word[todo]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = self.keys[at] == key
+            weight[todo[hit]] += self.weight[at[hit]]
+            state[todo[hit]] = self.target[at[hit]]
+            todo = todo[~hit]
+            weight[todo] += self.fail_weight[state[todo]]
+            state[todo] = self.fail_to[state[todo]]
+        return state, weight
+
+    def traverse(self, ids: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+        """Log probability of each text, read from the start's state.
+
+        Long texts are read in lanes of ``LANE`` words side by side.  A lane other than a text's first reads the two words before it
+        from the root: the state then is the one that a single pass has there, as states are what the last two words leave.
+        """
+        lanes = -(-lens // LANE)
+        text = np.repeat(np.arange(len(lens)), lanes)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        low, high = starts[text] + nth * LANE, np.minimum(starts[text] + (nth + 1) * LANE, (starts + lens)[text])
+        state = np.where(nth == 0, self.words, 0)  # the start is the last word
+        for back in (2, 1):
+            later = np.flatnonzero(nth > 0)
+            state[later], _ = self.step(state[later], ids[low[later] - back])
+        total = np.zeros(len(text))
+        for k in range(int((high - low).max()) if len(text) else 0):
+            on = np.flatnonzero(low + k < high)
+            state[on], weight = self.step(state[on], ids[low[on] + k])
+            total[on] += weight
+        return np.bincount(text, weights=total, minlength=len(lens))
+
+
+def score_block(text: Text, words: list[bytes], grams: list[bytes], shards: int, tokens: int, types: int, train_docs: int) -> list[tuple]:
+    number, count = text.vocabulary(words)
+    g = Grams(text, number, count, shards, tokens)
+    pair_count, triple_count = g.counts(grams)
+    unigram = (count + 0.5) / (tokens + 0.5 * (types + 1))
+    machine = Automaton(unigram, np.append(count, train_docs), (g.context, g.word, pair_count), (g.pair, g.last, triple_count))
+    scores = machine.traverse(text.ids, text.starts, text.lens)
+    known = np.add.reduceat((count[text.ids] > 0).astype(np.int64), text.starts)
+    base = np.add.reduceat(np.log10(unigram)[text.ids], text.starts)
+    return list(zip(text.doc_ids, text.held_out.tolist(), text.lens.tolist(), known.tolist(), [tokens] * len(known), base.tolist(), scores.tolist(), strict=True))
+
+
+def _blocks_of(t: pa.Table, shards: int) -> list[Text]:
+    return [Text(d.as_py(), x.as_py(), v.as_py(), shards) for d, x, v in zip(t["doc_ids"], t["text"], t["vocab"], strict=True)]
+
+
+def _bodies(t: pa.Table, part: int) -> list[bytes]:
+    """A block's answers of one kind, in the shards' order."""
+    rows = sorted((s, b) for s, b, p in zip(*(t[k].to_pylist() for k in ("shard", "body", "part")), strict=True) if p == part)
+    return [b for _, b in rows]
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
     """Scores of all documents by the model of those whose crc32(doc_id) mod 5 is not 1."""
-    home = shared_dir(docs.sparkSession)
+    spark = docs.sparkSession
+    home = shared_dir(spark)
     blocks = write_blocks(docs, f"{home}/blocks")
-    corpus = blocks.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(8, math.ceil(corpus / SHARD_TOKENS))
-    often = blocks.select(F.explode("common").alias("c")).groupBy("c.w").agg(F.sum("c.n").alias("n")).where(F.col("n") * 8 * shards >= corpus)
-    # At most MOST_HOT contexts; which ones only moves work between shards.
-    hot = np.sort(np.array([r.w for r in often.orderBy(F.desc("n"), "w").limit(MOST_HOT).collect()], dtype=np.int64).view(np.uint64))
-    answers = answer(ask(blocks, hot, shards), len(hot))
-    answers = materialize(answers, f"{home}/answers")
-    totals = answers.where("kind = 2").agg(*[F.sum(F.element_at("nums", k)) for k in range(1, 7)]).first()
-    stats = np.zeros((4, max(1, len(hot))), dtype=np.int64)
-    for r in answers.where("kind = 1").groupBy("shard").agg(*[F.sum(F.element_at("nums", k)).alias(f"n{k}") for k in range(1, 5)]).collect():
-        stats[:, r.shard] = (r.n1, r.n2, r.n3, r.n4)
-    return score_blocks(blocks, answers, hot, shards, stats, [x or 0 for x in totals])
+    tokens, train_docs = (x or 0 for x in blocks.agg(F.sum("n_tokens"), F.sum("train_docs")).first())
+    shards = max(8, math.ceil(tokens / SHARD))
+    texts = blocks.select("block", "doc_ids", "text", "vocab")
+
+    def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, text in zip(batch.column(0).to_pylist(), _blocks_of(batch, shards), strict=True):
+                yield batch_of([(shard, block, body) for shard, body in text.words()], ASK)
+
+    words = materialize(count_words(texts.mapInArrow(ask_words, ASK), shards), f"{home}/words")
+    tokens, types = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("types")).first())
+    release(spark)
+    answers = words.where("block is not null").select("block", "shard", "body", F.lit(0).alias("part"))
+
+    def ask_grams(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for block, text in zip(left["block"].to_pylist(), _blocks_of(left, shards), strict=True):
+            number, count = text.vocabulary(_bodies(right, 0))
+            rows += [(shard, block, body) for shard, body in Grams(text, number, count, shards, tokens).questions()]
+        return batch_of(rows, ASK, True)
+
+    asked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_grams, ASK)
+    grams = materialize(count_grams(asked), f"{home}/grams")
+    del asked
+    release(spark)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = [row for text in _blocks_of(left, shards) for row in score_block(text, _bodies(right, 0), _bodies(right, 1), shards, tokens, types, train_docs)]
+        return batch_of(rows, SCORES, True)
+
+    every = answers.unionByName(grams.select("block", "shard", "body", F.lit(1).alias("part")))
+    return texts.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(score, SCORES)

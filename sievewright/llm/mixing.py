@@ -8,7 +8,8 @@ two sums per step are the gradient and the Hessian's diagonal (constraints of di
 sources share no document).  A step that leaves the bracket of tilts known
 to be too low and too high is replaced by the bracket's middle.
 
-Rates become whole copies by systematic rounding along documents in descending size, in
+Rows equal in id and text are one document with a multiplicity: they are interchangeable, and however many there are, they add one row to a
+bucket.  Rates become whole copies by systematic rounding along documents in descending size, in
 hash buckets of each source: copies = floor(C + 1/2) - floor(C' + 1/2) for the running sums of the
 rates, which are integers (2**-20 units), so reruns agree.  What the rounding leaves of the target is
 made up by single copies of documents of the source's first bucket, the largest that help first.
@@ -21,6 +22,7 @@ table: no rows.  Other columns are kept by ``mix`` as they are.
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -33,6 +35,8 @@ WEIGHTS = (5, 2, 1)
 UNIT = 1 << 20
 #: Documents in a bucket, in expectation: what a window task sorts and what the correction looks at.
 BUCKET_ROWS = 4096
+#: Equal rows that are dealt out together.
+DEAL_ROWS = 4096
 
 
 def word_count(text) -> F.Column:
@@ -105,26 +109,33 @@ def newton_tilts(histogram: DataFrame, aims: DataFrame, most: float, home: str,
         if last:
             remove(spark, last)
         last = here
-        if (now.agg(F.max("gap")).first()[0] or 0.0) <= tolerance:
+        gap = now.agg(F.max("gap")).first()[0] or 0.0
+        if gap <= tolerance:
             break
+    else:
+        warnings.warn(f"after {rounds} rounds a source is still {gap:.2g} of its target away", stacklevel=2)
     return now
 
 
-def plan_mix(docs: DataFrame, total_factor: float = 1.5, most: int = 2, id_column: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies (0 to ``most``), taken = copies * size, and the columns in ``keep``."""
+def row_key(id_column: str) -> F.Column:
+    return F.xxhash64(F.col(id_column), text_or_empty())
+
+
+def plan_documents(docs: DataFrame, total_factor: float = 1.5, most: int = 2, id_column: str = "doc_id") -> DataFrame:
+    """A row for each distinct (id, text): doc_id, size, source_size, target, row_hash, n equal rows, copies of them together (0 to ``most`` * n)."""
     spark = docs.sparkSession
     home = shared_dir(spark)
     sized = materialize(
         docs.select(
             F.col(id_column).alias("doc_id"), F.col("source").cast("string").alias("source"),
             F.coalesce(word_count(text_or_empty()), F.lit(0)).cast("long").alias("size"),
-            F.xxhash64(F.col(id_column), text_or_empty()).alias("row_hash"),
-            # A null source is its own key; \\u0001 keeps it apart from the text of a real one.
-            F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("source_key"),
-        ),
+            row_key(id_column).alias("row_hash"),
+        ).groupBy("doc_id", "source", "size", "row_hash").agg(F.count("*").alias("n"))
+        # A null source is its own key; the letter keeps it apart from the text of a real one.
+        .withColumn("source_key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))),
         f"{home}/sized",
     )
-    histogram = materialize(sized.groupBy("source", "source_key", "size").agg(F.count("*").alias("n")), f"{home}/histogram")
+    histogram = materialize(sized.groupBy("source", "source_key", "size").agg(F.sum("n").alias("n")), f"{home}/histogram")
     by_source = histogram.groupBy("source", "source_key").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"), F.sum("n").alias("n_docs"))
     aims = materialize(targets(by_source, total_factor, float(most)), f"{home}/aims")
     tilts = newton_tilts(histogram.where("size > 0"), aims, float(most), home)
@@ -135,8 +146,9 @@ def plan_mix(docs: DataFrame, total_factor: float = 1.5, most: int = 2, id_colum
         F.least(F.lit(most * UNIT), F.floor(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("scale"), F.lit(50.0))) * UNIT + F.lit(0.5)))
     ).cast("long")
     rated = sized.join(plan, "source_key").withColumn("rate", rate).withColumn("bucket", F.pmod("row_hash", F.col("buckets")))
-    rated = materialize(rated.select("doc_id", "size", "source_key", "source_size", "target", "row_hash", "bucket", "rate"), f"{home}/rated")
-    order = W.partitionBy("source_key", "bucket").orderBy(F.desc("size"), "row_hash")
+    rated = rated.withColumn("rate", F.col("rate") * F.col("n"))
+    rated = materialize(rated.select("doc_id", "size", "n", "source_key", "source_size", "target", "row_hash", "bucket", "rate"), f"{home}/rated")
+    order = W.partitionBy("source_key", "bucket").orderBy(F.desc("size"), "row_hash", "doc_id")
     # Buckets start from the rates' sum in the buckets before.
     sums = rated.groupBy("source_key", "bucket").agg(F.sum("rate").alias("sum"))
     starts = sums.select("source_key", "bucket", F.coalesce(F.sum("sum").over(W.partitionBy("source_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
@@ -151,29 +163,59 @@ def plan_mix(docs: DataFrame, total_factor: float = 1.5, most: int = 2, id_colum
     # wherever that brings the source nearer to its target.
     rest = rounded.groupBy("source_key").agg((F.round(F.max("target")).cast("long") - F.sum(F.col("copies") * F.col("size"))).alias("rest"))
     usable = rounded.where("bucket = 0 and size > 0").join(rest.where("rest <> 0"), "source_key")
-    chosen = usable.groupBy("source_key").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("size", "place", "copies")), asc=False).alias("docs"))
+    chosen = usable.groupBy("source_key").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("size", "place", "copies", "n")), asc=False).alias("docs"))
 
     def step(acc, d):
         def flip(change):
             return F.struct((acc["left"] - change * d["size"]).alias("left"), F.concat(acc["done"], F.array(F.struct(d["place"].alias("place"), F.lit(change).alias("change")))).alias("done"))
 
         nearer = d["size"] < 2 * F.abs(acc["left"])
-        return F.when(nearer & (acc["left"] > 0) & (d["copies"] < most), flip(1)).when(nearer & (acc["left"] < 0) & (d["copies"] > 0), flip(-1)).otherwise(acc)
+        return F.when(nearer & (acc["left"] > 0) & (d["copies"] < most * d["n"]), flip(1)).when(nearer & (acc["left"] < 0) & (d["copies"] > 0), flip(-1)).otherwise(acc)
 
     start = F.struct(F.col("rest").alias("left"), F.array().cast("array<struct<place:int,change:int>>").alias("done"))
     fixes = chosen.select("source_key", F.lit(0).cast("long").alias("bucket"), F.explode(F.aggregate("docs", start, step)["done"]).alias("fix")).select("source_key", "bucket", "fix.place", "fix.change")
     done = rounded.join(fixes, ["source_key", "bucket", "place"], "left").withColumn("copies", F.col("copies") + F.coalesce(F.col("change"), F.lit(0)))
-    return done.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "row_hash")
+    return done.select("doc_id", "size", "source_size", "target", "row_hash", "n", "copies")
+
+
+def share_of(copies: str, n: str, nth: str) -> F.Column:
+    """Copies of the nth (from 1) of n equal rows that have ``copies`` together."""
+    return F.expr(f"cast({copies} div {n} + if({nth} <= {copies} % {n}, 1, 0) as int)")
+
+
+def plan_mix(docs: DataFrame, total_factor: float = 1.5, most: int = 2, id_column: str = "doc_id") -> DataFrame:
+    """For every row: doc_id, size, source_size, target, copies (0 to ``most``), taken = copies * size."""
+    plan = plan_documents(docs, total_factor, most, id_column)
+    single = plan.where("n = 1").select("doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"))
+    # Equal rows come back in lots of bounded size, spread over the tasks.
+    lots = plan.where("n > 1").withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {DEAL_ROWS}"))))
+    lots = lots.repartition("row_hash", "lot").withColumn("nth", F.explode(F.sequence(F.expr(f"lot * {DEAL_ROWS} + 1"), F.least(F.col("n"), F.expr(f"(lot + 1) * {DEAL_ROWS}")))))
+    equal = lots.select("doc_id", "size", "source_size", "target", share_of("copies", "n", "nth").alias("copies"))
+    return single.unionByName(equal).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, total_factor: float = 1.5, most: int = 2) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its copies say, all columns kept."""
-    plan = plan_mix(docs, total_factor, most)
-    # Rows equal in id and text are interchangeable: their copies are summed and dealt out again.
-    per = plan.groupBy(F.col("row_hash").alias("__mix_key")).agg(F.sum("copies").cast("int").alias("__mix_copies"), F.count("*").cast("int").alias("__mix_rows"))
-    keyed = docs.withColumn("__mix_key", F.xxhash64(F.col("doc_id"), text_or_empty()))
-    nth = F.row_number().over(W.partitionBy("__mix_key").orderBy("__mix_key"))
-    # The window's partitioning serves the join: the texts are shuffled once.
-    joined = keyed.withColumn("__mix_nth", nth).join(per, "__mix_key")
-    own = F.expr("__mix_copies div __mix_rows + if(__mix_nth <= __mix_copies % __mix_rows, 1, 0)").cast("int")
-    return joined.where(own > 0).withColumn("__mix_c", F.explode(F.sequence(F.lit(1), own))).select(*docs.columns)
+    home = shared_dir(docs.sparkSession)
+    plan = plan_documents(docs, total_factor, most)
+    # Equal ids and texts may have several sources, planned apart; their copies are dealt out together.
+    per = plan.groupBy(F.col("row_hash").alias("__mix_hash")).agg(F.sum("copies").alias("__mix_copies"), F.sum("n").alias("__mix_n"))
+    per = materialize(per, f"{home}/per")
+    keyed = docs.withColumn("__mix_key", row_key("doc_id"))
+    same = F.col("__mix_key") == F.col("__mix_hash")
+    one = keyed.join(per.where("__mix_n = 1 and __mix_copies > 0"), same).withColumn("__mix_own", F.col("__mix_copies").cast("int"))
+    # Equal rows are numbered within their tasks, and tasks by a table of (key, task); keys of over one row in 1024, at most 1024, go
+    # to every task, so that none of them meets in one.
+    total = per.agg(F.sum("__mix_n")).first()[0] or 0
+    several, often = per.where("__mix_n > 1 and __mix_copies > 0"), F.col("__mix_n") * 1024 > total
+    held = keyed.join(F.broadcast(several.where(often)), same).unionByName(keyed.join(several.where(~often), same))
+    held = materialize(held.withColumn("__mix_at", F.monotonically_increasing_id()), f"{home}/several").withColumn("__mix_task", F.shiftright("__mix_at", 33))
+    counts = held.groupBy(F.col("__mix_key").alias("__mix_k"), F.col("__mix_task").alias("__mix_t")).agg(F.count("*").alias("__mix_c"))
+    before = F.coalesce(F.sum("__mix_c").over(W.partitionBy("__mix_k").orderBy("__mix_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__mix_k", "__mix_t", before.alias("__mix_before"))
+    held = held.withColumn("__mix_nth", F.row_number().over(W.partitionBy("__mix_key", "__mix_task").orderBy("__mix_at")))
+    held = held.join(counts, (F.col("__mix_key") == F.col("__mix_k")) & (F.col("__mix_task") == F.col("__mix_t")))
+    held = held.withColumn("__mix_nth", F.col("__mix_nth") + F.col("__mix_before")).withColumn("__mix_own", share_of("__mix_copies", "__mix_n", "__mix_nth"))
+    names = [*docs.columns, "__mix_own"]
+    every = one.select(names).unionByName(held.select(names)).where("__mix_own > 0")
+    return every.withColumn("__mix_c", F.explode(F.sequence(F.lit(1), F.col("__mix_own")))).select(*docs.columns)

@@ -11,25 +11,22 @@ broadcast model have a fixed size (9 MB).  Sums are whole numbers, added up in a
 model.  The network is fitted on at most ``FIT_ROWS`` labelled documents, those with the smallest hashes of their ids among the documents
 at hand.  Every document is scored over its whole text.
 
-Cases.  Null or empty text: the features of no words, scored like any other.  Bytes that aren't UTF-8 count as replacement
-characters.  Null labels are not learnt from; an id with several labels takes their mean's side, and one with several texts is learnt from the
+Cases.  Null or empty text: the features of no words, scored like any other.  Any bytes can be words.  Null labels are not learnt from; an id with several labels takes their mean's side, and one with several texts is learnt from the
 smallest.  One class or no labelled rows: every score is that class's share, or 0.5.  Null ids are scored
 and fall in the fold of the empty text.  Repeated rows: scored each.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._util import fold_of, materialize, shared_dir, valid_text
+from sievewright.llm._util import fold_of, materialize, shared_dir
 
 #: The bound on labelled documents that the classifier is fitted on.
 FIT_ROWS = 8000
@@ -37,58 +34,109 @@ FIT_ROWS = 8000
 FAN_IN, LEVELS, SLICE_ROWS = 256, 3, 1 << 10
 DIM, WORD_ROWS, SHAPE_ROWS, WINDOW, NONZERO = 64, 1 << 15, 1 << 12, 2, 6
 THRESHOLD = 0.3
-CACHE = 200_000
-
-_CLASSES = [(re.compile(r"[A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"[a-zß-öø-ÿ]+"), "a"), (re.compile(r"[0-9]+"), "0")]
-
-
-def shape_of(word: str) -> str:
-    """Runs of upper-case letters as A, of lower-case as a, of digits as 0; other characters stay."""
-    for pattern, mark in _CLASSES:
-        word = pattern.sub(mark, word)
-    return word[:12]
-
-
-class Rows(dict):
-    """word -> (row of the word table << 16 | row of the shape table); emptied when it is full."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
-            self.clear()
-        value = (xxhash.xxh64_intdigest(word.lower()) % WORD_ROWS) << 16 | xxhash.xxh64_intdigest(shape_of(word), 1) % SHAPE_ROWS
-        self[word] = value
-        return value
+#: Bytes of text that are read together.
+BYTES = 1 << 20
+
+#: Bytes by kind: white space; small for capitals; and for shapes, capitals to A, small letters and all of other alphabets to a, digits to 0.
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_SMALL = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint64)
+_MARK = np.array([65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)], dtype=np.uint8)
+_RUNS = np.isin(np.arange(256), (48, 65, 97))
+#: Powers of an odd number modulo 2**64 and of its inverse: a word's hash is its part of a running sum, moved back to the first power.
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> list[np.ndarray]:
+    if not _powers or len(_powers[0]) < n:
+        _powers[:] = [np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, x, dtype=np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _powers
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))).astype(np.uint64) >> np.uint64(16)
+
+
+def word_rows(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, packed rows) of the words in bytes, all at once: row of the word table << 16 | row of the shape table."""
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
+    starts, ends = edge[::2], edge[1::2]
+    up, down = powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((_SMALL[data] + np.uint64(1)) * up[: len(data)], out=total[1:])
+    word = _mixed((total[ends] - total[starts]) * down[starts])
+    mark = _MARK[data]
+    first = np.ones(len(data), dtype=bool)
+    first[1:] = (mark[1:] != mark[:-1]) | ~_RUNS[mark[1:]]
+    place = np.cumsum(first) - 1
+    np.cumsum(np.where(first, (mark + np.uint64(1)) * up[place], np.uint64(0)), out=total[1:])
+    shape = _mixed((total[ends] - total[starts]) * down[place[starts]])
+    return starts, ((word % np.uint64(WORD_ROWS)) << np.uint64(16) | shape % np.uint64(SHAPE_ROWS)).astype(np.int64)
+
+
+def rows_of(text: bytes | None) -> np.ndarray:
+    """The packed rows of a text's words; a long text goes in windows that end at white space."""
+    data, at, out = np.frombuffer(text or b"", dtype=np.uint8), 0, [np.zeros(0, dtype=np.int64)]
+    while at < len(data):
+        end = at + BYTES
+        if end < len(data):
+            gap = np.flatnonzero(_SPACE[data[at:end]])
+            while not len(gap) and end < len(data):  # one word fills the window
+                gap, end = np.flatnonzero(_SPACE[data[end : end + BYTES]]) + end - at, end + BYTES
+            end = at + gap[-1] + 1 if len(gap) else len(data)
+        out.append(word_rows(data[at:end])[1])
+        at = end
+    return np.concatenate(out)
+
+
+def all_rows(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The packed rows of each of many texts (a binary array); short ones are read together."""
+    held, n = [], 0
+    for text in texts:
+        text = text.as_buffer() if text.is_valid else None
+        size = text.size if text is not None else 0
+        if n + size > BYTES:
+            yield from _together(held)
+            held, n = [], 0
+        if size > BYTES:
+            yield rows_of(text)
+            continue
+        held.append(bytes(text) if size else b"")
+        n += size + 1
+    yield from _together(held)
+
+
+def _together(texts: list[bytes]) -> Iterator[np.ndarray]:
+    if texts:
+        starts, rows = word_rows(np.frombuffer(b" ".join(texts), dtype=np.uint8))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        yield from np.split(rows, np.searchsorted(starts, ends[:-1]))
 
 
 def index_vectors(rows: int, seed: int) -> np.ndarray:
-    """Sparse ternary index vectors, the same everywhere."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((rows, DIM), dtype=np.int8)
-    for k in range(NONZERO):
-        out[np.arange(rows), rng.integers(0, DIM, rows)] = 1 if k % 2 else -1
-    return out
+    """Places of the ``NONZERO`` units of each row's sparse index vector, positive and negative in turn; the same everywhere."""
+    return np.random.default_rng(seed).integers(0, DIM, (NONZERO, rows))
 
 
 def context_sums(ids: np.ndarray, bounds: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(distinct ids, sums of their neighbours' index vectors); ``bounds`` are the documents' ends in ``ids``."""
+    """(places, sums): the sum of the neighbours' index vectors for each row, as places in the flat table; ``bounds`` are the documents' ends in ``ids``."""
     doc = np.searchsorted(bounds, np.arange(len(ids)), side="right")
-    own = index[ids]
-    near = np.zeros_like(own)  # at most 2 * WINDOW in size, so single bytes do
+    pairs = []
     for step in range(1, WINDOW + 1):
-        inside = (doc[step:] == doc[:-step])[:, None]
-        near[:-step] += own[step:] * inside
-        near[step:] += own[:-step] * inside
-    order = np.argsort(ids, kind="stable")
-    start = np.flatnonzero(np.concatenate(([True], np.diff(ids[order]) != 0)))
-    return ids[order][start], np.add.reduceat(near[order], start, axis=0, dtype=np.int64)
-
-
-def _rows_of(texts: list, cache: Rows) -> list[np.ndarray]:
+        inside = doc[step:] == doc[:-step]
+        a, b = ids[:-step][inside], ids[step:][inside]
+        pairs += [(a, b), (b, a)]
+    own, near = (np.concatenate(x) for x in zip(*pairs, strict=True))
     out = []
-    for text in texts:
-        words = (text or "").split()
-        out.append(np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=len(words)))
-    return out
+    for sign in (0, 1):
+        # Sorting and counting small numbers is faster than adding at random places.
+        places = np.concatenate([(own * DIM + row[near]).astype(np.uint32) for row in index[sign::2]])
+        places.sort()
+        start = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1]))) if len(places) else np.zeros(0, dtype=np.int64)
+        out.append((places[start].astype(np.int64), np.diff(np.append(start, len(places))) * (2 * sign - 1)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def pooled(packed: np.ndarray, words: np.ndarray, shapes: np.ndarray) -> np.ndarray:
@@ -152,6 +200,10 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self._forward(z, self.p)[1] / self.temperature, -500, 500)))
 
 
+def as_bytes() -> F.Column:
+    return F.col("text").cast("string").cast("binary").alias("text")
+
+
 def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     """(text, y): the bounded sample of the labelled ones of ``docs`` outside fold 0, a row for each id."""
     own = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").alias("d")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
@@ -159,7 +211,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFrame:
     here = own.where(fold != 0).join(docs.select("doc_id"), F.col("d") == F.col("doc_id"), "left_semi")
     few = here.orderBy(F.xxhash64("d"), "d").limit(fit_rows)
     # At most ``fit_rows`` ids and labels go to every task.
-    return docs.select("doc_id", valid_text()).join(F.broadcast(few), F.col("d") == F.col("doc_id")).groupBy("d", "y").agg(F.min("text").alias("text")).select("text", "y")
+    return docs.select("doc_id", as_bytes()).join(F.broadcast(few), F.col("d") == F.col("doc_id")).groupBy("d", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
 def context_tables(docs: DataFrame, home: str) -> list[np.ndarray]:
@@ -173,26 +225,26 @@ def context_tables(docs: DataFrame, home: str) -> list[np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, total = Rows(), np.zeros((sum(sizes), DIM), dtype=np.int64)
+        total = np.zeros(sum(sizes) * DIM, dtype=np.int64)
         index = [index_vectors(WORD_ROWS, 11), index_vectors(SHAPE_ROWS, 12)]
         held, n = [], 0
 
         def add() -> None:
             packed, bounds = np.concatenate(held), np.cumsum([len(x) for x in held])
-            for ids, table, first in ((packed >> 16, index[0], 0), (packed & 0xFFFF, index[1], WORD_ROWS)):
-                rows, near = context_sums(ids, bounds, table)
-                total[first + rows] += near
+            for ids, table, first in ((packed >> 16, index[0], 0), (packed & 0xFFFF, index[1], WORD_ROWS * DIM)):
+                places, n = context_sums(ids, bounds, table)
+                np.add.at(total, first + places, n)
 
         for batch in batches:
-            for text in batch.column("text"):
-                held += _rows_of([text.as_py()], cache)
-                n += len(held[-1])
+            for rows in all_rows(batch.column("text")):
+                held.append(rows)
+                n += len(rows)
                 if n >= 1 << 18:
                     add()
                     held, n = [], 0
         if n:
             add()
-        yield slices(TaskContext.get().partitionId(), total.astype(np.int32))
+        yield slices(TaskContext.get().partitionId(), total.reshape(-1, DIM).astype(np.int32))
 
     def added(t: pa.Table) -> pa.Table:
         # A task's own sums are 32-bit, added ones 64-bit.
@@ -200,7 +252,7 @@ def context_tables(docs: DataFrame, home: str) -> list[np.ndarray]:
         total = sum(np.frombuffer(x, dtype=np.int32 if len(x) == 4 * SLICE_ROWS * DIM else np.int64).astype(np.int64) for x in parts)
         return pa.Table.from_arrays([pa.array([t["part"][0].as_py() // FAN_IN], pa.int64()), pa.array([t["at"][0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=names)
 
-    parts = docs.select(valid_text()).mapInArrow(sums, kind)
+    parts = docs.select(as_bytes()).mapInArrow(sums, kind)
     for _ in range(LEVELS):
         parts = parts.groupBy(F.expr(f"part div {FAN_IN}"), "at").applyInArrow(lambda _, t: added(t), kind)
     parts = materialize(parts, f"{home}/sums")
@@ -220,9 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> dict:
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = Rows()
         for batch in batches:
-            x = [pooled(r, *shared.value).tobytes() for r in _rows_of(batch.column("text").to_pylist(), cache)]
+            x = [pooled(r, *shared.value).tobytes() for r in all_rows(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column("y")], names=["x", "y"])
 
     rows = sample.mapInArrow(features, "x binary, y int").collect()  # at most ``fit_rows``
@@ -237,16 +288,16 @@ def score_documents(docs: DataFrame, model: dict) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, m = Rows(), shared.value
+        m = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             x = np.zeros((len(ids), 2 * DIM + 4), dtype=np.float32)
-            for i, text in enumerate(batch.column(1)):
-                x[i] = pooled(_rows_of([text.as_py()], cache)[0], m["words"], m["shapes"])
+            for i, rows in enumerate(all_rows(batch.column(1))):
+                x[i] = pooled(rows, m["words"], m["shapes"])
             score = m["network"].score(x)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fold_of(i) == 0 for i in ids], pa.bool_()), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), valid_text()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), as_bytes()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -255,11 +306,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> D
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, m = Rows(), shared.value
+        m = shared.value
         for batch in batches:
             x = np.zeros((batch.num_rows, 2 * DIM + 4), dtype=np.float32)
-            for i, text in enumerate(batch.column(where).cast(pa.binary())):
-                x[i] = pooled(_rows_of([(text.as_py() or b"").decode("utf-8", "replace")], cache)[0], m["words"], m["shapes"])
+            for i, rows in enumerate(all_rows(batch.column(where).cast(pa.binary()))):
+                x[i] = pooled(rows, m["words"], m["shapes"])
             yield batch.filter(pa.array(m["network"].score(x) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

@@ -190,6 +190,21 @@ def test_mix(spark, docs, small, which):
     assert mixing.plan_mix(table.limit(0)).count() == 0 and mixing.mix(table.limit(0)).count() == 0
 
 
+def test_mix_of_many_equal_rows(spark, monkeypatch):
+    """Half of all rows are one document; it is dealt out in lots, and the same on every run."""
+    monkeypatch.setattr(mixing, "DEAL_ROWS", 16)
+    rows = [(1, "a b c", "s")] * 150 + [(2, None, "s")] * 20 + [(10 + i, "w " * (1 + i % 30), "t" if i % 3 else None) for i in range(130)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.plan_mix(docs).collect()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((d, word_count(t)) for d, t, _ in rows)
+    again = mixing.plan_mix(docs.repartition(7)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again)) and all(0 <= r.copies <= 2 for r in got)
+    taken, target = sum(r.taken for r in got if r.doc_id == 1), next(r.target for r in got if r.doc_id == 1)
+    assert abs(taken - target) <= 3
+    mixed = Counter(r.doc_id for r in mixing.mix(docs.repartition(5)).collect())
+    assert mixed == Counter({d: n for d, n in Counter(r.doc_id for r in got for _ in range(r.copies)).items()})
+
+
 def test_rates_solve_the_dual(spark, small, tmp_path):
     histogram = spark.createDataFrame([("s", n, 3) for n in (5, 40, 300)] + [("t", n, 1) for n in (10, 20)], "source_key string, size long, n long")
     aims = spark.createDataFrame([("s", 1035, 700.0, 9), ("t", 30, 60.0, 2)], "source_key string, source_size long, target double, n_docs long")
@@ -201,43 +216,70 @@ def test_rates_solve_the_dual(spark, small, tmp_path):
 # Language model
 
 
-def test_scores(spark, docs):
-    rows = [(r.doc_id, r.text) for r in docs.collect()]
+def brute_scores(rows):
     held = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 5 == 1
-    c1, c2 = Counter(), Counter()
+    c = Counter()
     for d, t in rows:
         if not held(d):
             seq = [b"<s>", *words_of(t), b"</s>"]
-            c1.update(seq[1:])
-            c2.update(zip(seq, seq[1:]))
-    n, v = sum(c1.values()), len(c1)
-    types = [sum(x == k for x in c2.values()) for k in (1, 2, 3, 4)]
-    disc = lm.discounts(*types)
-    ctx = defaultdict(list)
-    for (a, _), k in c2.items():
-        ctx[a].append(k)
-    uni = lambda w: (c1[w] + 0.5) / (n + 0.5 * (v + 1))
-
-    def prob(a, w):
-        if a not in ctx:
-            return uni(w)
-        total = sum(ctx[a])
-        back = sum(disc[min(k, 3) - 1] for k in ctx[a]) / total
-        k = c2[a, w]
-        return (k - disc[min(k, 3) - 1]) / total + back * uni(w) if k else back * uni(w)
-
-    assert abs(sum(prob(b"the", w) for w in [*c1, b"never seen"]) - 1) < 1e-9
+            for k in (1, 2, 3):
+                c.update(tuple(seq[i : i + k]) for i in range(len(seq) - k + 1))
+    starts = c.pop((b"<s>",), 0)
+    one = {g[0]: n for g, n in c.items() if len(g) == 1}
+    n, v = sum(one.values()), len(one)
+    uni = lambda w: (one.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+
+    def pair(a, w):
+        return (c[a, w] + lm.PAIR * uni(w)) / ((starts if a == b"<s>" else one.get(a, 0)) + lm.PAIR)
+
+    def triple(a, b, w):
+        return (c[a, b, w] + lm.TRIPLE * pair(b, w)) / (c[a, b] + lm.TRIPLE)
+
+    for a, b in [(b"the", b"of"), (b"<s>", b"the"), (b"never", b"the"), (b"x", b"y")]:
+        assert abs(sum(triple(a, b, w) for w in [*one, b"never seen"]) - 1) < 1e-9
     want = []
     for d, t in rows:
         seq = [b"<s>", *words_of(t), b"</s>"]
-        want.append((-1 if d is None else d, held(d), len(seq) - 1, sum(c1[w] > 0 for w in seq[1:]), n, sum(math.log10(uni(w)) for w in seq[1:]), sum(math.log10(prob(a, w)) for a, w in zip(seq, seq[1:]))))
-    for block, most in ((1 << 20, 4096), (200, 4096), (200, 0)):
-        lm.BLOCK, lm.MOST_HOT = block, most
-        got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm.score_corpus(docs).collect())
-        for a, b in zip(got, sorted(want), strict=True):
-            assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
-    lm.BLOCK, lm.MOST_HOT = 1 << 20, 4096
-    assert lm.score_corpus(docs.limit(0)).count() == 0
+        p = [pair(*seq[:2])] + [triple(*seq[i : i + 3]) for i in range(len(seq) - 2)]
+        want.append((-1 if d is None else d, held(d), len(seq) - 1, sum(one.get(w, 0) > 0 for w in seq[1:]), n, sum(math.log10(uni(w)) for w in seq[1:]), sum(map(math.log10, p))))
+    return sorted(want)
+
+
+@pytest.mark.parametrize(("block", "shard", "lane"), [(1 << 20, 1 << 20, 256), (200, 1 << 20, 256), (300, 60, 3), (1, 500, 1)])
+def test_scores(spark, docs, monkeypatch, block, shard, lane):
+    for name, value in (("BLOCK", block), ("SHARD", shard), ("LANE", lane)):
+        monkeypatch.setattr(lm, name, value)
+    table = docs if block > 1 else docs.where("doc_id is null or doc_id <> 3")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in lm.score_corpus(table).collect())
+    for a, b in zip(got, brute_scores([(r.doc_id, r.text) for r in table.collect()]), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
+    if block > 1 << 19:
+        assert lm.score_corpus(docs.limit(0)).count() == 0
+        only_held_out = docs.where("doc_id = 11 or doc_id = 1").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1)
+        for r in lm.score_corpus(only_held_out).collect():
+            assert r.train_tokens == r.n_known == 0 and r.score == pytest.approx(r.base_score)
+
+
+def test_traversal_carries_the_state():
+    """States of a small automaton, word by word, against the longest context seen."""
+    rng, n = np.random.default_rng(3), 6
+    text = rng.integers(0, n, 400)
+    pairs, pair_at = np.unique(text[1:] * (n + 1) + text[:-1], return_inverse=True)
+    triples = np.unique(pair_at[:-1] * (n + 1) + text[2:])
+    word, context = pairs // (n + 1), pairs % (n + 1)
+    seen2, seen3 = rng.integers(0, 3, len(pairs)), rng.integers(0, 2, len(triples))
+    seen3 = np.where((seen2[triples // (n + 1)] > 0), seen3, 0)
+    ends = {(c, w): i for i, (c, w) in enumerate(zip(context, word))}
+    for i, t in enumerate(triples):  # a triple's last two words were seen if it was
+        seen2[ends[word[t // (n + 1)], t % (n + 1)]] |= seen3[i]
+    seen3 = np.where((seen2[triples // (n + 1)] > 0), seen3, 0)
+    count = np.append(np.bincount(text, minlength=n), 3)
+    machine = lm.Automaton(count[:n] / count[:n].sum(), count, (context, word, seen2), (triples // (n + 1), triples % (n + 1), seen3))
+    state = np.array([0])
+    for i, w in enumerate(text):
+        state, weight = machine.step(state, np.array([w]))
+        pair = ends.get((text[i - 1], w)) if i else None
+        assert state[0] == (n + 2 + pair if pair is not None and seen2[pair] else w + 1) and weight[0] <= 0
 
 
 # WARC
