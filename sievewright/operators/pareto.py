@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sievewright.functions.scalars import largest_remainders
 from sievewright.plans.workspace import materialize
 
 #: Points that are compared with at a time; a front of more goes out in several waves.
@@ -141,28 +142,27 @@ def nsga_select(df: DataFrame, id_column: str, objectives: Sequence[str], keep:
     return ranked.orderBy("front", F.desc("crowding"), total.desc(), *[F.desc(c) for c in objectives], id_column).limit(keep)
 
 
-def stratum_caps(counts: dict, budget: int) -> dict:
-    """Floor shares and largest remainders, at least one a stratum, trimmed to the budget (from the largest cap)."""
-    total = sum(counts.values())
-    if not total or budget <= 0:
+def stratum_caps(counts: dict, budget: int, shares: dict | None = None) -> dict:
+    """Whole caps near the strata's shares of the budget, by largest remainders, between one and what a stratum has.
+
+    ``shares`` are the training strata's probabilities; without them, the strata's own sizes.  Caps over the budget, as each stratum keeps
+    one, are lowered from the largest on, but not below one.
+    """
+    names = sorted(counts, key=str)
+    if not sum(counts.values()) or budget <= 0:
         return dict.fromkeys(counts, 0)
-    budget = min(budget, total)
-    shares = {k: budget * n / total for k, n in counts.items()}
-    caps = {k: min(counts[k], max(1, int(s))) for k, s in shares.items()}
-    for k in sorted(counts, key=lambda k: (-(shares[k] - int(shares[k])), str(k))):
-        if sum(caps.values()) >= budget:
-            break
-        if caps[k] < counts[k]:
-            caps[k] += 1
-    while sum(caps.values()) > budget:
-        caps[max(caps, key=lambda k: (caps[k], str(k)))] -= 1
+    wanted = largest_remainders([(shares or counts).get(k, 0.0) for k in names], min(budget, sum(counts.values())))
+    caps = {k: min(counts[k], max(1, n)) for k, n in zip(names, wanted, strict=True)}
+    for _ in range(sum(caps.values()) - budget):
+        largest = max(caps, key=lambda k: (caps[k], str(k)))
+        caps[largest] = max(1, caps[largest] - 1)
     return caps
 
 
-def stratified_reduce(df: DataFrame, stratum: str, order: Sequence[Column], keep: int) -> DataFrame:
+def stratified_reduce(df: DataFrame, stratum: str, order: Sequence[Column], keep: int, shares: dict | None = None) -> DataFrame:
     """Each stratum's cap by priority, then the best of the rest up to ``keep``."""
     counts = {r[stratum]: r["count"] for r in df.groupBy(stratum).count().collect()}  # one row a stratum
-    caps = stratum_caps(counts, keep)
+    caps = stratum_caps(counts, keep, shares)
     cap = F.create_map(*[x for k, v in caps.items() for x in (F.coalesce(F.lit(k).cast("string"), F.lit("")), F.lit(v))])
     rn = F.row_number().over(W.partitionBy(stratum).orderBy(*order))
     own = df.withColumn("__in", (rn <= cap[F.coalesce(F.col(stratum).cast("string"), F.lit(""))]).cast("int"))

@@ -42,7 +42,7 @@ def running_sums(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     rows = _sorted(df, [*[F.col(g).asc() for g in groups], *order])
     own = W.partitionBy("__part", *groups).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
     totals = rows.groupBy("__part", *groups).agg(*[F.sum(c).alias(f"__{n}") for n, c in values.items()])
-    upto = W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    upto = (W.partitionBy(*groups) if groups else W).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     before = totals.select(F.col("__part").alias("__p"), *[F.col(g).alias(f"__g_{g}") for g in groups], *[F.coalesce(F.sum(f"__{n}").over(upto), F.lit(0)).alias(f"__b_{n}") for n in values])
     cond = F.col("__part") == F.col("__p")
     for g in groups:

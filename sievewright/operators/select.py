@@ -13,6 +13,7 @@ from sievewright.functions import scalars as S
 from sievewright.functions.scalars import largest_remainders
 from sievewright.operators import fidelity as D
 from sievewright.operators import pareto as P
+from sievewright.operators.ranks import global_row_number, running_sums
 from sievewright.plans.workspace import materialize
 
 
@@ -213,19 +214,20 @@ def refine_to_targets(selected: DataFrame, pool: DataFrame, reference: D.Referen
     return now
 
 
-def signature_swaps(selected: DataFrame, pool: DataFrame, columns: Sequence[str], id_column: str, score: str, most: int) -> DataFrame:
+def signature_swaps(selected: DataFrame, pool: DataFrame, columns: Sequence[str], id_column: str, score: str, most: int | None = None) -> DataFrame:
     """(signature, remove_id, add_id, gain): within equal bucket vectors, the worst selected with the best available row.
 
-    Pairs are an equi-join of two rankings; the ``most`` best gains stay.  Gains fall with the rank, so ranks over ``most``
-    aren't needed, and each task cuts a large signature's rows before the shuffle.
+    Pairs are an equi-join of two rankings; all stay, or the ``most`` best gains.  Gains fall with the rank, so ranks over ``most``
+    aren't needed, and each task then cuts a large signature's rows before the shuffle.
     """
     sig = F.xxhash64(*columns)
     free = pool.join(selected.select(id_column), id_column, "left_anti")
-    rank = lambda df, order: df.withColumn("sig", sig).withColumn("rn", F.row_number().over(W.partitionBy("sig", *columns).orderBy(order, id_column))).where(F.col("rn") <= most)
+    rank = lambda df, order: df.withColumn("sig", sig).withColumn("rn", F.row_number().over(W.partitionBy("sig", *columns).orderBy(order, id_column))).where(F.col("rn") <= (most or (1 << 31) - 1))
     a = rank(selected, F.asc(score)).select(*columns, "rn", F.col(id_column).alias("remove_id"), F.col(score).alias("__old"))
     b = rank(free, F.desc(score)).select(*columns, "rn", F.col(id_column).alias("add_id"), F.col(score).alias("__new"))
     pairs = a.join(b, [*columns, "rn"]).withColumn("gain", F.col("__new") - F.col("__old")).where("gain > 0")
-    return pairs.select(*columns, "remove_id", "add_id", "gain").orderBy(F.desc("gain"), "remove_id").limit(most)
+    pairs = pairs.select(*columns, "remove_id", "add_id", "gain")
+    return pairs if most is None else pairs.orderBy(F.desc("gain"), "remove_id").limit(most)
 
 
 def guard_band(df: DataFrame, id_column: str, marginal: str, keep: int) -> DataFrame:
@@ -239,19 +241,18 @@ def guard_band(df: DataFrame, id_column: str, marginal: str, keep: int) -> DataF
 def floor_repair(selected: DataFrame, pool: DataFrame, id_column: str, value: str, floor: float, score: str, rounds: int = 6) -> DataFrame:
     """Raises the selection's mean of ``value`` to ``floor`` by swapping its lowest rows for the pool's highest.
 
-    The number of swaps follows from running sums over both rankings, so one round is enough.
+    The number of swaps follows from running sums over both rankings, so one round is enough; ranks and sums run over range partitions.
     """
     stats = selected.agg(F.avg(value).alias("m"), F.count("*").alias("n")).first()
     if stats.m is None or stats.m >= floor:
         return selected
     free = pool.join(selected.select(id_column), id_column, "left_anti")
-    top = lambda df, order: df.orderBy(order, F.desc(score), id_column).limit(stats.n)  # noqa: E731  at most K rows
-    ranked = lambda df, order: top(df, order).withColumn("rn", F.row_number().over(W.orderBy(order, F.desc(score), id_column)))
+    ranked = lambda df, order: global_row_number(df, [order, F.desc(score), F.col(id_column)])
     a = ranked(selected, F.asc(value)).select("rn", F.col(id_column).alias("r"), F.col(value).alias("old"))
     b = ranked(free, F.desc(value)).select("rn", F.col(id_column).alias("a"), F.col(value).alias("new"))
     gains = a.join(b, "rn").withColumn("gain", F.col("new") - F.col("old")).where("gain > 0")
-    before = F.coalesce(F.sum("gain").over(W.orderBy("rn").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    swaps = gains.withColumn("before", before).where(F.col("before") < (floor - stats.m) * stats.n)
+    summed = running_sums(gains, [], [F.col("rn")], {"upto": "gain"}).withColumn("before", F.col("upto") - F.col("gain"))
+    swaps = materialize(summed.where(F.col("before") < (floor - stats.m) * stats.n - 1e-9))
     kept = selected.join(swaps.select(F.col("r").alias(id_column)), id_column, "left_anti")
     return kept.unionByName(pool.join(swaps.select(F.col("a").alias(id_column)), id_column, "left_semi"))
 

@@ -150,10 +150,11 @@ def attribute_error_attack(spark, sf_dir):
 
 def scaled(spark, sf_dir):
     one = lambda df: df.select("row_id", (F.col("qty") / 50).alias("a"), (F.col("price") / 100000).alias("b"))
-    return one(split(spark, sf_dir, "test").orderBy("row_id").limit(400)), one(split(spark, sf_dir, "pool").orderBy("row_id").limit(400))
+    # The operator's own sample: equal sizes, at most 20000 rows a side.
+    return tuple(materialize(x) for x in PR.same_size(one(split(spark, sf_dir, "test")), one(split(spark, sf_dir, "pool")), "row_id", order=F.col("row_id")))
 
 
-@query(f"""with {SQL}, r as (select row_id, qty / 50 as a, price / 100000 as b from test order by row_id limit 400), s as (select row_id, qty / 50 as a, price / 100000 as b from pool order by row_id limit 400), c as (select avg(a) as a, avg(b) as b from r),
+@query(f"""with {SQL}, r as (select row_id, qty / 50 as a, price / 100000 as b from test qualify row_number() over (order by row_id) <= least(20000, (select count(*) from test), (select count(*) from pool))), s as (select row_id, qty / 50 as a, price / 100000 as b from pool qualify row_number() over (order by row_id) <= least(20000, (select count(*) from test), (select count(*) from pool))), c as (select avg(a) as a, avg(b) as b from r),
     rd as (select sqrt(pow(r.a - c.a, 2) + pow(r.b - c.b, 2)) as d from r, c), sd as (select sqrt(pow(s.a - c.a, 2) + pow(s.b - c.b, 2)) as d from s, c),
     q as (select quantile_cont(d, {[i / 20 for i in range(21)]}) as q from rd)
     select i / 20 as point, round((select avg((d <= q[i + 1])::int) from sd), 9) as curve from q, unnest(range(21)) as t(i)""")
@@ -164,7 +165,7 @@ def alpha_precision_curve(spark, sf_dir):
     return rounded(PR.share_within(PR.center_distances(synthetic, "row_id", ["a", "b"], center), near), "curve", digits=9)
 
 
-_AB = f"""{SQL}, r as (select row_id, qty / 50 as a, price / 100000 as b from test order by row_id limit 400), s as (select row_id, qty / 50 as a, price / 100000 as b from pool order by row_id limit 400),
+_AB = f"""{SQL}, r as (select row_id, qty / 50 as a, price / 100000 as b from test qualify row_number() over (order by row_id) <= least(20000, (select count(*) from test), (select count(*) from pool))), s as (select row_id, qty / 50 as a, price / 100000 as b from pool qualify row_number() over (order by row_id) <= least(20000, (select count(*) from test), (select count(*) from pool))),
     c as (select avg(a) as a, avg(b) as b from r), e as (select avg(a) as a, avg(b) as b from s), rd as (select sqrt(pow(r.a - c.a, 2) + pow(r.b - c.b, 2)) as d from r, c), sd as (select sqrt(pow(s.a - c.a, 2) + pow(s.b - c.b, 2)) as d from s, c),
     se as (select s.row_id, sqrt(pow(s.a - e.a, 2) + pow(s.b - e.b, 2)) as d from s, e), re as (select sqrt(pow(r.a - e.a, 2) + pow(r.b - e.b, 2)) as d from r, e),
     rr as (select x.row_id, min(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) as d from r x, r y where x.row_id <> y.row_id group by 1),

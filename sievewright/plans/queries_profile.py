@@ -12,6 +12,7 @@ from sievewright.operators import ranks as R
 from sievewright.operators import validate as V
 from sievewright.plans.roles import DIRTY_SQL, LINEITEM, SQL, Roles, dirty_pool, lineitem, split, table
 from sievewright.registry import query
+from sievewright.sources.files import fingerprint
 
 COLUMNS = LINEITEM.columns
 #: Edges and codes as SQL: eight quantile bins of the training rows.
@@ -40,14 +41,34 @@ def marginals_sql(codes: str, name: str) -> str:
     from sizes s, unnest(range(s.n)) as g(code) left join {name}_long l on l."column" = s."column" and l.code = g.code group by 1, 2)"""
 
 
+#: Cards and references, of a size that the columns' buckets bound, by session and by the training table's fingerprint.
+_FITTED: dict[tuple, object] = {}
+
+
+def _once(spark, sf_dir, what: str, make):
+    key = (spark.sparkContext.applicationId, what, fingerprint(spark, [f"{sf_dir}/lineitem.parquet"]))
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def fitted(spark, sf_dir):
     train = split(spark, sf_dir, "train")
-    return train, C.fit(train, LINEITEM)
+    return train, _once(spark, sf_dir, "cards", lambda: C.fit(train, LINEITEM))
 
 
 def reference(spark, sf_dir):
     train, cards = fitted(spark, sf_dir)
-    return train, cards, D.fit_reference(train, cards)
+    return train, cards, _once(spark, sf_dir, "reference", lambda: D.fit_reference(train, cards))
+
+
+#: A current selection: a tenth of the candidates, by their ids' last digit; and its size, alone and with one more row.
+CURRENT_SQL = "cur as (select * from pool where row_id % 10 = 3)"
+HAVE, MORE = "(select count(*) from cur)", "(select count(*) + 1 from cur)"
+
+
+def current(pool):
+    return pool.where("row_id % 10 = 3")
 
 
 def rounded(df, *columns, digits: int = 6):
@@ -319,15 +340,15 @@ def pair_fidelity(spark, sf_dir):
     return rounded(D.pair_fidelity(D.pair_similarity(ref, split(spark, sf_dir, "pool"))), "pair_fidelity")
 
 
-@query(f"""with {SQL}, {EDGES_SQL}, {SIZES_SQL}, {codes_sql("train", "tc")}, {marginals_sql("tc", "tm")}, cur as (select * from pool order by row_id limit 200), {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, {codes_sql("pool", "pc")},
-    b as (select tm."column", tm.code, tm.p, cm.n, 0.5 * sum(abs(cm.n / 201 - tm.p)) over (partition by tm."column") as rest from tm join cm on cm."column" = tm."column" and cm.code = tm.code),
-    f as (select "column", code, 1 - (rest + 0.5 * (abs((n + 1) / 201 - p) - abs(n / 201 - p))) as after, greatest(0, (n + 1) / 201 - p) as pen from b)
+@query(f"""with {SQL}, {EDGES_SQL}, {SIZES_SQL}, {codes_sql("train", "tc")}, {marginals_sql("tc", "tm")}, {CURRENT_SQL}, {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, {codes_sql("pool", "pc")},
+    b as (select tm."column", tm.code, tm.p, cm.n, 0.5 * sum(abs(cm.n / {MORE} - tm.p)) over (partition by tm."column") as rest from tm join cm on cm."column" = tm."column" and cm.code = tm.code),
+    f as (select "column", code, 1 - (rest + 0.5 * (abs((n + 1) / {MORE} - p) - abs(n / {MORE} - p))) as after, greatest(0, (n + 1) / {MORE} - p) as pen from b)
     select pc.row_id, round(({" + ".join(f"f_{c}.after" for c in COLUMNS)}) / 5, 9) as after_1d, round(({" + ".join(f"f_{c}.pen" for c in COLUMNS)}) / 5, 9) as penalty_1d
     from pc {" ".join(f'''join f f_{c} on f_{c}."column" = '{c}' and f_{c}.code = pc.{c}''' for c in COLUMNS)}""")
 def add_one_fidelity(spark, sf_dir):
     _, cards, ref = reference(spark, sf_dir)
     pool = split(spark, sf_dir, "pool")
-    out = D.add_one(pool.orderBy("row_id").limit(200), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
+    out = D.add_one(current(pool), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
     return rounded(out.select("row_id", "after_1d", "penalty_1d"), "after_1d", "penalty_1d", digits=9)
 
 

@@ -13,7 +13,7 @@ from sievewright.operators import repair as RP
 from sievewright.operators import scores as U
 from sievewright.operators import select as K
 from sievewright.operators import validate as V
-from sievewright.plans.queries_profile import _FIT, _PAIRS, _POOL, COLUMNS, CUSTOMER, CUSTOMER_SQL, _lookup_sql, codes_sql, customer_role, marginals_sql, reference, rounded
+from sievewright.plans.queries_profile import _FIT, _PAIRS, _POOL, COLUMNS, CURRENT_SQL, CUSTOMER, CUSTOMER_SQL, HAVE, MORE, _lookup_sql, codes_sql, current, customer_role, marginals_sql, reference, rounded
 from sievewright.plans.roles import SQL, lineitem, split, table
 from sievewright.plans.search import final_choice, guidance
 from sievewright.plans.workspace import materialize
@@ -87,13 +87,13 @@ def surrogates(spark, sf_dir):
 def _add_one_sql() -> str:
     """Tables f (1-D) and g (pairs): similarity after one more row and penalty, by bucket."""
     cells = lambda codes: " union all ".join(f"select '{a}' as l, '{b}' as r, {a} as a, {b} as b from {codes}" for a, b in _PAIRS)
-    return f"""cur as (select * from pool order by row_id limit 200), {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, b1 as (select tm."column", tm.code, tm.p, cm.n, 0.5 * sum(abs(cm.n / 201 - tm.p)) over (partition by tm."column") as rest from tm join cm on cm."column" = tm."column" and cm.code = tm.code),
-    f as (select "column", code, 1 - (rest + 0.5 * (abs((n + 1) / 201 - p) - abs(n / 201 - p))) as after, greatest(0, (n + 1) / 201 - p) as pen from b1),
+    return f"""{CURRENT_SQL}, {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, b1 as (select tm."column", tm.code, tm.p, cm.n, 0.5 * sum(abs(cm.n / {MORE} - tm.p)) over (partition by tm."column") as rest from tm join cm on cm."column" = tm."column" and cm.code = tm.code),
+    f as (select "column", code, 1 - (rest + 0.5 * (abs((n + 1) / {MORE} - p) - abs(n / {MORE} - p))) as after, greatest(0, (n + 1) / {MORE} - p) as pen from b1),
     pt as (select l, r, a, b, count(*) as n from ({cells("tc")}) group by all), pp as (select *, n / sum(n) over (partition by l, r) as p from pt), pq as (select l, r, a, b, count(*) as n from ({cells("cc")}) group by all),
     nm as (select l, r, sum(p * ln(p / (pa * pb))) / sqrt(-sum(p * ln(pa)) * -sum(p * ln(pb))) as mi from (select *, sum(p) over (partition by l, r, a) as pa, sum(p) over (partition by l, r, b) as pb from pp) group by 1, 2),
     w as (select l, r, greatest(round(mi, 9), 1e-6) / sum(greatest(round(mi, 9), 1e-6)) over () as w from nm), grid as (select w.l, w.r, w.w, x.code::int as a, y.code::int as b from w join tm x on x."column" = w.l join tm y on y."column" = w.r),
     j as (select grid.*, coalesce(pp.p, 0) as p, coalesce(pq.n, 0) as n from grid left join pp on pp.l = grid.l and pp.r = grid.r and pp.a = grid.a and pp.b = grid.b left join pq on pq.l = grid.l and pq.r = grid.r and pq.a = grid.a and pq.b = grid.b),
-    b2 as (select *, 0.5 * sum(abs(n / 201 - p)) over (partition by l, r) as rest from j), g as (select l, r, a, b, w * (1 - (rest + 0.5 * (abs((n + 1) / 201 - p) - abs(n / 201 - p)))) as after, w * greatest(0, (n + 1) / 201 - p) as pen from b2)"""
+    b2 as (select *, 0.5 * sum(abs(n / {MORE} - p)) over (partition by l, r) as rest from j), g as (select l, r, a, b, w * (1 - (rest + 0.5 * (abs((n + 1) / {MORE} - p) - abs(n / {MORE} - p)))) as after, w * greatest(0, (n + 1) / {MORE} - p) as pen from b2)"""
 
 
 _ONE = " ".join(f"""join f f_{c} on f_{c}."column" = '{c}' and f_{c}.code = pc.{c}""" for c in COLUMNS)
@@ -106,7 +106,7 @@ _TWO = " ".join(f"join g g_{a}_{b} on g_{a}_{b}.l = '{a}' and g_{a}_{b}.r = '{b}
 def exact_scores(spark, sf_dir):
     _, cards, ref = reference(spark, sf_dir)
     pool = split(spark, sf_dir, "pool")
-    out = U.exact_scores(pool.orderBy("row_id").limit(200), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
+    out = U.exact_scores(current(pool), D.encode(pool, cards, keep=("row_id",)), ref, "row_id")
     out = out.select("row_id", "after_1d", "penalty_1d", "after_2d", "penalty_2d", "scaled_1d", "scaled_2d")
     return rounded(rounded(out, "after_1d", "penalty_1d", "after_2d", "penalty_2d", digits=8), "scaled_1d", "scaled_2d", digits=5)
 
@@ -211,11 +211,12 @@ def nsga_selection(spark, sf_dir):
     return P.nsga_select(coarse(spark, sf_dir), "row_id", ("c1", "c2"), 200).select("row_id", "front")
 
 
-@query(f"""with {SQL}, {OBJ_SQL}, c as (select line, count(*) as n, 300 * count(*) / sum(count(*)) over () as share from obj group by 1), f as (select *, row_number() over (order by share - floor(share) desc, line::varchar) as k, 300 - sum(floor(share)) over () as extra from c),
-    p as (select line, floor(share) + case when k <= extra then 1 else 0 end as cap from f), r as (select o.row_id, o.line, o.o1, cap, row_number() over (partition by o.line order by o1 desc, row_id) as rn from obj o join p on p.line = o.line)
+@query(f"""with {SQL}, {OBJ_SQL}, t as (select line, count(*) as m from train group by 1), c as (select line, count(*) as n, 300 * m / sum(m) over () as share from obj join t using (line) group by line, m),
+    f as (select *, row_number() over (order by share - floor(share) desc, line::varchar) as k, 300 - sum(floor(share)) over () as extra from c), p as (select line, floor(share) + case when k <= extra then 1 else 0 end as cap from f), r as (select o.row_id, o.line, o.o1, cap, row_number() over (partition by o.line order by o1 desc, row_id) as rn from obj o join p on p.line = o.line)
     select row_id, line, o1 from r where rn <= cap""")
 def stratified_reduction(spark, sf_dir):
-    return P.stratified_reduce(objectives(spark, sf_dir), "line", [F.desc("o1"), F.asc("row_id")], 300).select("row_id", "line", "o1")
+    shares = {r.line: float(r["count"]) for r in split(spark, sf_dir, "train").groupBy("line").count().collect()}
+    return P.stratified_reduce(objectives(spark, sf_dir), "line", [F.desc("o1"), F.asc("row_id")], 300, shares).select("row_id", "line", "o1")
 
 
 @query(f"""with {SQL}, {OBJ_SQL}, p as (select distinct o1, o2 from obj where o1 > 0 and o2 > 0), f as (select * from p a where not exists (select 1 from p b where b.o1 >= a.o1 and b.o2 >= a.o2 and (b.o1 > a.o1 or b.o2 > a.o2)))
@@ -235,47 +236,47 @@ def quota_selection(spark, sf_dir):
 def refined_selection(spark, sf_dir):
     _, cards, ref = reference(spark, sf_dir)
     codes = D.encode(split(spark, sf_dir, "pool"), cards, keep=("row_id",))
-    return K.refine_to_targets(codes.orderBy("row_id").limit(500), codes, ref, "row_id", K.quota_targets(codes, ref, 500))
+    own = current(codes)
+    return K.refine_to_targets(own, codes, ref, "row_id", K.quota_targets(codes, ref, own.count()))
 
 
-_GAPS = "s as (select tm.\"column\", tm.code, greatest(0, cm.n / 200 - tm.p) as over, greatest(0, tm.p - cm.n / 200) as short from tm join cm on cm.\"column\" = tm.\"column\" and cm.code = tm.code)"
+_GAPS = f"s as (select tm.\"column\", tm.code, greatest(0, cm.n / {HAVE} - tm.p) as over, greatest(0, tm.p - cm.n / {HAVE}) as short from tm join cm on cm.\"column\" = tm.\"column\" and cm.code = tm.code)"
 
 
-@query(f"""with {_FIT}, {codes_sql("pool", "pc")}, cur as (select * from pool order by row_id limit 200), {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, {_GAPS}
+@query(f"""with {_FIT}, {codes_sql("pool", "pc")}, {CURRENT_SQL}, {codes_sql("cur", "cc")}, {marginals_sql("cc", "cm")}, {_GAPS}
     select pc.row_id, round(({" + ".join(f"s_{c}.over" for c in COLUMNS)}) / 5, 9) as remove_1d, round(({" + ".join(f"s_{c}.short" for c in COLUMNS)}) / 5, 9) as add_1d
     from pc {" ".join(f"""join s s_{c} on s_{c}."column" = '{c}' and s_{c}.code = pc.{c}""" for c in COLUMNS)}""")
 def support_scores(spark, sf_dir):
     _, cards, ref = reference(spark, sf_dir)
     pool = split(spark, sf_dir, "pool")
-    scores = K.support_scores(D.encode(pool.orderBy("row_id").limit(200), cards), ref)
+    scores = K.support_scores(D.encode(current(pool), cards), ref)
     codes = D.encode(pool, cards, keep=("row_id",))
     return codes.select("row_id", F.round(scores["remove_1d"], 9).alias("remove_1d"), F.round(scores["add_1d"], 9).alias("add_1d"))
 
 
-@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 2000), a as (select *, row_number() over (partition by line, status order by o1, row_id) as rn from s),
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj where row_id % 10 = 3), a as (select *, row_number() over (partition by line, status order by o1, row_id) as rn from s),
     b as (select *, row_number() over (partition by line, status order by o1 desc, row_id) as rn from obj where row_id not in (select row_id from s))
-    select a.line, a.status, a.row_id as remove_id, b.row_id as add_id, round(b.o1 - a.o1, 9) as gain from a join b on a.line = b.line and a.status = b.status and a.rn = b.rn where b.o1 > a.o1 order by round(b.o1 - a.o1, 9) desc, a.row_id limit 300""")
+    select a.line, a.status, a.row_id as remove_id, b.row_id as add_id, round(b.o1 - a.o1, 9) as gain from a join b on a.line = b.line and a.status = b.status and a.rn = b.rn where b.o1 > a.o1""")
 def signature_swaps(spark, sf_dir):
     own = objectives(spark, sf_dir)
-    out = K.signature_swaps(own.orderBy("row_id").limit(2000), own, ["line", "status"], "row_id", "o1", 1 << 30)
-    return rounded(out, "gain", digits=9).orderBy(F.desc("gain"), "remove_id").limit(300)
+    return rounded(K.signature_swaps(current(own), own, ["line", "status"], "row_id", "o1"), "gain", digits=9)
 
 
-@query(f"""with {SQL}, {OBJ_SQL}, s as (select row_id, o1 - 0.5 as gap, o2 from obj order by row_id limit 1000), c as (select count(*) as n, count(*) filter (gap >= 0) as closer from s),
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select row_id, o1 - 0.5 as gap, o2 from obj where row_id % 10 = 3), c as (select count(*) as n, count(*) filter (gap >= 0) as closer from s),
     k as (select n, closer, round_even(n * 0.5, 0)::bigint as want from c), free as (select row_id, o1 - 0.5 as gap, o2 from obj where row_id not in (select row_id from s)),
     m as (select closer > want as side, least(abs(closer - want), floor(n * 0.5)::bigint, (select count(*) from free, k where (free.gap >= 0) <> (closer > want))) as moves from k),
     o as (select s.row_id, row_number() over (order by o2, abs(gap) desc, s.row_id) as rn from s, m where (gap >= 0) = side), a as (select free.row_id, row_number() over (order by o2 desc, abs(gap), free.row_id) as rn from free, m where (gap >= 0) <> side)
     select row_id from s where row_id not in (select row_id from o, m where rn <= moves) union all select row_id from a, m where rn <= moves""")
 def dcr_rebalance(spark, sf_dir):
     own = objectives(spark, sf_dir).select("row_id", (F.col("o1") - 0.5).alias("gap"), "o2")
-    return K.dcr_rebalance(own, own.orderBy("row_id").limit(1000), "row_id", "gap", "o2")[0].select("row_id")
+    return K.dcr_rebalance(own, current(own), "row_id", "gap", "o2")[0].select("row_id")
 
 
-@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 1000), a as (select o1, row_number() over (order by o1, row_id) as rn from s), b as (select o1, row_number() over (order by o1 desc, row_id) as rn from obj where row_id not in (select row_id from s)),
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj where row_id % 10 = 3), a as (select o1, row_number() over (order by o1, row_id) as rn from s), b as (select o1, row_number() over (order by o1 desc, row_id) as rn from obj where row_id not in (select row_id from s)),
     g as (select a.rn, sum(b.o1 - a.o1) over (order by a.rn) + (select sum(o1) from s) as total from a join b on a.rn = b.rn where a.rn <= 250) select rn::int as size, round(total, 6) as total from g where rn in (10, 50, 100, 250)""")
 def swap_sizes(spark, sf_dir):
     own = objectives(spark, sf_dir)
-    return rounded(K.swap_sizes(own.orderBy("row_id").limit(1000), own, "row_id", "o1", (10, 50, 100, 250)), "total")
+    return rounded(K.swap_sizes(current(own), own, "row_id", "o1", (10, 50, 100, 250)), "total")
 
 
 @query(f"""with {SQL}, {OBJ_SQL}, g as (select * from obj where o1 - 0.9 >= 0) select row_id, o1 from g where (select count(*) from g) >= 400
@@ -285,13 +286,13 @@ def guard_band(spark, sf_dir):
     return K.guard_band(own, "row_id", "m", 400).select("row_id", "o1")
 
 
-@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj order by row_id limit 500), m as (select avg(o1) as m from s), a as (select row_id, o1, row_number() over (order by o1, o2 desc, row_id) as rn from s),
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj where row_id % 10 = 3), m as (select avg(o1) as m from s), a as (select row_id, o1, row_number() over (order by o1, o2 desc, row_id) as rn from s),
     b as (select row_id, o1, row_number() over (order by o1 desc, o2 desc, row_id) as rn from obj where row_id not in (select row_id from s)), g as (select a.rn, a.row_id as r, b.row_id as n, b.o1 - a.o1 as gain from a join b on a.rn = b.rn where b.o1 > a.o1),
-    k as (select *, coalesce(sum(gain) over (order by rn rows between unbounded preceding and 1 preceding), 0) as before from g), x as (select k.* from k, m where before < (0.6 - m) * 500)
+    k as (select *, coalesce(sum(gain) over (order by rn rows between unbounded preceding and 1 preceding), 0) as before from g), x as (select k.* from k, m where before < (0.6 - m) * (select count(*) from s) - 1e-9)
     select row_id, o1 from s where row_id not in (select r from x) union all select row_id, o1 from obj where row_id in (select n from x)""")
 def floor_repair(spark, sf_dir):
     own = objectives(spark, sf_dir)
-    return K.floor_repair(own.orderBy("row_id").limit(500), own, "row_id", "o1", 0.6, "o2").select("row_id", "o1")
+    return K.floor_repair(current(own), own, "row_id", "o1", 0.6, "o2").select("row_id", "o1")
 
 
 @query()

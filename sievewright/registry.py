@@ -23,4 +23,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
-from sievewright.plans import queries_audit, queries_labels, queries_profile, queries_select  # noqa: E402, F401
+from sievewright.plans import queries_audit, queries_labels, queries_more, queries_profile, queries_select  # noqa: E402, F401
