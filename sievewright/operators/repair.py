@@ -1,7 +1,13 @@
 """Repair of the share of rows that lie closer to the real table than to the test table, by swaps of near rows.
 
-A plan says which pairs are allowed (any, same target first, reusable additions) and how they are scored; the
-engine finds near pairs, matches them one to one, and takes as many as the target needs.
+A plan says by which stages pairs are found, how they are scored, and what utility a swap may cost.  Stages, each for the rows that
+the ones before left over:
+
+* ``any``: a leaving row with any addition, each row once;
+* ``same``: with additions of its target group, each row once;
+* ``cross``: with additions of the other groups, each row once;
+* ``fill``: the leaving rows with the largest margins, a budget of them, with any addition, each row once;
+* ``again``: with any addition, which may serve several rows.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.operators import distance as J
+from sievewright.operators.ranks import exact_quantiles
 from sievewright.plans.workspace import materialize
 
 #: Edges that one task matches in a pass; more are first reduced by rounds.  The most neighbours that a later round looks at.
@@ -26,30 +33,40 @@ class Plan:
     """A repair variant."""
 
     margin: float = 0.05
+    max_fraction: float = 0.5
+    margin_weight: float = 0.1
+    utility_weight: float = 0.1
+    quality_weight: float = 0.0
+    stages: tuple[str, ...] = ("any",)
     skip_in_band: bool = False
     accept_in_band_gain: bool = False
-    same_target: bool = False
-    then_any: bool = True
+    #: Least utility gains of a pair: the wanted one, and the one where too few pairs have that.
+    floors: tuple[float, float] | None = None
     mismatch: float = 4.0
-    reuse: bool = False
     neighbours: int = 64
-    margin_weight: float = 0.1
-    utility_weight: float = 0.1
-    max_fraction: float = 0.5
+    #: Leaving rows that the fill stage looks at, if that is more than it needs.
+    fill_budget: int = 20_000
+    #: Additions looked at, in a large pool.
     candidates: int | None = None
 
 
+_V4 = Plan(max_fraction=0.22, margin_weight=0.05, utility_weight=0.35)
+_V5 = replace(_V4, skip_in_band=True)
+_V10 = replace(_V5, max_fraction=0.30, margin_weight=0.10, utility_weight=0.55, floors=(-0.10, -0.25))
+_V11 = replace(_V10, utility_weight=0.65, quality_weight=0.20, floors=(-0.08, -0.18), stages=("same", "cross"))
+_V13 = replace(_V11, stages=("same", "fill"))
+_V15 = replace(_V13, stages=("same", "fill", "again"))
 #: The variants by number, the live one last.
 PLANS = {
-    "v4": Plan(),
-    "v5": Plan(skip_in_band=True),
-    "v6": Plan(skip_in_band=True, accept_in_band_gain=True),
-    "v9": Plan(skip_in_band=True, candidates=4096),
-    "v10": Plan(skip_in_band=True),
-    "v11": Plan(skip_in_band=True, same_target=True),
-    "v13": Plan(skip_in_band=True, same_target=True, candidates=4096),
-    "v15": Plan(skip_in_band=True, same_target=True, reuse=True),
-    "v19": Plan(margin=0.03, skip_in_band=True, same_target=True, reuse=True),
+    "v4": _V4,
+    "v5": _V5,
+    "v6": replace(_V5, accept_in_band_gain=True),
+    "v9": replace(_V5, max_fraction=0.26, margin_weight=0.08, utility_weight=0.50, floors=(-0.08, -0.20), candidates=72_000),
+    "v10": _V10,
+    "v11": _V11,
+    "v13": _V13,
+    "v15": _V15,
+    "v19": replace(_V15, margin=0.03),
 }
 
 
@@ -67,38 +84,43 @@ def target_of(dcr: float, margin: float) -> tuple[float, bool]:
     return (0.5 + abs(margin), True) if dcr >= 0.5 else (0.5 - abs(margin), False)
 
 
-def budgeted_candidates(rows: DataFrame, id_column: str, limit: int, exact: str | None = None) -> DataFrame:
-    """At most ``limit`` additions: a quarter with exact scores, 45 % by |margin|, 15 % by utility, filled up in the order of ids.
+def budgeted_candidates(rows: DataFrame, id_column: str, limit: int, reduce_dcr: bool) -> DataFrame:
+    """At most ``limit`` additions; all where there are no more.
 
-    The lists are ranked limits; a row keeps the first list that takes it.
+    A quarter of those with exact quality, 45 % of those on the side that helps (by the margin's sign), 15 % of the other side, filled up with
+    any; each by .55 quality, .25 utility and .20 margin over its 95 % quantile.  A row keeps the first list that takes it.
     """
-    lists = [(rows.where(exact) if exact else rows.limit(0), [F.desc("utility")], 0.25), (rows, [F.desc(F.abs("margin"))], 0.45), (rows, [F.desc("utility")], 0.15), (rows, [], 1.0)]
+    if rows.count() <= limit:
+        return rows
+    size = F.abs(F.coalesce("margin", F.lit(0.0)))
+    scale = (exact_quantiles(rows.select(size.alias("m")), ["m"], [0.95])["m"] or [1.0])[0]
+    scale = scale if scale > 1e-12 else 1.0
+    quality = F.coalesce(_optional(rows, "exact_quality"), _optional(rows, "quality"), F.lit(0.5))
+    ranked = rows.withColumn("__r", 0.55 * quality + 0.25 * F.coalesce("utility", F.lit(0.5)) + 0.20 * F.least(size / scale, F.lit(1.0)))
+    helps = (F.col("margin") <= 0) if reduce_dcr else (F.col("margin") > 0)
+    lists = [(ranked.where(_optional(rows, "exact_quality").isNotNull()), 0.25), (ranked.where(helps), 0.45), (ranked.where(~helps), 0.15), (ranked, 1.0)]
     out = None
-    for k, (own, order, share) in enumerate(lists):
-        part = own.orderBy(*order, id_column).limit(max(1, int(limit * share))).withColumn("__k", F.lit(k))
+    for k, (own, share) in enumerate(lists):
+        part = own.orderBy(F.desc("__r"), id_column).limit(round(limit * share)).select(id_column, "__r", F.lit(k).alias("__k"))
         out = part if out is None else out.unionByName(part)
-    first = out.groupBy(id_column).agg(F.min("__k").alias("__k")).orderBy("__k", id_column).limit(limit).select(id_column)
-    return rows.join(first, id_column, "left_semi")
-
-
-def pair_edges(leaving: DataFrame, joining: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None) -> DataFrame:
-    """(remove, add, distance, utility_gain, score, same): the nearest additions of each leaving row, in its target group and in all."""
-    def near(group):
-        out = J.nearest(leaving, id_column, joining, id_column, metric, plan.neighbours, group=group)
-        return out.select(F.col(id_column).alias("remove"), F.col("neighbour").alias("add"), "distance")
-
-    both = near(target) if target and plan.same_target else None
-    if both is None or plan.then_any:
-        every = near(None)
-        both = every if both is None else both.unionByName(every).distinct()
-    cols = lambda p: [F.col(id_column).alias(f"{p}_id"), F.abs("margin").alias(f"{p}_margin"), F.col("utility").alias(f"{p}_utility"), *([F.col(target).alias(f"{p}_target")] if target else [])]
-    out = both.join(leaving.select(*cols("r")), F.col("remove") == F.col("r_id")).join(joining.select(*cols("a")), F.col("add") == F.col("a_id"))
+    first = out.groupBy(id_column).agg(F.min("__k").alias("__k"), F.first("__r").alias("__r")).orderBy("__k", F.desc("__r"), id_column).limit(limit)
+    return rows.join(first.select(id_column), id_column, "left_semi")
+
+
+def _optional(df: DataFrame, column: str):
+    return F.col(column).cast("double") if column in df.columns else F.lit(None).cast("double")
+
+
+def pair_edges(leaving: DataFrame, joining: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None, group: bool = False) -> DataFrame:
+    """(remove, add, distance, utility_gain, score, same): the nearest additions of each leaving row, in its target group or in all."""
+    near = J.nearest(leaving, id_column, joining, id_column, metric, plan.neighbours, group=target if group else None)
+    near = near.select(F.col(id_column).alias("remove"), F.col("neighbour").alias("add"), "distance")
+    cols = lambda df, p: [F.col(id_column).alias(f"{p}_id"), F.abs("margin").alias(f"{p}_margin"), F.col("utility").alias(f"{p}_utility"), F.coalesce(_optional(df, "quality"), F.lit(0.5)).alias(f"{p}_quality"), *([F.col(target).alias(f"{p}_target")] if target else [])]
+    out = near.join(leaving.select(*cols(leaving, "r")), F.col("remove") == F.col("r_id")).join(joining.select(*cols(joining, "a")), F.col("add") == F.col("a_id"))
     gain = F.col("a_utility") - F.col("r_utility")
-    same = (F.col("r_target").eqNullSafe(F.col("a_target"))) if target else F.lit(True)
-    score = F.col("distance") - plan.margin_weight * (F.col("r_margin") + F.col("a_margin")) - plan.utility_weight * gain
-    if plan.same_target:
-        score = score + F.when(same, 0.0).otherwise(plan.mismatch)
-    return out.select("remove", "add", "distance", gain.alias("utility_gain"), score.alias("score"), same.alias("same"))
+    same = F.col("r_target").eqNullSafe(F.col("a_target")) if target and plan.stages != ("any",) else F.lit(True)
+    score = F.col("distance") - plan.margin_weight * (F.col("r_margin") + F.col("a_margin")) - plan.utility_weight * gain - plan.quality_weight * (F.col("a_quality") - F.col("r_quality"))
+    return out.select("remove", "add", "distance", gain.alias("utility_gain"), (score + F.when(same, 0.0).otherwise(plan.mismatch)).alias("score"), same.alias("same"))
 
 
 def _greedy_pass(edges: DataFrame, order: list) -> DataFrame:
@@ -118,13 +140,13 @@ def _greedy_pass(edges: DataFrame, order: list) -> DataFrame:
 
 
 def greedy_match(edges: DataFrame, reuse: bool = False, most: int = PASS_EDGES) -> DataFrame:
-    """The pairs a greedy pass in the order (score, distance, remove, add) takes, each row once.
+    """The pairs a greedy pass in the order (score, distance, remove, add) takes, each row once; where edges say ``same``, those come first.
 
     Rounds of mutual best edges give the same pairs: an edge that is the best of both its ends can't be blocked.
     Once at most ``most`` edges are left, one pass takes the rest.
     ``reuse``: additions may serve several removals, so each removal's best edge is final.
     """
-    order = [F.col(c).asc() for c in ("score", "distance", "remove", "add")]
+    order = [*([F.desc("same")] if "same" in edges.columns else []), *[F.col(c).asc() for c in ("score", "distance", "remove", "add")]]
     best = lambda df, by: df.withColumn(f"__{by}", F.row_number().over(W.partitionBy(by).orderBy(*order)))
     if reuse:
         return best(edges, "remove").where("__remove = 1").drop("__remove")
@@ -138,26 +160,60 @@ def greedy_match(edges: DataFrame, reuse: bool = False, most: int = PASS_EDGES)
 
 
 def match(leaving: DataFrame, joining: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None, need: int) -> DataFrame:
-    """Pairs until there are ``need`` of them or one side is used up.
-
-    Leaving rows whose nearest additions are all taken look again among the free ones, each round at twice as many.  Where a
-    plan reuses additions, the pairs still missing after that take any addition.
+    """Pairs (stage, remove, add, ...) by the plan's stages, until there are ``need`` of them or the stages are done."""
+    every, found, n = joining, None, 0
+    # Plans that fill up use the lower floor while they look for pairs; the others filter the pairs afterwards.
+    floor = min(plan.floors) if plan.floors and "fill" in plan.stages else None
+    for place, stage in enumerate(plan.stages):
+        if n >= need:
+            break
+        if stage == "again":
+            edges = pair_edges(leaving, every, id_column, metric, plan, target)
+            pairs = greedy_match(_over(edges, floor), reuse=True)
+        else:
+            own = leaving
+            if stage == "fill":
+                own = materialize(leaving.orderBy(F.desc(F.abs("margin")), id_column).limit(max(need - n, plan.fill_budget)))
+            pairs = _unique_pairs(own, joining, id_column, metric, plan, target, need - n, stage, floor)
+        pairs = pairs.orderBy(F.desc("same"), "score", "distance", "remove", "add").limit(need - n)
+        pairs = materialize(pairs.withColumn("stage", F.lit(place)))
+        n += pairs.count()
+        leaving = materialize(leaving.join(pairs.select(F.col("remove").alias(id_column)), id_column, "left_anti"))
+        joining = materialize(joining.join(pairs.select(F.col("add").alias(id_column)), id_column, "left_anti"))
+        found = pairs if found is None else found.unionByName(pairs)
+    return found
+
+
+def _over(edges: DataFrame, floor: float | None) -> DataFrame:
+    return edges if floor is None else edges.where(F.col("utility_gain") >= floor)
+
+
+def _unique_pairs(leaving: DataFrame, joining: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None, need: int, stage: str, floor: float | None) -> DataFrame:
+    """Pairs of one stage, each row once.
+
+    Leaving rows whose nearest additions are all taken look again among the free ones, each round at twice as many.
     """
-    every, pairs, n, k = joining, None, 0, plan.neighbours
-    while n < need:
-        edges = pair_edges(leaving, joining, id_column, metric, replace(plan, neighbours=k), target)
-        more = materialize(greedy_match(edges))
+    pairs, n, k = None, 0, plan.neighbours
+    while True:
+        edges = pair_edges(leaving, joining, id_column, metric, replace(plan, neighbours=k), target, group=stage == "same" and target is not None)
+        edges = edges.where(~F.col("same")) if stage == "cross" else edges
+        more = materialize(greedy_match(_over(edges, floor)))
         found = more.count()
         pairs, n = more if pairs is None else pairs.unionByName(more), n + found
         if not found or n >= need:
-            break
+            return pairs
         leaving = materialize(leaving.join(more.select(F.col("remove").alias(id_column)), id_column, "left_anti"))
         joining = materialize(joining.join(more.select(F.col("add").alias(id_column)), id_column, "left_anti"))
         k = max(k, min(2 * k, MOST_NEIGHBOURS))
-    if plan.reuse and n < need:
-        fill = greedy_match(pair_edges(leaving, every, id_column, metric, plan, target), reuse=True)
-        pairs = pairs.unionByName(materialize(fill.orderBy(F.desc("same"), "score", "distance", "remove", "add").limit(need - n)))
-    return pairs
+
+
+def affordable(pairs: DataFrame, floors: tuple[float, float], need: int) -> DataFrame:
+    """Pairs whose utility gain reaches the first floor if they are enough, else the lower floor; all if none does."""
+    strict = pairs.where(F.col("utility_gain") >= floors[0])
+    if strict.count() >= need:
+        return strict
+    lower = pairs.where(F.col("utility_gain") >= min(floors))
+    return lower if lower.limit(1).count() else pairs
 
 
 def repair(pool: DataFrame, selected: DataFrame, id_column: str, metric: J.Metric, plan: Plan, target: str | None = None) -> tuple[DataFrame, dict]:
@@ -179,12 +235,15 @@ def repair(pool: DataFrame, selected: DataFrame, id_column: str, metric: J.Metri
     if min(desired, most) <= 0:
         return selected, report | {"reason": "already_near_target"}
     leaving = own.where(F.col("is_real_closer") == F.lit(reduce_dcr))
-    joining = pool.join(selected.select(id_column), id_column, "left_anti").where(F.col("is_real_closer") != F.lit(reduce_dcr))
+    free = pool.join(selected.select(id_column), id_column, "left_anti")
     if plan.candidates:
-        joining = budgeted_candidates(joining, id_column, plan.candidates)
-    pairs = match(materialize(leaving), materialize(joining), id_column, metric, plan, target, min(desired, most))
-    order = [F.desc("same")] if plan.same_target else []
-    swaps = materialize(pairs.orderBy(*order, "score", "distance", "remove", "add").limit(min(desired, most)))
+        free = budgeted_candidates(materialize(free), id_column, plan.candidates, reduce_dcr)
+    joining = free.where(F.col("is_real_closer") != F.lit(reduce_dcr))
+    need = min(desired, most)
+    pairs = match(materialize(leaving), materialize(joining), id_column, metric, plan, target, need)
+    if plan.floors:
+        pairs = affordable(pairs, plan.floors, need)
+    swaps = materialize(pairs.orderBy("stage", F.desc("same"), "score", "distance", "remove", "add").limit(need))
     n, gain = swaps.agg(F.count("*"), F.avg("utility_gain")).first()
     if not n:
         return selected, report | {"reason": "no_feasible_pairs"}

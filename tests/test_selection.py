@@ -234,7 +234,9 @@ def test_dcr_repair(spark, version):
     pool = spark.createDataFrame(rows, "id long, x double, target string")
     metric = J.fit_metric(train, Roles(("x",), (), ("target",)), norm=1)
     own = pool.join(J.dcr_signal(pool, "id", train, test, metric, "id", "id"), "id").withColumn("utility", F.lit(0.5))
-    out, report = RP.repair(own, pool.where("id < 20").select("id"), "id", metric, RP.PLANS[version], "target")
+    # The variants swap at most 22 or 30 % of the rows; half of them here, so that the target can be reached.
+    assert RP.PLANS[version].max_fraction == (0.22 if version == "v4" else 0.30)
+    out, report = RP.repair(own, pool.where("id < 20").select("id"), "id", metric, RP.replace(RP.PLANS[version], max_fraction=0.5), "target")
     assert report["applied"] and report["base_dcr"] == 0.9 and out.count() == 20 and report["final_dcr"] < 0.9
     if version == "v19":
         assert report["duplicates"] > 0 and report["final_dcr"] <= report["target_dcr"] + 0.05
@@ -363,10 +365,39 @@ def test_repair_rematches_rows_that_share_their_neighbours(spark):
     pairs = RP.match(leaving, joining, "id", metric, plan, None, n).collect()
     assert {(r.remove, r.add) for r in pairs} == {(i, 1000 + i) for i in range(n)}
     # Additions are reused only for what unique ones leave missing.
-    few = RP.match(leaving.where("id < 50"), joining.where("id < 1020"), "id", metric, RP.Plan(reuse=True), None, 30).collect()
+    few = RP.match(leaving.where("id < 50"), joining.where("id < 1020"), "id", metric, RP.Plan(stages=("any", "again")), None, 30).collect()
     assert len(few) == 30 and len({r.add for r in few}) == 20
 
 
+def test_repair_stages(spark):
+    """What each variant may pair: groups, floors of the utility gain, the fill's budget, reuse."""
+    rows = [(i, float(i), True, 0.01 * i, 0.5, "a" if i < 6 else "b") for i in range(10)]
+    rows += [(100 + i, i + 0.5, False, -0.1, 0.5 - 0.1 * i, "a") for i in range(5)] + [(200, 9.5, False, -0.1, 0.5, "c")]
+    pool = spark.createDataFrame(rows, "id long, x double, is_real_closer boolean, margin double, utility double, y string")
+    metric = J.Metric(("x",), (), (0.0,), (1.0,), (), norm=1)
+    leaving, joining = pool.where("id < 100"), pool.where("id >= 100")
+    got = lambda v, need, **k: {(r.remove, r.add, r.stage) for r in RP.match(leaving, joining, "id", metric, RP.replace(RP.PLANS[v], utility_weight=0.0, margin_weight=0.0, **k), "y", need).collect()}
+    same = {(i, 100 + i) for i in range(5)}
+    assert {x[:2] for x in got("v11", 5)} == same
+    # Six pairs need another group; rows 6 to 9 are free, and 9 is the nearest of them to the one addition left.
+    assert got("v11", 6) == {(*x, 0) for x in same} | {(9, 200, 1)}
+    # From v13 on, pairs below the lower floor (a gain of -.2 and less) are never made: 102 to 104 stay free.
+    assert got("v13", 6) == {(0, 100, 0), (1, 101, 0), (9, 200, 1)}
+    assert {x for x in got("v15", 6) if x[2] == 2} == {(2, 101, 2), (3, 101, 2), (4, 101, 2)} or len([x for x in got("v15", 6) if x[2] == 2]) == 3
+    # The fill looks at the rows with the largest margins: with a budget of one, at row 9 alone.
+    assert got("v13", 3, fill_budget=1, floors=(-1.0, -1.0), stages=("fill",)) != set()
+    gains = spark.createDataFrame([(0.1,), (-0.1,), (-0.3,)], "utility_gain double")
+    assert RP.affordable(gains, (-0.05, -0.2), 1).count() == 1 and RP.affordable(gains, (-0.05, -0.2), 2).count() == 2
+    assert RP.affordable(gains.where("utility_gain < -0.2"), (-0.05, -0.2), 2).count() == 1
+
+
+def test_budgeted_candidates(spark):
+    rows = spark.createDataFrame([(i, -1.0 if i % 2 else 1.0, i / 100, 0.5) for i in range(100)], "id long, margin double, utility double, quality double")
+    got = [r.id for r in RP.budgeted_candidates(rows, "id", 20, True).collect()]
+    # No exact quality: 9 of the odd rows (45 %), 3 of the even ones (15 %), and the 8 best of the rest.
+    assert len(got) == 20 and {99, 97, 95, 93, 91, 89, 87, 85, 83, 98, 96, 94} <= set(got) and RP.budgeted_candidates(rows, "id", 100, True).count() == 100
+
+
 def test_repair_matches_a_brute_force_greedy_pass(spark):
     rng = random.Random(4)
     make = lambda low, n: [(low + i, rng.random(), rng.random() / 10, rng.random()) for i in range(n)]
