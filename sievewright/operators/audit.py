@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -98,9 +98,12 @@ def attribute_error(target: DataFrame, synthetic: DataFrame, numeric: Sequence[s
     every = [*numeric, *labels]
     counts = synthetic.agg(*[F.approx_count_distinct(c).alias(c) for c in every]).first()
     chosen = [c for c in sorted(every, key=lambda c: (-counts[c], c))[:most] if counts[c] > 1 and len(every) > 1]
-    values = {c: [r[0] for r in synthetic.groupBy(c).count().orderBy(F.desc("count"), c).limit(64).collect()] for c in labels}
-    code = lambda c: F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values[c] if v is not None]), F.col(c)).cast("double"), F.lit(0.0))
-    prep = lambda df: df.select(id_column, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric], *[code(c).alias(c) for c in labels])
+    # Every label of the synthetic rows has a code, commoner ones first; unseen ones and gaps share the last.  Adding 0 takes off the list of labels.
+    named = lambda df: df.withColumns({c: F.col(c).cast("string") for c in labels})
+    codes = [f"__code_{c}" for c in labels]
+    indexer = StringIndexer(inputCols=list(labels), outputCols=codes, handleInvalid="keep", stringOrderType="frequencyDesc").fit(named(synthetic)) if labels else None
+    coded = lambda df: indexer.transform(named(df)) if labels else df
+    prep = lambda df: coded(df).select(id_column, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric], *[(F.col(x) + 0.0).alias(c) for c, x in zip(labels, codes, strict=True)])
     train, test = prep(synthetic.withColumn(id_column, F.lit(0).cast("long"))).cache(), prep(target).cache()
     errors = test.select(id_column, F.lit(0.0).alias("e"))
     for c in chosen:

@@ -1,8 +1,9 @@
 """Nearest neighbours between tables of mixed columns, and privacy scores from them.
 
-Distances come from the columns themselves; no one-hot arrays are built.  The index side goes out in waves of bounded
-size, in blocks; each block is compared with a block of queries in one piece of numpy work, and a query's best k of the waves
-are merged by aggregation.  Usually the index is a reference sample that fits one wave.
+Distances come from scaled numbers and category codes, which Spark expressions make; no one-hot arrays are built.  An index of
+at most ``WAVE_ROWS`` rows goes to every task.  Beyond that, queries and index are both dealt into parts, every two parts meet in a
+task of their own, and a query's best of all parts are merged by aggregation: no table passes through the driver, and a task's
+memory doesn't depend on their sizes.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sievewright.plans.roles import Roles
 
-#: Rows of an index block, and of the blocks that are broadcast at a time.
+#: Rows of an index block, and of an index or a part that one task holds.
 BLOCK, WAVE_ROWS = 8192, 1 << 18
 
 
@@ -50,17 +51,22 @@ def fit_metric(df: DataFrame, roles: Roles, norm: int = 2, other: DataFrame | No
     return Metric(numeric, labels, tuple(map(float, centre)), tuple(map(float, scale)), tuple(tuple(known[c]) for c in labels), weight, norm)
 
 
-def _encoded(batch: pa.RecordBatch | pa.Table, metric: Metric) -> tuple[np.ndarray, np.ndarray]:
-    n = batch.num_rows
-    x = np.zeros((n, len(metric.numeric)))
-    for i, c in enumerate(metric.numeric):
-        v = np.array(batch[c].to_pylist(), dtype=float) if n else np.zeros(0)
-        x[:, i] = np.nan_to_num((v - metric.centre[i]) / metric.scale[i], nan=0.0)
-    codes = np.zeros((n, len(metric.categorical)), dtype=np.int64)
-    for i, c in enumerate(metric.categorical):
-        place = {v: k for k, v in enumerate(metric.known[i])}
-        codes[:, i] = [place.get(v, -1) for v in batch[c].to_pylist()]
-    return x, codes
+def coded(df: DataFrame, id_column: str, metric: Metric, group: str | None = None) -> DataFrame:
+    """(i, x array<double>, c array<int>, g long): scaled numbers, gaps 0; places of the categories among the known ones, -1 for others; the group's hash."""
+    numbers = [F.coalesce(F.nanvl((F.col(c).cast("double") - m) / s, F.lit(0.0)), F.lit(0.0)) for c, m, s in zip(metric.numeric, metric.centre, metric.scale, strict=True)]
+    codes = [F.coalesce(F.array_position(F.array(*[F.lit(v) for v in known]), F.col(c)).cast("int") - 1, F.lit(-1)) if known else F.lit(-1) for c, known in zip(metric.categorical, metric.known, strict=True)]
+    return df.select(
+        F.col(id_column).cast("long").alias("i"), (F.array(*numbers) if numbers else F.array().cast("array<double>")).alias("x"),
+        (F.array(*codes) if codes else F.array().cast("array<int>")).alias("c"), (F.xxhash64(group) if group else F.lit(0).cast("long")).alias("g"),
+    )
+
+
+def _arrays(t: pa.RecordBatch | pa.Table, metric: Metric) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """(ids, (numbers, codes), groups) of coded rows."""
+    t = t.combine_chunks() if isinstance(t, pa.Table) else t
+    one = lambda c: t[c].combine_chunks() if isinstance(t, pa.Table) else t[c]
+    flat = lambda c, w: one(c).flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, w)
+    return one("i").to_numpy(zero_copy_only=False), (flat("x", len(metric.numeric)), flat("c", len(metric.categorical))), one("g").to_numpy(zero_copy_only=False)
 
 
 def block_distances(metric: Metric, q: tuple[np.ndarray, np.ndarray], r: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -76,59 +82,75 @@ def block_distances(metric: Metric, q: tuple[np.ndarray, np.ndarray], r: tuple[n
     return np.sqrt(out) if metric.norm == 2 else out
 
 
+FOUND = "query long, neighbour long, distance double, place int"
+
+
+def _search(queries: tuple, blocks: list[tuple], metric: Metric, k: int, skip_self: bool, group: bool) -> pa.RecordBatch:
+    """The k nearest rows of the blocks, each sorted by id, for each query; ties go to the smaller id."""
+    ids, q, own = queries
+    n = len(ids)
+    row, dist, near = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+    for rid, r, rg in blocks:
+        d = block_distances(metric, q, r)
+        if skip_self:
+            d[ids[:, None] == rid[None, :]] = np.inf
+        if group:
+            d[own[:, None] != rg[None, :]] = np.inf
+        # Only what is within a query's k-th distance can stay.
+        within = d.min(axis=1) if k == 1 else np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        at, cols = np.nonzero((d <= within[:, None]) & np.isfinite(d))
+        row, dist, near = np.concatenate((row, at)), np.concatenate((dist, d[at, cols])), np.concatenate((near, rid[cols]))
+        order = np.lexsort((near, dist, row))
+        row, dist, near = row[order], dist[order], near[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+        row, dist, near = row[place < k], dist[place < k], near[place < k]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row] + 1
+    return pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(near), pa.array(dist), pa.array(place.astype(np.int32))], names=["query", "neighbour", "distance", "place"])
+
+
+def _blocks(t: pa.Table, metric: Metric) -> list[tuple]:
+    t = t.sort_by("i")
+    return [_arrays(t.slice(low, BLOCK), metric) for low in range(0, t.num_rows, BLOCK)]
+
+
 def nearest(queries: DataFrame, query_id: str, index: DataFrame, index_id: str, metric: Metric, k: int = 1, skip_self: bool = False, group: str | None = None) -> DataFrame:
     """(query id, neighbour, distance, place): the k nearest index rows of each query, ties by the smaller id.
 
     ``skip_self`` leaves out the row with the query's own id.  ``group``: only rows with an equal value.
     """
     n = index.count()
-    waves = max(1, -(-n // WAVE_ROWS))
-    wave = F.pmod(F.xxhash64(index_id, F.lit(17)), F.lit(waves))
-    found = None
-    for w in range(waves):
-        one = _nearest_wave(queries, query_id, index.where(wave == w) if waves > 1 else index, index_id, metric, k, skip_self, group, min(n, WAVE_ROWS))
-        found = one if found is None else found.unionAll(one)
-    if waves == 1:
-        return found
+    asked, known = coded(queries, query_id, metric, group), coded(index, index_id, metric, group)
+
+    def found(part, blocks: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for low in range(0, part.num_rows, 1024):
+            yield _search(_arrays(part.slice(low, 1024), metric), blocks, metric, k, skip_self, group is not None)
+
+    if n <= WAVE_ROWS:
+        shared = queries.sparkSession.sparkContext.broadcast(_blocks(known.toArrow(), metric))  # at most WAVE_ROWS rows
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from found(batch, shared.value)
+
+        return asked.mapInArrow(run, FOUND).withColumnRenamed("query", query_id)
+
+    rows, cols = max(1, -(-queries.count() // WAVE_ROWS)), -(-n // WAVE_ROWS)
+    part = lambda m: F.pmod(F.xxhash64("i", F.lit(17)), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    left = asked.withColumn("row", part(rows)).withColumn("col", every(cols))
+    right = known.withColumn("col", part(cols)).withColumn("row", every(rows))
+
+    def meet(q: pa.Table, r: pa.Table) -> pa.Table:
+        own = list(found(q, _blocks(r, metric)))
+        return pa.Table.from_batches(own) if own else pa.Table.from_batches([_search(_arrays(q, metric), [], metric, k, skip_self, False)])
+
+    some = left.groupBy("row", "col").cogroup(right.groupBy("row", "col")).applyInArrow(meet, FOUND)
     best = F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour"))), 1, k)
-    return found.groupBy(query_id).agg(best.alias("best")).select(query_id, F.posexplode("best").alias("at", "b")).select(
+    return some.groupBy(F.col("query").alias(query_id)).agg(best.alias("best")).select(query_id, F.posexplode("best").alias("at", "b")).select(
         query_id, "b.neighbour", "b.distance", (F.col("at") + 1).alias("place")
     )
 
 
-def _nearest_wave(queries, query_id, index, index_id, metric: Metric, k: int, skip_self: bool, group: str | None, n: int) -> DataFrame:
-    cols = [*metric.numeric, *metric.categorical, *([group] if group and group not in (*metric.numeric, *metric.categorical) else [])]
-    blocks = max(1, -(-n // BLOCK))
-    packed = index.select(F.pmod(F.xxhash64(index_id), F.lit(blocks)).alias("__b"), F.struct(F.col(index_id).cast("long").alias("__i"), *cols).alias("__r")).groupBy("__b").agg(F.collect_list("__r").alias("__rows"))
-    held = [pa.Table.from_pylist([x.asDict() for x in row["__rows"]]) for row in packed.toLocalIterator()] if n else []
-    # At most WAVE_ROWS rows.
-    shared = queries.sparkSession.sparkContext.broadcast([(np.array(t["__i"].to_pylist()), _encoded(t, metric), t[group].to_pylist() if group else None) for t in held])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1024):
-                part = batch.slice(low, 1024)
-                ids = np.array(part["__q"].to_pylist())
-                q = _encoded(part, metric)
-                best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1, dtype=np.int64)
-                own = np.array(part[group].to_pylist(), dtype=object) if group else None
-                for rid, r, rg in shared.value:
-                    d = block_distances(metric, q, r)
-                    if skip_self:
-                        d[ids[:, None] == rid[None, :]] = np.inf
-                    if group:
-                        d[own[:, None] != np.array(rg, dtype=object)[None, :]] = np.inf
-                    all_d, all_i = np.concatenate((best_d, d), axis=1), np.concatenate((best_i, np.broadcast_to(rid, d.shape)), axis=1)
-                    order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                    best_d, best_i = np.take_along_axis(all_d, order, axis=1), np.take_along_axis(all_i, order, axis=1)
-                ok = np.isfinite(best_d)
-                rows, places = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(best_i[ok]), pa.array(best_d[ok]), pa.array((places + 1).astype(np.int32))], names=["query", "neighbour", "distance", "place"])
-
-    out = queries.select(F.col(query_id).cast("long").alias("__q"), *cols).mapInArrow(run, "query long, neighbour long, distance double, place int")
-    return out.withColumnRenamed("query", query_id)
-
-
 def dcr_signal(queries: DataFrame, query_id: str, real: DataFrame, test: DataFrame, metric: Metric, real_id: str, test_id: str) -> DataFrame:
     """(id, d_real, d_test, is_real_closer, margin): strictly closer to the real table, and d_test - d_real."""
     a = nearest(queries, query_id, real, real_id, metric).select(query_id, F.col("distance").alias("d_real"))

@@ -167,3 +167,43 @@ def value_overlap(frames: dict[str, DataFrame], columns: Sequence[str]) -> DataF
         own = long_values(df, columns).where("value is not null").distinct().withColumn(name, F.lit(True))
         out = own if out is None else out.join(own, ["column", "value"], "full")
     return out.fillna(False, subset=list(frames))
+
+
+def filled(df: DataFrame, roles: Roles, medians: dict[str, float]) -> DataFrame:
+    """Numbers with gaps at the medians, categories with gaps as ``__MISSING__``."""
+    numbers = {c: F.coalesce(S.finite(F.col(c)), F.lit(float(medians[c]))) for c in (*roles.numeric, *roles.discrete)}
+    return df.withColumns(numbers | {c: F.coalesce(F.col(c).cast("string"), F.lit("__MISSING__")) for c in roles.labels})
+
+
+def audit_encoder(frames: Sequence[DataFrame], roles: Roles) -> tuple[dict[str, float], Metric]:
+    """(medians, metric) of the audit's encoding: medians, deviations (ddof 0) and categories of all frames together."""
+    from sievewright.operators.distance import fit_metric
+
+    columns = [*roles.numeric, *roles.discrete, *roles.labels]
+    every = frames[0].select(*columns)
+    for f in frames[1:]:
+        every = every.unionByName(f.select(*columns))
+    numbers = [*roles.numeric, *roles.discrete]
+    fine = every.select(*[S.finite(F.col(c)).alias(c) for c in numbers])
+    found = exact_quantiles(fine, numbers, [0.5]) if numbers else {}
+    medians = {c: (found[c] or [0.0])[0] for c in numbers}
+    return medians, fit_metric(filled(every, roles, medians), roles)
+
+
+def weak_feedback(shapes: DataFrame, trends: DataFrame, reports: DataFrame, limit: int = 2) -> DataFrame:
+    """(part, name, value, n): the columns and the pairs with the lowest mean scores, and digests of DCR, its privacy score and its distance from a half.
+
+    ``shapes``: (column, score).  ``trends``: (left, right, score).  ``reports``: (dcr, dcr_privacy).
+    """
+    def worst(df: DataFrame, part: str, name: Column) -> DataFrame:
+        means = df.where(name.isNotNull() & F.col("score").isNotNull()).groupBy(name.alias("name")).agg(F.avg("score").alias("value"), F.count("*").alias("n"))
+        return means.orderBy("value", "name").limit(limit).select(F.lit(part).alias("part"), "name", "value", "n")
+
+    out = worst(shapes, "shape", F.col("column")).unionByName(worst(trends, "trend", F.concat_ws("|", "left", "right")))
+    own = reports.select("dcr", "dcr_privacy", F.abs(F.col("dcr") - 0.5).alias("balance_error"))
+    stats = {"min": F.min, "mean": F.avg, "max": F.max}
+    row = own.agg(*[f(c).alias(f"{c}__{k}") for c in own.columns for k, f in stats.items()], *[F.count(c).alias(f"{c}__n") for c in own.columns]).first()
+    middle = exact_quantiles(own, own.columns, [0.05, 0.5, 0.95])
+    rows = [(c, k, float(row[f"{c}__{k}"]), row[f"{c}__n"]) for c in own.columns if row[f"{c}__n"] for k in stats]
+    rows += [(c, k, float(v), row[f"{c}__n"]) for c in own.columns if middle[c] for k, v in zip(("q05", "q50", "q95"), middle[c], strict=True)]
+    return out.unionByName(reports.sparkSession.createDataFrame(rows, "part string, name string, value double, n long"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,3 +94,30 @@ def proxy_reward(row: dict, keys: Sequence[str]) -> float:
     """The reward's mean of equal weights, on the driver, for a summary."""
     parts = [min(1.0, max(0.0, row.get(k) or 0.0)) for k in keys]
     return math.exp(sum(math.log((x + SHIFT) / (1 + SHIFT)) for x in parts) / len(parts))
+
+
+def audit_metrics(report: DataFrame) -> dict[str, float]:
+    """``<attack>_auroc`` and ``<attack>_advantage`` of an audit's report (attack, auroc, advantage), and the highest AUROC as ``audit_auroc``."""
+    rows = report.select("attack", "auroc", "advantage").orderBy("attack").collect()  # one row an attack
+    out = {f"{r.attack}_{k}": r[k] for r in rows for k in ("auroc", "advantage") if r[k] is not None}
+    known = [r.auroc for r in rows if r.auroc is not None]
+    return out | ({"audit_auroc": max(known)} if known else {})
+
+
+def evaluate_selection(parts: dict[str, Callable[[], dict[str, float]]], required: Sequence[str] = ()) -> dict:
+    """The metrics of all parts together; a part that fails is listed with its error, unless it is required.
+
+    ``reward``: the mean of the shape, the trend, the DCR's and the utility's score, as far as they are there.
+    """
+    metrics: dict[str, float] = {}
+    failed: dict[str, str] = {}
+    for name, run in parts.items():
+        try:
+            metrics |= run()
+        except Exception as e:  # noqa: BLE001  the other parts' metrics stand by themselves
+            if name in required:
+                raise
+            failed[name] = f"{type(e).__name__}: {e}"
+    scores = [metrics[k] for k in ("shape", "trend") if k in metrics] + ([1 - abs(metrics["dcr"] - 0.5)] if "dcr" in metrics else []) + [metrics[k] for k in ("utility",) if k in metrics]
+    reward = sum(min(1.0, max(0.0, x)) for x in scores) / len(scores) if scores else None
+    return {"metrics": metrics, "failed": failed, "reward": reward}

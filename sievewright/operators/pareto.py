@@ -204,3 +204,39 @@ def dominance_certificate(a: dict, b: dict, keys: Sequence[str], tolerance: floa
     ge, le = all(a[k] >= b[k] - tolerance for k in keys), all(a[k] <= b[k] + tolerance for k in keys)
     gt, lt = any(a[k] > b[k] + tolerance for k in keys), any(a[k] < b[k] - tolerance for k in keys)
     return "a" if ge and gt else "b" if le and lt else "none"
+
+
+def hypervolume_3d(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """One row: the volume that the first front dominates above the origin.
+
+    Slabs between neighbouring values of x, each times the area under the running maximum of z over the points that reach the slab:
+    a join of the front with its own x values, and windows.  Only the front, not the table, is paired.
+    """
+    points = df.where((F.col(x) > 0) & (F.col(y) > 0) & (F.col(z) > 0)).select(F.col(x).alias("x"), F.col(y).alias("y"), F.col(z).alias("z")).distinct()
+    front = materialize(front_zero(points, ("x", "y", "z")))
+    slabs = front.select(F.col("x").alias("s")).distinct()
+    slabs = slabs.withColumn("dx", F.col("s") - F.coalesce(F.lag("s").over(W.orderBy("s")), F.lit(0.0)))
+    reach = slabs.join(front, F.col("x") >= F.col("s")).groupBy("s", "dx", "y").agg(F.max("z").alias("z"))
+    by = W.partitionBy("s").orderBy("y")
+    strips = reach.withColumn("dy", F.col("y") - F.coalesce(F.lag("y").over(by), F.lit(0.0))).withColumn("top", F.max("z").over(by.rowsBetween(0, W.unboundedFollowing)))
+    return strips.agg(F.coalesce(F.sum(F.col("dx") * F.col("dy") * F.col("top")), F.lit(0.0)).alias("hypervolume"))
+
+
+def normalize_family(frames: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
+    """The frames with the columns scaled to the least and the largest value over all of them; constant columns become 0."""
+    every = frames[0].select(*columns)
+    for f in frames[1:]:
+        every = every.unionByName(f.select(*columns))
+    ends = every.agg(*[f(c).alias(f"{c}__{k}") for c in columns for k, f in (("a", F.min), ("b", F.max))]).first()
+    width = lambda c: d if (d := (ends[f"{c}__b"] or 0.0) - (ends[f"{c}__a"] or 0.0)) > 1e-12 else 1.0
+    return [f.withColumns({c: (F.col(c) - F.lit(float(ends[f"{c}__a"] or 0.0))) / F.lit(float(width(c))) for c in columns}) for f in frames]
+
+
+def igd(points: DataFrame, front: DataFrame, columns: Sequence[str]) -> float:
+    """Mean distance of the reference front's points to the nearest of ``points``; infinite where either is empty."""
+    from sievewright.operators import distance as J
+
+    named = lambda df: df.select(*columns).distinct().withColumn("__id", F.monotonically_increasing_id())
+    metric = J.Metric(tuple(columns), (), (0.0,) * len(columns), (1.0,) * len(columns), ())
+    mean = J.nearest(materialize(named(front)), "__id", materialize(named(points)), "__id", metric).agg(F.avg("distance")).first()[0]
+    return float("inf") if mean is None else mean

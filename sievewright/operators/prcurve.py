@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sievewright.operators import distance as J
 from sievewright.operators.ranks import exact_quantiles
+from sievewright.plans.workspace import materialize
 
 
 def same_size(a: DataFrame, b: DataFrame, id_column: str, most: int = 20_000, seed: int = 0, order=None) -> tuple[DataFrame, DataFrame]:
@@ -83,3 +84,24 @@ def alpha_beta(real: DataFrame, synthetic: DataFrame, id_column: str, columns: S
         rows += [(f"delta_{name}", s.delta), (f"{name}_auc", s.auc), (f"{name}_at_0.95", s.at_095)]
     rows.append(("authenticity", authenticity))
     return curves, real.sparkSession.createDataFrame(rows, "name string, value double")
+
+
+def evaluate_many(datasets: dict[str, Callable[[], tuple[DataFrame, DataFrame]]], id_column: str, columns: Sequence[str], points: int = 101, most: int = 20_000, stop_on_error: bool = False) -> DataFrame:
+    """(dataset, name, value, error): the summary of each dataset's curves; a dataset that fails is a row with its error, and the others go on.
+
+    A dataset is a function that gives its real and its synthetic rows.
+    """
+    spark, out, failed = SparkSession.active(), None, []
+    for dataset, load in datasets.items():
+        try:
+            real, synthetic = same_size(*load(), id_column, most)
+            scores = materialize(alpha_beta(real, synthetic, id_column, columns, points)[1])
+        except Exception as e:  # noqa: BLE001  the next dataset doesn't depend on this one
+            if stop_on_error:
+                raise
+            failed.append((dataset, None, None, f"{type(e).__name__}: {str(e).splitlines()[0][:200]}" if str(e) else type(e).__name__))
+            continue
+        own = scores.select(F.lit(dataset).alias("dataset"), "name", "value", F.lit(None).cast("string").alias("error"))
+        out = own if out is None else out.unionByName(own)
+    errors = spark.createDataFrame(failed, "dataset string, name string, value double, error string")
+    return errors if out is None else out.unionByName(errors)

@@ -78,12 +78,25 @@ def direction_name(weights: Sequence[int]) -> str:
     return "_".join(f"{k}{w:03d}" for k, w in zip("ftpu", weights, strict=True))
 
 
-def direction_family(df: DataFrame, id_column: str, objectives: Sequence[str], keep: int) -> DataFrame:
+def direction_family(df: DataFrame, id_column: str, objectives: Sequence[str], keep: int, mode: str = "naive") -> DataFrame:
     """(direction, id, score, place): the best rows for each of the weightings.
 
-    Rows are exploded with their scores, and each task's top rows are cut before the shuffle by the rank limit.
+    ``naive``: the objectives' weighted mean.  ``matched``: of the objectives scaled to [0, 1], with weights of 1e-6 at least.  ``pareto``: by
+    fronts and crowding of the objectives that have a weight, the score being minus the front.  Scalar modes explode rows with their scores, and
+    each task's top rows are cut before the shuffle by the rank limit.
     """
-    per = F.array(*[F.struct(F.lit(n).alias("direction"), scalar_score(objectives, [x / 100 for x in w]).alias("score")) for w in DIRECTIONS for n in [direction_name(w)]])
+    if mode == "pareto":
+        out = None
+        for w in DIRECTIONS:
+            own = [c for c, x in zip(objectives, w, strict=True) if x]
+            front = P.nsga_select(df, id_column, own, keep) if len(own) > 1 else df.withColumn("front", F.dense_rank().over(W.orderBy(F.desc(own[0]))) - 1).orderBy("front", id_column).limit(keep)
+            best = front.select(F.lit(direction_name(w)).alias("direction"), id_column, (-F.col("front")).cast("double").alias("score"))
+            out = best if out is None else out.unionByName(best)
+        return out.withColumn("place", F.row_number().over(W.partitionBy("direction").orderBy(F.desc("score"), id_column)))
+    if mode == "matched":
+        df, objectives = minmax(df, objectives), [f"{c}_mm" for c in objectives]
+    weight = lambda x: x / 100 if mode == "naive" else max(x / 100, 1e-6)
+    per = F.array(*[F.struct(F.lit(n).alias("direction"), scalar_score(objectives, [weight(x) for x in w]).alias("score")) for w in DIRECTIONS for n in [direction_name(w)]])
     rows = df.select(id_column, F.explode(per).alias("d")).select(id_column, "d.direction", "d.score")
     return rows.withColumn("place", F.row_number().over(W.partitionBy("direction").orderBy(F.desc("score"), id_column))).where(F.col("place") <= keep)
 
@@ -314,6 +327,35 @@ def swap_sizes(selected: DataFrame, pool: DataFrame, id_column: str, value: str,
     return steps.where(F.col("rn").isin(*sizes)).select(F.col("rn").alias("size"), (F.col("gain") + base).alias("total"))
 
 
+def refine_for_reward(selected: DataFrame, pool: DataFrame, id_column: str, value: str, sizes: Sequence[int], means: Sequence[str], floors: dict[str, float], shift: float = 0.05) -> DataFrame:
+    """(size, reward, feasible, each mean): selections after swaps of several sizes, judged together.
+
+    A size swaps the lowest selected rows by ``value`` for the highest free ones.  Every size's means follow from the selection's sums and
+    running sums over the two rankings; feasible are those that keep the ``floors``, and the reward is the shifted geometric mean of the means.
+    """
+    n, most = selected.count(), max(sizes)
+    free = pool.join(selected.select(id_column), id_column, "left_anti")
+    ranked = lambda df, order: df.orderBy(order, id_column).limit(most).withColumn("rn", F.row_number().over(W.orderBy(order, id_column)))  # noqa: E731  at most max(sizes) rows
+    a = ranked(selected, F.asc(value)).select("rn", *[F.col(c).alias(f"__a_{c}") for c in means])
+    b = ranked(free, F.desc(value)).select("rn", *[F.col(c).alias(f"__b_{c}") for c in means])
+    base = selected.agg(*[F.sum(c).alias(c) for c in means]).first()
+    by = W.orderBy("rn")
+    out = a.join(b, "rn").withColumns({c: (F.sum(F.col(f"__b_{c}") - F.col(f"__a_{c}")).over(by) + F.lit(float(base[c] or 0.0))) / F.lit(float(max(n, 1))) for c in means})
+    none = out.limit(0).select("rn", *means).unionByName(selected.sparkSession.createDataFrame([(0, *[float(base[c] or 0.0) / max(n, 1) for c in means])], "rn int, " + ", ".join(f"{c} double" for c in means)))
+    out = none.unionByName(out.where(F.col("rn").isin(*sizes)).select("rn", *means))
+    fine = F.lit(True)
+    for c, least in floors.items():
+        fine = fine & (F.col(c) >= least - 1e-12)
+    reward = S.shifted_geomean([S.clip(F.col(c), 0, 1) for c in means], [1.0] * len(means), shift)
+    return out.select(F.col("rn").alias("size"), reward.alias("reward"), fine.alias("feasible"), *means)
+
+
+def best_swap_size(sizes: DataFrame) -> DataFrame:
+    """The feasible size with the highest reward, ties to the smaller; no swap where none is feasible."""
+    best = sizes.orderBy(F.desc("feasible"), F.when(F.col("feasible"), -F.col("reward")).otherwise(F.col("size")), "size").limit(1)
+    return best
+
+
 def preselect_gate(candidate: dict, baseline: dict, random: dict, thresholds: dict[str, float]) -> dict:
     """Deltas against the baseline and a random selection, and whether the candidate passes.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from sievewright.functions import scalars as S
@@ -9,15 +11,17 @@ from sievewright.operators import labels as L
 from sievewright.operators import metrics as M
 from sievewright.operators import mix as X
 from sievewright.operators import pareto as P
+from sievewright.operators import prcurve as PR
 from sievewright.operators import repair as RP
 from sievewright.operators import scores as U
 from sievewright.operators import select as K
 from sievewright.operators import utility as UT
 from sievewright.operators import validate as V
 from sievewright.plans import search as G
+from sievewright.plans.model_client import context, json_in, proposals_from
 from sievewright.plans.queries_profile import rounded
-from sievewright.plans.queries_select import OBJ_SQL, objectives
-from sievewright.plans.roles import DIRTY_SQL, LINEITEM, SQL, dirty_pool, split, table
+from sievewright.plans.queries_select import OBJ_SQL, OBJECTIVES, objectives
+from sievewright.plans.roles import DIRTY_SQL, LINEITEM, SQL, Roles, dirty_pool, split, table
 from sievewright.plans.workspace import shared_dir
 from sievewright.registry import query
 from sievewright.sources import files as SRC
@@ -303,3 +307,110 @@ def searched_scope(spark, sf_dir):
     start = G.repair(G.Theta.make(["c0", "c1"], ["c0", "c1"], ["c0", "c1", "c2", "c3"], "c0"), columns, "y")
     _, best = G.run_search(start, columns, "y", lambda t: {"reward": 0.5 + 0.1 * ("c5" in t.col_1ds), "weak": ["c5"], "guard_pass": True}, budget=8, proposals=2, patience=2)
     return spark.createDataFrame([("c5" if "c5" in best.theta.col_1ds else "none", 2)], "best string, stale int")
+
+
+# Families, volumes and rollups
+
+
+_GRID = f"""{SQL}, {OBJ_SQL}, c as (select distinct round(o1 * 20) / 20 as x, round(o2 * 20) / 20 as y, round(o3 * 20) / 20 as z from obj)"""
+
+
+def _grid(spark, sf_dir):
+    return objectives(spark, sf_dir).select(*[(F.round(F.col(c) * 20) / 20).alias(n) for c, n in zip(OBJECTIVES, "xyz", strict=True)]).distinct()
+
+
+@query(f"""with {_GRID}, p as (select * from c where x > 0 and y > 0 and z > 0), s as (select s, s - coalesce(lag(s) over (order by s), 0) as dx from (select distinct x as s from p)),
+    r as (select s, dx, y, max(z) as z from s join p on p.x >= s.s group by all), t as (select *, y - coalesce(lag(y) over w, 0) as dy, max(z) over (partition by s order by y rows between current row and unbounded following) as top from r window w as (partition by s order by y))
+    select round(coalesce(sum(dx * dy * top), 0), 9) as hypervolume from t""")
+def hypervolume_three_objectives(spark, sf_dir):
+    return rounded(P.hypervolume_3d(_grid(spark, sf_dir), "x", "y", "z"), "hypervolume", digits=9)
+
+
+@query(f"""with {_GRID}, a as (select x, y from c where z < 0.5), b as (select x, y from c where z >= 0.5), e as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from (select * from a union all select * from b)),
+    p as (select distinct (x - x0) / (x1 - x0) as x, (y - y0) / (y1 - y0) as y from a, e), f as (select distinct (x - x0) / (x1 - x0) as x, (y - y0) / (y1 - y0) as y from b, e)
+    select round(avg(d), 6) as igd from (select f.x, f.y, min(sqrt(pow(f.x - p.x, 2) + pow(f.y - p.y, 2))) as d from f, p group by 1, 2)""")
+def inverted_distance(spark, sf_dir):
+    grid = _grid(spark, sf_dir)
+    a, b = P.normalize_family([grid.where("z < 0.5"), grid.where("z >= 0.5")], ["x", "y"])
+    return spark.createDataFrame([(round(P.igd(a, b, ["x", "y"]), 6),)], "igd double")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, e as (select min(o1) as a1, max(o1) as b1, min(o2) as a2, max(o2) as b2, min(o3) as a3, max(o3) as b3, min((line % 7) / 10) as a4, max((line % 7) / 10) as b4 from obj),
+    m as (select row_id, (o1 - a1) / (b1 - a1) as o1, (o2 - a2) / (b2 - a2) as o2, (o3 - a3) / (b3 - a3) as o3, ((line % 7) / 10 - a4) / (b4 - a4) as o4 from obj, e),
+    d as (select * from (values {", ".join(f"('{K.direction_name(w)}', {', '.join(repr(max(x / 100, 1e-6)) for x in w)})" for w in K.DIRECTIONS)}) as t(direction, f, t, p, u)),
+    s as (select direction, row_id, round(o1 * (f::double / (f::double + t + p + u)) + o2 * (t::double / (f::double + t + p + u)) + o3 * (p::double / (f::double + t + p + u)) + o4 * (u::double / (f::double + t + p + u)), 12) as score from m, d)
+    select direction, row_id, place::int as place from (select *, row_number() over (partition by direction order by score desc, row_id) as place from s) where place <= 50""")
+def matched_direction_family(spark, sf_dir):
+    own = objectives(spark, sf_dir).withColumn("o4", (F.col("line") % 7) / 10)
+    return K.direction_family(own, "row_id", (*OBJECTIVES, "o4"), 50, "matched").select("direction", "row_id", "place")
+
+
+@query(f"""with {SQL}, {OBJ_SQL}, s as (select * from obj where row_id % 10 = 3), a as (select row_number() over (order by o1, row_id) as rn, o1, o2 from s), b as (select row_number() over (order by o1 desc, row_id) as rn, o1, o2 from obj where row_id % 10 <> 3),
+    n as (select count(*) as n, sum(o1) as s1, sum(o2) as s2 from s), g as (select a.rn, (sum(b.o1 - a.o1) over (order by a.rn) + s1) / n as o1, (sum(b.o2 - a.o2) over (order by a.rn) + s2) / n as o2 from a join b on a.rn = b.rn, n where a.rn <= 200),
+    z as (select 0 as size, s1 / n as o1, s2 / n as o2 from n union all select rn, o1, o2 from g where rn in (20, 100, 200))
+    select size::int as size, round(exp((ln((greatest(0, least(1, o1)) + 0.05) / 1.05) + ln((greatest(0, least(1, o2)) + 0.05) / 1.05)) / 2), 6) as reward, o2 >= 0.3 - 1e-12 as feasible, round(o1, 6) as o1, round(o2, 6) as o2 from z""")
+def reward_refinement(spark, sf_dir):
+    own = objectives(spark, sf_dir)
+    out = K.refine_for_reward(own.where("row_id % 10 = 3"), own, "row_id", "o1", (20, 100, 200), ("o1", "o2"), {"o2": 0.3})
+    return rounded(out, "reward", "o1", "o2")
+
+
+@query("""with c as (select c_custkey, case when c_custkey % 6 > 0 then c_acctbal end as x, case when c_custkey % 5 > 0 then c_mktsegment end as s from customer), m as (select quantile_cont(x, 0.5) as mid from c),
+    f as (select c_custkey, coalesce(x, mid) as x, coalesce(s, '__MISSING__') as s from c, m), z as (select avg(x) as m, stddev_pop(x) as d from f), k as (select list_sort(list(distinct s)) as k from f)
+    select c_custkey, list_transform(list_concat([(x - m) / d], list_transform(k, lambda v: case when v = s then 1.0 else 0.0 end)), lambda v: round(v, 6))::varchar as features from f, z, k where c_custkey % 2 = 0""")
+def audit_matrix(spark, sf_dir):
+    key = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer").select("c_custkey", F.when(key % 6 > 0, F.col("c_acctbal")).alias("x"), F.when(key % 5 > 0, F.col("c_mktsegment")).alias("s"))
+    roles, members, others = Roles(("x",), (), ("s",)), own.where("c_custkey % 2 = 0"), own.where("c_custkey % 2 = 1")
+    medians, metric = L.audit_encoder([members, others], roles)
+    out = L.encoded_matrix(L.filled(members, roles, medians), metric, "c_custkey")
+    return out.select("c_custkey", F.concat(F.lit("["), F.array_join(F.transform("features", lambda v: F.round(v, 6).cast("string")), ", "), F.lit("]")).alias("features"))
+
+
+@query("""with s as (select event_type as name, avg(value) as value, count(*) as n from events where value is not null group by 1 order by avg(value), event_type limit 2), t as (select event_type || '|' || (user_id % 2)::varchar as name, avg(value) as value, count(*) as n from events where value is not null group by 1 order by avg(value), 1 limit 2),
+    r as (select user_id, avg((event_type = 'click')::int) as dcr from events group by 1), l as (select 'dcr' as part, dcr as v from r union all select 'dcr_privacy', 1 - abs(dcr - 0.5) from r union all select 'balance_error', abs(dcr - 0.5) from r),
+    g as (select part, min(v) as "min", avg(v) as "mean", max(v) as "max", quantile_cont(v, 0.05) as q05, quantile_cont(v, 0.5) as q50, quantile_cont(v, 0.95) as q95, count(*) as n from l group by 1)
+    select part, name, round(value, 9) as value, n from (select 'shape' as part, * from s union all select 'trend', * from t union all select part, name, value, n from (unpivot g on "min", "mean", "max", q05, q50, q95 into name name value value))""")
+def weak_feedback(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    own = events.where("value is not null")
+    trends = own.select(F.col("event_type").alias("left"), (F.col("user_id") % 2).cast("string").alias("right"), F.col("value").alias("score"))
+    reports = events.groupBy("user_id").agg(F.avg((F.col("event_type") == "click").cast("int")).alias("dcr")).withColumn("dcr_privacy", 1 - F.abs(F.col("dcr") - 0.5))
+    return rounded(L.weak_feedback(own.select(F.col("event_type").alias("column"), F.col("value").alias("score")), trends, reports), "value", digits=9)
+
+
+@query("select 'fine' as dataset, 10::bigint as metrics, false as failed union all select 'broken', 0, true")
+def many_datasets(spark, sf_dir):
+    """One dataset is evaluated, another one's files don't exist; the driver goes on."""
+    one = lambda name: split(spark, sf_dir, name).select("row_id", (F.col("qty") / 50).alias("a"), (F.col("price") / 100000).alias("b"))
+    out = PR.evaluate_many({"broken": lambda: (table(spark, f"{sf_dir}/nothing", "a"), one("pool")), "fine": lambda: (one("test"), one("pool"))}, "row_id", ["a", "b"], 21, 2000)
+    return out.groupBy("dataset").agg(F.count("name").alias("metrics"), F.max(F.col("error").isNotNull()).alias("failed"))
+
+
+@query(f"""with {SQL}, s as (select round(avg(qty) / 50, 6) as shape, round(avg((line > 3)::int), 6) as dcr from pool) select shape, dcr, round((shape + 1 - abs(dcr - 0.5)) / 2, 6) as reward, 'utility' as failed from s""")
+def evaluated_selection(spark, sf_dir):
+    pool = split(spark, sf_dir, "pool")
+    mean = lambda column: round(float(pool.agg(F.avg(column)).first()[0]), 6)
+
+    def broken():
+        raise ValueError("no model")
+
+    got = M.evaluate_selection({"shape": lambda: {"shape": mean(F.col("qty") / 50)}, "dcr": lambda: {"dcr": mean((F.col("line") > 3).cast("int"))}, "utility": broken})
+    return spark.createDataFrame([(got["metrics"]["shape"], got["metrics"]["dcr"], round(got["reward"], 6), ",".join(got["failed"]))], "shape double, dcr double, reward double, failed string")
+
+
+@query("select event_type || '_auroc' as name, round(least(1, avg(value) / 100), 6) as value from events group by event_type union all select 'audit_auroc', max(v) from (select round(least(1, avg(value) / 100), 6) as v from events group by event_type)")
+def audit_projection(spark, sf_dir):
+    report = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("attack")).agg(F.round(F.least(F.lit(1.0), F.avg("value") / 100), 6).alias("auroc")).withColumn("advantage", F.lit(None).cast("double"))
+    return spark.createDataFrame(list(M.audit_metrics(report).items()), "name string, value double")
+
+
+@query("select 'a' as leaf, 'b' as sibling, 2 as proposals")
+def model_context(spark, sf_dir):
+    """A proposal model's context, and the scopes read back from an answer with text around the JSON."""
+    tree, theta = G.Tree(), G.Theta.make(["a"], ["a", "b"], ["c"], "a")
+    for name, parent in (("root", None), ("a", "root"), ("b", "root")):
+        tree.add(G.Node(name, theta, parent, q_self=0.5))
+    said = json_in(context(tree.nodes["a"], tree, ["a", "b", "c", "y"], "y"))
+    answer = json_in('Here: {not json} {"proposals": [%s, %s, %s]} done' % ((json.dumps(theta.as_dict()),) * 2 + (json.dumps(theta.as_dict() | {"col_u": "b"}),)))
+    return spark.createDataFrame([(said["node"]["id"], said["siblings"][0]["id"], len(proposals_from(answer)))], "leaf string, sibling string, proposals int")

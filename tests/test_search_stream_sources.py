@@ -1,5 +1,6 @@
 """The search loop, the chunked archive as batch and stream, and files."""
 
+import contextlib
 import json
 
 import pytest
@@ -124,3 +125,41 @@ def test_units_by_largest_remainders():
     assert largest_remainders([1, 1, 1], 5) == [2, 2, 1] and largest_remainders([0.0, 0.0], 3) == [2, 1] and largest_remainders([], 4) == []
     assert mix.allocate_units({"a": 0.5, "b": 0.3, "c": 0.2}, ["c", "b", "a"], 8) == [("c", 2), ("b", 3), ("a", 3)]
     assert mix.allocate_units({"a": 1.0, "b": 0.0}, ["a", "b"], 4) is None
+
+
+def test_only_timeouts_are_tried_again():
+    import threading
+    import time
+    import urllib.error
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from sievewright.plans import model_client as M
+
+    calls = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            calls.append(self.path)
+            if self.path == "/late" and calls.count("/late") < 2:
+                time.sleep(1.5)
+            self.send_response(500 if self.path == "/bad" else 200)
+            self.end_headers()
+            with contextlib.suppress(BrokenPipeError):  # the caller gave up
+                self.wfile.write(json.dumps({"got": body}).encode())
+
+        def log_message(self, *args):
+            pass
+
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    assert M.post_json(f"{url}/fine", {"a": 1}) == {"got": {"a": 1}}
+    assert M.post_json(f"{url}/late", {"a": 2}, timeout=0.5, pause=0.01) == {"got": {"a": 2}} and calls.count("/late") == 2
+    with pytest.raises(urllib.error.HTTPError):
+        M.post_json(f"{url}/bad", {})
+    assert calls.count("/bad") == 1
+    server.shutdown()
+    with pytest.raises(ValueError):
+        M.json_in("nothing here")
