@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 import zlib
 
@@ -70,7 +71,13 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs now: it does so once the driver's JVM has collected their plans."""
-    gc.collect()
-    spark._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Lets Spark's cleaner drop the shuffle files of finished jobs now.
+
+    It does so once the driver's JVM has collected their plans; Python's handles on them and the listeners' events let go of them a moment
+    after a job's end, hence the rounds.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)

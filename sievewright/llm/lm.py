@@ -14,8 +14,9 @@ failure arcs until the state has an arc for the word, takes it, and adds up all
 
 Scale.  No task holds the model.  Documents are written as blocks of about ``BLOCK`` tokens, coded by a vocabulary of their own.
 Blocks send their distinct words (64-bit hashes) to shards, which number them, frequent ones first, and count them; then their
-distinct pairs and triples as word numbers, with their own training counts, to shards of about ``SHARD`` tokens, which add up and answer in
-the order asked.  A message has at least one n-gram, and a block asks for an n-gram once, so messages grow with the corpus and not faster.
+distinct pairs, and in a third round triples, as word numbers, with their own training counts, to shards of about ``SHARD`` tokens, which add
+up and answer in the order asked.  What has a part that occurs in no other block (its count there is its count everywhere) needn't be asked for: its
+own count is exact.  A message has at least one n-gram, and a block asks for an n-gram once, so messages grow with the corpus and not faster.
 An n-gram's shard follows from its middle word, or where that is a frequent word, from more of its words: no shard depends on one word.
 From the answers a block builds the part of the automaton that its documents can reach.
 
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._util import fold_of, materialize, release, shared_dir
+from sievewright.llm._util import fold_of, materialize, release, remove, shared_dir
 
 #: Tokens of a block and of a shard.
 BLOCK = SHARD = 1 << 20
@@ -48,6 +49,8 @@ LANE = 256
 NONE, START, FIRST = 0, 1, 2
 END = xxhash.xxh64_intdigest(b"\x00end")
 BLOCKS = "block long, n_tokens long, train_docs long, doc_ids array<long>, text binary, vocab binary"
+#: Blocks with their words' numbers and training counts in place of the words.
+TEXTS = "block long, doc_ids array<long>, text binary, words binary"
 ASK = "shard int, block long, body binary"
 ANSWER = "block long, shard int, body binary, tokens long, types long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -129,29 +132,43 @@ def write_blocks(docs: DataFrame, path: str) -> DataFrame:
 
 
 class Text:
-    """A block's documents as local word numbers, and what it asks the vocabulary's shards."""
+    """A block's documents as local word numbers."""
 
-    def __init__(self, doc_ids: list, text: bytes, vocab: bytes, shards: int):
+    def __init__(self, doc_ids: list, text: bytes):
         self.doc_ids = doc_ids
         self.lens, self.ids = unpacked(text)
-        self.vocab = np.frombuffer(vocab, dtype=np.uint64)
-        self.size = len(self.vocab)
         self.starts = np.concatenate(([0], np.cumsum(self.lens)[:-1]))
         self.held_out = np.array([fold_of(d) == 1 for d in doc_ids])
         self.train = ~np.repeat(self.held_out, self.lens)
-        self.shard = (self.vocab % np.uint64(shards)).astype(np.int64)
-        self.order = np.argsort(self.shard, kind="stable")
 
-    def words(self) -> Iterator[tuple[int, bytes]]:
-        counts = np.bincount(self.ids[self.train], minlength=self.size)
+
+class Asked:
+    """Things in the order in which their shards are asked and answer; those not asked for keep their own counts."""
+
+    def __init__(self, shard: np.ndarray, own: np.ndarray, ask: np.ndarray):
+        self.shard, self.own = shard, own
+        which = np.flatnonzero(ask)
+        self.order = which[np.argsort(shard[which], kind="stable")]
+
+    def questions(self, *keys: np.ndarray) -> Iterator[tuple[int, bytes]]:
         for shard, some in runs(self.shard, self.order):
-            yield shard, packed(self.vocab[some], counts[some])
+            yield shard, packed(*(k[some] for k in keys), self.own[some])
+
+    def counts(self, answers: list[bytes]) -> np.ndarray:
+        out = self.own.copy()
+        if answers:
+            out[self.order] = np.concatenate([unpacked(a)[0] for a in answers])
+        return out
+
+
+def words_asked(text: Text, vocab: np.ndarray, shards: int) -> Asked:
+    own = np.bincount(text.ids[text.train], minlength=len(vocab))
+    return Asked((vocab % np.uint64(shards)).astype(np.int64), own, np.ones(len(vocab), dtype=bool))
 
-    def vocabulary(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Global numbers and training counts of the local words, from the shards' answers in their order."""
-        out = np.zeros((2, self.size), dtype=np.int64)
-        out[:, self.order] = np.concatenate([np.stack(unpacked(a)) for a in answers], axis=1)
-        return out[0], out[1]
+
+def shard_of(middle, first, last, often_middle, often_first, shards: int) -> np.ndarray:
+    """By the middle word; where that is frequent, by the first word too; where both are, by all three."""
+    return (mix64(middle, np.where(often_middle, first, 0), np.where(often_middle & often_first, last, 0)) % np.uint64(shards)).astype(np.int64)
 
 
 def runs(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -162,44 +179,39 @@ def runs(shard: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray
             yield int(shard[some[0]]), some
 
 
-class Grams:
-    """A block's distinct pairs and triples, in the order in which shards are asked and answer."""
+class Pairs:
+    """A block's distinct pairs.  A pair's context counts as the middle word, and it has no first one."""
 
-    def __init__(self, text: Text, number: np.ndarray, count: np.ndarray, shards: int, tokens: int):
-        self.size, ids = text.size + 1, text.ids  # the last local word is the start
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[text.starts] = text.size
-        inner = np.ones(len(ids), dtype=bool)
-        inner[text.starts] = False
-        inner = np.flatnonzero(inner)  # places with two words before them, the start included
-        pair, at, self.pair_train = distinct(ids * self.size + before, text.train)
-        self.word, self.context = pair // self.size, pair % self.size
-        triple, _, self.triple_train = distinct(at[inner - 1] * self.size + ids[inner], text.train[inner])
-        self.pair, self.last = triple // self.size, triple % self.size
-        number = np.append(number, START)
-        often = np.append(count * 8 * shards >= tokens, True)
-        # (middle, first, last) of all: a pair has no first word, and its context is in the middle.
-        self.key = tuple(np.concatenate(x) for x in (
-            (number[self.context], number[self.word[self.pair]]),
-            (np.full(len(pair), NONE), number[self.context[self.pair]]),
-            (number[self.word], number[self.last]),
-        ))
-        middle, first = np.concatenate((often[self.context], often[self.word[self.pair]])), np.concatenate((np.ones(len(pair), dtype=bool), often[self.context[self.pair]]))
-        v, u, w = self.key
-        self.shard = (mix64(v, np.where(middle, u, 0), np.where(middle & first, w, 0)) % np.uint64(shards)).astype(np.int64)
-        self.order = np.argsort(self.shard, kind="stable")
-
-    def questions(self) -> Iterator[tuple[int, bytes]]:
-        train = np.concatenate((self.pair_train, self.triple_train))
-        for shard, some in runs(self.shard, self.order):
-            yield shard, packed(*(x[some] for x in self.key), train[some])
+    def __init__(self, text: Text, words: bytes, shards: int, tokens: int):
+        number, self.count = unpacked(words)
+        self.text, self.shards, self.size = text, shards, len(number) + 1  # the last local word is the start
+        before = np.empty_like(text.ids)
+        before[1:] = text.ids[:-1]
+        before[text.starts] = len(number)
+        self.keys, self.at, self.train = distinct(text.ids * self.size + before, text.train)
+        self.word, self.context = self.keys // self.size, self.keys % self.size
+        self.number, self.often = np.append(number, START), np.append(self.count * 8 * shards >= tokens, True)
+        only_here = np.append(self.count == np.bincount(text.ids[text.train], minlength=len(number)), False)
+        v, w = self.number[self.context], self.number[self.word]
+        self.key = (v, np.full_like(v, NONE), w)
+        everywhere = np.ones(len(v), dtype=bool)
+        self.asked = Asked(shard_of(*self.key, self.often[self.context], everywhere, shards), self.train, ~only_here[self.context] & ~only_here[self.word])
 
-    def counts(self, answers: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Training counts of the pairs and of the triples."""
-        out = np.zeros(len(self.order), dtype=np.int64)
-        out[self.order] = np.concatenate([unpacked(a)[0] for a in answers]) if answers else 0
-        return out[: len(self.word)], out[len(self.word) :]
+
+class Triples:
+    """A block's distinct triples: a pair, and the pair that ends where the triple does."""
+
+    def __init__(self, p: Pairs, pair_count: np.ndarray):
+        inner = np.ones(len(p.text.ids), dtype=bool)
+        inner[p.text.starts] = False
+        inner = np.flatnonzero(inner)  # places with two words before them, the start included
+        keys, _, train = distinct(p.at[inner - 1] * p.size + p.text.ids[inner], p.text.train[inner])
+        self.pair, self.last = keys // p.size, keys % p.size
+        self.ends = np.searchsorted(p.keys, self.last * p.size + p.word[self.pair])
+        first, middle = p.context[self.pair], p.word[self.pair]
+        self.key = (p.number[middle], p.number[first], p.number[self.last])
+        only_here = pair_count == p.train
+        self.asked = Asked(shard_of(*self.key, p.often[middle], p.often[first], p.shards), train, ~only_here[self.pair] & ~only_here[self.ends])
 
 
 def distinct(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,16 +260,13 @@ class Automaton:
     State 0 is the root, 1 to ``words`` are words (the start last), later ones pairs.  Arcs are kept by state * words + word, sorted.
     """
 
-    def __init__(self, unigram: np.ndarray, word_count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def __init__(self, unigram: np.ndarray, word_count: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], triples: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]):
         self.words = n = len(word_count)
         context, word, pair_count = pairs
-        pair, last, triple_count = triples
+        pair, last, ends, triple_count = triples
         word_state = np.where(word_count > 0, np.arange(1, n + 1), 0)
         pair_state = np.where(pair_count > 0, n + 1 + np.arange(len(word)), word_state[word])
         p_pair = (pair_count + PAIR * unigram[word]) / (word_count[context] + PAIR)
-        # p(last | middle) of a triple, by its pair (middle, last): a pair of the block, as it ends where the triple does.
-        order = np.argsort(word * n + context)
-        ends = order[np.searchsorted((word * n + context)[order], last * n + word[pair])]
         p_triple = (triple_count + TRIPLE * p_pair[ends]) / (pair_count[pair] + TRIPLE)
         seen, seen3 = np.flatnonzero(pair_count), np.flatnonzero(triple_count)
         keys = np.concatenate((np.arange(len(unigram)), (context[seen] + 1) * n + word[seen], (n + 1 + pair[seen3]) * n + last[seen3]))
@@ -304,62 +313,86 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(lens))
 
 
-def score_block(text: Text, words: list[bytes], grams: list[bytes], shards: int, tokens: int, types: int, train_docs: int) -> list[tuple]:
-    number, count = text.vocabulary(words)
-    g = Grams(text, number, count, shards, tokens)
-    pair_count, triple_count = g.counts(grams)
+def score_block(p: Pairs, pairs: list[bytes], triples: list[bytes], tokens: int, types: int, train_docs: int) -> list[tuple]:
+    text, count, pair_count = p.text, p.count, p.asked.counts(pairs)
+    t = Triples(p, pair_count)
     unigram = (count + 0.5) / (tokens + 0.5 * (types + 1))
-    machine = Automaton(unigram, np.append(count, train_docs), (g.context, g.word, pair_count), (g.pair, g.last, triple_count))
+    machine = Automaton(unigram, np.append(count, train_docs), (p.context, p.word, pair_count), (t.pair, t.last, t.ends, t.asked.counts(triples)))
     scores = machine.traverse(text.ids, text.starts, text.lens)
     known = np.add.reduceat((count[text.ids] > 0).astype(np.int64), text.starts)
     base = np.add.reduceat(np.log10(unigram)[text.ids], text.starts)
     return list(zip(text.doc_ids, text.held_out.tolist(), text.lens.tolist(), known.tolist(), [tokens] * len(known), base.tolist(), scores.tolist(), strict=True))
 
 
-def _blocks_of(t: pa.Table, shards: int) -> list[Text]:
-    return [Text(d.as_py(), x.as_py(), v.as_py(), shards) for d, x, v in zip(t["doc_ids"], t["text"], t["vocab"], strict=True)]
+def _rows(t, *names: str) -> Iterator[tuple]:
+    return zip(*(t[n].to_pylist() for n in names), strict=True)
 
 
-def _bodies(t: pa.Table, part: int) -> list[bytes]:
-    """A block's answers of one kind, in the shards' order."""
-    rows = sorted((s, b) for s, b, p in zip(*(t[k].to_pylist() for k in ("shard", "body", "part")), strict=True) if p == part)
-    return [b for _, b in rows]
+def _answers(t: pa.Table, part: int) -> list[bytes]:
+    """A block's answers of one round, in the shards' order."""
+    return [body for _, body in sorted((shard, body) for shard, body, p in _rows(t, "shard", "body", "part") if p == part)]
 
 
 def score_corpus(docs: DataFrame) -> DataFrame:
-    """Scores of all documents by the model of those whose crc32(doc_id) mod 5 is not 1."""
+    """Scores of all documents by the model of those whose crc32(doc_id) mod 5 is not 1.
+
+    What a round leaves behind goes before the next one: files that later rounds don't read, and shuffled rows.
+    """
     spark = docs.sparkSession
     home = shared_dir(spark)
     blocks = write_blocks(docs, f"{home}/blocks")
     tokens, train_docs = (x or 0 for x in blocks.agg(F.sum("n_tokens"), F.sum("train_docs")).first())
     shards = max(8, math.ceil(tokens / SHARD))
-    texts = blocks.select("block", "doc_ids", "text", "vocab")
 
     def ask_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block, text in zip(batch.column(0).to_pylist(), _blocks_of(batch, shards), strict=True):
-                yield batch_of([(shard, block, body) for shard, body in text.words()], ASK)
+            for block, doc_ids, text, vocab in _rows(batch, "block", "doc_ids", "text", "vocab"):
+                vocab = np.frombuffer(vocab, dtype=np.uint64)
+                yield batch_of([(shard, block, body) for shard, body in words_asked(Text(doc_ids, text), vocab, shards).questions(vocab)], ASK)
 
-    words = materialize(count_words(texts.mapInArrow(ask_words, ASK), shards), f"{home}/words")
+    words = materialize(count_words(blocks.select("block", "doc_ids", "text", "vocab").mapInArrow(ask_words, ASK), shards), f"{home}/words")
+    release(spark)
     tokens, types = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("types")).first())
+
+    def numbered(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for block, doc_ids, text, vocab in _rows(left, "block", "doc_ids", "text", "vocab"):
+            vocab = np.frombuffer(vocab, dtype=np.uint64)
+            found = np.zeros((2, len(vocab)), dtype=np.int64)
+            found[:, words_asked(Text(doc_ids, text), vocab, shards).order] = np.concatenate([np.stack(unpacked(body)) for _, body in sorted(_rows(right, "shard", "body"))], axis=1)
+            rows.append((block, doc_ids, text, packed(*found)))
+        return batch_of(rows, TEXTS, True)
+
+    answered = words.where("block is not null").select("block", "shard", "body")
+    texts = materialize(blocks.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(numbered, TEXTS), f"{home}/texts")
+    for old in ("blocks", "words"):
+        remove(spark, f"{home}/{old}")
     release(spark)
-    answers = words.where("block is not null").select("block", "shard", "body", F.lit(0).alias("part"))
 
-    def ask_grams(left: pa.Table, right: pa.Table) -> pa.Table:
+    def pairs_of(t) -> Iterator[tuple[int, Pairs]]:
+        for block, doc_ids, text, numbers in _rows(t, "block", "doc_ids", "text", "words"):
+            yield block, Pairs(Text(doc_ids, text), numbers, shards, tokens)
+
+    def ask_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, p in pairs_of(batch):
+                yield batch_of([(shard, block, body) for shard, body in p.asked.questions(*p.key)], ASK)
+
+    def ask_triples(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for block, text in zip(left["block"].to_pylist(), _blocks_of(left, shards), strict=True):
-            number, count = text.vocabulary(_bodies(right, 0))
-            rows += [(shard, block, body) for shard, body in Grams(text, number, count, shards, tokens).questions()]
+        for block, p in pairs_of(left):
+            t = Triples(p, p.asked.counts(_answers(right, 2)))
+            rows += [(shard, block, body) for shard, body in t.asked.questions(*t.key)]
         return batch_of(rows, ASK, True)
 
-    asked = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(ask_grams, ASK)
-    grams = materialize(count_grams(asked), f"{home}/grams")
-    del asked
-    release(spark)
-
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = [row for text in _blocks_of(left, shards) for row in score_block(text, _bodies(right, 0), _bodies(right, 1), shards, tokens, types, train_docs)]
+        rows = [row for _, p in pairs_of(left) for row in score_block(p, _answers(right, 2), _answers(right, 3), tokens, types, train_docs)]
         return batch_of(rows, SCORES, True)
 
-    every = answers.unionByName(grams.select("block", "shard", "body", F.lit(1).alias("part")))
-    return texts.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(score, SCORES)
+    by_block = texts.groupBy("block")
+    answers = materialize(count_grams(texts.mapInArrow(ask_pairs, ASK)), f"{home}/pairs").select("block", "shard", "body", F.lit(2).alias("part"))
+    release(spark)
+    triples = materialize(count_grams(by_block.cogroup(answers.groupBy("block")).applyInArrow(ask_triples, ASK)), f"{home}/triples")
+    release(spark)
+    answers = answers.unionByName(triples.select("block", "shard", "body", F.lit(3).alias("part")))
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(score, SCORES)

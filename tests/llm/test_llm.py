@@ -274,7 +274,8 @@ def test_traversal_carries_the_state():
         seen2[ends[word[t // (n + 1)], t % (n + 1)]] |= seen3[i]
     seen3 = np.where((seen2[triples // (n + 1)] > 0), seen3, 0)
     count = np.append(np.bincount(text, minlength=n), 3)
-    machine = lm.Automaton(count[:n] / count[:n].sum(), count, (context, word, seen2), (triples // (n + 1), triples % (n + 1), seen3))
+    last = np.array([ends[word[t // (n + 1)], t % (n + 1)] for t in triples])
+    machine = lm.Automaton(count[:n] / count[:n].sum(), count, (context, word, seen2), (triples // (n + 1), triples % (n + 1), last, seen3))
     state = np.array([0])
     for i, w in enumerate(text):
         state, weight = machine.step(state, np.array([w]))
