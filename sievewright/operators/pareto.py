@@ -192,13 +192,6 @@ def hypervolume_3d(points: np.ndarray, ref: Sequence[float] = (0.0, 0.0, 0.0)) -
     return float(volume)
 
 
-def inverted_generational_distance(front: np.ndarray, reference: np.ndarray) -> float:
-    """Mean distance from the reference's points to the nearest of the front."""
-    if not len(front) or not len(reference):
-        return float("nan")
-    return float(np.mean([np.sqrt(((front - r) ** 2).sum(axis=1)).min() for r in reference]))
-
-
 def dominance_certificate(a: dict, b: dict, keys: Sequence[str], tolerance: float = 1e-12) -> str:
     """"a", "b" or "none": which of two summaries dominates."""
     ge, le = all(a[k] >= b[k] - tolerance for k in keys), all(a[k] <= b[k] + tolerance for k in keys)
@@ -206,8 +199,8 @@ def dominance_certificate(a: dict, b: dict, keys: Sequence[str], tolerance: floa
     return "a" if ge and gt else "b" if le and lt else "none"
 
 
-def hypervolume_3d(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
-    """One row: the volume that the first front dominates above the origin.
+def dominated_volume(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
+    """One row: the volume that a table's first front dominates above the origin.
 
     Slabs between neighbouring values of x, each times the area under the running maximum of z over the points that reach the slab:
     a join of the front with its own x values, and windows.  Only the front, not the table, is paired.

@@ -323,7 +323,7 @@ def _grid(spark, sf_dir):
     r as (select s, dx, y, max(z) as z from s join p on p.x >= s.s group by all), t as (select *, y - coalesce(lag(y) over w, 0) as dy, max(z) over (partition by s order by y rows between current row and unbounded following) as top from r window w as (partition by s order by y))
     select round(coalesce(sum(dx * dy * top), 0), 9) as hypervolume from t""")
 def hypervolume_three_objectives(spark, sf_dir):
-    return rounded(P.hypervolume_3d(_grid(spark, sf_dir), "x", "y", "z"), "hypervolume", digits=9)
+    return rounded(P.dominated_volume(_grid(spark, sf_dir), "x", "y", "z"), "hypervolume", digits=9)
 
 
 @query(f"""with {_GRID}, a as (select x, y from c where z < 0.5), b as (select x, y from c where z >= 0.5), e as (select min(x) as x0, max(x) as x1, min(y) as y0, max(y) as y1 from (select * from a union all select * from b)),
