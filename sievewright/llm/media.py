@@ -113,12 +113,12 @@ def write_archives(docs: DataFrame, folder: str, archive_bytes: int = 128 << 20)
         fs.create_dir(root, recursive=True)
         task, done, box = TaskContext.get().partitionId(), [], None
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if box is None:
                     name = f"media-{task:05d}-{len(done):04d}-{uuid.uuid4().hex}.zip"
                     out, n, size = fs.open_output_stream(f"{root}/{name}"), 0, 0
                     box = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                payload = text or b""
+                payload = text.as_py() or b""
                 media = encode_png(pad(payload), len(payload))
                 box.writestr(zipfile.ZipInfo(f"{n:07d}_{'null' if doc is None else doc}.png"), media)
                 n, size = n + 1, size + len(media) + 128

@@ -37,6 +37,8 @@ UNIT = 1 << 20
 BUCKET_ROWS = 4096
 #: Equal rows that are dealt out together.
 DEAL_ROWS = 4096
+#: Rows of three numbers that a broadcast may have.
+MOST_BROADCAST = 200_000
 
 
 def word_count(text) -> F.Column:
@@ -208,7 +210,10 @@ def mix(docs: DataFrame, total_factor: float = 1.5, most: int = 2) -> DataFrame:
     # to every task, so that none of them meets in one.
     total = per.agg(F.sum("__mix_n")).first()[0] or 0
     several, often = per.where("__mix_n > 1 and __mix_copies > 0"), F.col("__mix_n") * 1024 > total
-    held = keyed.join(F.broadcast(several.where(often)), same).unionByName(keyed.join(several.where(~often), same))
+    rest = several.where(~often)
+    # Few repeated texts go to every task too, so that the others needn't be shuffled to find them.
+    rest = F.broadcast(rest) if rest.count() <= MOST_BROADCAST else rest
+    held = keyed.join(F.broadcast(several.where(often)), same).unionByName(keyed.join(rest, same))
     held = materialize(held.withColumn("__mix_at", F.monotonically_increasing_id()), f"{home}/several").withColumn("__mix_task", F.shiftright("__mix_at", 33))
     counts = held.groupBy(F.col("__mix_key").alias("__mix_k"), F.col("__mix_task").alias("__mix_t")).agg(F.count("*").alias("__mix_c"))
     before = F.coalesce(F.sum("__mix_c").over(W.partitionBy("__mix_k").orderBy("__mix_t").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

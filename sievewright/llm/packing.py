@@ -85,8 +85,8 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, capacity: int = 1024, slac
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text or "", allowed_special="all")
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = enc.encode(text.as_py() or "", allowed_special="all")
                 ids.append(end_id)
                 raw = np.array(ids, dtype="<u4").tobytes()
                 n, start = len(ids), 0

@@ -35,7 +35,7 @@ FAN_IN, LEVELS, SLICE_ROWS = 256, 3, 1 << 10
 DIM, WORD_ROWS, SHAPE_ROWS, WINDOW, NONZERO = 64, 1 << 15, 1 << 12, 2, 6
 THRESHOLD = 0.3
 #: Bytes of text that are read together.
-BYTES = 1 << 20
+BYTES = 1 << 18
 
 #: Bytes by kind: white space; small for capitals; and for shapes, capitals to A, small letters and all of other alphabets to a, digits to 0.
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -239,7 +239,7 @@ def context_tables(docs: DataFrame, home: str) -> list[np.ndarray]:
             for rows in all_rows(batch.column("text")):
                 held.append(rows)
                 n += len(rows)
-                if n >= 1 << 18:
+                if n >= 1 << 16:
                     add()
                     held, n = [], 0
         if n:
