@@ -364,7 +364,7 @@ def audit_matrix(spark, sf_dir):
     roles, members, others = Roles(("x",), (), ("s",)), own.where("c_custkey % 2 = 0"), own.where("c_custkey % 2 = 1")
     medians, metric = L.audit_encoder([members, others], roles)
     out = L.encoded_matrix(L.filled(members, roles, medians), metric, "c_custkey")
-    return out.select("c_custkey", F.concat(F.lit("["), F.array_join(F.transform("features", lambda v: F.round(v, 6).cast("string")), ", "), F.lit("]")).alias("features"))
+    return out.select("c_custkey", S.array_text("features", 6).alias("features"))
 
 
 @query("""with s as (select event_type as name, avg(value) as value, count(*) as n from events where value is not null group by 1 order by avg(value), event_type limit 2), t as (select event_type || '|' || (user_id % 2)::varchar as name, avg(value) as value, count(*) as n from events where value is not null group by 1 order by avg(value), 1 limit 2),
