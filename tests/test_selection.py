@@ -189,6 +189,32 @@ def test_equal_rows_are_one_leaf_after_another(spark):
     assert {(r.query if "query" in r else r.id, r.neighbour) for r in got.where("place = 1").collect()} == {(i, int(i == 0)) for i in range(300)}
 
 
+def test_a_signal_is_computed_once(spark):
+    """Quantiles and densities read the nearest rows several times, but search for them once."""
+    rows, calls = spark.createDataFrame([(i, float(i * i)) for i in range(40)], "id long, x double"), spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    signal = rows.select("id", F.col("x").alias("d_real"), F.lit(5.0).alias("d_test")).mapInArrow(seen, "id long, d_real double, d_test double")
+    assert M.dcr_quantiles(signal).count() == 3 and calls.value == 40
+    calls.value = 0
+    real = J.nearest
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(J, "nearest", lambda *a, **b: real(*a, **b).select("id", "distance").mapInArrow(seen, "id long, distance double"))
+        out = J.density_reference(rows, "id", J.Metric(("x",), (), (0.0,), (1.0,), ()), k=3)[2]
+        assert out.count() == out.select("stratum").count() == 40 and calls.value == 120
+
+
+def test_numbers_are_written_as_in_sql(spark):
+    values = [8.5e-05, 1e-06, 0.000501, 0.0001, -0.00025, 0.0, 1.0, 12345678.5, 1e15, 1e16, 2.5e17, 10000000.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", S.number_text(F.col("v")).alias("t"))
+    assert all(r.t == repr(r.v) for r in got.collect())
+    assert spark.range(1).select(F.array(F.lit(-1e-9), F.lit(1.2e-5)).alias("a")).select(S.array_text("a", 6)).first()[0] == "[-0.0, 1.2e-05]"
+
+
 def brute_fronts(points):
     left, out, k = set(points), {}, 0
     while left:
