@@ -142,6 +142,28 @@ def nsga_select(df: DataFrame, id_column: str, objectives: Sequence[str], keep:
     return ranked.orderBy("front", F.desc("crowding"), total.desc(), *[F.desc(c) for c in objectives], id_column).limit(keep)
 
 
+def nsga_places(x: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
+    """``nsga_select`` of rows at hand, none with a gap: the places of the selected rows, best first."""
+    live = x[:, np.ptp(x, axis=0) > 0] if len(x) else x
+    points, point, rows = np.unique(live, axis=0, return_inverse=True, return_counts=True)
+    point, level, left, k = point.reshape(-1), np.full(len(points), -1), np.arange(len(points)), 0
+    while len(left) and rows[level >= 0].sum() < min(keep, len(x)):
+        top = skyline(points[left]) if live.shape[1] else np.ones(len(left), dtype=bool)
+        level[left[top]], left, k = k, left[~top], k + 1
+    front = level[point]
+    crowd = np.zeros(len(x))
+    for f in range(k):
+        own = np.flatnonzero(front == f)
+        for c in x.T:
+            by = own[np.lexsort((ids[own], c[own]))]
+            wide = c[by[-1]] - c[by[0]]
+            if wide > 1e-12:
+                crowd[by[1:-1]] += (c[by[2:]] - c[by[:-2]]) / wide
+            crowd[by[[0, -1]]] = np.inf
+    order = np.lexsort((ids, *-x.T[::-1], -np.round(x.sum(axis=1), 9), -np.round(crowd, 12), front))
+    return order[front[order] >= 0][:keep]
+
+
 def stratum_caps(counts: dict, budget: int, shares: dict | None = None) -> dict:
     """Whole caps near the strata's shares of the budget, by largest remainders, between one and what a stratum has.
 

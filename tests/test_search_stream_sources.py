@@ -118,6 +118,18 @@ def test_a_replayed_batch_counts_once(spark, tmp_path):
     assert again.kept == 4 and again.rows().count() == 4
 
 
+def test_chunks_at_hand_select_as_spark_does(spark, monkeypatch):
+    """The same archive, with a few jobs a chunk."""
+    rows = spark.range(60).selectExpr("id", "(id * 37 % 5) / 5.0D as a", "(id * 61 % 7) / 7.0D as b").cache()
+    run = lambda: {r.id for r in T.run_chunks(rows, T.Archive(spark, "id", ("a", "b"), 12, 60), 30, [F.col("id")]).rows().collect()}
+    jobs, real = [], T.P.nsga_select
+    monkeypatch.setattr(T.P, "nsga_select", lambda *a: jobs.append(1) or real(*a))
+    fast = run()
+    assert not jobs and len(fast) == 12
+    monkeypatch.setattr(T, "AT_HAND", 0)
+    assert run() == fast and jobs
+
+
 def test_units_by_largest_remainders():
     from sievewright.functions.scalars import largest_remainders
     from sievewright.operators import mix
