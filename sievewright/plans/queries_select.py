@@ -306,12 +306,17 @@ def constrained_selection(spark, sf_dir):
 @query(f"""with {CUSTOMER_SQL}, e as (select a.c_custkey as remove, b.c_custkey as add, abs(a.c_acctbal - b.c_acctbal) as d from cp a join cp b on a.c_custkey % 10 = 8 and b.c_custkey % 10 = 9 and a.c_mktsegment = b.c_mktsegment)
     select remove, min_by(add, struct_pack(s := round(d, 2), a := add)) as add, round(min(d), 2) as score from e group by 1""")
 def reusable_matches(spark, sf_dir):
-    own = customer_role(spark, sf_dir, 8, 9).where("c_mktsegment is not null and c_acctbal is not null")
+    every = customer_role(spark, sf_dir, 8, 9).where("c_mktsegment is not null")
+    own = every.where("c_acctbal is not null")
     key, metric = F.col("c_custkey"), J.Metric(("c_acctbal",), (), (0.0,), (1.0,), (), norm=1, digits=2)
     # Additions may be reused, so a removal's best edge, the nearest of its group, is the only one that can be taken.
     near = J.nearest(own.where(key % 10 == 8), "c_custkey", own.where(key % 10 == 9), "c_custkey", metric, group="c_mktsegment")
     edges = near.select(key.alias("remove"), F.col("neighbour").alias("add"), F.col("distance").alias("score"), F.lit(0.0).alias("distance"))
-    return RP.greedy_match(edges, reuse=True).select("remove", "add", "score")
+    # Without a balance on either side no distance is known: the smallest addition of the segment, without a score.
+    found = RP.greedy_match(edges, reuse=True).select("remove", "add", "score")
+    first = every.where(key % 10 == 9).groupBy("c_mktsegment").agg(F.min(key).alias("add"), F.count("c_acctbal").alias("n"))
+    rest = every.where(key % 10 == 8).join(F.broadcast(first), "c_mktsegment").where("c_acctbal is null or n = 0")
+    return found.unionByName(rest.select(key.alias("remove"), "add", F.lit(None).cast("double").alias("score")))
 
 
 def repaired(spark, sf_dir, version: str):
