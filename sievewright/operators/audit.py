@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +15,26 @@ from pyspark.sql import functions as F
 
 from sievewright.operators import distance as J
 from sievewright.operators.ranks import running_sums
+from sievewright.plans.workspace import materialize
+
+#: Models that are fitted at a time: their jobs are short, and one alone leaves most tasks' places empty.
+AT_ONCE = 5
+
+
+def _all(work: Callable, items: Sequence) -> list:
+    """What ``work`` gives for each item, some at a time."""
+    if not items:
+        return []
+    spark = items[0][0].sparkSession
+    with ThreadPool(min(AT_ONCE, len(items))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda x: work(*x)), items)
+
+
+def _dealt(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows dealt to tasks by their values, in a fixed order, so that a seed gives one forest; a small table stays as it is."""
+    n = df.count()
+    tasks = max(min(J.TASKS, n // J.LEAST), n // J.WAVE_ROWS)
+    return df.repartition(tasks, *columns).sortWithinPartitions(*columns) if tasks > 1 else df
 
 
 def _curve(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> DataFrame:
@@ -22,7 +44,8 @@ def _curve(df: DataFrame, label: str, score: str, groups: Sequence[str]) -> Data
     fine = df.where(s.isNotNull() & ~F.isnan(s) & (F.abs(s) < float("inf")) & F.col(label).isin(0, 1))
     counts = fine.groupBy(*groups, s.alias("s")).agg(F.sum((F.col(label) == 1).cast("long")).alias("p"), F.sum((F.col(label) == 0).cast("long")).alias("n"))
     summed = running_sums(counts, groups, [F.col("s").desc()], {"tp": "p", "fp": "n"})
-    totals = counts.groupBy(*[F.col(g).alias(f"__t_{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.count("*").alias("values"))
+    # From the sums, which are written: the scores themselves are computed once.
+    totals = summed.groupBy(*[F.col(g).alias(f"__t_{g}") for g in groups]).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"), F.count("*").alias("values"))
     cond = F.lit(True)
     for g in groups:
         cond = cond & F.col(g).eqNullSafe(F.col(f"__t_{g}"))
@@ -78,10 +101,11 @@ def nearest_neighbor(target: DataFrame, synthetic: DataFrame, id_column: str, sy
     return J.nearest(target, id_column, synthetic, synthetic_id, metric).select(id_column, (-F.col("distance")).alias("score"))
 
 
-def density_ratio(target: DataFrame, synthetic: DataFrame, reference: DataFrame, id_column: str, synthetic_id: str, reference_id: str, metric: J.Metric, k: int = 5, eps: float = 1e-8) -> DataFrame:
-    """(id, score): ln of the k-th distance to the reference over that to the synthetic rows."""
-    kth = lambda other, oid, n: J.nearest(target, id_column, other, oid, metric, k).groupBy(id_column).agg(F.max("distance").alias(n))
-    own = kth(reference, reference_id, "r").join(kth(synthetic, synthetic_id, "s"), id_column)
+def density_ratio(target: DataFrame, synthetic: DataFrame, reference: DataFrame, id_column: str, synthetic_id: str, reference_id: str, metric: J.Metric, k: int = 5, eps: float = 1e-8, near: DataFrame | None = None) -> DataFrame:
+    """(id, score): ln of the k-th distance to the reference over that to the synthetic rows.  ``near``: the k nearest synthetic rows, if at hand."""
+    kth = lambda found, n: found.groupBy(id_column).agg(F.max("distance").alias(n))
+    near = J.nearest(target, id_column, synthetic, synthetic_id, metric, k) if near is None else near
+    own = kth(J.nearest(target, id_column, reference, reference_id, metric, k), "r").join(kth(near, "s"), id_column)
     return own.select(id_column, F.ln((F.col("r") + eps) / (F.col("s") + eps)).alias("score"))
 
 
@@ -104,9 +128,10 @@ def attribute_error(target: DataFrame, synthetic: DataFrame, numeric: Sequence[s
     indexer = StringIndexer(inputCols=list(labels), outputCols=codes, handleInvalid="keep", stringOrderType="frequencyDesc").fit(named(synthetic)) if labels else None
     coded = lambda df: indexer.transform(named(df)) if labels else df
     prep = lambda df: coded(df).select(id_column, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in numeric], *[(F.col(x) + 0.0).alias(c) for c, x in zip(labels, codes, strict=True)])
-    train, test = prep(synthetic.withColumn(id_column, F.lit(0).cast("long"))).cache(), prep(target).cache()
-    errors = test.select(id_column, F.lit(0.0).alias("e"))
-    for c in chosen:
+    train, test = _dealt(prep(synthetic.withColumn(id_column, F.lit(0).cast("long"))), every).cache(), _dealt(prep(target), [id_column]).cache()
+    train.count(), test.count()  # kept before several models read them at a time
+
+    def errors_of(train: DataFrame, c: str) -> DataFrame:
         others = [x for x in every if x != c]
         a, b = _features(train, others), _features(test, others)
         if c in numeric:
@@ -117,7 +142,11 @@ def attribute_error(target: DataFrame, synthetic: DataFrame, numeric: Sequence[s
             got = RandomForestClassifier(featuresCol="features", labelCol=c, numTrees=trees, seed=seed).fit(a).transform(b)
             p = F.coalesce(F.try_element_at(vector_to_array("probability"), F.col(c).cast("int") + 1), F.lit(0.0))
             err = -F.ln(F.greatest(p, F.lit(1e-12)))
-        errors = errors.unionByName(got.select(id_column, err.alias("e")))
+        return got.select(id_column, err.alias("e"))
+
+    errors = test.select(id_column, F.lit(0.0).alias("e"))
+    for own in _all(errors_of, [(train, c) for c in chosen]):
+        errors = errors.unionByName(own)
     return errors.groupBy(id_column).agg((-F.sum("e") / max(len(chosen), 1)).alias("score"))
 
 
@@ -146,10 +175,14 @@ def supervised_profile(frame: DataFrame, attacks: Sequence[str], id_column: str,
         return None
     k = max(2, min(folds, few))
     own = _features(frame.withColumn("fold", F.pmod(F.xxhash64(id_column, "label"), F.lit(k))).withColumn("label", F.col("label").cast("double")), attacks).cache()
-    out = None
-    for i in range(k):
+    own.count()  # kept before several models read it at a time
+
+    def scored(own: DataFrame, i: int) -> DataFrame:
         model = LogisticRegression(maxIter=100).fit(own.where(F.col("fold") != i))
-        part = model.transform(own.where(F.col("fold") == i)).select(id_column, vector_to_array("probability")[1].alias("score"))
+        return model.transform(own.where(F.col("fold") == i)).select(id_column, vector_to_array("probability")[1].alias("score"))
+
+    out = None
+    for part in _all(scored, [(own, i) for i in range(k)]):
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -161,21 +194,28 @@ def shadow(frames: Sequence[DataFrame], target: DataFrame, id_column: str, trees
     for f in frames:
         part = f.select(F.col("label").cast("double").alias("label"), *common)
         train = part if train is None else train.unionByName(part)
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_features(train, common))
-    return model.transform(_features(target.select(id_column, *common), common)).select(id_column, vector_to_array("probability")[1].alias("score"))
+    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_features(_dealt(train, ["label", *common]), common))
+    return model.transform(_features(_dealt(target.select(id_column, *common), [id_column]), common)).select(id_column, vector_to_array("probability")[1].alias("score"))
 
 
-def run_audit(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, reference: DataFrame, roles, id_column: str, most: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(reports, score frame) of the release attacks on all rows, or on ``most`` rows of each role's own fixed shuffle."""
+def audit_scores(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, reference: DataFrame, roles, id_column: str, most: int | None = None, seed: int = 0) -> DataFrame:
+    """The score frame of the release attacks on all rows, or on ``most`` rows of each role's own fixed shuffle; written once."""
     cut = lambda df, k: df if most is None else df.orderBy(F.xxhash64(F.lit(seed + k), F.col(id_column)), id_column).limit(most)
     members, others, syn, ref = cut(train, 0), cut(holdout, 1), cut(synthetic, 2), cut(reference, 3)
     target = members.withColumn("label", F.lit(1)).unionByName(others.withColumn("label", F.lit(0))).cache()
     metric = J.fit_metric(target.unionByName(syn.withColumn("label", F.lit(0))), roles)
+    # One search for both: the nearest synthetic row is the first of the nearest ones.
+    near = materialize(J.nearest(target, id_column, syn, id_column, metric, 5))
     scores = {
         "exact_match": exact_match(target, syn, roles.columns, id_column),
-        "nearest_neighbor": nearest_neighbor(target, syn, id_column, id_column, metric),
-        "density_ratio": density_ratio(target, syn, ref, id_column, id_column, id_column, metric),
+        "nearest_neighbor": near.where("place = 1").select(id_column, (-F.col("distance")).alias("score")),
+        "density_ratio": density_ratio(target, syn, ref, id_column, id_column, id_column, metric, 5, near=near),
         "attribute_error": attribute_error(target, syn, (*roles.numeric, *roles.discrete), roles.labels, id_column, seed=seed),
     }
-    frame = score_frame(scores, target.select(id_column, "label"), id_column)
-    return binary_report(long_scores(frame, list(scores)), "label", "score"), frame
+    return materialize(score_frame(scores, target.select(id_column, "label"), id_column))
+
+
+def run_audit(train: DataFrame, holdout: DataFrame, synthetic: DataFrame, reference: DataFrame, roles, id_column: str, most: int | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(reports, score frame) of the release attacks on all rows, or on ``most`` rows of each role's own fixed shuffle."""
+    frame = audit_scores(train, holdout, synthetic, reference, roles, id_column, most, seed)
+    return binary_report(long_scores(frame, [c for c in frame.columns if c not in (id_column, "label")]), "label", "score"), frame

@@ -131,15 +131,15 @@ def release_audit(spark, sf_dir):
 @query()
 def supervised_profile(spark, sf_dir):
     rows = lambda *folds: customer_role(spark, sf_dir, *folds)
-    frame = A.run_audit(rows(0, 1, 2), rows(6), rows(8, 9), rows(3, 4, 5), CUSTOMER, "c_custkey")[1]
+    frame = A.audit_scores(rows(0, 1, 2), rows(6), rows(8, 9), rows(3, 4, 5), CUSTOMER, "c_custkey")
     return A.supervised_profile(frame, [c for c in frame.columns if c not in ("c_custkey", "label")], "c_custkey")
 
 
 @query()
 def shadow_attack(spark, sf_dir):
     rows = lambda *folds: customer_role(spark, sf_dir, *folds)
-    target = A.run_audit(rows(0, 1), rows(6), rows(8, 9), rows(3, 4), CUSTOMER, "c_custkey")[1]
-    own = A.run_audit(rows(2), rows(7), rows(8), rows(5), CUSTOMER, "c_custkey")[1]
+    target = A.audit_scores(rows(0, 1), rows(6), rows(8, 9), rows(3, 4), CUSTOMER, "c_custkey")
+    own = A.audit_scores(rows(2), rows(7), rows(8), rows(5), CUSTOMER, "c_custkey")
     return A.shadow([own], target, "c_custkey")
 
 
