@@ -721,3 +721,20 @@ def test_registered_sql(spark, medium):
         res = con.execute(sql)
         cols = [c[0] for c in res.description]
         assert sorted(map(str, (tuple(r) for r in got.select(*cols).collect()))) == sorted(map(str, res.fetchall())), name
+
+
+@pytest.mark.parametrize(("total", "left", "want"), [(600, 0, 1), (600, 350, 0), (300, 0, 0)])
+def test_written_tables_give_the_drivers_heap_back(spark, monkeypatch, tmp_path, total, left, want):
+    """Past half of the limit and twice what was left, and only then: many jobs' garbage doesn't fill the heap to its limit."""
+    from types import SimpleNamespace
+
+    from sievewright.llm import _util
+
+    calls = []
+    heap = SimpleNamespace(totalMemory=lambda: total, maxMemory=lambda: 750, freeMemory=lambda: total - 70)
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: heap))), System=SimpleNamespace(gc=lambda: calls.append(1)))
+    monkeypatch.setattr(_util, "_left", [left])
+    real = _util.trim
+    monkeypatch.setattr(_util, "trim", lambda s: real(SimpleNamespace(_jvm=jvm)))
+    assert _util.materialize(spark.range(3), f"file://{tmp_path}/t").count() == 3
+    assert len(calls) == want and _util._left == [70 if want else left]
