@@ -191,10 +191,10 @@ def shadow(frames: Sequence[DataFrame], target: DataFrame, id_column: str, trees
     """(id, score): a forest trained on the shadow score frames' common columns."""
     common = [c for c in target.columns if c not in (id_column, "label") and all(c in f.columns for f in frames)]
     train = None
-    for f in frames:
-        part = f.select(F.col("label").cast("double").alias("label"), *common)
+    for k, f in enumerate(frames):
+        part = f.select(F.lit(k).alias("__frame"), id_column, F.col("label").cast("double").alias("label"), *common)
         train = part if train is None else train.unionByName(part)
-    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_features(_dealt(train, ["label", *common]), common))
+    model = RandomForestClassifier(numTrees=trees, seed=seed).fit(_features(_dealt(train, ["__frame", id_column, "label"]), common))
     return model.transform(_features(_dealt(target.select(id_column, *common), [id_column]), common)).select(id_column, vector_to_array("probability")[1].alias("score"))
 
 

@@ -431,6 +431,17 @@ def test_audit_scores_all_rows_with_all_attacks(spark):
     assert frame.where("label = 1 and exact_match = 1").count() == 5100 and frame.where("label = 0 and exact_match = 0").count() == 50
 
 
+def test_audits_search_and_score_once(spark, small, monkeypatch):
+    """Profiles and shadows need no report; two attacks share one search."""
+    from sievewright.registry import QUERIES
+
+    found, real = [], J.nearest
+    monkeypatch.setattr(J, "nearest", lambda *a, **k: found.append(1) or real(*a, **k))
+    assert QUERIES["release_audit"](spark, small).count() == 4 and len(found) == 2
+    monkeypatch.setattr(A, "binary_report", lambda *a, **k: pytest.fail("a report that nobody reads"))
+    assert QUERIES["shadow_attack"](spark, small).count() > 0
+
+
 def test_attribute_error_leaves_out_constant_columns(spark):
     df = spark.createDataFrame([(i, 1.0, "a") for i in range(6)], "id long, x double, c string")
     assert {r.score for r in A.attribute_error(df, df, ("x",), ("c",), "id").collect()} == {0.0}
