@@ -738,3 +738,31 @@ def test_written_tables_give_the_drivers_heap_back(spark, monkeypatch, tmp_path,
     monkeypatch.setattr(_util, "trim", lambda s: real(SimpleNamespace(_jvm=jvm)))
     assert _util.materialize(spark.range(3), f"file://{tmp_path}/t").count() == 3
     assert len(calls) == want and _util._left == [70 if want else left]
+
+
+def test_written_tables_give_the_drivers_native_memory_back(spark, monkeypatch, tmp_path):
+    """Memory that the JVM has freed outside its heap goes back to the system, not only garbage of the heap."""
+    import os
+    import re
+    from pathlib import Path
+
+    from sievewright.llm import _util
+    from sievewright.plans import workspace
+
+    monkeypatch.setattr(workspace, "_next", [float("inf")])
+    _util.materialize(spark.range(10), f"file://{tmp_path}/t")
+    jvm, zipped = spark._jvm, []
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    resident = lambda: int(re.search(r"VmRSS:\s+(\d+)", Path(f"/proc/{pid}/status").read_text())[1]) // 1024
+    data, out = bytearray(os.urandom(1 << 18)), bytearray(1 << 18)
+    for _ in range(300):
+        zipped.append(jvm.java.util.zip.Deflater())
+        zipped[-1].setInput(data)
+        zipped[-1].deflate(out)
+    for z in zipped[:-1]:  # the last one lies above what is freed
+        z.end()
+    monkeypatch.setattr(workspace, "_next", [0.0])
+    before = resident()
+    _util.materialize(spark.range(10), f"file://{tmp_path}/t")
+    assert resident() < before - 40
+    zipped[-1].end()
